@@ -39,11 +39,37 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.pages import extract_pages
+
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.vectors import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.urls import judge_urls
+
+    return judge_urls(_read(spark, sf_dir, "pages"))
+
+
+def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vecloom.llm.store import store_report
+
+    return store_report(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_extendible_sharding, op2_repetition_coverage, op4_source_mixing, op5_byte_bpe)}
+    return {f.__name__: f for f in (op1_extendible_sharding, op2_repetition_coverage, op4_source_mixing, op5_byte_bpe, op7_template_deduction, op8_projection_forest, op9_url_globs, op10_content_store)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from vecloom.llm import mixing, sharding
+    from vecloom.llm import mixing, sharding, urls
 
-    return {"op1_extendible_sharding": sharding.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL}
+    return {"op1_extendible_sharding": sharding.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op9_url_globs": urls.ORACLE_SQL}

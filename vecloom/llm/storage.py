@@ -25,5 +25,5 @@ def table(df: DataFrame, name: str = "table") -> DataFrame:
     depend on an executor that may be lost, and Spark knows its size."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vecloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
