@@ -25,6 +25,12 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.jaccard import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecloom.llm.mixing import mix_report
 
@@ -66,7 +72,7 @@ def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_extendible_sharding, op2_repetition_coverage, op4_source_mixing, op5_byte_bpe, op7_template_deduction, op8_projection_forest, op9_url_globs, op10_content_store)}
+    return {f.__name__: f for f in (op1_extendible_sharding, op2_repetition_coverage, op3_ngram_jaccard, op4_source_mixing, op5_byte_bpe, op7_template_deduction, op8_projection_forest, op9_url_globs, op10_content_store)}
 
 
 def oracle_sql() -> dict[str, str]:
