@@ -45,6 +45,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vecloom.llm.lm import score_texts
+
+    return score_texts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecloom.llm.pages import extract_pages
 
@@ -71,8 +79,14 @@ def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_report(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_extendible_sharding, op2_repetition_coverage, op3_ngram_jaccard, op4_source_mixing, op5_byte_bpe, op7_template_deduction, op8_projection_forest, op9_url_globs, op10_content_store)}
+    return {f.__name__: f for f in (op1_extendible_sharding, op2_repetition_coverage, op3_ngram_jaccard, op4_source_mixing, op5_byte_bpe, op6_attention_scores, op7_template_deduction, op8_projection_forest, op9_url_globs, op10_content_store, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
