@@ -1,29 +1,5 @@
-"""Cutting lineage with tables in the shared folder."""
+"""Tables in the shared folder."""
 
-from __future__ import annotations
+from vecloom.sources.shared import shared_folder, table
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset and Spark runs in one process, a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="vecloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def table(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes `df` once as Parquet to the shared folder and reads it back: later steps neither repeat its work nor
-    depend on an executor that may be lost, and Spark knows its size."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vecloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "table"]
