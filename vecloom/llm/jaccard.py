@@ -68,8 +68,10 @@ def _by_bucket(bucket: np.ndarray, rows: np.ndarray, names: list[str]) -> pa.Rec
     """One row per bucket with its packed rows."""
     order = np.argsort(bucket, kind="stable")
     bucket, raw = bucket[order], np.ascontiguousarray(rows[order]).tobytes()
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    last = np.append(first[1:], len(bucket))
+    new = np.ones(len(bucket), bool)
+    new[1:] = bucket[1:] != bucket[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first, len(bucket))[1:]
     width = rows.shape[1]
     return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), pa.array([raw[s * width : e * width] for s, e in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())], names=names)
 
