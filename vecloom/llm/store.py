@@ -118,7 +118,7 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
     once = staged.join(again, ["copy", "seq"], "left_anti")
     once.select("digest", "n", "ids").write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
-    root = F.udf(merkle_root, T.BinaryType())
+    root = F.udf(lambda digests: merkle_root(digests), T.BinaryType())
     docs_refs = refs.groupBy("doc_id", "copy").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "digest"))).alias("parts"))
     flat = table(docs_refs.select("doc_id", "copy", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("parts.digest").alias("chunks")), "recipes")
     low, high, count = flat.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
@@ -230,7 +230,7 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """(file, first_doc, n_docs, root) per recipe file: the Merkle root over its documents' roots."""
     rows = spark.read.parquet(f"{folder}/recipes").select(F.input_file_name().alias("file"), "doc_id", "start", "root")
     per = rows.groupBy("file").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("r"))
-    return per.select("file", "first_doc", "n_docs", F.udf(merkle_root, T.BinaryType())("r.root").alias("root"))
+    return per.select("file", "first_doc", "n_docs", F.udf(lambda digests: merkle_root(digests), T.BinaryType())("r.root").alias("root"))
 
 
 def store_report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
