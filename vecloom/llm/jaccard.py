@@ -6,10 +6,11 @@ with the other, which gives the bounds below; all of them are necessary conditio
 1. Equal sets are one class. Only classes are compared.
 2. Filter: of a class's first shingles in hash order a quarter of the slack or more must occur in another class. Each batch
    sends a shingle once, packed by hash range, however many of its documents hold it.
-3. Seeds: remaining classes meet by their smallest shingle under two orders, in blocks of bounded size that all hold the
-   group's pivot. What links to the pivot is settled; the rest is found by T-occurrence search (DivideSkip).
+3. Seeds: remaining classes meet by their smallest shingle under two orders, frequent shingles last, in blocks of bounded
+   size that all hold the group's pivot. What links to the pivot is settled; the rest is found by T-occurrence search
+   (DivideSkip), for classes of whose shingles enough occur again in the block.
 4. Completion: inverted lists over prefixes, frequent shingles last, give the pairs of classes that the seeds left in
-   different components, under the bounds on size and position. Their sets are compared.
+   different components and that share enough of their prefixes. Their sets are compared.
 """
 
 from __future__ import annotations
@@ -166,21 +167,42 @@ def _hint(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, n_words: int = WORDS) -> DataFrame:
-    """(f, n, tokens, k0, k1): the sorted shingles of the wanted classes, and the smallest under two orders."""
-    schema = T.StructType([T.StructField("f", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("k0", T.LongType()), T.StructField("k1", T.LongType())])
+    """(f, n, tokens): the sorted shingles of the wanted classes."""
+    schema = T.StructType([T.StructField("f", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, offsets in K.chunks(b.column(0)):
                 token, bounds = K.shingle_sets(data, offsets, n_words)
-                raw, other = token.tobytes(), K.mix(token + _SEED)
-                k1 = np.minimum.reduceat(other, bounds[:-1]) if len(token) else other
-                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(token, bounds).view(np.int64)), pa.array(np.diff(bounds).astype(np.int64)), pa.array([raw[8 * s : 8 * e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()), pa.array(token[bounds[:-1]].view(np.int64)), pa.array(k1.view(np.int64))], names=schema.names)
+                raw = token.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(token, bounds).view(np.int64)), pa.array(np.diff(bounds).astype(np.int64)), pa.array([raw[8 * s : 8 * e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=schema.names)
 
     rows = docs.join(_hint(wanted), (docs["t"] == wanted["wt"]) & docs["id"].eqNullSafe(wanted["wid"])).select("text")
     return rows.mapInArrow(run, schema)
 
 
+def _ordered(token: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Places of a set's shingles in the order of hashes, those in heavy cells last."""
+    return np.argsort(heavy[(token & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)], kind="stable")
+
+
+def key_table(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """(f, k0, k1): each class's smallest shingle under two orders, frequent shingles last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k0, k1 = [], []
+            for raw in b.column(1):
+                token = np.frombuffer(raw.as_buffer(), np.uint64)
+                light = token[~heavy[(token & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)]]
+                token = light if len(light) else token
+                k0.append(token[0])
+                k1.append(K.mix(token + _SEED).min())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(k0, np.uint64).view(np.int64)), pa.array(np.array(k1, np.uint64).view(np.int64))], names=["f", "k0", "k1"])
+
+    return sets.select("f", "tokens").mapInArrow(run, "f long, k0 long, k1 long")
+
+
 class Postings:
     """Inverted lists of some sets. Sets are numbered by ascending size."""
 
@@ -193,6 +215,11 @@ class Postings:
         self.members = number[order]
         self.bounds = np.append(start, len(flat))
 
+    def hopeful(self, query: int) -> bool:
+        """Whether enough shingles of set `query` occur in other sets, too."""
+        at = np.searchsorted(self.token, self.sets[query])
+        return int((self.bounds[at + 1] - self.bounds[at] > 1).sum()) >= least_overlap(len(at))
+
     def linked(self, query: int) -> list[int]:
         """Sets that link with set `query`, by DivideSkip: sets that occur often enough in the short lists come out of a
         heap over them, and are looked up in the long ones by bisection."""
@@ -263,19 +290,20 @@ def _seed_links(group: pd.DataFrame) -> pd.DataFrame:
             rest.append(i)
     if rest:
         postings = Postings(sets)
-        for i in rest:
+        for i in filter(postings.hopeful, rest):
             links += [(f[i], f[j]) for j in postings.linked(i)]
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def seed_links(sets: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b): links among classes with one smallest shingle. Groups over `block_rows` are dealt out into blocks."""
-    groups = table(sets.groupBy(key).agg(F.count("*").alias("rows"), F.min("f").alias("pivot")).filter("rows > 1"), "groups").withColumn("blocks", F.ceil(F.col("rows") / block_rows))
-    rows = sets.select("f", "tokens", key).join(_hint(groups), key)
+def seed_links(sets: DataFrame, keys: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): links among classes with one key of (f, key). Groups over `block_rows` are dealt out into blocks."""
+    groups = keys.groupBy(key).agg(F.count("*").alias("rows"), F.min("f").alias("pivot")).filter("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / block_rows))
+    members = table(keys.join(groups, key).select(F.col("f").alias("mf"), F.col(key).alias("key"), "pivot", "blocks"), "members")
+    rows = sets.select("f", "tokens").join(_hint(members), sets["f"] == members["mf"])
     own = F.pmod(F.xxhash64("f"), F.col("blocks"))
     blocks = F.when(F.col("f") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
-    dealt = rows.withColumn("block", F.explode(blocks)).select(key, "block", "f", "pivot", "tokens")
-    return dealt.groupBy(key, "block").applyInPandas(_seed_links, "a long, b long")
+    dealt = rows.withColumn("block", F.explode(blocks)).select("key", "block", "f", "pivot", "tokens")
+    return dealt.groupBy("key", "block").applyInPandas(_seed_links, "a long, b long")
 
 
 def _heavy(sets: DataFrame) -> np.ndarray:
@@ -296,14 +324,53 @@ def _heavy(sets: DataFrame) -> np.ndarray:
     return out > mean + 6 * np.sqrt(mean) + 2
 
 
-def cross_pairs(sets: DataFrame, part: DataFrame, bucket_bits: int) -> DataFrame:
+def _needed(a, b):
+    """Shingles that a linked pair shares at least in prefixes that are so much longer than one needs."""
+    return 1 + (a + b) // 20
+
+
+def _most_needed(n):
+    return 1 + (n + 4 * n // 3) // 20
+
+
+def _pairs(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places i < j within the lists [first, last), in blocks: lists of one short length together, long ones alone."""
+    size = last - first
+    for m in np.unique(size[(size > 1) & (size <= 32)]):
+        x, y = np.triu_indices(m, 1)
+        starts = first[size == m]
+        step = max(1, 2_000_000 // len(x))
+        for s in range(0, len(starts), step):
+            at = starts[s : s + step, None]
+            yield (at + x).ravel(), (at + y).ravel()
+    for s, e in zip(first[size > 32].tolist(), last[size > 32].tolist(), strict=True):
+        for lo in range(s, e, 1024):
+            for cut in range(lo, e, 1024):
+                x, y = np.meshgrid(np.arange(lo, min(lo + 1024, e)), np.arange(cut, min(cut + 1024, e)), indexing="ij")
+                keep = x < y
+                yield x[keep], y[keep]
+
+
+def _add_up(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b, need, count) with the counts of equal pairs added."""
+    rows = np.concatenate(parts)
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
+    first = np.flatnonzero(new)
+    out = rows[first]
+    if len(first):
+        out[:, 3] = np.add.reduceat(rows[:, 3], first)
+    return out
+
+
+def cross_pairs(sets: DataFrame, part: DataFrame, heavy: np.ndarray, bucket_bits: int) -> DataFrame:
     """(a, b): pairs of classes in different components that may link, from inverted lists over prefixes.
 
-    Of a linked pair's common shingles the first in order stands early enough in both sets for enough others to follow
-    it, so the pair is found in that list.
+    If sets of a and b shingles link, with an intersection of at least o, then among the first a - o + k of the one and
+    b - o + k of the other at least k are common. Pairs are counted by bucket, and the counts added behind the shuffle.
     """
-    heavy = _heavy(sets)
-    mask = np.uint64((1 << CELL_BITS) - 1)
     widths = [6, 8, 6, 3, 3]
     width = sum(widths)
 
@@ -313,7 +380,7 @@ def cross_pairs(sets: DataFrame, part: DataFrame, bucket_bits: int) -> DataFrame
             for f, raw, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 token = np.frombuffer(raw.as_buffer(), np.uint64)
                 n = len(token)
-                order = np.argsort(heavy[(token & mask).astype(np.int64)], kind="stable")[: n - least_overlap(n) + 1]
+                order = _ordered(token, heavy)[: n - least_overlap(n) + _most_needed(n)]
                 tokens.append(token[order])
                 k = len(order)
                 owners.append(np.full(k, f))
@@ -337,29 +404,24 @@ def cross_pairs(sets: DataFrame, part: DataFrame, bucket_bits: int) -> DataFrame
         token, f, c, n, at = token[order], f[order], c[order], n[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         last = np.append(first[1:], len(token))
-        out = [np.zeros((0, 2), np.int64)]
-        found: list[np.ndarray] = []
-        for s, e in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
-            if (c[s:e] == c[s]).all():
-                continue
-            for lo in range(s, e - 1, 1024):  # smaller sets against those behind them, up to a third larger
-                hi = min(lo + 1024, e - 1)
-                stop = s + int(np.searchsorted(3 * n[s:e], 4 * n[hi - 1], "right"))
-                for cut in range(lo + 1, stop, 4096):
-                    j = slice(cut, min(cut + 4096, stop))
-                    i = slice(lo, hi)
-                    overlap = pair_overlap(n[i, None], n[None, j])
-                    good = (np.arange(lo, hi)[:, None] < np.arange(j.start, j.stop)[None]) & (c[i, None] != c[None, j]) & (n[i, None] - at[i, None] >= overlap) & (n[None, j] - at[None, j] >= overlap)
-                    x, y = np.nonzero(good)
-                    if len(x):
-                        found.append(np.stack([f[i][x], f[j][y]], axis=1))
-                        if sum(map(len, found)) > 1_000_000:
-                            out, found = [np.unique(np.sort(np.concatenate([*out, *found]), axis=1), axis=0)], []
-        pairs = np.unique(np.sort(np.concatenate([*out, *found]), axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        mixed = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+        found = [np.zeros((0, 4), np.int64)]
+        held = 0
+        for i, j in _pairs(first[mixed], last[mixed]):
+            overlap, need = pair_overlap(n[i], n[j]), _needed(n[i], n[j])
+            good = (c[i] != c[j]) & (3 * n[j] <= 4 * n[i]) & (at[i] < n[i] - overlap + need) & (at[j] < n[j] - overlap + need)
+            i, j, need = i[good], j[good], need[good]
+            found.append(np.stack([np.minimum(f[i], f[j]), np.maximum(f[i], f[j]), need, np.ones(len(i), np.int64)], axis=1))
+            held += len(i)
+            if held > 2_000_000:
+                found = [_add_up(found)]
+                held = 0
+        pairs = _add_up(found)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "need": pa.array(pairs[:, 2]), "n": pa.array(pairs[:, 3])})
 
     known = sets.select("f", "tokens").join(_hint(part), sets["f"] == part["node"], "left").select("f", "tokens", F.coalesce("component", "f").alias("part"))
-    return known.mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    counted = known.mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(meet, "a long, b long, need long, n long")
+    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -405,9 +467,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_sets, n_wanted = sets.count(), wanted.count()
     if n_sets > n_wanted:  # rows that are alike in id and text
         sets = table(sets.dropDuplicates(["f"]), "tokens")
-    seeds = table(seed_links(sets, "k0", block_rows).unionByName(seed_links(sets, "k1", block_rows)).distinct(), "seeds")
+    heavy = _heavy(sets)
+    keys = table(key_table(sets, heavy), "keys")
+    seeds = table(seed_links(sets, keys, "k0", block_rows).unionByName(seed_links(sets, keys, "k1", block_rows)).distinct(), "seeds")
     part = table(components(seeds), "part")
-    pairs = table(cross_pairs(sets, part, bits), "pairs")
+    pairs = table(cross_pairs(sets, part, heavy, bits), "pairs")
     links = seeds.unionByName(verified(pairs, sets))
     final = table(components(links), "part")
     labeled = classes.select("f", "least").join(final, classes["f"] == final["node"], "left").select("f", "least", F.coalesce("component", "f").alias("c"))
