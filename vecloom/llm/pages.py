@@ -8,6 +8,7 @@ gaps and make the host's template. What lies between template tokens are slots;
 
 from __future__ import annotations
 
+import functools
 import html as H
 import re
 from collections.abc import Iterator
@@ -44,14 +45,14 @@ BOILERPLATE_NAMES = set(
 )
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""")
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_END = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 def events(html: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("open", name, attributes) and ("close", name, "") in page order; comments, declarations and the
     contents of raw elements are left out."""
-    at, low, size = 0, None, len(html)
+    at, size = 0, len(html)
     while at < size:
         lt = html.find("<", at)
         if lt < 0:
@@ -82,15 +83,15 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
         if m[1]:
             yield "close", name, ""
         elif name in RAW:
-            low = low or html.translate(_LOWER)
-            end = low.find(f"</{name}", at)
-            close = -1 if end < 0 else low.find(">", end)
+            end = _END[name].search(html, at)
+            close = -1 if end is None else html.find(">", end.end())
             at = size if close < 0 else close + 1
         else:
             yield "open", name, m[3]
 
 
 def _attributes(raw: str) -> dict[str, str]:
+    raw = raw.strip()
     return {m[1].lower(): H.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(raw)} if raw else {}
 
 
@@ -98,6 +99,22 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return {w.lower() for k in ("class", "id") if k in attributes for w in _NAME.findall(attributes[k])}
 
 
+@functools.lru_cache(100_000)
+def _says(name: str, raw: str) -> tuple[str, bool, bool]:
+    """What an element says of itself, whatever is above it: its part of the path, and whether it is (or may hold) the
+    article, and whether it is something else."""
+    attributes = _attributes(raw)
+    names, role = _names(attributes), attributes.get("role", "").lower()
+    skip = name in BOILERPLATE or role in BOILERPLATE_ROLES or bool(names & BOILERPLATE_NAMES) or "hidden" in attributes
+    skip = skip or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+    return " ".join([name, *sorted(names)]), name in ("article", "main") or role in ("article", "main"), skip and name not in ("html", "body")
+
+
+@functools.lru_cache(100_000)
+def _path(above: int, part: str) -> int:
+    return xxhash.xxh3_64_intdigest(part, above)
+
+
 class Node:
     """An open element: its path's hash, and what it says about the text in it."""
 
@@ -108,16 +125,19 @@ class Node:
 
 
 class Text:
-    """A block of text: its parts with their paths, whether tags place it in the article, and whether they rule it out."""
+    """A block of text: its path, whether tags place it in the article, and whether they rule it out."""
 
-    __slots__ = ("main", "order", "parts", "skip")
+    __slots__ = ("main", "order", "parts", "path", "skip", "text")
 
-    def __init__(self, main: bool, skip: bool, order: int):
-        self.parts: list[tuple[str, int]] = []
-        self.main, self.skip, self.order = main, skip, order
+    def __init__(self, main: bool, skip: bool, order: int, path: int):
+        self.parts: list[str] = []
+        self.main, self.skip, self.order, self.path = main, skip, order, path
+        self.text = ""
 
-    def text(self) -> str:
-        return " ".join("".join(p for p, _ in self.parts).split())
+    def close(self) -> str:
+        raw = "".join(self.parts)
+        self.text = " ".join((H.unescape(raw) if "&" in raw else raw).split())
+        return self.text
 
 
 def read_page(html: str) -> tuple[list[tuple[int, int]], list[Text]]:
@@ -134,16 +154,16 @@ def read_page(html: str) -> tuple[list[tuple[int, int]], list[Text]]:
             if current is None:
                 if not value.strip():
                     continue
-                current = Text(top.main, top.skip, order)
+                current = Text(top.main, top.skip, order, top.path)
                 blocks.append(current)
-            current.parts.append((H.unescape(value), top.path))
+            current.parts.append(value)
             continue
         if value in BLOCKS:
             current = None
         elif current is not None and value == "br":
-            current.parts.append((" ", stack[-1].path))
+            current.parts.append(" ")
         if kind == "close":
-            tags.append((xxhash.xxh3_64_intdigest(f"/{value}", stack[-1].path), order))
+            tags.append((_path(stack[-1].path, "/" + value), order))
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == value:
                     del stack[i:]
@@ -161,28 +181,21 @@ def read_page(html: str) -> tuple[list[tuple[int, int]], list[Text]]:
         if value == "li" and stack[-1].name == "li":
             stack.pop()
         above = stack[-1]
-        attributes = _attributes(raw)
-        names = _names(attributes) if attributes else set()
-        role = attributes.get("role", "").lower()
-        skip = above.skip or value in BOILERPLATE or role in BOILERPLATE_ROLES or bool(names & BOILERPLATE_NAMES) or (value == "header" and not above.main)
-        skip = skip or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        main = above.main or ((value in ("article", "main") or role in ("main", "article")) and not skip)
-        if value in ("html", "body"):
-            skip = False
-        path = xxhash.xxh3_64_intdigest(" ".join([value, *sorted(names)]), above.path)
+        part, article, other = _says(value, raw)
+        skip = above.skip or other or (value == "header" and not above.main)
+        main = above.main or (article and not skip)
+        path = _path(above.path, part)
         tags.append((path, order))
         if value not in VOID and not raw.endswith("/"):
             stack.append(Node(value, path, main, skip))
-    return tags, [b for b in blocks if b.text()]
+    return tags, [b for b in blocks if b.close()]
 
 
 def text_tokens(block: Text) -> list[int]:
     """A token per word of a short text, one for a long text."""
-    path = block.parts[0][1]
-    words = block.text().split()
-    if len(words) > SHORT_WORDS:
-        return [xxhash.xxh3_64_intdigest(" ".join(words), path)]
-    return [xxhash.xxh3_64_intdigest(f" {w}", path) for w in words]
+    if block.text.count(" ") >= SHORT_WORDS:
+        return [xxhash.xxh3_64_intdigest(block.text, block.path)]
+    return [xxhash.xxh3_64_intdigest(" " + w, block.path) for w in block.text.split()]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -288,14 +301,14 @@ def main_text(html: str, template: Template | None) -> str:
         slot = [int(np.searchsorted(cuts, b.order)) for b in good]
         weight: dict[int, int] = {}
         for b, s in zip(good, slot, strict=True):
-            weight[s] = weight.get(s, 0) + len(b.text())
+            weight[s] = weight.get(s, 0) + len(b.text)
         best = max(weight.values(), default=0)
         good = [b for b, s in zip(good, slot, strict=True) if weight[s] * 5 >= best]
     if template is not None:
         rest = [b for b in good if not template.fixed(b)]
-        if 3 * sum(len(b.text()) for b in rest) >= 2 * sum(len(b.text()) for b in good):  # else these pages are copies
+        if 3 * sum(len(b.text) for b in rest) >= sum(len(b.text) for b in good):  # else these pages are copies
             good = rest
-    return "\n".join(b.text() for b in good)
+    return "\n".join(b.text for b in good)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
