@@ -35,6 +35,8 @@ BUCKET_ENTRIES = 500_000
 BLOCK_ROWS = 512
 BROADCAST_ROWS = 500_000  # of two or three longs each; above that Spark joins by shuffle
 CELL_BITS = 16
+LIST_ROWS = 512  # classes in an inverted list up to which its pairs are counted; longer lists are compared block by block
+HEAP_ENTRIES = 400  # in the short lists, up to which a heap merges them
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -141,10 +143,14 @@ def shared_counts(docs: DataFrame, bucket_bits: int, n_words: int = WORDS) -> Da
             yield _by_bucket(bucket, np.hstack([_pack(rest, 5), _pack(owner, 6)]), ["bucket", "packed"])
             yield _by_bucket(np.full(len(here), -1 - (int(here[0]) % 4096 if len(here) else 0)), np.hstack([_pack(here, 6), _pack(n, 5)]), ["bucket", "packed"])
 
+    def reply(g: np.ndarray, n: np.ndarray) -> pa.Table:
+        bucket = (g >> np.uint64(48 - bucket_bits)).astype(np.int64)
+        return pa.Table.from_batches([_by_bucket(bucket, np.hstack([_pack(g, 6), _pack(n, 5)]), ["range", "counts"])])
+
     def count(key: tuple, group: pa.Table) -> pa.Table:
         rows = _rows_of(group, "packed", width)
         if key[0].as_py() < 0:
-            return pa.table({"g": pa.array(_unpack(rows[:, :6]).view(np.int64)), "shared": pa.array(_unpack(rows[:, 6:]).view(np.int64))})
+            return reply(_unpack(rows[:, :6]), _unpack(rows[:, 6:]))
         token, owner = _unpack(rows[:, :5]), _unpack(rows[:, 5:])
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
@@ -154,11 +160,17 @@ def shared_counts(docs: DataFrame, bucket_bits: int, n_words: int = WORDS) -> Da
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(first, len(token)))
         known = np.repeat((size > 1) | (owner[first] == 0), size) & (owner != 0)
-        g, n = np.unique(owner[known], return_counts=True)
-        return pa.table({"g": pa.array(g.view(np.int64)), "shared": pa.array(n.astype(np.int64))})
+        return reply(*np.unique(owner[known], return_counts=True))
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        rows = _rows_of(group, "counts", width)
+        g, place = np.unique(_unpack(rows[:, :6]), return_inverse=True)
+        total = np.bincount(place, _unpack(rows[:, 6:]).astype(np.int64), len(g)).astype(np.int64)
+        return pa.table({"g": pa.array(g.view(np.int64)), "shared": pa.array(total)})
 
     packed = docs.select("text").mapInArrow(send, "bucket long, packed binary")
-    return packed.groupBy("bucket").applyInArrow(count, "g long, shared long").groupBy("g").agg(F.sum("shared").alias("shared"))
+    counted = packed.groupBy("bucket").applyInArrow(count, "range long, counts binary")
+    return counted.groupBy("range").applyInArrow(add, "g long, shared long")
 
 
 def _hint(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -214,6 +226,7 @@ class Postings:
         self.token, start = np.unique(flat[order], return_index=True)
         self.members = number[order]
         self.bounds = np.append(start, len(flat))
+        self.lengths = np.array([len(s) for s in sets])
 
     def hopeful(self, query: int) -> bool:
         """Whether enough shingles of set `query` occur in other sets, too."""
@@ -230,22 +243,26 @@ class Postings:
         need = least_overlap(len(mine))
         n_long = min(need - 1, int(need / (0.01 * np.log2(max(2, len(lists[-1]))) + 1)))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        out = []
-        for other, count in self._merge(short, need - n_long):
-            if other == query:
-                continue
-            a, b = len(mine), len(self.sets[other])
-            overlap = pair_overlap(a, b)
-            left = len(long)
-            for members in reversed(long):
-                if count + left < overlap:
-                    break
-                left -= 1
-                i = int(np.searchsorted(members, other))
-                count += i < len(members) and members[i] == other
-            if count >= overlap and 100 * count >= PERCENT * (a + b - count):
-                out.append(other)
-        return out
+        found = list(self._merge(short, need - n_long)) if sum(map(len, short)) <= HEAP_ENTRIES else self._count(short, need - n_long)
+        other = np.array([o for o, _ in found if o != query], np.int64)
+        count = np.array([c for o, c in found if o != query], np.int64)
+        a, b = len(mine), self.lengths[other]
+        overlap = pair_overlap(a, b)
+        for left, members in zip(range(len(long), 0, -1), reversed(long), strict=True):
+            keep = count + left >= overlap
+            if not keep.all():
+                other, count, overlap, b = other[keep], count[keep], overlap[keep], b[keep]
+            if not len(other):
+                return []
+            i = np.minimum(np.searchsorted(members, other), len(members) - 1)
+            count = count + (members[i] == other)
+        return other[(count >= overlap) & (100 * count >= PERCENT * (a + b - count))].tolist()
+
+    @staticmethod
+    def _count(lists: list[np.ndarray], need: int) -> list[tuple[int, int]]:
+        """As `_merge`, by sorting: for lists that many sets are in."""
+        member, n = np.unique(np.concatenate(lists), return_counts=True)
+        return list(zip(member[n >= need].tolist(), n[n >= need].tolist(), strict=True))
 
     @staticmethod
     def _merge(lists: list[np.ndarray], need: int) -> Iterator[tuple[int, int]]:
@@ -334,21 +351,15 @@ def _most_needed(n):
 
 
 def _pairs(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places i < j within the lists [first, last), in blocks: lists of one short length together, long ones alone."""
+    """Pairs of places i < j within the lists [first, last), those of one length together."""
     size = last - first
-    for m in np.unique(size[(size > 1) & (size <= 32)]):
+    for m in np.unique(size[size > 1]):
         x, y = np.triu_indices(m, 1)
         starts = first[size == m]
         step = max(1, 2_000_000 // len(x))
         for s in range(0, len(starts), step):
             at = starts[s : s + step, None]
             yield (at + x).ravel(), (at + y).ravel()
-    for s, e in zip(first[size > 32].tolist(), last[size > 32].tolist(), strict=True):
-        for lo in range(s, e, 1024):
-            for cut in range(lo, e, 1024):
-                x, y = np.meshgrid(np.arange(lo, min(lo + 1024, e)), np.arange(cut, min(cut + 1024, e)), indexing="ij")
-                keep = x < y
-                yield x[keep], y[keep]
 
 
 def _add_up(parts: list[np.ndarray]) -> np.ndarray:
@@ -366,7 +377,9 @@ def _add_up(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def cross_pairs(sets: DataFrame, part: DataFrame, heavy: np.ndarray, bucket_bits: int) -> DataFrame:
-    """(a, b): pairs of classes in different components that may link, from inverted lists over prefixes.
+    """(a, b, n, need): pairs of classes in different components that may link, from inverted lists over prefixes. Lists of
+    over LIST_ROWS classes give no pairs, but rows (class, list, 0, 0): their
+    classes meet in `long_links`.
 
     If sets of a and b shingles link, with an intersection of at least o, then among the first a - o + k of the one and
     b - o + k of the other at least k are common. Pairs are counted by bucket, and the counts added behind the shuffle.
@@ -405,6 +418,10 @@ def cross_pairs(sets: DataFrame, part: DataFrame, heavy: np.ndarray, bucket_bits
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         last = np.append(first[1:], len(token))
         mixed = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+        long = mixed & (last - first > LIST_ROWS)
+        mixed &= ~long
+        listed = np.repeat(long, last - first)  # all places: what a pair shares here is missing from its count
+        mark = np.repeat(token[first].view(np.int64) * np.int64(1 << bucket_bits) + np.int64(key[0].as_py() + 1), last - first)
         found = [np.zeros((0, 4), np.int64)]
         held = 0
         for i, j in _pairs(first[mixed], last[mixed]):
@@ -417,11 +434,54 @@ def cross_pairs(sets: DataFrame, part: DataFrame, heavy: np.ndarray, bucket_bits
                 found = [_add_up(found)]
                 held = 0
         pairs = _add_up(found)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "need": pa.array(pairs[:, 2]), "n": pa.array(pairs[:, 3])})
+        none = np.zeros(int(listed.sum()), bool)
+        parts = [np.concatenate([pairs[:, 0], f[listed]]), np.concatenate([pairs[:, 1], mark[listed]]), np.concatenate([pairs[:, 2], none]), np.concatenate([pairs[:, 3], none])]
+        return pa.table(dict(zip(("a", "b", "need", "n"), (pa.array(x.astype(np.int64)) for x in parts), strict=True)))
 
     known = sets.select("f", "tokens").join(_hint(part), sets["f"] == part["node"], "left").select("f", "tokens", F.coalesce("component", "f").alias("part"))
     counted = known.mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(meet, "a long, b long, need long, n long")
-    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b")
+    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need")
+
+
+def _block_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between the classes of two blocks, or within one, that join different components: one is enough for each
+    pair of components, so no more links leave than classes came."""
+    group = group.assign(n=group["tokens"].map(len)).sort_values(["n", "f"])
+    f, part = group["f"].to_numpy(), group["part"].to_numpy()
+    block, across = group["block"].to_numpy(), group["i"].iloc[0] != group["j"].iloc[0]
+    postings = Postings([np.frombuffer(t, np.uint64) for t in group["tokens"]])
+    parent = {p: p for p in set(part.tolist())}
+
+    def find(p):
+        while parent[p] != p:
+            parent[p] = parent[parent[p]]
+            p = parent[p]
+        return p
+
+    links = []
+    for q in range(len(f)):
+        if (across and block[q] != group["i"].iloc[0]) or not postings.hopeful(q):
+            continue
+        for o in postings.linked(q):
+            a, b = find(part[q]), find(part[o])
+            if a != b:
+                parent[a] = b
+                links.append((f[q], f[o]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def long_links(sets: DataFrame, members: DataFrame, part: DataFrame, block_rows: int) -> DataFrame:
+    """(a, b): links between classes that meet in long lists, given as (class, list). Classes joined by such lists make one
+    group; all of its blocks meet two by two, each pair of blocks in a task of its own."""
+    groups = components(members.select("a", "b"))
+    classes = members.select(F.col("a").alias("node")).distinct().join(groups, "node")
+    sizes = classes.groupBy("component").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block_rows))
+    placed = classes.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = placed.join(part.select("node", F.col("component").alias("part")), "node", "left")
+    placed = table(placed.select("node", F.col("component").alias("grp"), "block", "blocks", F.coalesce("part", "node").alias("part")), "placed")
+    rows = sets.select("f", "tokens").join(_hint(placed), sets["f"] == placed["node"])
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "f", "part", "tokens")
+    return dealt.groupBy("grp", "i", "j").applyInPandas(_block_links, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -471,8 +531,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = table(key_table(sets, heavy), "keys")
     seeds = table(seed_links(sets, keys, "k0", block_rows).unionByName(seed_links(sets, keys, "k1", block_rows)).distinct(), "seeds")
     part = table(components(seeds), "part")
-    pairs = table(cross_pairs(sets, part, heavy, bits), "pairs")
+    met = table(cross_pairs(sets, part, heavy, bits), "met")
+    pairs = table(met.filter("n > 0").select("a", "b"), "pairs")
     links = seeds.unionByName(verified(pairs, sets))
+    members = met.filter("n = 0").select("a", "b")
+    if not members.isEmpty():
+        links = links.unionByName(long_links(sets, members, part, block_rows))
     final = table(components(links), "part")
     labeled = classes.select("f", "least").join(final, classes["f"] == final["node"], "left").select("f", "least", F.coalesce("component", "f").alias("c"))
     smallest = labeled.groupBy("c").agg(F.min("least").alias("component_id"))
