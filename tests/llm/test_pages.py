@@ -48,6 +48,13 @@ def test_templates(spark):
     assert pages.extract_pages(df.filter("page_id < -1")).count() == 0
 
 
+def test_short_slots(spark):
+    """Headlines, captions and lists between tags that occur once a page are kept, however long the body is."""
+    rows = [(n, f"http://d.example/{n}", page(n, f"<div><h1>Headline {n}</h1><div class=body><p>{f'body {n} ' * 200}</p></div><figure><figcaption>caption {n}</figcaption></figure><div>Print this page</div></div>")) for n in range(20)]
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"Headline {n}\n{f'body {n} ' * 199}body {n}\ncaption {n}" for n in range(20)}
+
+
 def test_pages_of_data(spark, sf_dir):
     import html
 

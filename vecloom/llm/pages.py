@@ -290,20 +290,12 @@ class Template:
 
 
 def main_text(html: str, template: Template | None) -> str:
-    """Text of the article: blocks that tags place in it, or else the slot of the template with the most text, without what
-    tags rule out and without texts that belong to the template."""
-    tags, blocks = read_page(html)
+    """Text of the article: blocks that tags place in it, or else those in any slot of the template, however short, without
+    what tags rule out and without texts that belong to the template."""
+    _, blocks = read_page(html)
     good = [b for b in blocks if not b.skip]
     if any(b.main for b in good):
         good = [b for b in good if b.main]
-    elif template is not None and template.slots:
-        cuts = sorted(order for t, order in tags if t in template.slots)
-        slot = [int(np.searchsorted(cuts, b.order)) for b in good]
-        weight: dict[int, int] = {}
-        for b, s in zip(good, slot, strict=True):
-            weight[s] = weight.get(s, 0) + len(b.text)
-        best = max(weight.values(), default=0)
-        good = [b for b, s in zip(good, slot, strict=True) if weight[s] * 5 >= best]
     if template is not None:
         rest = [b for b in good if not template.fixed(b)]
         if 3 * sum(len(b.text) for b in rest) >= sum(len(b.text) for b in good):  # else these pages are copies
