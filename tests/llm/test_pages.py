@@ -55,6 +55,15 @@ def test_short_slots(spark):
     assert got == {n: f"Headline {n}\n{f'body {n} ' * 199}body {n}\ncaption {n}" for n in range(20)}
 
 
+def test_slots_choose(spark):
+    """On a host with a template the slots choose the text, also where tags name an article that holds a part of it."""
+    rows = [(n, f"http://e.example/{n}", page(n, f"<div><h1>Headline {n}</h1><article><p>{f'body {n} ' * 30}</p></article><p>correction {n}</p><p>Print this page</p></div>")) for n in range(20)]
+    rows.append((99, "http://f.example/", rows[3][2]))
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {n: f"Headline {n}\n{f'body {n} ' * 29}body {n}\ncorrection {n}" for n in range(20)}
+    assert got == want | {99: f"{'body 3 ' * 29}body 3"}  # without a template tags decide
+
+
 def test_pages_of_data(spark, sf_dir):
     import html
 

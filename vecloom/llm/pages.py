@@ -290,17 +290,18 @@ class Template:
 
 
 def main_text(html: str, template: Template | None) -> str:
-    """Text of the article: blocks that tags place in it, or else those in any slot of the template, however short, without
-    what tags rule out and without texts that belong to the template."""
+    """Text of the article, without what tags rule out: the blocks in the slots of the template, or, without a template, the
+    blocks that tags place in the article, or else all. Where tags name an article, they check the slots: a template that
+    takes more than two thirds of it is of pages that are copies, and does not count."""
     _, blocks = read_page(html)
     good = [b for b in blocks if not b.skip]
-    if any(b.main for b in good):
-        good = [b for b in good if b.main]
-    if template is not None:
-        rest = [b for b in good if not template.fixed(b)]
-        if 3 * sum(len(b.text) for b in rest) >= sum(len(b.text) for b in good):  # else these pages are copies
-            good = rest
-    return "\n".join(b.text for b in good)
+    article = [b for b in good if b.main] or good
+    if template is not None and template.slots:
+        slots = [b for b in good if not template.fixed(b)]
+        kept = set(map(id, slots))
+        if 3 * sum(len(b.text) for b in article if id(b) in kept) >= sum(len(b.text) for b in article):
+            article = slots
+    return "\n".join(b.text for b in article)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
