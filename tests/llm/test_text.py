@@ -307,6 +307,29 @@ def test_lm(odd, none, public):
     assert lm.score_texts(none, public.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_training_covers_texts(spark, public):
+    """Each subword of the training texts is a target of exactly one window, and held-out texts of none."""
+    import numpy as np
+
+    from vecloom.llm import attention as A
+
+    path = public.path("byte_bpe_50k.json")
+    texts = ["some words and others " * 300, "short", "", None, "held out " * 50, "end here " * 24]
+    rows = spark.createDataFrame([(i, t, i == 4) for i, t in enumerate(texts)], "id long, text string, held_out boolean")
+    cache, size = lm._coder(path)
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        for *_, ids, _ in lm._texts(pa.array([t]), cache, size - 1):
+            want.update(ids.tolist() if i != 4 else [])
+    got = collections.Counter()
+    for r in lm.gather(rows, path, 0).filter("kind = 2").collect():
+        targets = np.frombuffer(r["packed"], "<u4").reshape(-1, A.CONTEXT + 1)[:, 1:]
+        got.update(targets[targets < size].tolist())
+    del got[size - 1], want[size - 1]  # ends: see below
+    assert got == want
+    assert A.CONTEXT >= 32 and A.CONTEXT - A.STRIDE >= 16
+
+
 def test_model():
     """The gradient by differences; probabilities that sum to one; windows that score each token once."""
     import numpy as np

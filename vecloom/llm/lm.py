@@ -4,9 +4,8 @@ Subwords are those of a public byte-level vocabulary. Their counts over all trai
 frequent subwords alone, the others in bands of frequency; frequent ones share groups) and each subword's share of its class; the model predicts the
 class from the CONTEXT subwords before. So a text's probability is that of its subwords and its end.
 
-It learns from every training text: counts from the whole of it, and gradients from one window in each stretch of
-STRETCH subwords, at a place set by a hash. Tasks train apart on their windows, and the average of their weights starts
-the next round.
+It learns from the whole of every training text: counts, and gradients from windows in which each subword and each end is
+a target once a round. Tasks train apart on their windows, and the average of their weights starts the next round.
 """
 
 from __future__ import annotations
@@ -26,7 +25,6 @@ from vecloom.llm.jaccard import _by_bucket, _pack, _rows_of, _unpack
 from vecloom.llm.storage import table
 
 ALONE, BANDS = 992, 32  # their sum is a multiple of the model's MEMBERS
-STRETCH = 1024
 ROUNDS = 2
 RATE = 0.02
 BATCH_WINDOWS = 64
@@ -80,6 +78,19 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
+def training_windows(ids: np.ndarray, sub: np.ndarray, train: np.ndarray, size: int) -> np.ndarray:
+    """Windows (n, CONTEXT + 1) that cover the texts marked in `train`: each of their subwords and ends is a target once.
+    They come in a fixed order that mixes the texts, so that a training step sees many of them."""
+    count = np.where(train, -(-np.diff(sub) // A.CONTEXT), 0)
+    owner = np.repeat(np.arange(len(count)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    order = np.argsort(K.mix(np.arange(len(owner)).astype(np.uint64) * _STEP), kind="stable")
+    owner, low = owner[order], (sub[owner] + number * A.CONTEXT)[order]
+    # position -1 of a text is an end; places behind a text's end are marked by the size of the vocabulary
+    place = low[:, None] + np.arange(-1, A.CONTEXT)[None]
+    return np.where(place < sub[owner][:, None], size - 1, np.where(place < sub[owner + 1][:, None], ids[np.clip(place, 0, len(ids) - 1)], size))
+
+
 def gather(rows: DataFrame, path: str, bits: int) -> DataFrame:
     """(kind, bucket, packed) of (id, text, held_out). Kind 0: word hash, count in training texts, count in all. Kind 1:
     subword, count in training texts. Kind 2: windows of training texts, CONTEXT + 1 subwords each."""
@@ -105,19 +116,10 @@ def gather(rows: DataFrame, path: str, bits: int) -> DataFrame:
                 h, t, e = _sum_by(hashes, used.astype(np.int64), np.ones(len(hashes), np.int64))
                 words.append((np.append(h, END_HASH), np.append(t, train.sum()), np.append(e, n)))
                 subwords += np.bincount(ids[np.repeat(train, np.diff(sub))], minlength=size)
-                stretch = np.where(train, -(-np.diff(sub) // STRETCH), 0)
-                owner = np.repeat(np.arange(n), stretch)
-                number = np.arange(len(owner)) - np.repeat(np.cumsum(stretch) - stretch, stretch)
-                low = sub[owner] + number * STRETCH
-                room = np.minimum(sub[owner + 1] - low, STRETCH)
-                mark = K.mix(ids[low].astype(np.uint64) * np.uint64(65537) + room.astype(np.uint64) + number.astype(np.uint64) * _STEP)
-                low = low + (mark % np.maximum(room - A.CONTEXT, 1).astype(np.uint64)).astype(np.int64)
-                # position -1 of a text is an end; places behind a text's end are marked by the size of the vocabulary
-                place = low[:, None] + np.arange(-1, A.CONTEXT)[None]
-                taken = np.where(place < sub[owner][:, None], size - 1, np.where(place < sub[owner + 1][:, None], ids[np.clip(place, 0, len(ids) - 1)], size))
-                raw = taken.astype("<u4").tobytes()
-                if len(owner):
-                    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([raw], pa.binary())], names=["kind", "bucket", "packed"])
+                windows = training_windows(ids, sub, train, size)
+                if len(windows):
+                    raw = [windows[i : i + BATCH_WINDOWS].astype("<u4").tobytes() for i in range(0, len(windows), BATCH_WINDOWS)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), 2, np.int32)), pa.array(np.zeros(len(raw), np.int64)), pa.array(raw, pa.binary())], names=["kind", "bucket", "packed"])
                 if sum(len(w[0]) for w in words) > FLUSH_ENTRIES:
                     yield from flush()
         yield from flush()
