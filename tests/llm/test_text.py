@@ -124,13 +124,52 @@ def components_of(rows):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket_entries": 300, "block_rows": 2}])
-def test_jaccard(odd, sizes):
+SMALL = {"bucket_entries": 300, "block_rows": 2, "block_entries": 400, "bin_entries": 300}
+
+
+@pytest.mark.parametrize("sizes", [{}, SMALL, SMALL | {"joins": "shuffle"}])
+def test_jaccard(odd, sizes, spark, monkeypatch):
     rows, df = odd
-    got = collections.Counter(tuple(r) for r in jaccard.jaccard_components(df, **sizes).collect())
+    sizes = dict(sizes)
+    if sizes.pop("joins", ""):  # as where tables are too large to be broadcast
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = collections.Counter(tuple(r) for r in jaccard.jaccard_components(df, **sizes).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == components_of(rows)
 
 
+@pytest.mark.parametrize("sizes", [{}, SMALL | {"block_rows": 64, "block_entries": 9000, "bin_entries": 4000}])
+def test_jaccard_hot_group(spark, sizes):
+    """Changed copies of one text, from near to far, so that components stay apart behind the seeds and meet in long lists,
+    beside texts that share a passage with all of them."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(700):
+        changed = list(words)
+        for _ in range(rng.randint(0, 5)):
+            changed[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(changed)))
+    rows += [(1000 + i, " ".join(words[:40] + [f"y{i}_{k}" for k in range(20)])) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert collections.Counter(tuple(r) for r in jaccard.jaccard_components(df, **sizes).collect()) == components_of(rows)
+
+
+def test_keep_one(odd):
+    """One row of every group, with null and repeated ids and rows alike in every column."""
+    rows, df = odd
+    want = {r[2] for r in components_of(rows) if r[1]}
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    worded = collections.Counter(r["doc_id"] for r in got if WORDS.search(r["text"] or ""))
+    assert set(worded) == want and set(worded.values()) == {1}
+    assert sum(not WORDS.search(r["text"] or "") for r in got) == sum(not WORDS.search(r[1] or "") for r in rows)
+
+
 def test_jaccard_on_data(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert collections.Counter(tuple(r) for r in jaccard.jaccard_components(df).collect()) == components_of([tuple(r) for r in df.select("doc_id", "text").collect()])

@@ -7,10 +7,10 @@ with the other, which gives the bounds below; all of them are necessary conditio
 2. Filter: of a class's first shingles in hash order a quarter of the slack or more must occur in another class. Each batch
    sends a shingle once, packed by hash range, however many of its documents hold it.
 3. Seeds: remaining classes meet by their smallest shingle under two orders, frequent shingles last, in blocks of bounded
-   size that all hold the group's pivot. What links to the pivot is settled; the rest is found by T-occurrence search
-   (DivideSkip), for classes of whose shingles enough occur again in the block.
-4. Completion: inverted lists over prefixes, frequent shingles last, give the pairs of classes that the seeds left in
-   different components and that share enough of their prefixes. Their sets are compared.
+   size that all hold the group's pivot. Links within a block give first components.
+4. Search: of the classes of whose shingles three quarters or more occur in other components, those that share one of
+   their rarest such shingles meet in inverted lists. Each asks by T-occurrence search (DivideSkip): a heap merges its short
+   lists, the long ones are probed by bisection, and classes that reach the required overlap join components.
 """
 
 from __future__ import annotations
@@ -33,10 +33,11 @@ WORDS = 5
 PERCENT = 75
 BUCKET_ENTRIES = 500_000
 BLOCK_ROWS = 512
-BROADCAST_ROWS = 500_000  # of two or three longs each; above that Spark joins by shuffle
+BLOCK_ENTRIES = 1_000_000  # shingles of the sets that ask for their shingles' counts together
+BIN_ENTRIES = 500_000  # shingles in the inverted lists of one search
+BROADCAST_ROWS = 500_000  # of two to five longs each; above that Spark joins by shuffle
 CELL_BITS = 16
-LIST_ROWS = 512  # classes in an inverted list up to which its pairs are counted; longer lists are compared block by block
-HEAP_ENTRIES = 400  # in the short lists, up to which a heap merges them
+WINDOW = 256  # sets that a step of the heap merge counts
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -84,8 +85,8 @@ def _rows_of(group: pa.Table, column: str, width: int) -> np.ndarray:
 
 
 def classify(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
-    """(id, n, f, t) of (id, text, t): the number of shingles and the hash of the set, null for an empty one."""
-    schema = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("f", T.LongType()), docs.schema["t"]])
+    """(id, n, f, t, h) of (id, text, t, h): the number of shingles and the hash of the set, null for an empty one."""
+    schema = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("f", T.LongType()), docs.schema["t"], docs.schema["h"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,9 +97,9 @@ def classify(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
                 f.append(_set_hash(tokens, bounds))
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
             f = np.concatenate(f) if f else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(f.view(np.int64), mask=n == 0), b.column(2)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(f.view(np.int64), mask=n == 0), b.column(2), b.column(3)], names=schema.names)
 
-    return docs.select("id", "text", "t").mapInArrow(run, schema)
+    return docs.select("id", "text", "t", "h").mapInArrow(run, schema)
 
 
 def _first(n):
@@ -173,9 +174,9 @@ def shared_counts(docs: DataFrame, bucket_bits: int, n_words: int = WORDS) -> Da
     return counted.groupBy("range").applyInArrow(add, "g long, shared long")
 
 
-def _hint(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def _hint(df: DataFrame) -> DataFrame:
     """`df`, a written table, marked for broadcast only if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, n_words: int = WORDS) -> DataFrame:
@@ -193,11 +194,6 @@ def set_table(docs: DataFrame, wanted: DataFrame, n_words: int = WORDS) -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def _ordered(token: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """Places of a set's shingles in the order of hashes, those in heavy cells last."""
-    return np.argsort(heavy[(token & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)], kind="stable")
-
-
 def key_table(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
     """(f, k0, k1): each class's smallest shingle under two orders, frequent shingles last."""
 
@@ -216,7 +212,7 @@ def key_table(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
 
 
 class Postings:
-    """Inverted lists of some sets. Sets are numbered by ascending size."""
+    """Inverted lists of some sets, numbered as given."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sets = sets
@@ -238,14 +234,12 @@ class Postings:
         heap over them, and are looked up in the long ones by bisection."""
         mine = self.sets[query]
         at = np.searchsorted(self.token, mine)
+        at = at[np.argsort(self.bounds[at + 1] - self.bounds[at], kind="stable")]
         lists = [self.members[self.bounds[i] : self.bounds[i + 1]] for i in at]
-        lists.sort(key=len)
         need = least_overlap(len(mine))
         n_long = min(need - 1, int(need / (0.01 * np.log2(max(2, len(lists[-1]))) + 1)))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        found = list(self._merge(short, need - n_long)) if sum(map(len, short)) <= HEAP_ENTRIES else self._count(short, need - n_long)
-        other = np.array([o for o, _ in found if o != query], np.int64)
-        count = np.array([c for o, c in found if o != query], np.int64)
+        other, count = merge_skip([m for m in short if len(m) > 1], need - n_long, query)
         a, b = len(mine), self.lengths[other]
         overlap = pair_overlap(a, b)
         for left, members in zip(range(len(long), 0, -1), reversed(long), strict=True):
@@ -258,44 +252,69 @@ class Postings:
             count = count + (members[i] == other)
         return other[(count >= overlap) & (100 * count >= PERCENT * (a + b - count))].tolist()
 
-    @staticmethod
-    def _count(lists: list[np.ndarray], need: int) -> list[tuple[int, int]]:
-        """As `_merge`, by sorting: for lists that many sets are in."""
-        member, n = np.unique(np.concatenate(lists), return_counts=True)
-        return list(zip(member[n >= need].tolist(), n[n >= need].tolist(), strict=True))
-
-    @staticmethod
-    def _merge(lists: list[np.ndarray], need: int) -> Iterator[tuple[int, int]]:
-        """(set, lists it is in) for sets in at least `need` of the lists; other sets are skipped over."""
-        heap = [(int(m[0]), k, 0) for k, m in enumerate(lists)]
-        heapq.heapify(heap)
-        while len(heap) >= need:
-            low, popped = heap[0][0], []
-            while heap and heap[0][0] == low:
+
+def merge_skip(lists: list[np.ndarray], need: int, query: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, lists it is in) for the sets other than `query` in at least `need` of the sorted lists.
+
+    A heap holds the lists by their next entry. All lists with an entry in the next WINDOW numbers leave it and are counted
+    together. If they are too few, further ones leave it, and all that left skip to the entry at its top: a set before
+    that one is in too few lists.
+    """
+    found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    heap = [(int(m[0]), k, 0) for k, m in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) >= need and heap:
+        low = heap[0][0]
+        target, popped = low + WINDOW, []
+        while heap and heap[0][0] < target:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= need:
+            ends = [i + int(lists[k][i:].searchsorted(target)) for _, k, i in popped]
+            n = np.bincount(np.concatenate([lists[k][i:e] for (_, k, i), e in zip(popped, ends, strict=True)]) - low, minlength=WINDOW)
+            some = np.flatnonzero(n >= need)
+            found.append(some + low)
+            counts.append(n[some])
+        else:
+            while heap and len(popped) < need - 1:
                 popped.append(heapq.heappop(heap))
-            target = low + 1
-            if len(popped) >= need:
-                yield low, len(popped)
-            else:
-                while heap and len(popped) < need - 1:
-                    popped.append(heapq.heappop(heap))
-                if len(popped) >= need - 1 and heap:
-                    target = max(target, heap[0][0])
-                elif not heap and len(popped) < need:
-                    return
-            for _, k, i in popped:
-                i += int(np.searchsorted(lists[k][i:], target))
-                if i < len(lists[k]):
-                    heapq.heappush(heap, (int(lists[k][i]), k, i))
+            if not heap:
+                break
+            target = max(target, heap[0][0])
+            ends = [i + int(lists[k][i:].searchsorted(target)) for _, k, i in popped]
+        for (_, k, _), e in zip(popped, ends, strict=True):
+            if e < len(lists[k]):
+                heapq.heappush(heap, (int(lists[k][e]), k, e))
+    other, count = np.concatenate(found), np.concatenate(counts)
+    return other[other != query], count[other != query]
+
+
+class Union:
+    """Labels that links join."""
+
+    def __init__(self, labels):
+        self.up = {p: p for p in labels}
+
+    def find(self, p: int) -> int:
+        while self.up[p] != p:
+            self.up[p] = self.up[self.up[p]]
+            p = self.up[p]
+        return p
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.find(a), self.find(b)
+        self.up[a] = b
+        return a != b
 
 
 def _seed_links(group: pd.DataFrame) -> pd.DataFrame:
-    """Links within one block, as (class, root)."""
+    """Links within one block that join its classes: to the pivot where it links, else by search. No more leave than
+    classes came."""
     group = group.drop_duplicates("f")
     group = group.assign(n=group["tokens"].map(len)).sort_values(["n", "f"])
     sets = [np.frombuffer(t, np.uint64) for t in group["tokens"]]
     f, pivot = group["f"].to_numpy(), int(np.flatnonzero(group["f"].to_numpy() == group["pivot"].to_numpy())[0])
-    base, links, rest = sets[pivot], [], []
+    base, links, rest, known = sets[pivot], [], [], Union(range(len(sets)))
     for i, s in enumerate(sets):
         if i == pivot:
             continue
@@ -303,12 +322,13 @@ def _seed_links(group: pd.DataFrame) -> pd.DataFrame:
         both = int((base[place] == s).sum())
         if 100 * both >= PERCENT * (len(s) + len(base) - both):
             links.append((f[i], f[pivot]))
+            known.join(i, pivot)
         else:
             rest.append(i)
     if rest:
         postings = Postings(sets)
         for i in filter(postings.hopeful, rest):
-            links += [(f[i], f[j]) for j in postings.linked(i)]
+            links += [(f[i], f[j]) for j in postings.linked(i) if known.join(i, j)]
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
@@ -324,14 +344,14 @@ def seed_links(sets: DataFrame, keys: DataFrame, key: str, block_rows: int = BLO
 
 
 def _heavy(sets: DataFrame) -> np.ndarray:
-    """Which of 2^16 hash cells hold frequent shingles, for the order of shingles. It is the same size for any input."""
+    """Which of 2^16 hash cells hold frequent shingles, for the order of the seeds' keys. It is the same size for any input."""
     cells = 1 << CELL_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(cells, np.int64)
         for b in batches:
             for raw in b.column(0):
-                np.add.at(counts, (np.frombuffer(raw.as_buffer(), np.uint64) & np.uint64(cells - 1)).astype(np.int64), 1)
+                counts += np.bincount((np.frombuffer(raw.as_buffer(), np.uint64) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), pa.array(counts)], names=["cell", "n"])
 
     out = np.zeros(cells)
@@ -341,181 +361,145 @@ def _heavy(sets: DataFrame) -> np.ndarray:
     return out > mean + 6 * np.sqrt(mean) + 2
 
 
-def _needed(a, b):
-    """Shingles that a linked pair shares at least in prefixes that are so much longer than one needs."""
-    return 1 + (a + b) // 20
-
-
-def _most_needed(n):
-    return 1 + (n + 4 * n // 3) // 20
-
-
-def _pairs(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places i < j within the lists [first, last), those of one length together."""
-    size = last - first
-    for m in np.unique(size[size > 1]):
-        x, y = np.triu_indices(m, 1)
-        starts = first[size == m]
-        step = max(1, 2_000_000 // len(x))
-        for s in range(0, len(starts), step):
-            at = starts[s : s + step, None]
-            yield (at + x).ravel(), (at + y).ravel()
-
-
-def _add_up(parts: list[np.ndarray]) -> np.ndarray:
-    """Rows (a, b, need, count) with the counts of equal pairs added."""
-    rows = np.concatenate(parts)
-    order = np.lexsort((rows[:, 1], rows[:, 0]))
-    rows = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
-    first = np.flatnonzero(new)
-    out = rows[first]
-    if len(first):
-        out[:, 3] = np.add.reduceat(rows[:, 3], first)
-    return out
+def blocks_of(sets: DataFrame, part: DataFrame, block_entries: int) -> DataFrame:
+    """(block, f, c, n, tokens): the sets and their components in blocks of about `block_entries` shingles, one row each."""
+    names = ["block", "f", "c", "n", "tokens"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, bytes]] = []
+        held = 0
 
-def cross_pairs(sets: DataFrame, part: DataFrame, heavy: np.ndarray, bucket_bits: int) -> DataFrame:
-    """(a, b, n, need): pairs of classes in different components that may link, from inverted lists over prefixes. Lists of
-    over LIST_ROWS classes give no pairs, but rows (class, list, 0, 0): their
-    classes meet in `long_links`.
+        def flush() -> pa.RecordBatch:
+            f, c, raw = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([f[0]], pa.int64()), pa.array([f], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64())), pa.array([[len(t) // 8 for t in raw]], pa.list_(pa.int64())), pa.array([b"".join(raw)], pa.binary())], names=names)
 
-    If sets of a and b shingles link, with an intersection of at least o, then among the first a - o + k of the one and
-    b - o + k of the other at least k are common. Pairs are counted by bucket, and the counts added behind the shuffle.
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                rows.append(row)
+                held += len(row[2]) // 8
+                if held >= block_entries:
+                    yield flush()
+                    rows, held = [], 0
+        if rows:
+            yield flush()
+
+    known = sets.join(_hint(part), sets["f"] == part["node"], "left").select("f", F.coalesce("component", "f").alias("c"), "tokens")
+    return known.mapInArrow(run, "block long, f array<long>, c array<long>, n array<long>, tokens binary")
+
+
+def prefixes(blocks: DataFrame, bucket_bits: int) -> DataFrame:
+    """(token, f, c, n): for classes of whose n shingles enough occur in other components, the rarest of those shingles, one
+    more than a link can do without. Classes that link across components share one of them.
+
+    A block sends each shingle once, with its number of classes, and their component or 0 where there are several; so
+    a shingle that very many classes hold is a row per block. What comes back to a block are the shingles that several
+    components hold, with the number of their classes, by which they are ordered.
     """
-    widths = [6, 8, 6, 3, 3]
-    width = sum(widths)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens, owners, parts, sizes, places = [], [], [], [], []
-            for f, raw, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                token = np.frombuffer(raw.as_buffer(), np.uint64)
-                n = len(token)
-                order = _ordered(token, heavy)[: n - least_overlap(n) + _most_needed(n)]
-                tokens.append(token[order])
-                k = len(order)
-                owners.append(np.full(k, f))
-                parts.append(np.full(k, c))
-                sizes.append(np.full(k, n))
-                places.append(np.arange(k))
-            if not tokens:
-                continue
-            token = np.concatenate(tokens)
-            bucket = (token >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(token), np.int64)
-            rest = (token << np.uint64(bucket_bits)) >> np.uint64(16)
-            columns = [rest, *(np.concatenate(x).astype(np.int64).view(np.uint64) for x in (owners, parts, sizes, places))]
-            yield _by_bucket(bucket, np.hstack([_pack(x, w) for x, w in zip(columns, widths, strict=True)]), ["bucket", "packed"])
-
-    def meet(key: tuple, group: pa.Table) -> pa.Table:
-        rows = _rows_of(group, "packed", width)
-        cuts = np.cumsum([0, *widths])
-        token, f, c, n, at = (_unpack(rows[:, s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True))
-        n, at, f = n.astype(np.int64), at.astype(np.int64), f.view(np.int64)
-        order = np.lexsort((n, token))
-        token, f, c, n, at = token[order], f[order], c[order], n[order], at[order]
+            for block, c, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                token, part = np.frombuffer(raw.as_buffer(), np.uint64), np.repeat(np.array(c, np.int64), n)
+                order = np.argsort(token, kind="stable")
+                token, part = token[order], part[order]
+                first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                size = np.diff(np.append(first, len(token)))
+                low = np.minimum.reduceat(part, first)
+                part = np.where(low == np.maximum.reduceat(part, first), low, 0)
+                bucket = (token[first] >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(first), np.int64)
+                out = _by_bucket(bucket, np.hstack([_pack(token[first], 8), _pack(size, 3), _pack(part.view(np.uint64), 8)]), ["bucket", "packed"])
+                yield pa.RecordBatch.from_arrays([out.column(0), pa.array(np.full(len(out), block)), out.column(1)], names=["bucket", "block", "packed"])
+
+    def mixed(group: pa.Table) -> pa.Table:
+        blocks, raw = group.column("block").to_numpy(), group.column("packed").to_pylist()
+        rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 19)
+        at = np.repeat(np.arange(len(raw)), [len(r) // 19 for r in raw])
+        token, size, part = _unpack(rows[:, :8]), _unpack(rows[:, 8:11]).astype(np.int64), _unpack(rows[:, 11:]).view(np.int64)
+        order = np.argsort(token, kind="stable")
+        token, size, part, at = token[order], size[order], part[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        last = np.append(first[1:], len(token))
-        mixed = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
-        long = mixed & (last - first > LIST_ROWS)
-        mixed &= ~long
-        listed = np.repeat(long, last - first)  # all places: what a pair shares here is missing from its count
-        mark = np.repeat(token[first].view(np.int64) * np.int64(1 << bucket_bits) + np.int64(key[0].as_py() + 1), last - first)
-        found = [np.zeros((0, 4), np.int64)]
-        held = 0
-        for i, j in _pairs(first[mixed], last[mixed]):
-            overlap, need = pair_overlap(n[i], n[j]), _needed(n[i], n[j])
-            good = (c[i] != c[j]) & (3 * n[j] <= 4 * n[i]) & (at[i] < n[i] - overlap + need) & (at[j] < n[j] - overlap + need)
-            i, j, need = i[good], j[good], need[good]
-            found.append(np.stack([np.minimum(f[i], f[j]), np.maximum(f[i], f[j]), need, np.ones(len(i), np.int64)], axis=1))
-            held += len(i)
-            if held > 2_000_000:
-                found = [_add_up(found)]
-                held = 0
-        pairs = _add_up(found)
-        none = np.zeros(int(listed.sum()), bool)
-        parts = [np.concatenate([pairs[:, 0], f[listed]]), np.concatenate([pairs[:, 1], mark[listed]]), np.concatenate([pairs[:, 2], none]), np.concatenate([pairs[:, 3], none])]
-        return pa.table(dict(zip(("a", "b", "need", "n"), (pa.array(x.astype(np.int64)) for x in parts), strict=True)))
-
-    known = sets.select("f", "tokens").join(_hint(part), sets["f"] == part["node"], "left").select("f", "tokens", F.coalesce("component", "f").alias("part"))
-    counted = known.mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(meet, "a long, b long, need long, n long")
-    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need")
-
-
-def _block_links(group: pd.DataFrame) -> pd.DataFrame:
-    """Links between the classes of two blocks, or within one, that join different components: one is enough for each
-    pair of components, so no more links leave than classes came."""
+        many = (np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)) | (np.minimum.reduceat(np.abs(part), first) == 0)
+        width = np.diff(np.append(first, len(token)))
+        keep = np.repeat(many, width)
+        total = np.repeat(np.add.reduceat(size, first), width)[keep]
+        out = _by_bucket(at[keep], np.hstack([_pack(token[keep], 8), _pack(total, 6)]), ["at", "packed"])
+        return pa.table({"block": pa.array(blocks[out.column(0).to_numpy()]), "packed": out.column(1)})
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = _rows_of(right, "packed", 14)
+        token, total = _unpack(rows[:, :8]), _unpack(rows[:, 8:]).astype(np.int64)
+        order = np.argsort(token)
+        token, total = token[order], total[order]
+        out = []
+        for f, c, n, raw in zip(*(left.column(k).to_pylist() for k in ("f", "c", "n", "tokens")), strict=True):
+            n = np.array(n, np.int64)
+            mine, owner = np.frombuffer(raw, np.uint64), np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(token, mine), max(0, len(token) - 1))
+            held = token[at] == mine if len(token) else np.zeros(len(mine), bool)
+            shared = np.bincount(owner[held], minlength=len(n))
+            spare = np.where(shared >= least_overlap(n), shared - least_overlap(n) + 1, 0)
+            held &= spare[owner] > 0
+            mine, owner, often = mine[held], owner[held], total[at[held]]
+            order = np.lexsort((mine, often, owner))
+            mine, owner = mine[order], owner[order]
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            keep = place < spare[owner]
+            out.append((mine[keep].view(np.int64), np.array(f, np.int64)[owner[keep]], np.array(c, np.int64)[owner[keep]], n[owner[keep]]))
+        return pa.table(dict(zip(("token", "f", "c", "n"), (pa.array(np.concatenate(x)) for x in zip(*out, strict=True)), strict=True)) if out else {k: pa.array([], pa.int64()) for k in ("token", "f", "c", "n")})
+
+    sent = blocks.select("block", "c", "n", "tokens").mapInArrow(send, "bucket long, block long, packed binary")
+    back = sent.groupBy("bucket").applyInArrow(mixed, "block long, packed binary")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(choose, "token long, f long, c long, n long")
+
+
+def _search(group: pd.DataFrame) -> pd.DataFrame:
+    """Links that join components, as pairs of components, from the searches of this group's query classes among all its
+    classes. A link between two components is enough, so no more leave than classes came."""
     group = group.assign(n=group["tokens"].map(len)).sort_values(["n", "f"])
-    f, part = group["f"].to_numpy(), group["part"].to_numpy()
-    block, across = group["block"].to_numpy(), group["i"].iloc[0] != group["j"].iloc[0]
+    part, asks = group["c"].to_numpy(), group["asks"].to_numpy()
     postings = Postings([np.frombuffer(t, np.uint64) for t in group["tokens"]])
-    parent = {p: p for p in set(part.tolist())}
-
-    def find(p):
-        while parent[p] != p:
-            parent[p] = parent[parent[p]]
-            p = parent[p]
-        return p
-
-    links = []
-    for q in range(len(f)):
-        if (across and block[q] != group["i"].iloc[0]) or not postings.hopeful(q):
-            continue
-        for o in postings.linked(q):
-            a, b = find(part[q]), find(part[o])
-            if a != b:
-                parent[a] = b
-                links.append((f[q], f[o]))
+    known, links = Union(set(part.tolist())), []
+    for q in np.flatnonzero(asks).tolist():
+        if postings.hopeful(q):
+            links += [(part[q], part[o]) for o in postings.linked(q) if known.join(part[q], part[o])]
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def long_links(sets: DataFrame, members: DataFrame, part: DataFrame, block_rows: int) -> DataFrame:
-    """(a, b): links between classes that meet in long lists, given as (class, list). Classes joined by such lists make one
-    group; all of its blocks meet two by two, each pair of blocks in a task of its own."""
-    groups = components(members.select("a", "b"))
-    classes = members.select(F.col("a").alias("node")).distinct().join(groups, "node")
-    sizes = classes.groupBy("component").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block_rows))
-    placed = classes.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = placed.join(part.select("node", F.col("component").alias("part")), "node", "left")
-    placed = table(placed.select("node", F.col("component").alias("grp"), "block", "blocks", F.coalesce("part", "node").alias("part")), "placed")
-    rows = sets.select("f", "tokens").join(_hint(placed), sets["f"] == placed["node"])
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "f", "part", "tokens")
-    return dealt.groupBy("grp", "i", "j").applyInPandas(_block_links, "a long, b long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets link."""
-    left = sets.select(F.col("f").alias("a"), F.col("tokens").alias("x")).join(_hint(pairs), "a")
-    right = sets.select(F.col("f").alias("b"), F.col("tokens").alias("y")).join(_hint(pairs), "b")
-    both = left.select("a", "b", "x").join(right.select("a", "b", "y"), ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * n >= PERCENT * (len(x) + len(y) - n))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, bucket_entries: int = BUCKET_ENTRIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per input row: the id, n_shingles (of its set), component_id (the smallest id reachable by links).
+def cross_links(sets: DataFrame, part: DataFrame, block_entries: int, bin_entries: int) -> DataFrame:
+    """(a, b): components that links between classes join, by T-occurrence search.
 
-    A text of fewer than `n_words` words has its whole sequence as its one shingle. A null text or one without words has
-    none and links with nothing; its component is its own id. Rows with equal sets link, repeated rows and rows with one id
-    included. A null id stays null, and names a component only if all its ids are null. Very long texts are read
-    whole; other columns are not read; an empty table gives no rows.
-
-    Shuffled are, packed: a third of the shingles once; the sets of classes that pass the filter twice; their prefixes;
-    and the few pairs left with their sets. Components never reach the driver.
+    Classes that share a shingle of their prefixes make groups. Small groups are packed into bins, each with inverted lists
+    of its own. A larger group is dealt out into blocks: those of classes outside its most frequent component ask
+    all blocks. Links within the most frequent component add nothing, and others are found from their other end.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    total = sets.agg(F.sum("n").alias("s")).first()["s"] or 0
+    blocks = table(blocks_of(sets, part, block_entries), "blocks")
+    rows = table(prefixes(blocks, max(0, int(np.ceil(np.log2(max(1.0, total / block_entries)))))), "prefixes")
+    lists = table(rows.groupBy("token").agg(F.min("f").alias("hub"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("token", "hub"), "lists")
+    groups = components(rows.join(lists, "token").select(F.col("f").alias("a"), F.col("hub").alias("b")))
+    live = table(rows.select("f", "c", "n").distinct().join(groups, F.col("f") == F.col("node")).select("f", "c", "n", F.col("component").alias("grp")), "live")
+    parts = live.groupBy("grp", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
+    sizes = parts.groupBy("grp").agg(F.max(F.struct("rows", "c")).alias("main"), F.sum("entries").alias("entries"), F.max(F.struct("rows", "c", "entries"))["entries"].alias("main_entries"))
+    half = F.lit(max(1, bin_entries // 2))
+    sizes = sizes.withColumn("asking", F.ceil((F.col("entries") - F.col("main_entries")) / half)).withColumn("asked", F.ceil(F.col("main_entries") / half)).withColumn("small", F.col("entries") <= bin_entries)
+    bins = max(1, -(-int(live.agg(F.sum("n").alias("s")).first()["s"] or 0) // bin_entries))
+    sizes = table(sizes.select(F.col("grp").alias("g"), F.col("main.c").alias("main"), "asking", "asked", "small"), "groups")
+    placed = live.join(sizes, live["grp"] == sizes["g"]).withColumn("asks", F.col("c") != F.col("main"))
+    hashed = F.xxhash64("f")
+    place = F.when(F.col("small"), F.lit(0).cast("long")).when(F.col("asks"), F.pmod(hashed, "asking")).otherwise(F.col("asking") + F.pmod(hashed, "asked"))
+    meets = F.when(F.col("small"), F.lit(1).cast("long")).when(F.col("asks"), F.col("asking") + F.col("asked")).otherwise(F.col("asking"))
+    key = F.when(F.col("small"), F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.col("grp"))
+    placed = table(placed.select(F.col("f").alias("pf"), "c", "asks", "small", key.alias("key"), place.alias("own"), meets.alias("meets")), "placed")
+    dealt = sets.select("f", "tokens").join(_hint(placed), sets["f"] == placed["pf"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("meets") - 1)))
+    dealt = dealt.select("small", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "f", "c", "asks", "tokens")
+    return dealt.groupBy("small", "key", "i", "j").applyInPandas(_search, "a long, b long")
+
+
+def _labels(rows: DataFrame, n_words: int, bucket_entries: int, block_rows: int, block_entries: int, bin_entries: int) -> tuple[DataFrame, DataFrame]:
+    """(known, labels) of (id, text, t, h): known has (id, n, f, t, h), labels has (lf, label), one row per class f, equal
+    for classes that links join."""
     known = table(classify(rows, n_words), "sets")
-    classes = table(known.filter("f is not null").groupBy("f").agg(F.min("n").alias("n"), F.min(F.struct("t", "id")).alias("r"), F.min("id").alias("least")), "classes")
+    classes = table(known.filter("f is not null").groupBy("f").agg(F.min("n").alias("n"), F.min(F.struct("t", "id")).alias("r")), "classes")
     total = classes.agg(F.sum("n").alias("s")).first()["s"] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, total / 3 / bucket_entries)))))
     shared = shared_counts(rows, bits, n_words)
@@ -524,30 +508,56 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = classes.withColumn("g", F.col("f").bitwiseAND(F.lit((1 << 48) - 1))).join(shared, "g").filter(F.col("shared") >= need)
     wanted = table(wanted.select(F.col("f").alias("wf"), F.col("r.t").alias("wt"), F.col("r.id").alias("wid")), "wanted")
     sets = table(set_table(rows, wanted, n_words).filter("n > 0"), "tokens")
-    n_sets, n_wanted = sets.count(), wanted.count()
-    if n_sets > n_wanted:  # rows that are alike in id and text
+    if sets.count() > wanted.count():  # rows that are alike in id and text
         sets = table(sets.dropDuplicates(["f"]), "tokens")
-    heavy = _heavy(sets)
-    keys = table(key_table(sets, heavy), "keys")
+    keys = table(key_table(sets, _heavy(sets)), "keys")
     seeds = table(seed_links(sets, keys, "k0", block_rows).unionByName(seed_links(sets, keys, "k1", block_rows)).distinct(), "seeds")
     part = table(components(seeds), "part")
-    met = table(cross_pairs(sets, part, heavy, bits), "met")
-    pairs = table(met.filter("n > 0").select("a", "b"), "pairs")
-    links = seeds.unionByName(verified(pairs, sets))
-    members = met.filter("n = 0").select("a", "b")
-    if not members.isEmpty():
-        links = links.unionByName(long_links(sets, members, part, block_rows))
-    final = table(components(links), "part")
-    labeled = classes.select("f", "least").join(final, classes["f"] == final["node"], "left").select("f", "least", F.coalesce("component", "f").alias("c"))
-    smallest = labeled.groupBy("c").agg(F.min("least").alias("component_id"))
-    result = table(labeled.join(smallest, "c").select(F.col("f").alias("rf"), "component_id"), "result")
+    more = table(components(cross_links(sets, part, block_entries, bin_entries)).select(F.col("node").alias("mn"), F.col("component").alias("mc")), "more")
+    one = classes.select("f").join(part, classes["f"] == part["node"], "left").select("f", F.coalesce("component", "f").alias("c"))
+    labels = one.join(more, one["c"] == more["mn"], "left").select(F.col("f").alias("lf"), F.coalesce("mc", "c").alias("label"))
+    return known, table(labels, "labels")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, bucket_entries: int = BUCKET_ENTRIES, block_rows: int = BLOCK_ROWS, block_entries: int = BLOCK_ENTRIES, bin_entries: int = BIN_ENTRIES) -> DataFrame:
+    """One row per input row: the id, n_shingles (of its set), component_id (the smallest id reachable by links).
+
+    A text of fewer than `n_words` words has its whole sequence as its one shingle. A null text or one without words has
+    none and links with nothing; its component is its own id. Rows with equal sets link, repeated rows and rows with one id
+    included. A null id stays null, and names a component only if all its ids are null. Very long texts are read
+    whole; other columns are not read; an empty table gives no rows.
+
+    Shuffled are, packed: a third of the shingles once; of classes that pass the filter, the sets twice and their shingles
+    once; and the sets of classes left for the search. Components never reach the driver.
+    """
+    t = F.xxhash64(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), t.alias("t"), t.alias("h"))
+    known, labels = _labels(rows, n_words, bucket_entries, block_rows, block_entries, bin_entries)
+    least = known.filter("f is not null").groupBy("f").agg(F.min("id").alias("least"))
+    labeled = least.join(labels, least["f"] == labels["lf"])
+    smallest = labeled.groupBy("label").agg(F.min("least").alias("component_id"))
+    result = table(labeled.join(smallest, "label").select(F.col("f").alias("rf"), "component_id"), "result")
     joined = known.join(result, known["f"] == result["rf"], "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("f").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns as they are, of which no linked row has a smaller id. Rows without an id, or without
-    words, stay. Of rows with one id, and of a component without ids, all stay."""
-    found = jaccard_components(docs, id_col, text_col)
-    drop = table(found.filter((F.col("component_id") != F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("drop_id")).distinct(), "drop")
-    return docs.join(_hint(drop), docs[id_col] == drop["drop_id"], "left_anti")
+    """Of each group of linked rows of `docs` the one with the smallest id, all columns as they are.
+
+    Of rows with that id the one of smallest hash over all columns stays, and of rows alike in all columns one. A null id is
+    larger than all others. Rows without words, null texts included, link with nothing and all stay. Other columns
+    may have any name. An empty table gives no rows.
+    """
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"), row_hash.alias("h"))
+    known, labels = _labels(rows, WORDS, BUCKET_ENTRIES, BLOCK_ROWS, BLOCK_ENTRIES, BIN_ENTRIES)
+    grouped = known.filter("f is not null").groupBy("f", "h").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("i"), F.count("*").alias("n"))
+    labeled = table(grouped.join(labels, grouped["f"] == labels["lf"]).select("label", "i", "h", "n"), "labeled")
+    best = labeled.groupBy("label").agg(F.min(F.struct("i", "h")).alias("best"))
+    judged = table(labeled.join(best, "label").select("h", "n", (F.col("best.h") == F.col("h")).alias("stays")).distinct(), "judged")
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash.alias("h"))
+    drop, twins = judged.filter("not stays").select("h"), judged.filter("stays and n > 1").select("h")
+    kept = tagged.join(_hint(drop), "h", "left_anti")
+    if not twins.isEmpty():  # rows alike in every column: one of them stands for all
+        kept = kept.join(_hint(twins), "h", "left_anti").unionByName(tagged.join(_hint(twins), "h", "left_semi").dropDuplicates(["h"]))
+    return kept.select("row.*")
