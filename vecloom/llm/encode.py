@@ -72,8 +72,9 @@ class RankQueue:
 
 class RankBpe:
     """Encodes many pre-tokens at once: one linked list of parts through all of them, and one RankQueue of the pairs
-    that the ranks can merge. From the lowest bucket each pre-token takes its leftmost entry; an entry whose part has
-    gone, or whose pair has another rank by now, is stale and skipped. O(n log n) for n bytes in one pre-token."""
+    that the ranks can merge. The lowest bucket is swept from the left; an entry whose part has gone, or whose pair has
+    another rank by now, is stale and skipped. A sweep stops where a merge makes a pair of lower rank, which ranks in
+    the order of their making hardly ever allow; but for that every part is looked at once per merge around it."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.size = max(ranks.values(), default=0) + 1
@@ -93,6 +94,31 @@ class RankBpe:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
+    def _sweep(self, at, rank, ids, after, before, owner, bounds, limit) -> tuple[np.ndarray, np.ndarray]:
+        """(entries of a bucket to merge now, those to put back), from sorted entries. A sweep from the left takes every
+        entry whose part is still there: in a run of entries, each of which is the next one's left part, every second. Each
+        pre-token's sweep ends with the first merge that makes a pair of lower rank, which goes before the others."""
+        run = np.ones(len(at), bool)
+        run[1:] = after[at[:-1]] != at[1:]
+        number = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+        take = at[number % 2 == 0]
+        right, left = after[take], before[take]
+        behind = after[right]
+        merged = np.zeros(len(take), bool)  # the part on the left has been taken just before
+        merged[1:] = right[:-1] == left[1:]
+        made = np.full((2, len(take)), -1)
+        some = left >= bounds[owner[take]]
+        made[0, some] = self._rank(np.where(merged, rank, ids[left])[some], np.full(int(some.sum()), rank))
+        some = behind < limit[take]
+        made[1, some] = self._rank(np.full(int(some.sum()), rank), ids[behind[some]])
+        lower = ((made >= 0) & (made < rank)).any(axis=0)
+        if not lower.any():
+            return take, at[:0]
+        who = owner[take]
+        first = np.full(int(who[-1]) + 1, len(ids))
+        np.minimum.at(first, who[lower], take[lower])
+        return take[take <= first[who]], at[at > first[owner[at]]]
+
     def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all tokens, and the bounds of each token's."""
         lengths = np.array([len(x) for x in tokens], np.int64)
@@ -136,13 +162,9 @@ class RankBpe:
             if not len(at):
                 continue
             if len(at) > 1:
-                at = np.unique(at)
-                own = owner[at]
-                first = np.ones(len(at), bool)
-                first[1:] = own[1:] != own[:-1]
-                if not first.all():
-                    queue.push(rank, at[~first])
-                    at = at[first]
+                at, rest = self._sweep(np.unique(at), rank, ids, after, before, owner, bounds, limit)
+                if len(rest):
+                    queue.push(rank, rest)
             right = after[at]
             behind = after[right]
             ids[at] = rank
@@ -153,7 +175,7 @@ class RankBpe:
             before[behind[ok]] = at[ok]
             prior = before[at]
             prior = prior[(prior >= bounds[owner[at]])]
-            look(np.concatenate([at, prior]))
+            look(np.unique(np.concatenate([at, prior])))
         stay = np.flatnonzero(~gone[:n])
         return ids[stay], np.searchsorted(stay, bounds)
 
