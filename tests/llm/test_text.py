@@ -50,21 +50,14 @@ def base_metrics(text):
     w = WORDS.findall(text)
     grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
     covered = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
-    seen, dup, place, again = set(), 0, 0, set()
-    for line in text.split("\n"):
-        n = len(WORDS.findall(line))
-        if n:
-            if line in seen:
-                dup += 1
-                again |= set(range(place, place + n))
-            seen.add(line)
-        place += n
+    lines = [line for line in text.split("\n") if WORDS.search(line)]
+    dup = len(lines) - len(set(lines))
     out = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": dup, "n_repeat_words": len(covered)}
     for n in quality.COVERAGE:
         known, chars = set(), set()
         for i in range(len(w) - n + 1):
             gram = tuple(w[i : i + n])
-            if gram in known and i not in again:
+            if gram in known:
                 chars |= set(range(i, i + n))
             known.add(gram)
         out[f"dup_chars_{n}"] = sum(len(w[i]) for i in chars)
@@ -88,8 +81,10 @@ def test_quality(odd, none, spark, sf_dir):
     assert kept.columns == odd[1].columns
     assert kept.count() == quality.score_quality(odd[1]).filter("kept").count()
     assert quality.score_quality(none).count() == quality.keep_quality(none).count() == 0
-    m = quality.metrics(pa.array([" ".join(f"w{i}" for i in range(60)), (" ".join(f"w{i}" for i in range(60)) + " ") * 2]))
-    assert quality.accepted(m).tolist() == [True, False]
+    once, line = " ".join(f"w{i}" for i in range(60)), " ".join(f"line{i}" for i in range(40))
+    m = quality.metrics(pa.array([once, (once + " ") * 2, f"{once} {once.upper()}\n{line}\nx\n{line}", f"{once} {once.upper()} {line} {line}", f"{once}\n\n{once.upper()}\nx y\nz\nx y"]))
+    assert quality.accepted(m).tolist() == [True, False, False, False, True]  # a repeated line counts with line breaks and without
+    assert m["dup_chars_10"][2] == m["dup_chars_10"][3] > 0
 
 
 def shingles(text):
@@ -318,6 +313,40 @@ def test_pieces(public):
         assert got == [whole(t) for t in texts]
 
 
+def test_long_pieces(public):
+    """One pre-token of a megabyte, and shorter ones by ranks in random order, where merges make pairs of lower rank."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    ranks = encode.read_ranks(public.path("byte_bpe_50k.tiktoken"))
+    library, ours = Tokenizer.from_file(public.path("byte_bpe_50k.json")), encode.rank_encoder(ranks, public.PATTERN)
+    rng = random.Random(2)
+    for text in ("z" * 1_000_000, "ab" * 500_000, "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)), "".join(rng.choice("ab") for _ in range(300_000))):
+        began = time.process_time()
+        ids, _ = ours([text.encode()])
+        assert time.process_time() - began < 30
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+    def slow(raw, ranks):
+        parts = [bytes([b]) for b in raw]
+        while True:
+            found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+            if not found:
+                return [ranks[p] for p in parts]
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    for _ in range(60):
+        tokens = {bytes(x) for n in range(2, 7) for x in (rng.choices(b"abc", k=n) for _ in range(12))}
+        order = list(tokens)
+        rng.shuffle(order)
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(order)}
+        texts = [bytes(rng.choices(b"abc", k=rng.randint(0, 80))) for _ in range(30)]
+        ids, bounds = encode.RankBpe(ranks).encode(texts)
+        assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:], strict=True)] == [slow(t, ranks) for t in texts]
+
+
 def test_rank_queue():
     import numpy as np
 

@@ -14,7 +14,7 @@ from vecloom.llm import textkit as K
 # N-gram length and the largest percentage of the words' characters inside repeats of such n-grams
 # (published thresholds for web text).
 COVERAGE = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
-# Largest percentages of repeated lines and of the characters inside them, where two or more lines repeat.
+# Largest percentages of repeated lines and of the characters inside them (published thresholds).
 DUP_LINES, DUP_LINE_CHARS = 30, 20
 MIN_WORDS = 50
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -65,7 +65,6 @@ def metrics(text: pa.Array) -> dict[str, np.ndarray]:
         line_row = np.searchsorted(offsets, first, "right") - 1
         line_bounds = np.searchsorted(line_row, np.arange(len(offsets)))
         _, again = _repeated(spans.hash(first, last) ^ K.mix(line_row.astype(np.uint64) + np.uint64(1)))
-        in_again = again[np.searchsorted(first, starts, "right") - 1] if len(first) else np.zeros(0, bool)  # left to the rules on lines
 
         grams = K.ngrams(hashes, 3)
         at = np.flatnonzero(left[: len(grams)] >= 3)
@@ -82,7 +81,7 @@ def metrics(text: pa.Array) -> dict[str, np.ndarray]:
             for i in range(1, n - size + 1):
                 at = at[twice[at + i]]
             any_, later = _repeated(grams[at] ^ salt[at])
-            row[f"dup_chars_{n}"] = K.row_sums(np.where(_covered(at[later & ~in_again[at]], n, len(hashes)), chars, 0), bounds)
+            row[f"dup_chars_{n}"] = K.row_sums(np.where(_covered(at[later], n, len(hashes)), chars, 0), bounds)
             twice[:] = False
             twice[at[any_]] = True
             size = n
@@ -99,13 +98,11 @@ def base_failed(m: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def accepted(m: dict[str, np.ndarray]) -> np.ndarray:
-    """The verdict: no base failure, and every coverage within its limit. Windows that begin inside a repeated line
-    count under the rules on lines only, so that one notice printed twice does not fail a short text."""
+    """The verdict: no base failure, and every coverage within its limit."""
     good = ~base_failed(m)
     for n, most in COVERAGE.items():
         good &= 100 * m[f"dup_chars_{n}"] <= most * m["word_chars"]
-    lines = (100 * m["n_dup_lines"] <= DUP_LINES * m["n_lines"]) & (100 * m["dup_line_chars"] <= DUP_LINE_CHARS * m["line_chars"])
-    return good & (lines | (m["n_dup_lines"] < 2))
+    return good & (100 * m["n_dup_lines"] <= DUP_LINES * m["n_lines"]) & (100 * m["dup_line_chars"] <= DUP_LINE_CHARS * m["line_chars"])
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,7 +123,8 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns as they are, whose text is accepted."""
+    """The rows of `docs`, all columns as they are, whose text is accepted. Null, empty and short texts go; repeated rows and
+    null ids stay or go with their texts; other columns may have any name. An empty table gives no rows."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
