@@ -383,20 +383,37 @@ def test_training_covers_texts(spark, public):
 
     path = public.path("byte_bpe_50k.json")
     texts = ["some words and others " * 300, "short", "", None, "held out " * 50, "end here " * 24]
-    rows = spark.createDataFrame([(i, t, i == 4) for i, t in enumerate(texts)], "id long, text string, held_out boolean")
+    rows = spark.createDataFrame([(t, i == 4, 1000 * i) for i, t in enumerate(texts)], "text string, held_out boolean, mark long")
     cache, size = lm._coder(path)
     want = collections.Counter()
     for i, t in enumerate(texts):
         for *_, ids, _ in lm._texts(pa.array([t]), cache, size - 1):
             want.update(ids.tolist() if i != 4 else [])
     got = collections.Counter()
-    for r in lm.gather(rows, path, 0).filter("kind = 2").collect():
-        targets = np.frombuffer(r["packed"], "<u4").reshape(-1, A.CONTEXT + 1)[:, 1:]
-        got.update(targets[targets < size].tolist())
+    shards = collections.defaultdict(list)
+    for r in lm.gather(rows, path, 0, 3).filter("kind = 2").collect():
+        shards[r["bucket"]].append(np.frombuffer(r["packed"], "<u2"))
+    assert len(shards) > 1
+    for parts in shards.values():
+        before, target = lm.training_windows(np.concatenate(parts).astype(np.int64), size - 1)
+        assert before.shape[1] == A.CONTEXT
+        got.update(target[target >= 0].tolist())
     assert got == want
     assert A.CONTEXT >= 32 and A.CONTEXT - A.STRIDE >= 16
 
 
+def test_lm_learns(spark, public, monkeypatch):
+    """Held-out texts are likelier than by word counts; the partitions of the rows don't matter, with several shards."""
+    monkeypatch.setattr(lm, "SHARD_BYTES", 6 << 20)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    path = public.path("byte_bpe_50k.json")
+    first = lm.score_texts(docs.repartition(3), path).collect()
+    held = [r for r in first if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    again = {r["doc_id"]: r["score"] for r in lm.score_texts(docs.repartition(7), path).collect()}
+    assert all(again[r["doc_id"]] == pytest.approx(r["score"], rel=1e-4, abs=1e-3) for r in first)
+
+
 def test_model():
     """The gradient by differences; probabilities that sum to one; windows that score each token once."""
     import numpy as np

@@ -42,42 +42,44 @@ def restore(flat: np.ndarray, like: Weights) -> Weights:
 _ahead = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+def _normalize(x: np.ndarray) -> np.ndarray:
+    """Softmax along the last axis, in place. Logits are cut off at 80, far above any that training gives."""
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
+    return x
 
 
 def _attend(w: Weights, c: np.ndarray):
-    x = w["embed"][c] + w["place"][: c.shape[1]]
+    x = w["embed"][c]
+    x += w["place"][: c.shape[1]]
     q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
     n = c.shape[1]
-    a = _softmax(q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _ahead[:n, :n])
-    o = a @ v
+    a = (q * WIDTH**-0.5) @ k.transpose(0, 2, 1)
+    a += _ahead[:n, :n]
+    o = _normalize(a) @ v
     return x, q, k, v, a, o, x + o @ w["mix"]
 
 
 def log_probs(w: Weights, c: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
     """Natural log probabilities (n, T - first) of the target classes y (n, T - first), given windows of classes c (n, T):
-    the first places serve as context only. Logits are cut off at 80, far above any
-    that training gives."""
+    the first places serve as context only."""
     n, size = c.shape
     x = w["embed"][c]
     x += w["place"][:size]
-    q = (x[:, first:] @ (w["query"] * np.float32(WIDTH**-0.5))).astype(np.float32, copy=False)
-    a = q @ (x @ w["key"]).transpose(0, 2, 1)
+    late = np.ascontiguousarray(x[:, first:])
+    a = (late @ (w["query"] * WIDTH**-0.5)) @ (x @ w["key"]).transpose(0, 2, 1)
     a += _ahead[first:size, :size]
-    np.minimum(a, 80, out=a)
-    np.exp(a, out=a)
-    o = a @ (x @ w["value"])
-    o /= (a @ np.ones(size, np.float32))[..., None]
-    h = (x[:, first:] + o @ w["mix"]).reshape(-1, WIDTH)
+    late += (_normalize(a) @ (x @ w["value"])) @ w["mix"]
+    h = late.reshape(-1, WIDTH)
     group, member = np.divmod(y.ravel(), MEMBERS)
-    out = _softmax_log(h @ w["out"] + w["bias"], group)
+    out = _softmax_log(h @ w["out"], w["bias"], group)
     order, cuts = _by_group(group, len(w["bias"]))
+    sorted_, own, more = h[order], member[order], np.empty(len(order), h.dtype)
     for g, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if s < e:
-            at = order[s:e]
-            out[at] += _softmax_log(h[at] @ w["out2"][g] + w["bias2"][g], member[at])
+            more[s:e] = _softmax_log(sorted_[s:e] @ w["out2"][g], w["bias2"][g], own[s:e])
+    out[order] += more
     return out.reshape(n, size - first)
 
 
@@ -86,10 +88,11 @@ def _by_group(group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(group[order], np.arange(groups + 1))
 
 
-def _softmax_log(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of the softmax at the targets; the logits are overwritten."""
+def _softmax_log(logits: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the softmax of logits + bias at the targets; the logits are overwritten."""
+    logits += bias
     np.minimum(logits, 80, out=logits)
-    chosen = logits[np.arange(len(logits)), target]
+    chosen = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + target]
     np.exp(logits, out=logits)
     return chosen - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
@@ -101,35 +104,39 @@ def gradient(w: Weights, c: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple
     rows, weight = np.arange(c.size), (use.ravel() / n).astype(h.dtype)
     group, member = np.divmod(y.ravel(), MEMBERS)
     flat = h.reshape(-1, WIDTH)
-    p = _softmax(flat @ w["out"] + w["bias"])
+    p = _normalize(flat @ w["out"] + w["bias"])
     loss = -float(np.log(p[rows, group] + 1e-30) @ weight)
     p[rows, group] -= 1
     p *= weight[:, None]
     two = lambda t: t.reshape(-1, t.shape[-1])
-    grad = {"out": flat.T @ p, "bias": p.sum(axis=0), "out2": np.zeros_like(w["out2"]), "bias2": np.zeros_like(w["bias2"])}
+    grad = {"out": flat.T @ p, "bias": np.ones(len(p), p.dtype) @ p, "out2": np.zeros_like(w["out2"]), "bias2": np.zeros_like(w["bias2"])}
     dflat = p @ w["out"].T
     order, cuts = _by_group(group, len(w["bias"]))
+    sorted_, own, share = flat[order], member[order], weight[order]
+    back = np.empty_like(sorted_)
     for g, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if s < e:
-            at = order[s:e]
-            p = _softmax(flat[at] @ w["out2"][g] + w["bias2"][g])
-            mine = np.arange(e - s)
-            loss -= float(np.log(p[mine, member[at]] + 1e-30) @ weight[at])
-            p[mine, member[at]] -= 1
-            p *= weight[at][:, None]
-            grad["out2"][g], grad["bias2"][g] = flat[at].T @ p, p.sum(axis=0)
-            dflat[at] += p @ w["out2"][g].T
+            p = _normalize(sorted_[s:e] @ w["out2"][g] + w["bias2"][g])
+            mine = rows[: e - s]
+            loss -= float(np.log(p[mine, own[s:e]] + 1e-30) @ share[s:e])
+            p[mine, own[s:e]] -= 1
+            p *= share[s:e, None]
+            grad["out2"][g], grad["bias2"][g] = sorted_[s:e].T @ p, np.ones(e - s, p.dtype) @ p
+            np.matmul(p, w["out2"][g].T, out=back[s:e])
+    dflat[order] += back
     dh = dflat.reshape(h.shape)
     grad["mix"] = two(o).T @ two(dh)
     do = dh @ w["mix"].T
-    da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * np.float32(WIDTH**-0.5)
+    ds, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
+    ds *= a
+    ds -= a * (ds @ np.ones(ds.shape[-1], ds.dtype))[..., None]
+    ds *= WIDTH**-0.5
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
     dx = dh + dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T
     grad |= {"query": two(x).T @ two(dq), "key": two(x).T @ two(dk), "value": two(x).T @ two(dv)}
     grad["place"] = np.zeros_like(w["place"])
     grad["place"][: c.shape[1]] = dx.sum(axis=0)
-    order = np.argsort(c.ravel(), kind="stable")
+    order = np.argsort(c.ravel().astype(np.int16), kind="stable")
     first = np.flatnonzero(np.diff(c.ravel()[order], prepend=-1))
     grad["embed"] = np.zeros_like(w["embed"])
     grad["embed"][c.ravel()[order[first]]] = np.add.reduceat(two(dx)[order], first)

@@ -4,8 +4,10 @@ Subwords are those of a public byte-level vocabulary. Their counts over all trai
 frequent subwords alone, the others in bands of frequency; frequent ones share groups) and each subword's share of its class; the model predicts the
 class from the CONTEXT subwords before. So a text's probability is that of its subwords and its end.
 
-It learns from the whole of every training text: counts, and gradients from windows in which each subword and each end is
-a target once a round. Tasks train apart on their windows, and the average of their weights starts the next round.
+It learns from the whole of every training text: counts, and gradients in which each subword and each end is a target.
+Training texts are dealt by hash into shards of bounded size, whatever partitions they came in. A fixed number of
+steps on the first shard gives the start; then every shard is gone through once from there, and the weights are averaged
+by windows, in integers, so that reruns and other partitions give the same model.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from vecloom.llm.jaccard import _by_bucket, _pack, _rows_of, _unpack
 from vecloom.llm.storage import table
 
 ALONE, BANDS = 992, 32  # their sum is a multiple of the model's MEMBERS
-ROUNDS = 2
-RATE = 0.02
-BATCH_WINDOWS = 64
+SHARD_BYTES = 16 << 20  # of text, on average
+START_STEPS, START_RATE, START_WINDOWS = 3000, 0.03, 64  # on the first shard, as often as that takes
+RATE, BATCH_WINDOWS = 0.01, 256  # once through each shard
+SCALE = 1 << 24  # weights are averaged as integers
 BLOCK_WINDOWS = 512  # scored at a time
 FREQUENT_WORDS = 1_000_000  # of 16 bytes each: all that is broadcast, whatever the input
 BUCKET_ENTRIES = 500_000
@@ -78,22 +81,20 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def training_windows(ids: np.ndarray, sub: np.ndarray, train: np.ndarray, size: int) -> np.ndarray:
-    """Windows (n, CONTEXT + 1) that cover the texts marked in `train`: each of their subwords and ends is a target once.
-    They come in a fixed order that mixes the texts, so that a training step sees many of them."""
-    count = np.where(train, -(-np.diff(sub) // A.CONTEXT), 0)
-    owner = np.repeat(np.arange(len(count)), count)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    order = np.argsort(K.mix(np.arange(len(owner)).astype(np.uint64) * _STEP), kind="stable")
-    owner, low = owner[order], (sub[owner] + number * A.CONTEXT)[order]
-    # position -1 of a text is an end; places behind a text's end are marked by the size of the vocabulary
-    place = low[:, None] + np.arange(-1, A.CONTEXT)[None]
-    return np.where(place < sub[owner][:, None], size - 1, np.where(place < sub[owner + 1][:, None], ids[np.clip(place, 0, len(ids) - 1)], size))
+def training_windows(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(subwords before, targets) in windows of CONTEXT, of a run of whole texts with their ends: each is a target
+    once. Places behind the last are -1. Windows come in a fixed order that mixes the texts."""
+    n = -(-len(ids) // A.CONTEXT)
+    whole = np.full(n * A.CONTEXT + 1, -1, np.int64)
+    whole[0], whole[1 : len(ids) + 1] = end, ids
+    order = np.argsort(K.mix(np.arange(n).astype(np.uint64) * _STEP), kind="stable")
+    return whole[:-1].reshape(n, -1)[order], whole[1:].reshape(n, -1)[order]
 
 
-def gather(rows: DataFrame, path: str, bits: int) -> DataFrame:
-    """(kind, bucket, packed) of (id, text, held_out). Kind 0: word hash, count in training texts, count in all. Kind 1:
-    subword, count in training texts. Kind 2: windows of training texts, CONTEXT + 1 subwords each."""
+def gather(rows: DataFrame, path: str, bits: int, shards: int) -> DataFrame:
+    """(kind, bucket, mark, packed) of (text, held_out, mark), mark a hash. Kind 0: word hash, count in training texts, count
+    in all. Kind 1: subword, count in training texts. Kind 2: the shard, mark and subwords of each training text."""
+    names = ["kind", "bucket", "mark", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, size = _coder(path)
@@ -105,10 +106,10 @@ def gather(rows: DataFrame, path: str, bits: int) -> DataFrame:
                 h, train, every = _sum_by(*(np.concatenate(x) for x in zip(*words, strict=True)))
                 words.clear()
                 packed = _by_bucket(_bucket(h, bits), np.hstack([_pack(h, 8), _pack(train, 4), _pack(every, 4)]), ["bucket", "packed"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(packed), np.int32)), *packed.columns], names=["kind", "bucket", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(packed), np.int32)), packed.column(0), pa.nulls(len(packed), pa.int64()), packed.column(1)], names=names)
 
         for b in batches:
-            held = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            held, marks = b.column(1).to_numpy(zero_copy_only=False).astype(bool), b.column(2).to_numpy()
             for row, hashes, bounds, ids, sub in _texts(b.column(0), cache, size - 1):
                 n = len(bounds) - 1
                 train = ~held[row : row + n]
@@ -116,19 +117,21 @@ def gather(rows: DataFrame, path: str, bits: int) -> DataFrame:
                 h, t, e = _sum_by(hashes, used.astype(np.int64), np.ones(len(hashes), np.int64))
                 words.append((np.append(h, END_HASH), np.append(t, train.sum()), np.append(e, n)))
                 subwords += np.bincount(ids[np.repeat(train, np.diff(sub))], minlength=size)
-                windows = training_windows(ids, sub, train, size)
-                if len(windows):
-                    raw = [windows[i : i + BATCH_WINDOWS].astype("<u4").tobytes() for i in range(0, len(windows), BATCH_WINDOWS)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), 2, np.int32)), pa.array(np.zeros(len(raw), np.int64)), pa.array(raw, pa.binary())], names=["kind", "bucket", "packed"])
+                some = np.flatnonzero(train)
+                if len(some):
+                    raw, mark = ids.astype("<u4" if size > 1 << 16 else "<u2"), marks[row + some]
+                    width, raw = raw.itemsize, raw.tobytes()
+                    texts = [raw[width * s : width * e] for s, e in zip(sub[some].tolist(), sub[some + 1].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), 2, np.int32)), pa.array((mark.view(np.uint64) % np.uint64(shards)).astype(np.int64)), pa.array(mark), pa.array(texts, pa.binary())], names=names)
                 if sum(len(w[0]) for w in words) > FLUSH_ENTRIES:
                     yield from flush()
         yield from flush()
         some = np.flatnonzero(subwords)
         if len(some):
             raw = np.hstack([_pack(some, 8), _pack(subwords[some], 8)]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.array([raw], pa.binary())], names=["kind", "bucket", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.nulls(1, pa.int64()), pa.array([raw], pa.binary())], names=names)
 
-    return rows.select("text", "held_out").mapInArrow(run, "kind int, bucket long, packed binary")
+    return rows.select("text", "held_out", "mark").mapInArrow(run, "kind int, bucket long, mark long, packed binary")
 
 
 def vocabulary(gathered: DataFrame) -> DataFrame:
@@ -195,36 +198,55 @@ class Subwords:
         self.prior = np.log(np.maximum(mass, 0.5) / mass.sum())
 
 
-def train(windows: DataFrame, subwords: Subwords, rounds: int = ROUNDS) -> A.Weights:
-    """Weights averaged over the tasks after each round, by the number of their windows; only averages reach the driver."""
+def _train_shard(ids: np.ndarray, subwords: Subwords, start: A.Weights, rate: float, batch: int, steps: int | None) -> tuple[A.Weights, int]:
+    """(weights, windows) after `steps` steps, or once through the shard; the rate falls to a hundredth."""
+    of = np.append(subwords.of, 0)  # of -1: not used
+    w = {k: v.copy() for k, v in start.items()}
+    before, target = training_windows(ids, len(subwords.of) - 1)
+    each = -(-len(before) // batch)
+    steps = steps or each
+    adam = A.Adam(w, rate)
+    for step in range(steps):
+        adam.rate = rate * max(0.01, 1 - step / steps)
+        at = slice(step % each * batch, (step % each + 1) * batch)
+        _, grad = A.gradient(w, of[before[at]], of[target[at]], (target[at] >= 0).astype(np.float32))
+        adam.step(grad)
+    return w, len(before)
+
+
+def train(texts: DataFrame, subwords: Subwords) -> A.Weights:
+    """The model, from (bucket, mark, packed): the training texts by shard. Only sums of weights reach the driver."""
     weights = A.initial(subwords.prior)
-    size = len(subwords.of)
-    for number in range(rounds):
-        start, rate = weights, RATE / (1 + number)
-
-        def run(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
-            w, seen = {k: v.copy() for k, v in start.items()}, 0
-            adam = A.Adam(w, rate)
-            of = np.append(subwords.of, 0)
+    kind = "<u4" if len(subwords.of) > 1 << 16 else "<u2"
+
+    def passes(rows: DataFrame, start: A.Weights, *how) -> A.Weights:
+        def learn(key: tuple, group: pa.Table) -> pa.Table:
+            mark, raw = group.column("mark").to_numpy(), group.column("packed").to_pylist()
+            raw = [raw[i] for i in np.lexsort(([len(r) for r in raw], mark))]
+            w, seen = _train_shard(np.frombuffer(b"".join(raw), kind).astype(np.int64), subwords, start, *how)
+            flat = np.rint(A.flatten(w) * SCALE).astype(np.int64) * seen
+            return pa.table({"flat": pa.array([flat.tobytes()], pa.binary()), "seen": pa.array([seen], pa.int64())})
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, seen = 0, 0
             for b in batches:
-                for raw in b.column(0):
-                    ids = np.frombuffer(raw.as_buffer(), "<u4").reshape(-1, A.CONTEXT + 1).astype(np.int64)
-                    for s in range(0, len(ids), BATCH_WINDOWS):
-                        part = ids[s : s + BATCH_WINDOWS]
-                        use = (part[:, 1:] < size).astype(np.float32)
-                        _, grad = A.gradient(w, of[part[:, :-1]], of[part[:, 1:]], use)
-                        adam.step(grad)
-                        seen += len(part)
-            flat = A.flatten(w)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["at", "value", "seen"])
-
-        sums = windows.mapInArrow(run, "at long, value double, seen double").groupBy("at").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen")).collect()
-        flat = A.flatten(weights)
+                for raw, n in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    total, seen = total + np.frombuffer(raw.as_buffer(), np.int64), seen + n
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), seen))], names=["at", "value", "seen"])
+
+        sums = rows.groupBy("bucket").applyInArrow(learn, "flat binary, seen long").mapInArrow(add, "at long, value long, seen long")
+        sums = sums.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"), F.sum("seen").alias("seen")).collect()
+        flat = A.flatten(start)
         for r in sums:
-            if r["seen"]:
-                flat[r["at"]] = r["value"] / r["seen"]
-        weights = A.restore(flat, weights)
-    return weights
+            flat[r["at"]] = int(r["value"]) / r["seen"] / SCALE
+        return A.restore(flat, start)
+
+    least = texts.agg(F.min("bucket")).first()[0]
+    if least is None:
+        return weights
+    weights = passes(texts.filter(F.col("bucket") == least), weights, START_RATE, START_WINDOWS, START_STEPS)
+    return passes(texts, weights, RATE, BATCH_WINDOWS, None)
 
 
 def model_scores(ids: np.ndarray, bounds: np.ndarray, weights: A.Weights, subwords: Subwords) -> np.ndarray:
@@ -258,6 +280,8 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     Repeated rows give repeated results; other columns are not read; an empty table gives no rows. Texts are scored
     whole, however long. Without training texts every word is unknown and the model is its start.
 
+    Other partitions of the same rows give the same model, and scores that differ by rounding only.
+
     Word counts are summed by ranges of hashes. The `frequent` most frequent words are broadcast, a fixed size; counts of
     all others meet the texts that have them by shuffle. What the driver sees has a fixed size too: counts of the
     vocabulary's subwords, and averages of weights.
@@ -267,7 +291,8 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held_out"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, total / 20 / BUCKET_ENTRIES)))))
-    gathered = table(gather(rows, path, bits), "gathered")
+    marked = rows.select("text", "held_out", F.xxhash64("id", "text").alias("mark"))
+    gathered = table(gather(marked, path, bits, max(1, -(-int(total) // SHARD_BYTES))), "gathered")
     words = table(vocabulary(gathered), "words")
     sums = words.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).first()
     distinct, tokens = sums["v"] or 0, sums["n"] or 0
@@ -285,7 +310,7 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     for r in gathered.filter("kind = 1").select("packed").mapInArrow(count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     subwords = Subwords(counts)
-    weights = train(gathered.filter("kind = 2").select("packed"), subwords)
+    weights = train(gathered.filter("kind = 2").select("bucket", "mark", "packed"), subwords)
     shared = spark.sparkContext.broadcast((hot_hash, hot_count, subwords, weights))
 
     fields = [T.StructField("key", T.LongType()), rows.schema["id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base", "score")), T.StructField("bucket", T.LongType()), T.StructField("packed", T.BinaryType())]
