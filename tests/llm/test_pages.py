@@ -35,7 +35,7 @@ def test_templates(spark):
         if n % 2:
             main = f"<article>{main}</article>"
         rows.append((n, f"http://www.{'ac'[n % 2]}.example/{n}", page(n, main)))
-        want[n] = "\n".join(story)
+        want[n] = "\n".join(["Print this page"] * (n % 2) + story + ["All rights kept by the host of these pages and of all others that it has"] * (n % 2))
     rows += [(100, "http://b.example/1", page(1, "<article><p>alone</p></article>")), (101, None, None), (None, "x", "<p>a</p>"), rows[3]]
     rows += [(200 + n, "http://copies.example/", page(0, "<article><p>the same story on each page of the host</p></article>")) for n in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'h' as host", "1 as salt", "'t' as template")
@@ -55,6 +55,19 @@ def test_short_slots(spark):
     assert got == {n: f"Headline {n}\n{f'body {n} ' * 199}body {n}\ncaption {n}" for n in range(20)}
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 8, 12, 40])
+def test_recurring_headings(spark, size):
+    """What tags place in the article stays, also if it recurs on every page, on hosts of any size. Elsewhere headings and
+    short paragraphs stay if they differ from page to page."""
+    rows = [(n, f"http://g.example/{n}", page(n, f"<article><h1>Daily weather report summary</h1><p>{f'rain {n} ' * 30}</p><p>Yes.</p></article>")) for n in range(size)]
+    rows += [(100 + n, f"http://h.example/{n}", page(n, f"<div class=top><p>Print this page or send it to a friend</p></div><div><h1>Weather of day {n}</h1><p>{f'rain {n} ' * 30}</p><p>No {n}.</p></div>")) for n in range(size)]
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(size):
+        body = " ".join([f"rain {n}"] * 30)
+        assert got[n] == f"Daily weather report summary\n{body}\nYes."
+        assert got[100 + n] == ("Print this page or send it to a friend\n" if size == 1 else "") + f"Weather of day {n}\n{body}\nNo {n}."
+
+
 def test_slots_choose(spark):
     """On a host with a template the slots choose the text, also where tags name an article that holds a part of it."""
     rows = [(n, f"http://e.example/{n}", page(n, f"<div><h1>Headline {n}</h1><article><p>{f'body {n} ' * 30}</p></article><p>correction {n}</p><p>Print this page</p></div>")) for n in range(20)]
@@ -76,7 +89,7 @@ def test_pages_of_data(spark, sf_dir):
 
 
 def test_classes_nest():
-    rows = [{"token": t, "place": p, "class": c, "everywhere": True} for t, p, c in [(1, 1.0, 7), (2, 9.0, 7), (3, 20.0, 7), (4, 3.0, 8), (5, 6.0, 8), (6, 8.0, 9), (7, 12.0, 9)]]
+    rows = [{"token": t, "place": p, "vector": c, "everywhere": True} for t, p, c in [(1, 1.0, 7), (2, 9.0, 7), (3, 20.0, 7), (4, 3.0, 8), (5, 6.0, 8), (6, 8.0, 9), (7, 12.0, 9)]]
     t = pages.Template(rows)
     assert t.gap[8] == (7, 1) and t.slots == {1, 2, 3, 4, 5}  # class 9 crosses token 2
 

@@ -25,7 +25,7 @@ from vecloom.llm.textkit import mix
 from vecloom.llm.urls import host_of
 
 SHORT_WORDS = 12  # texts of up to so many words are tokens word by word
-MIN_PAGES = 8  # of a host, for a template
+MIN_PAGES = 2  # of a host, for a template: one page alone shows no occurrence vectors
 MIN_SHARE = 4  # a class is on at least one page in so many
 MIN_CLASS = 3  # tokens
 SALTS = 32
@@ -247,19 +247,19 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template) with the tokens of the host's valid classes as (class, place, token, everywhere), in order.
+    """(host, template) with the tokens of the host's valid classes as (place, token, vector, everywhere), in order.
 
     A class has at least MIN_CLASS tokens, on one page in MIN_SHARE of a host of at least MIN_PAGES. Every token of it is
     on so many pages that a host has at most MIN_SHARE times as many as a page has, however many pages it has.
     """
-    wrapped = F.expr("pmod(sum(cast(vector as decimal(38,0))), cast('18446744073709551616' as decimal(38,0)))")
+    wrapped = F.expr("cast(pmod(sum(cast(vector as decimal(38,0))), cast('18446744073709551616' as decimal(38,0))) - cast('9223372036854775808' as decimal(38,0)) as long)")
     stats = table(page_tokens(pages).groupBy("host", "token").agg(wrapped.alias("vector"), F.sum("pages").alias("pages"), F.sum("places").alias("places")), "tokens")
     hosts = stats.filter("token = 0").select("host", F.col("pages").alias("host_pages")).filter(F.col("host_pages") >= MIN_PAGES)
     often = stats.filter("token != 0").join(hosts, "host").filter(F.col("pages") * MIN_SHARE >= F.col("host_pages"))
     classes = often.groupBy("host", "vector", "pages", "host_pages").agg(F.collect_list(F.struct((F.col("places") / F.col("pages")).alias("place"), "token")).alias("tokens"))
     valid = classes.filter(F.size("tokens") >= MIN_CLASS).withColumn("everywhere", F.col("pages") == F.col("host_pages"))
-    rows = valid.select("host", F.explode("tokens").alias("t"), F.hash("vector").alias("class"), "everywhere")
-    return rows.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("t.place", "t.token", "class", "everywhere"))).alias("template"))
+    rows = valid.select("host", F.explode("tokens").alias("t"), "vector", "everywhere")
+    return rows.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("t.place", "t.token", "vector", "everywhere"))).alias("template"))
 
 
 class Template:
@@ -269,7 +269,7 @@ class Template:
         self.known = {r["token"] & (1 << 64) - 1: r["everywhere"] for r in rows}
         spans: dict[int, list[float]] = {}
         for r in rows:
-            spans.setdefault(r["class"], []).append(r["place"])
+            spans.setdefault(r["vector"], []).append(r["place"])
         self.gap: dict[int, tuple[int, int] | None] = {}
         outer = sorted(spans, key=lambda c: spans[c][0] - spans[c][-1])
         for k, c in enumerate(outer):
@@ -282,7 +282,7 @@ class Template:
         # a class that crosses another's tokens, and lies in no gap of any, is not nested: its tokens are content
         root = outer[0] if outer else None
         crossing = {c for c in outer if c != root and self.gap[c] is None}
-        self.slots = {r["token"] & (1 << 64) - 1 for r in rows if r["class"] not in crossing}
+        self.slots = {r["token"] & (1 << 64) - 1 for r in rows if r["vector"] not in crossing}
 
     def fixed(self, block: Text) -> bool:
         """Whether a text is all template, on every page of its host."""
@@ -290,25 +290,22 @@ class Template:
 
 
 def main_text(html: str, template: Template | None) -> str:
-    """Text of the article, without what tags rule out: the blocks in the slots of the template, or, without a template, the
-    blocks that tags place in the article, or else all. Where tags name an article, they check the slots: a template that
-    takes more than two thirds of it is of pages that are copies, and does not count."""
+    """Text of the article, without what tags rule out: the blocks in the slots of the template, and those that tags place in
+    the article, which may recur on every page. Without a template, or where it leaves no slot, as on pages that are copies,
+    the blocks that tags place in the article, or else all."""
     _, blocks = read_page(html)
     good = [b for b in blocks if not b.skip]
-    article = [b for b in good if b.main] or good
-    if template is not None and template.slots:
-        slots = [b for b in good if not template.fixed(b)]
-        kept = set(map(id, slots))
-        if 3 * sum(len(b.text) for b in article if id(b) in kept) >= sum(len(b.text) for b in article):
-            article = slots
-    return "\n".join(b.text for b in article)
+    slots = [b for b in good if not template.fixed(b)] if template is not None and template.slots else []
+    inside = set(map(id, slots))
+    kept = [b for b in good if b.main or id(b) in inside] if slots else [b for b in good if b.main] or good
+    return "\n".join(b.text for b in kept)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: the id, url, text of the article, n_chars (code points).
 
-    A null or empty page has an empty text. Pages without a host make one host of their own; hosts of under MIN_PAGES
-    pages have no template, and tags alone decide. Repeated rows count as pages of their own and give repeated results;
+    A null or empty page has an empty text. Pages without a host make one host of their own; a host of one page
+    has no template, and tags alone decide. Repeated rows count as pages of their own and give repeated results;
     other columns are not read; an empty table gives no rows. Very long pages are read whole.
 
     Templates are summed from all pages before and behind one shuffle. They are small, but grow with the number of
