@@ -101,16 +101,41 @@ def test_store(spark, path, tmp_path, sf_dir):
     for r in store.read_ids(spark, folder).collect():
         assert (r["doc_id"], r["start"], len(r["ids"]) // 4, zlib.crc32(r["ids"])) in want
     files = sorted((tmp_path / "store/recipes").glob("*.parquet"))
-    order = [x for f in files for x in pq.read_table(f)["start"].to_pylist()]
-    assert order == sorted(order)
-    chunks = spark.read.parquet(f"{folder}/chunks")
+    order = [(r["part"], r["at"], -1 if r["doc_id"] is None else r["doc_id"]) for f in files for r in pq.read_table(f).to_pylist()]
+    assert order == sorted(order) and [r[2] for r in order] == sorted(r[2] for r in order)
+    chunks = store._chunks(spark, folder)
     assert chunks.count() == chunks.select("digest").distinct().count() < sum(r["n_chunks"] for r in got)
-    assert store.manifest(spark, folder).agg({"n_docs": "sum"}).first()[0] == len(rows)
+    assert spark.read.parquet(f"{folder}/manifest").agg({"n_docs": "sum"}).first()[0] == len(rows)
     assert store.store_report(df.filter("doc_id < -1"), path).count() == 0
-    chunks.selectExpr("digest", "n", "cast(concat(ids, ids) as binary) as ids").write.parquet(str(tmp_path / "bad/chunks"))
-    spark.read.parquet(f"{folder}/recipes").write.parquet(str(tmp_path / "bad/recipes"))
-    with pytest.raises(Exception, match="damaged"):
-        store.read_report(spark, str(tmp_path / "bad")).collect()
+
+
+def test_damage(spark, path, tmp_path):
+    """Whatever is lost or changed in a store is an error."""
+    import shutil
+
+    texts = [" ".join(f"w{i * k % 97}" for k in range(900)) for i in range(60)]
+    df = spark.createDataFrame([(i * 10**9, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    whole = tmp_path / "whole"
+    store.write_store(df, str(whole), path)
+    assert store.read_report(spark, str(whole)).count() == 60
+    kinds = {"chunks": "data/kind=chunks", "recipes": "recipes", "manifest": "manifest"}
+    for name, place in kinds.items():
+        for how in ("file", "row"):
+            folder = tmp_path / f"{name}-{how}"
+            shutil.copytree(whole, folder)
+            files = sorted((folder / place).glob("*.parquet"))
+            for crc in folder.rglob("*.crc"):
+                crc.unlink()
+            if how == "file" and len(files) > 1:
+                files[0].unlink()
+            else:
+                rows = pq.read_table(files[0], partitioning=None)
+                if name == "chunks":
+                    ids = rows["ids"].to_pylist()
+                    rows = rows.set_column(rows.schema.get_field_index("ids"), "ids", [[bytes(len(ids[0])), *ids[1:]]])
+                pq.write_table(rows if name == "chunks" else rows.slice(1), files[0])
+            with pytest.raises(Exception, match="damaged"):
+                store.read_report(spark, str(folder)).collect()
 
 
 def test_cuts_and_crcs():

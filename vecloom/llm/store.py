@@ -1,13 +1,16 @@
 """Token-id output as a content-addressed store.
 
-A store is a folder with two Parquet tables:
+A store is a folder with three Parquet tables:
 
-    chunks/   digest (SHA-256 of the ids), n, ids (little-endian unsigned 32-bit integers); each digest once
-    recipes/  files in ascending doc_id order: doc_id, start, n_tokens, chunks (digests in order), root
+    data/kind=chunks/  digest (SHA-256 of the ids as little-endian unsigned 32-bit integers), n, ids; each digest once. Ids
+                       take two bytes each where the vocabulary allows it, else four
+    recipes/           one file per part, parts and the rows in them in ascending order: part, doc_id, at (ids of the
+                       documents before it in its part), n_tokens, chunks (digests in order), root
+    manifest/          part, first_doc, n_docs, start (ids of all parts before it), n_tokens, root
 
 Documents are cut where a rolling hash of their last ids meets a mask, so a passage that many documents share gives the
-same chunks wherever it stands. `root` is the Merkle root over a document's chunk digests; a store's manifest is the
-Merkle root over its documents' roots, file by file.
+same chunks wherever it stands. A document's root is the Merkle root over its chunk digests, a part's the Merkle root over
+its documents' roots.
 """
 
 from __future__ import annotations
@@ -32,14 +35,18 @@ WINDOW = 8  # ids under the rolling hash
 MASK_BITS = 9  # a cut every 512 ids on average
 MOST_IDS = 8192  # and at least once in so many
 END_ID = 0
-BROADCAST_ROWS = 500_000
+SENT = 1_000_000  # digests that a task remembers; beyond that it begins anew and a chunk may be sent again
 
-_coders: dict[str, E.PieceCache] = {}
+_coders: dict[str, tuple[E.PieceCache, int]] = {}
 
 
-def _coder(path: str) -> E.PieceCache:
+def _coder(path: str) -> tuple[E.PieceCache, int]:
+    """(cache of pieces, bytes that an id takes in the files)."""
     if path not in _coders:
-        _coders[path] = E.PieceCache(*E.library_encoder(path))
+        from tokenizers import Tokenizer
+
+        size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+        _coders[path] = E.PieceCache(*E.library_encoder(path)), 2 if size <= 1 << 16 else 4
     return _coders[path]
 
 
@@ -69,68 +76,116 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-def _chunk_rows(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """One row per chunk: doc_id, copy (tells rows with one id apart), seq, digest, n, ids."""
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
+    """One row per document (kind recipes), and one per chunk and task (kind chunks), with a hash that deals them out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("copy", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([
+        T.StructField("kind", T.StringType()), T.StructField("deal", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType()),
+        rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("chunks", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType()),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, task, row = _coder(path), uuid.uuid4().hex[:16], 0
+        (cache, width), sent = _coder(path), set()
         for b in batches:
-            first = 0
+            row = 0
             for ids, bounds in E.encode_texts(b.column(1), cache):
-                docs_here = len(bounds) - 1
-                bounds = bounds + np.arange(docs_here + 1)  # an end id behind each document
+                n = len(bounds) - 1
+                bounds = bounds + np.arange(n + 1)  # an end id behind each document
                 whole = np.full(bounds[-1], END_ID, "<u4")
                 inner = np.ones(len(whole), bool)
                 inner[bounds[1:] - 1] = False
                 whole[inner] = ids
                 cuts = cut_points(whole, bounds)
                 begin = np.concatenate([[0], cuts[:-1]])
-                owner = np.searchsorted(bounds, begin, "right") - 1
-                seq = np.arange(len(cuts)) - np.searchsorted(owner, owner)
-                raw = whole.tobytes()
-                parts = [raw[4 * s : 4 * e] for s, e in zip(begin.tolist(), cuts.tolist(), strict=True)]
-                copies = [f"{task}{row + o}" for o in owner.tolist()]
-                row += docs_here
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, docs_here).take(pa.array(owner)), pa.array(copies), pa.array(seq.astype(np.int32)), pa.array([hashlib.sha256(p).digest() for p in parts], pa.binary()), pa.array((cuts - begin).astype(np.int32)), pa.array(parts, pa.binary())], names=schema.names)
-                first += docs_here
-
+                raw, short = memoryview(whole.tobytes()), whole.astype(f"<u{width}").tobytes()
+                digests = [hashlib.sha256(raw[4 * s : 4 * e]).digest() for s, e in zip(begin.tolist(), cuts.tolist(), strict=True)]
+                new = []
+                for i, d in enumerate(digests):
+                    if d not in sent:
+                        sent.add(d)
+                        new.append(i)
+                if len(sent) > SENT:
+                    sent.clear()
+                k = len(new)
+                own = [digests[i] for i in new]
+                parts = [short[width * s : width * e] for s, e in zip(begin[new].tolist(), cuts[new].tolist(), strict=True)]
+                blank = lambda m, *names: [pa.nulls(m, t) for t in map(b_types.__getitem__, names)]
+                deal = np.frombuffer(b"".join(d[:8] for d in own), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(["chunks"] * k, pa.string()), pa.array(deal), pa.array(own, pa.binary()), pa.array((cuts - begin)[new].astype(np.int32)), pa.array(parts, pa.binary()), *blank(k, "doc_id", "n_tokens", "chunks", "root")], names=schema.names)
+                at = np.searchsorted(cuts, bounds[1:]) + 1
+                lists = [digests[s:e] for s, e in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)]
+                roots = [merkle_root(x) for x in lists]
+                deal = np.frombuffer(b"".join(r[8:16] for r in roots), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(["recipes"] * n, pa.string()), pa.array(deal), *blank(n, "digest", "n", "ids"), b.column(0).slice(row, n), pa.array(np.diff(bounds)), pa.array(lists, pa.list_(pa.binary())), pa.array(roots, pa.binary())], names=schema.names)
+                row += n
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    b_types = {f.name: to_arrow_type(f.dataType) for f in schema.fields}
     return rows.mapInArrow(run, schema)
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops chunks that this partition, to which all of its digest come, has had."""
+    seen: set[bytes] = set()
+    for b in batches:
+        keep = []
+        for d in b.column(2).to_pylist():
+            keep.append(d is None or d not in seen)
+            seen.add(d)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes the texts by the tokenizers file at `path` and writes a store to `folder`.
 
     A null or empty text is its end id alone. Rows with one id stay apart; a null id comes first. An empty table gives an
-    empty store. Texts are encoded once, to a staging table. Which chunks occur again is found from digests alone, so ids are
-    shuffled only where the list of repeats is over BROADCAST_ROWS. Recipes carry digests only.
+    empty store. Texts are encoded once. A task sends each of its chunks once, so a chunk that very many documents
+    share is a row per task in the one shuffle of ids. Recipes carry digests only; they are dealt out by ranges of
+    ids, and each part's first place comes from the sums of the parts before it.
     """
     spark = docs.sparkSession
-    staged = table(_chunk_rows(docs, path, id_col, text_col), "staged")
-    refs = staged.drop("ids")
-    keep = refs.groupBy("digest").agg(F.min(F.struct("copy", "seq")).alias("k"))
-    kept = keep.select("digest", F.col("k.copy").alias("k_copy"), F.col("k.seq").alias("k_seq"))
-    again = refs.join(kept, "digest").filter("copy != k_copy or seq != k_seq").select("copy", "seq")
-    again = table(again, "again")
-    if again.count() <= BROADCAST_ROWS:  # of some 50 bytes each; beyond that the chunks are shuffled
-        again = F.broadcast(again)
-    once = staged.join(again, ["copy", "seq"], "left_anti")
-    once.select("digest", "n", "ids").write.option("compression", "zstd").parquet(f"{folder}/chunks")
-
-    root = F.udf(lambda digests: merkle_root(digests), T.BinaryType())
-    docs_refs = refs.groupBy("doc_id", "copy").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "digest"))).alias("parts"))
-    flat = table(docs_refs.select("doc_id", "copy", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("parts.digest").alias("chunks")), "recipes")
-    low, high, count = flat.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * 4096 // max(1, count))
-    blocked = flat.withColumn("block", F.floor((F.col("doc_id") - (low or 0)) / width))
-    sums = blocked.groupBy("block").agg(F.sum("n_tokens").alias("tokens"))
-    starts = sums.select("block", F.coalesce(F.sum("tokens").over(W.orderBy(F.col("block").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("block_start"))
-    inner = W.partitionBy("block").orderBy("doc_id", "copy").rowsBetween(W.unboundedPreceding, -1)
-    placed = blocked.withColumn("before", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(starts, blocked["block"].eqNullSafe(starts["block"])).drop(starts["block"])
-    recipes = placed.select("doc_id", (F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "chunks", root("chunks").alias("root"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    recipes.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), "start").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "start").write.parquet(f"{folder}/recipes")
+    encoded = _encoded(docs, path, id_col, text_col)
+    dealt = encoded.repartition("deal").mapInArrow(_once, encoded.schema)
+    dealt.drop("deal").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/data")
+    made = spark.read.schema(dealt.drop("deal").schema).parquet(f"{folder}/data").filter("kind = 'recipes'").select("doc_id", "n_tokens", "chunks", "root")
+    schema = T.StructType([T.StructField("part", T.IntegerType()), made.schema["doc_id"], T.StructField("at", T.LongType()), *(made.schema[c] for c in ("n_tokens", "chunks", "root"))])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for b in batches:
+            ends = before + np.cumsum(b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends - b.column(2).to_numpy()), *b.columns[2:]], names=schema.names)
+            before = int(ends[-1]) if len(ends) else before
+
+    order = (F.col("doc_id").asc_nulls_first(), F.col("root"))
+    sorted_ = made.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    sorted_.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "chunks", "root").mapInArrow(place, schema).write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    parts = table(_part_roots(spark, folder), "parts")
+    start = F.coalesce(F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    parts.withColumn("start", start).select("part", "first_doc", "n_docs", "start", "n_tokens", "root").write.parquet(f"{folder}/manifest")
+
+
+def _part_roots(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, first_doc, n_docs, n_tokens, root) from the recipes. A document's root that its digests don't give is one of
+    zeros here, and so fails its part."""
+    rows = spark.read.parquet(f"{folder}/recipes")
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [r if merkle_root(d) == r else bytes(32) for d, r in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(good, pa.binary())], names=["part", "doc_id", "at", "n_tokens", "root"])
+
+    schema = T.StructType([rows.schema[c] for c in ("part", "doc_id", "at", "n_tokens", "root")])
+    per = rows.select("part", "doc_id", "at", "n_tokens", "chunks", "root").mapInArrow(roots, schema)
+    out = T.StructType([rows.schema["part"], T.StructField("first_doc", rows.schema["doc_id"].dataType), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType())])
+
+    def fold(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        first = group.column("doc_id").slice(0, 1)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "first_doc": first, "n_docs": [len(group)], "n_tokens": [sum(group.column("n_tokens").to_pylist())], "root": pa.array([merkle_root(group.column("root").to_pylist())], pa.binary())})
+
+    return per.groupBy("part").applyInArrow(fold, out)
 
 
 # CRC-32 of joined byte strings from the CRCs of the parts: appending n zero bytes is a linear map over bits, given here by
@@ -164,36 +219,48 @@ def join_crc(first: np.ndarray, second: np.ndarray, second_bytes: np.ndarray) ->
     return out ^ second.astype(np.uint64)
 
 
+def _wide(ids, n: int) -> bytes:
+    """Stored ids as little-endian unsigned 32-bit integers."""
+    return np.frombuffer(ids, "<u4" if ids.size == 4 * n else "<u2").astype("<u4").tobytes()
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("digest binary, n int, ids binary, kind string").parquet(f"{folder}/data").filter("kind = 'chunks'").select("digest", "n", "ids")
+
+
 def check_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """(digest, n, crc32) of every stored chunk, read from the files; a chunk whose ids don't give its digest fails."""
-    schema = "digest binary, n int, crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crcs, lengths = [], []
-            for digest, ids in zip(b.column(0), b.column(1), strict=True):
-                raw = ids.as_buffer()
-                if hashlib.sha256(raw).digest() != digest.as_py():
-                    raise ValueError(f"the store is damaged: chunk {digest.as_py().hex()}")
+            crcs = []
+            for digest, n, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                raw = _wide(ids.as_buffer(), n)
+                if hashlib.sha256(raw).digest() != digest:
+                    raise ValueError(f"the store is damaged: chunk {digest.hex()}")
                 crcs.append(zlib.crc32(raw))
-                lengths.append(raw.size // 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int32()), pa.array(crcs, pa.int64())], names=["digest", "n", "crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crcs, pa.int64())], names=["digest", "n", "crc32"])
+
+    return _chunks(spark, folder).mapInArrow(run, "digest binary, n int, crc32 long")
 
-    return spark.read.parquet(f"{folder}/chunks").select("digest", "ids").mapInArrow(run, schema)
+
+def _sound(good, what, value):
+    """`value`, or an error that names `what`."""
+    return F.when(good, value).otherwise(F.raise_error(F.concat(F.lit("the store is damaged: "), what)).cast("long"))
 
 
 def read_report(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document of a store: doc_id, start, n_tokens, ids_crc32 and n_chunks, from the files.
 
     Every stored id is read and checked against its digest; a document's CRC is joined from its chunks' CRCs in the order
-    of its recipe, and its Merkle root is recomputed. No ids are shuffled.
+    of its recipe. The Merkle roots of documents and parts are recomputed and held against the manifest, so a chunk, row or
+    file that is missing or changed is an error. No ids are shuffled.
     """
     recipes = spark.read.parquet(f"{folder}/recipes")
-    parts = recipes.select("doc_id", "start", F.posexplode("chunks").alias("seq", "digest"))
+    parts = recipes.select("part", "at", F.posexplode("chunks").alias("seq", "digest"))
     checked = table(check_chunks(spark, folder), "checked")
-    joined = parts.join(checked, "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc32", "digest"))).alias("parts"))
-    got = joined.select("doc_id", "start", "parts.n", "parts.crc32", F.col("parts.digest").alias("digests"))
-    schema = T.StructType([recipes.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32", "n_chunks")), T.StructField("root", T.BinaryType())])
+    joined = parts.join(checked, "digest", "left").groupBy("part", "at").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("crc32", F.lit(0)).alias("crc32")))).alias("p"))
+    schema = "part int, at long, total long, ids_crc32 long, n_chunks long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,32 +272,33 @@ def read_report(spark: SparkSession, folder: str) -> DataFrame:
             for k in range(int(size.max(initial=0))):
                 live = np.flatnonzero(size > k)
                 part = at[live] + k
-                out[live] = join_crc(out[live], crc[part], 4 * n[part])
-                total[live] += n[part]
-            roots = [merkle_root(d) for d in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total), pa.array(out.astype(np.int64)), pa.array(size.astype(np.int64)), pa.array(roots, pa.binary())], names=schema.names)
-
-    sums = got.mapInArrow(run, schema)
-    whole = recipes.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("root").alias("r"), F.col("n_tokens").alias("t"))
-    both = whole.join(sums, (whole["d"].eqNullSafe(sums["doc_id"])) & (whole["s"] == sums["start"]), "left")
-    good = (F.col("r") == F.col("root")) & (F.col("t") == F.col("n_tokens"))
-    fail = F.raise_error(F.concat(F.lit("the store is damaged: document "), F.coalesce(F.col("d").cast("string"), F.lit("null"))))
-    return both.select(F.col("d").alias("doc_id"), F.when(good, F.col("start")).otherwise(fail.cast("long")).alias("start"), "n_tokens", "ids_crc32", "n_chunks")
+                out[live] = join_crc(out[live], crc[part], 4 * np.maximum(n[part], 0))
+                total[live] += np.where(n[part] < 0, -(1 << 40), n[part])  # a chunk that is missing
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total), pa.array(out.astype(np.int64)), pa.array(size.astype(np.int64))], names=["part", "at", "total", "ids_crc32", "n_chunks"])
+
+    sums = joined.select("part", "at", "p.n", "p.crc32").mapInArrow(run, schema)
+    now = _part_roots(spark, folder).select(F.col("part").alias("now_part"), F.col("n_docs").alias("now_docs"), F.col("root").alias("now_root"))
+    listed = spark.read.parquet(f"{folder}/manifest").select(F.col("part").alias("m_part"), "start", F.col("n_docs"), F.col("root").alias("m_root"))
+    compared = listed.join(now, listed["m_part"] == now["now_part"], "full")
+    same = F.coalesce((F.col("m_root") == F.col("now_root")) & (F.col("n_docs") == F.col("now_docs")), F.lit(False))
+    verified = table(compared.select("m_part", _sound(same, F.concat(F.lit("part "), F.coalesce("m_part", "now_part").cast("string")), F.col("start")).alias("start")), "parts")
+    whole = recipes.select(F.col("part").alias("w_part"), F.col("at").alias("w_at"), "doc_id", "n_tokens").join(verified, F.col("w_part") == F.col("m_part"))
+    both = whole.join(sums, (F.col("w_part") == F.col("part")) & (F.col("w_at") == F.col("at")), "left")
+    what = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    return both.select("doc_id", _sound(F.coalesce(F.col("total") == F.col("n_tokens"), F.lit(False)), what, F.col("start") + F.col("w_at")).alias("start"), "n_tokens", "ids_crc32", "n_chunks")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, ids) of every document, put together from its chunks. Chunks are shuffled."""
-    recipes = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", F.posexplode("chunks").alias("seq", "digest"))
-    parts = recipes.join(spark.read.parquet(f"{folder}/chunks").select("digest", "ids"), "digest")
-    whole = parts.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
-    return whole.select("doc_id", "start", F.expr("aggregate(parts.ids, cast('' as binary), (a, x) -> concat(a, x))").alias("ids"))
+    recipes = spark.read.parquet(f"{folder}/recipes").join(spark.read.parquet(f"{folder}/manifest").select("part", "start"), "part")
+    refs = recipes.select("doc_id", (F.col("start") + F.col("at")).alias("start"), F.posexplode("chunks").alias("seq", "digest"))
 
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_wide(ids.as_buffer(), n) for n, ids in zip(b.column(1).to_pylist(), b.column(2), strict=True)], pa.binary())], names=["digest", "ids"])
 
-def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, first_doc, n_docs, root) per recipe file: the Merkle root over its documents' roots."""
-    rows = spark.read.parquet(f"{folder}/recipes").select(F.input_file_name().alias("file"), "doc_id", "start", "root")
-    per = rows.groupBy("file").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("r"))
-    return per.select("file", "first_doc", "n_docs", F.udf(lambda digests: merkle_root(digests), T.BinaryType())("r.root").alias("root"))
+    whole = refs.join(_chunks(spark, folder).mapInArrow(widen, "digest binary, ids binary"), "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
+    return whole.select("doc_id", "start", F.expr("aggregate(parts.ids, cast('' as binary), (a, x) -> concat(a, x))").alias("ids"))
 
 
 def store_report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
