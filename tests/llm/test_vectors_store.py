@@ -48,7 +48,7 @@ def cloud():
     return [*rows, rows[5], rows[5], (None, rows[40][1]), (None, [7.0, 1.0, 1.0])]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_rows": 16}, {"fit_rows": 40}])
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 16}, {"block_rows": 16, "group_rows": 16}, {"fit_rows": 40}, {"fit_rows": 40, "block_rows": 50}])
 def test_forest(cloud, sizes, spark, monkeypatch):
     monkeypatch.setattr(vectors, "LEAF_ROWS", 40)
     df = spark.createDataFrame(cloud, "vec_id long, embedding array<float>").selectExpr("*", "1 as c", "2 as n", "'x' as v", "0 as leaf").repartition(3)
@@ -77,6 +77,27 @@ def test_recall_on_data(spark):
     assert sum(got.values()) >= 0.99 * links.sum()
 
 
+def test_recall_at_depth(spark, monkeypatch):
+    """Pairs just above the threshold in trees of several levels, fitted on a part of the rows, whose leaves are split on."""
+    monkeypatch.setattr(vectors, "LEAF_ROWS", 24)
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((3000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    noise = rng.standard_normal((3000, 64))
+    noise -= (noise * a).sum(axis=1)[:, None] * a
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    c = rng.uniform(0.9505, 0.96, 3000)[:, None]
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * noise]).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(3)
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    want = (y @ y.T >= 0.95).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, fit_rows=600, block_rows=200).collect()}
+    assert want.sum() >= 6000 and all(got[i] <= n for i, n in enumerate(want.tolist()))
+    print("recall", sum(got.values()) / want.sum())
+    assert sum(got.values()) >= 0.95 * want.sum()
+
+
 @pytest.fixture(scope="module")
 def path():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")

@@ -9,51 +9,56 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecloom.llm.components import components
 from vecloom.llm.storage import table
 
 COSINE = 0.95
-TREES = 5
+TREES = 4
 LEAF_ROWS = 512
 FIT_ROWS = 20_000  # bound of the sample that the splits are fitted on; all rows are indexed
-BLOCK_ROWS = 2048
-SPILL = 0.6
+BLOCK_ROWS = 2048  # compared at a time
+GROUP_ROWS = 20_000  # in a leaf of the fitted trees, up to which a task splits it further by trees of its own
+SPILL = 0.4
 SEED = 7
 
 
 class Tree:
-    """Random splits at the median of a projection. Vectors within the margin of a split go both ways."""
+    """Random splits at the median of a projection. Vectors within the margin of a split go both ways. A node's direction
+    follows from its seed, so a tree is a few numbers a node."""
 
-    def __init__(self, sample: np.ndarray, share: float, margin: float, rng: np.random.Generator):
-        self.directions: list[np.ndarray] = []
+    def __init__(self, sample: np.ndarray, share: float, margin: float, seed: list[int], least: int = 16):
+        self.seeds: list[int] = []
         self.cuts: list[float] = []
         self.children: list[tuple[int, int]] = []
-        self.leaves, self.margin = 0, margin
-        self.root = self._grow(sample, share, rng)
+        self.leaves, self.margin, self.seed, self.least = 0, margin, seed, least
+        self.root = self._grow(sample, share)
+
+    def _direction(self, seed: int, size: int) -> np.ndarray:
+        d = np.random.default_rng([*self.seed, seed]).standard_normal(size)
+        return d / np.linalg.norm(d)
 
     def _leaf(self) -> int:
         self.leaves += 1
         return -self.leaves
 
-    def _grow(self, x: np.ndarray, share: float, rng: np.random.Generator) -> int:
-        if len(x) * share <= LEAF_ROWS or len(x) < 16:
+    def _grow(self, x: np.ndarray, share: float) -> int:
+        if len(x) * share <= LEAF_ROWS or len(x) < self.least:
             return self._leaf()
-        for _ in range(4):  # a direction along which copies lie apart
-            d = rng.standard_normal(x.shape[1])
-            d /= np.linalg.norm(d)
-            p = x @ d
+        node = len(self.cuts)
+        for k in range(4):  # a direction along which copies lie apart
+            p = x @ self._direction(4 * node + k, x.shape[1])
             cut = float(np.median(p))
             left, right = p <= cut + self.margin, p >= cut - self.margin
             if max(left.sum(), right.sum()) <= 0.8 * len(x):
                 break
         else:
             return self._leaf()
-        node = len(self.cuts)
-        self.directions.append(d)
+        self.seeds.append(4 * node + k)
         self.cuts.append(cut)
         self.children.append((0, 0))
-        self.children[node] = self._grow(x[left], share, rng), self._grow(x[right], share, rng)
+        self.children[node] = self._grow(x[left], share), self._grow(x[right], share)
         return node
 
     def leaves_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,12 +72,17 @@ class Tree:
                 rows.append(at)
                 leaves.append(np.full(len(at), -node - 1))
                 continue
-            p = x[at] @ self.directions[node]
+            p = x[at] @ self._direction(self.seeds[node], x.shape[1])
             for child, side in zip(self.children[node], (p <= self.cuts[node] + self.margin, p >= self.cuts[node] - self.margin), strict=True):
                 todo.append((child, at[side]))
         return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def margin_of(cosine: float, size: int) -> float:
+    """Spill of a split: of the order of the distance, along a random direction, of two vectors at `cosine`."""
+    return SPILL * np.sqrt(2 - 2 * cosine) / np.sqrt(size)
+
+
 class Forest:
     """Trees for each length of vectors. Lengths that the sample lacks have one leaf each."""
 
@@ -82,10 +92,9 @@ class Forest:
         share = total / max(1, len(sample))
         for size in sorted({len(v) for v in sample}):
             x = unit(np.array([v for v in sample if len(v) == size], np.float64))
-            margin = SPILL * np.sqrt(2 - 2 * cosine) / np.sqrt(size)
             self.trees[size] = []
             for t in range(trees):
-                tree = Tree(x, share, margin, np.random.default_rng([SEED, size, t]))
+                tree = Tree(x, share, margin_of(cosine, size), [SEED, size, t])
                 self.trees[size].append((self.leaves, tree))
                 self.leaves += tree.leaves
 
@@ -135,53 +144,83 @@ def _merge(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links within a leaf, or between two blocks of it: per row the linked rows that no earlier leaf holds together with
-    it, and the smallest class it reaches here. Pairs stay in this function."""
-    leaf = int(group["leaf"].iloc[0])
-    x = unit(np.stack(group["v"].to_numpy()))
+def _links_within(x: np.ndarray, ids: np.ndarray, n: np.ndarray, earlier: list[np.ndarray], apart: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, links, root) for the rows of x that link with others: the number of linked rows that share no earlier leaf,
+    and the smallest class reached. All pairs are compared; those of equal `apart` are left out."""
     mask = x @ x.T >= cosine
     np.fill_diagonal(mask, False)
-    if group["i"].iloc[0] != group["j"].iloc[0]:  # pairs within one block have their own group
-        mask &= group["b"].to_numpy()[:, None] != group["b"].to_numpy()[None, :]
+    if apart is not None:
+        mask &= apart[:, None] != apart[None, :]
     some = np.flatnonzero(mask.any(axis=1))
-    mask = mask[np.ix_(some, some)]
-    ids, n = group["c"].to_numpy()[some], group["n"].to_numpy()[some]
-    earlier = [np.asarray(v)[np.asarray(v) < leaf] for v in group["leaves"].to_numpy()[some]]
+    mask, ids, n, earlier = mask[np.ix_(some, some)], ids[some], n[some], [earlier[i] for i in some.tolist()]
     known, place = np.unique(np.concatenate(earlier) if earlier else np.zeros(0), return_inverse=True)
+    fresh = mask
     if len(known):
         one = np.zeros((len(some), len(known)), np.float32)
         one[np.repeat(np.arange(len(some)), [len(e) for e in earlier]), place] = 1
         fresh = mask & (one @ one.T == 0)
-    else:
-        fresh = mask
     root = _merge(mask)
     least = np.full(len(some), np.iinfo(np.int64).max)
     np.minimum.at(least, root, ids)
-    return pd.DataFrame({"c": ids, "links": fresh @ n.astype(np.int64), "root": least[root]})
+    return ids, fresh @ n.astype(np.int64), least[root]
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, trees: int = TREES, block_rows: int = BLOCK_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
+def _compare(group: pd.DataFrame, cosine: float, block_rows: int, trees: int) -> pd.DataFrame:
+    """Links within a leaf, or between two blocks of it: per row the linked rows that no earlier leaf holds together with
+    it, and the smallest class it reaches here. Pairs stay in this function. A leaf of more rows than are compared at a time
+    is split further, by as many trees again; where that does not split it, it is compared block by block."""
+    leaf = int(group["leaf"].iloc[0])
+    x = unit(np.stack(group["v"].to_numpy()))
+    ids, n = group["c"].to_numpy(), group["n"].to_numpy()
+    earlier = [np.asarray(v)[np.asarray(v) < leaf] for v in group["leaves"].to_numpy()]
+    out = []
+    if group["i"].iloc[0] != group["j"].iloc[0]:  # pairs within one block have their own group
+        out.append(_links_within(x, ids, n, earlier, group["b"].to_numpy(), cosine))
+    elif len(x) <= block_rows:
+        out.append(_links_within(x, ids, n, earlier, None, cosine))
+    else:
+        mine: list[list[int]] = [[] for _ in range(len(x))]  # leaves of this task's trees, below all others
+        number = -1
+        for t in range(trees):
+            tree = Tree(x, 1.0, margin_of(cosine, x.shape[1]), [SEED, leaf, 1000 + t], LEAF_ROWS)
+            row, sub = tree.leaves_of(x)
+            order = np.argsort(sub, kind="stable")
+            for at in np.split(row[order], np.flatnonzero(np.diff(sub[order])) + 1):
+                blocks = [at[k : k + block_rows] for k in range(0, len(at), block_rows)]
+                for p, a in enumerate(blocks):
+                    for b in blocks[p:]:
+                        both = np.unique(np.concatenate([a, b]))
+                        apart = None if b is a else np.isin(both, a)
+                        out.append(_links_within(x[both], ids[both], n[both], [np.append(earlier[i], mine[i]) for i in both.tolist()], apart, cosine))
+                for i in at.tolist():
+                    mine[i].append(number)
+                number -= 1
+    return pd.DataFrame(dict(zip(("c", "links", "root"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, trees: int = TREES, block_rows: int = BLOCK_ROWS, fit_rows: int = FIT_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per input row: the id, n_links (other rows at `cosine` or above that the forest finds), component_id (the
     smallest id reachable) and kept (the id is its component's).
 
     Equal vectors are one class before anything else, counted map-side, so copies cost nothing. Splits are fitted on
     the `fit_rows` classes of lowest hash; every class is indexed. Within a leaf all pairs are verified in double
-    precision; a pair that shares several leaves counts in the first only. A leaf of over `block_rows` is compared
-    block by block, none is cut short. No pairs leave a task: only a count and a link to a local root per row.
+    precision; a pair that shares several leaves counts in the first only. A leaf of over `block_rows` is split further by
+    its task, so leaves keep their size as the table grows; one of over `group_rows` is compared block by block, none is
+    cut short. No pairs leave a task: only a count and a link to a local root per row.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, have no links and are kept. Repeated
     rows link to each other. Null ids have links, but are no component's id unless all of it is null; an empty table
     gives no rows.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.when(usable(F.col(vector_col)), F.transform(vector_col, lambda v: v.cast("double"))).alias("v")).withColumn("c", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    kind = "float" if vectors.schema[vector_col].dataType.elementType == T.FloatType() else "double"  # as narrow as is exact
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(usable(F.col(vector_col)), F.transform(vector_col, lambda v: v.cast(kind))).alias("v")).withColumn("c", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     classes = table(rows.filter("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"), F.min("id").alias("least")), "classes")
     total = classes.count()
     sample = [np.array(r["v"]) for r in classes.orderBy(F.xxhash64(F.col("c") + SEED), "c").limit(fit_rows).select("v").collect()]
-    forest = Forest(sample, total, trees, cosine)
+    shared = vectors.sparkSession.sparkContext.broadcast(Forest(sample, total, trees, cosine))  # under 3 MB for the default sample
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, int] = {}
+        counts, forest = {}, shared.value
         for b in batches:
             for _, x in _vectors(b, 0):
                 for leaf, n in zip(*np.unique(forest.leaves_of(unit(x))[1], return_counts=True), strict=True):
@@ -189,10 +228,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["leaf", "n"])
 
     # One row per leaf, of which the bounded sample allows only so many.
-    sizes = {r["leaf"]: r["n"] for r in classes.select("v").mapInArrow(leaves, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > block_rows).collect()}
+    sizes = {r["leaf"]: r["n"] for r in classes.select("v").mapInArrow(leaves, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > group_rows).collect()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["leaf", "i", "j", "b", "c", "n", "leaves", "v"]
+        names, forest = ["leaf", "i", "j", "b", "c", "n", "leaves", "v"], shared.value
         for b in batches:
             for at, x in _vectors(b, 2):
                 row, leaf = forest.leaves_of(unit(x))
@@ -207,8 +246,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(leaf))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf[times]), pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(own), b.column(0).take(take), b.column(1).take(take), lists.take(pa.array(row[times])), b.column(2).take(take)], names=names)
 
-    placed = classes.select("c", "n", "v").mapInArrow(place, "leaf long, i long, j long, b long, c long, n long, leaves array<long>, v array<double>")
-    found = table(placed.groupBy("leaf", "i", "j").applyInPandas(lambda g: _compare(g, cosine), "c long, links long, root long"), "found")
+    placed = classes.select("c", "n", "v").mapInArrow(place, f"leaf long, i long, j long, b long, c long, n long, leaves array<long>, v array<{kind}>")
+    found = table(placed.groupBy("leaf", "i", "j").applyInPandas(lambda g: _compare(g, cosine, block_rows, trees), "c long, links long, root long"), "found")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
     known = classes.select("c", "n", "least").join(links, "c", "left").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
