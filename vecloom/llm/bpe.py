@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vecloom.llm import encode as E
+from vecloom.llm import textkit as K
 
 _coders: dict[str, tuple[E.PieceCache, E.Decoder]] = {}
 
@@ -33,6 +34,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, _ = _coder(path, pattern)
         for b in batches:
@@ -58,6 +60,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def digests(raw: memoryview, bounds: np.ndarray) -> pa.Array:
         return pa.array([hashlib.sha256(raw[s:e]).hexdigest() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, decoder = _coder(path, pattern)
         for b in batches:

@@ -88,6 +88,7 @@ def classify(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     """(id, n, f, t, h) of (id, text, t, h): the number of shingles and the hash of the set, null for an empty one."""
     schema = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("f", T.LongType()), docs.schema["t"], docs.schema["h"]])
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, f = [], []
@@ -115,6 +116,7 @@ def shared_counts(docs: DataFrame, bucket_bits: int, n_words: int = WORDS) -> Da
     shared. Hashes of 40 bits beyond the bucket's may clash, which can only raise a count."""
     width = 11
 
+    @K.lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens, owners = [], []
@@ -160,6 +162,7 @@ def shared_counts(docs: DataFrame, bucket_bits: int, n_words: int = WORDS) -> Da
         token, owner = token[new], owner[new]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(first, len(token)))
+        K.release()
         known = np.repeat((size > 1) | (owner[first] == 0), size) & (owner != 0)
         return reply(*np.unique(owner[known], return_counts=True))
 
@@ -183,6 +186,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, n_words: int = WORDS) -> DataF
     """(f, n, tokens): the sorted shingles of the wanted classes."""
     schema = T.StructType([T.StructField("f", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, offsets in K.chunks(b.column(0)):
@@ -197,6 +201,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, n_words: int = WORDS) -> DataF
 def key_table(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
     """(f, k0, k1): each class's smallest shingle under two orders, frequent shingles last."""
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k0, k1 = [], []
@@ -347,6 +352,7 @@ def _heavy(sets: DataFrame) -> np.ndarray:
     """Which of 2^16 hash cells hold frequent shingles, for the order of the seeds' keys. It is the same size for any input."""
     cells = 1 << CELL_BITS
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(cells, np.int64)
         for b in batches:
@@ -365,6 +371,7 @@ def blocks_of(sets: DataFrame, part: DataFrame, block_entries: int) -> DataFrame
     """(block, f, c, n, tokens): the sets and their components in blocks of about `block_entries` shingles, one row each."""
     names = ["block", "f", "c", "n", "tokens"]
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, bytes]] = []
         held = 0
@@ -396,6 +403,7 @@ def prefixes(blocks: DataFrame, bucket_bits: int) -> DataFrame:
     components hold, with the number of their classes, by which they are ordered.
     """
 
+    @K.lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, c, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
@@ -423,6 +431,7 @@ def prefixes(blocks: DataFrame, bucket_bits: int) -> DataFrame:
         keep = np.repeat(many, width)
         total = np.repeat(np.add.reduceat(size, first), width)[keep]
         out = _by_bucket(at[keep], np.hstack([_pack(token[keep], 8), _pack(total, 6)]), ["at", "packed"])
+        K.release()
         return pa.table({"block": pa.array(blocks[out.column(0).to_numpy()]), "packed": out.column(1)})
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:

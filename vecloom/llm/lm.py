@@ -96,6 +96,7 @@ def gather(rows: DataFrame, path: str, bits: int, shards: int) -> DataFrame:
     in all. Kind 1: subword, count in training texts. Kind 2: the shard, mark and subwords of each training text."""
     names = ["kind", "bucket", "mark", "packed"]
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, size = _coder(path)
         subwords = np.zeros(size, np.int64)
@@ -227,6 +228,7 @@ def train(texts: DataFrame, subwords: Subwords) -> A.Weights:
             flat = np.rint(A.flatten(w) * SCALE).astype(np.int64) * seen
             return pa.table({"flat": pa.array([flat.tobytes()], pa.binary()), "seen": pa.array([seen], pa.int64())})
 
+        @K.lean
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, seen = 0, 0
             for b in batches:
@@ -317,6 +319,7 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     schema = T.StructType(fields)
     keyed = rows.select(F.monotonically_increasing_id().alias("key"), "id", "held_out", "text")
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, size = _coder(path)
         hot_hash, hot_count, subwords, weights = shared.value

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecloom.llm import textkit as K
 from vecloom.llm.storage import table
 from vecloom.llm.textkit import mix
 from vecloom.llm.urls import host_of
@@ -210,6 +211,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     it is summed within the batch, within the task and behind the shuffle.
     """
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hosts, number = [], {}
@@ -319,6 +321,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     joined = salted.join(found, ["host", "salt"], "left").select("id", "url", "host", "html", "template")
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Template | None] = {}
         for b in batches:

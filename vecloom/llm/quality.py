@@ -114,6 +114,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     schema = T.StructType([docs.schema[id_col], *(T.StructField(m, T.LongType()) for m in METRICS), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = metrics(b.column(1))
@@ -127,6 +128,7 @@ def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     null ids stay or go with their texts; other columns may have any name. An empty table gives no rows."""
     at = docs.columns.index(text_col)
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(accepted(metrics(b.column(at)))))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm import encode as E
+from vecloom.llm import textkit as K
 from vecloom.llm.storage import shared_folder, table
 from vecloom.llm.textkit import mix
 
@@ -84,6 +85,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFram
         rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("chunks", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType()),
     ])
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (cache, width), sent = _coder(path), set()
         for b in batches:
@@ -151,6 +153,7 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
     made = spark.read.schema(dealt.drop("deal").schema).parquet(f"{folder}/data").filter("kind = 'recipes'").select("doc_id", "n_tokens", "chunks", "root")
     schema = T.StructType([T.StructField("part", T.IntegerType()), made.schema["doc_id"], T.StructField("at", T.LongType()), *(made.schema[c] for c in ("n_tokens", "chunks", "root"))])
 
+    @K.lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for b in batches:
@@ -171,6 +174,7 @@ def _part_roots(spark: SparkSession, folder: str) -> DataFrame:
     zeros here, and so fails its part."""
     rows = spark.read.parquet(f"{folder}/recipes")
 
+    @K.lean
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = [r if merkle_root(d) == r else bytes(32) for d, r in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
@@ -231,6 +235,7 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 def check_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """(digest, n, crc32) of every stored chunk, read from the files; a chunk whose ids don't give its digest fails."""
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             crcs = []
@@ -262,6 +267,7 @@ def read_report(spark: SparkSession, folder: str) -> DataFrame:
     joined = parts.join(checked, "digest", "left").groupBy("part", "at").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("crc32", F.lit(0)).alias("crc32")))).alias("p"))
     schema = "part int, at long, total long, ids_crc32 long, n_chunks long"
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(2)

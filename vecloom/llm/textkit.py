@@ -7,7 +7,9 @@ same as over code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,27 @@ _NGRAM = np.uint64(0xC2B2AE3D27D4EB4F)
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
+def release() -> None:
+    """Gives freed memory back to the system. Workers stay alive between tasks, beside the heap of their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """`run`, a function over the batches of a task, that leaves no freed memory behind."""
+
+    @functools.wraps(run)
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer: nearby inputs give unrelated outputs."""
     x = x.astype(np.uint64, copy=True)

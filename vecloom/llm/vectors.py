@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm.components import components
+from vecloom.llm import textkit as K
 from vecloom.llm.storage import table
 
 COSINE = 0.95
@@ -219,6 +220,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sample = [np.array(r["v"]) for r in classes.orderBy(F.xxhash64(F.col("c") + SEED), "c").limit(fit_rows).select("v").collect()]
     shared = vectors.sparkSession.sparkContext.broadcast(Forest(sample, total, trees, cosine))  # under 3 MB for the default sample
 
+    @K.lean
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, forest = {}, shared.value
         for b in batches:
@@ -230,6 +232,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # One row per leaf, of which the bounded sample allows only so many.
     sizes = {r["leaf"]: r["n"] for r in classes.select("v").mapInArrow(leaves, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > group_rows).collect()}
 
+    @K.lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, forest = ["leaf", "i", "j", "b", "c", "n", "leaves", "v"], shared.value
         for b in batches:
