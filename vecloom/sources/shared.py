@@ -27,4 +27,28 @@ def table(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vecloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of what `table` gave, once nothing that is still to run reads them."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables that are deleted together."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def table(self, df: DataFrame, name: str = "table") -> DataFrame:
+        self.made.append(table(df, name))
+        return self.made[-1]
+
+    def clear(self) -> None:
+        discard(*self.made)
+        self.made.clear()
