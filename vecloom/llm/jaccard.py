@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from vecloom.llm import textkit as K
 from vecloom.llm.components import components
-from vecloom.llm.storage import table
+from vecloom.llm.storage import Scratch, table
 
 WORDS = 5
 PERCENT = 75
@@ -337,10 +337,10 @@ def _seed_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def seed_links(sets: DataFrame, keys: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def seed_links(sets: DataFrame, keys: DataFrame, key: str, block_rows: int, scratch: Scratch) -> DataFrame:
     """(a, b): links among classes with one key of (f, key). Groups over `block_rows` are dealt out into blocks."""
     groups = keys.groupBy(key).agg(F.count("*").alias("rows"), F.min("f").alias("pivot")).filter("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / block_rows))
-    members = table(keys.join(groups, key).select(F.col("f").alias("mf"), F.col(key).alias("key"), "pivot", "blocks"), "members")
+    members = scratch.table(keys.join(groups, key).select(F.col("f").alias("mf"), F.col(key).alias("key"), "pivot", "blocks"), "members")
     rows = sets.select("f", "tokens").join(_hint(members), sets["f"] == members["mf"])
     own = F.pmod(F.xxhash64("f"), F.col("blocks"))
     blocks = F.when(F.col("f") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
@@ -474,7 +474,7 @@ def _search(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def cross_links(sets: DataFrame, part: DataFrame, block_entries: int, bin_entries: int) -> DataFrame:
+def cross_links(sets: DataFrame, part: DataFrame, block_entries: int, bin_entries: int, scratch: Scratch) -> DataFrame:
     """(a, b): components that links between classes join, by T-occurrence search.
 
     Classes that share a shingle of their prefixes make groups. Small groups are packed into bins, each with inverted lists
@@ -482,23 +482,23 @@ def cross_links(sets: DataFrame, part: DataFrame, block_entries: int, bin_entrie
     all blocks. Links within the most frequent component add nothing, and others are found from their other end.
     """
     total = sets.agg(F.sum("n").alias("s")).first()["s"] or 0
-    blocks = table(blocks_of(sets, part, block_entries), "blocks")
-    rows = table(prefixes(blocks, max(0, int(np.ceil(np.log2(max(1.0, total / block_entries)))))), "prefixes")
-    lists = table(rows.groupBy("token").agg(F.min("f").alias("hub"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("token", "hub"), "lists")
+    blocks = scratch.table(blocks_of(sets, part, block_entries), "blocks")
+    rows = scratch.table(prefixes(blocks, max(0, int(np.ceil(np.log2(max(1.0, total / block_entries)))))), "prefixes")
+    lists = scratch.table(rows.groupBy("token").agg(F.min("f").alias("hub"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("token", "hub"), "lists")
     groups = components(rows.join(lists, "token").select(F.col("f").alias("a"), F.col("hub").alias("b")))
-    live = table(rows.select("f", "c", "n").distinct().join(groups, F.col("f") == F.col("node")).select("f", "c", "n", F.col("component").alias("grp")), "live")
+    live = scratch.table(rows.select("f", "c", "n").distinct().join(groups, F.col("f") == F.col("node")).select("f", "c", "n", F.col("component").alias("grp")), "live")
     parts = live.groupBy("grp", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
     sizes = parts.groupBy("grp").agg(F.max(F.struct("rows", "c")).alias("main"), F.sum("entries").alias("entries"), F.max(F.struct("rows", "c", "entries"))["entries"].alias("main_entries"))
     half = F.lit(max(1, bin_entries // 2))
     sizes = sizes.withColumn("asking", F.ceil((F.col("entries") - F.col("main_entries")) / half)).withColumn("asked", F.ceil(F.col("main_entries") / half)).withColumn("small", F.col("entries") <= bin_entries)
     bins = max(1, -(-int(live.agg(F.sum("n").alias("s")).first()["s"] or 0) // bin_entries))
-    sizes = table(sizes.select(F.col("grp").alias("g"), F.col("main.c").alias("main"), "asking", "asked", "small"), "groups")
+    sizes = scratch.table(sizes.select(F.col("grp").alias("g"), F.col("main.c").alias("main"), "asking", "asked", "small"), "groups")
     placed = live.join(sizes, live["grp"] == sizes["g"]).withColumn("asks", F.col("c") != F.col("main"))
     hashed = F.xxhash64("f")
     place = F.when(F.col("small"), F.lit(0).cast("long")).when(F.col("asks"), F.pmod(hashed, "asking")).otherwise(F.col("asking") + F.pmod(hashed, "asked"))
     meets = F.when(F.col("small"), F.lit(1).cast("long")).when(F.col("asks"), F.col("asking") + F.col("asked")).otherwise(F.col("asking"))
     key = F.when(F.col("small"), F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.col("grp"))
-    placed = table(placed.select(F.col("f").alias("pf"), "c", "asks", "small", key.alias("key"), place.alias("own"), meets.alias("meets")), "placed")
+    placed = scratch.table(placed.select(F.col("f").alias("pf"), "c", "asks", "small", key.alias("key"), place.alias("own"), meets.alias("meets")), "placed")
     dealt = sets.select("f", "tokens").join(_hint(placed), sets["f"] == placed["pf"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("meets") - 1)))
     dealt = dealt.select("small", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "f", "c", "asks", "tokens")
     return dealt.groupBy("small", "key", "i", "j").applyInPandas(_search, "a long, b long")
@@ -507,25 +507,28 @@ def cross_links(sets: DataFrame, part: DataFrame, block_entries: int, bin_entrie
 def _labels(rows: DataFrame, n_words: int, bucket_entries: int, block_rows: int, block_entries: int, bin_entries: int) -> tuple[DataFrame, DataFrame]:
     """(known, labels) of (id, text, t, h): known has (id, n, f, t, h), labels has (lf, label), one row per class f, equal
     for classes that links join."""
+    scratch = Scratch()
     known = table(classify(rows, n_words), "sets")
-    classes = table(known.filter("f is not null").groupBy("f").agg(F.min("n").alias("n"), F.min(F.struct("t", "id")).alias("r")), "classes")
+    classes = scratch.table(known.filter("f is not null").groupBy("f").agg(F.min("n").alias("n"), F.min(F.struct("t", "id")).alias("r")), "classes")
     total = classes.agg(F.sum("n").alias("s")).first()["s"] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, total / 3 / bucket_entries)))))
     shared = shared_counts(rows, bits, n_words)
     slack = F.col("n") - F.expr("(3 * n + 3) div 4")
     need = 1 + F.floor(slack / 4)
     wanted = classes.withColumn("g", F.col("f").bitwiseAND(F.lit((1 << 48) - 1))).join(shared, "g").filter(F.col("shared") >= need)
-    wanted = table(wanted.select(F.col("f").alias("wf"), F.col("r.t").alias("wt"), F.col("r.id").alias("wid")), "wanted")
-    sets = table(set_table(rows, wanted, n_words).filter("n > 0"), "tokens")
+    wanted = scratch.table(wanted.select(F.col("f").alias("wf"), F.col("r.t").alias("wt"), F.col("r.id").alias("wid")), "wanted")
+    sets = scratch.table(set_table(rows, wanted, n_words).filter("n > 0"), "tokens")
     if sets.count() > wanted.count():  # rows that are alike in id and text
-        sets = table(sets.dropDuplicates(["f"]), "tokens")
-    keys = table(key_table(sets, _heavy(sets)), "keys")
-    seeds = table(seed_links(sets, keys, "k0", block_rows).unionByName(seed_links(sets, keys, "k1", block_rows)).distinct(), "seeds")
-    part = table(components(seeds), "part")
-    more = table(components(cross_links(sets, part, block_entries, bin_entries)).select(F.col("node").alias("mn"), F.col("component").alias("mc")), "more")
+        sets = scratch.table(sets.dropDuplicates(["f"]), "tokens")
+    keys = scratch.table(key_table(sets, _heavy(sets)), "keys")
+    seeds = scratch.table(seed_links(sets, keys, "k0", block_rows, scratch).unionByName(seed_links(sets, keys, "k1", block_rows, scratch)).distinct(), "seeds")
+    part = scratch.table(components(seeds), "part")
+    more = scratch.table(components(cross_links(sets, part, block_entries, bin_entries, scratch)).select(F.col("node").alias("mn"), F.col("component").alias("mc")), "more")
     one = classes.select("f").join(part, classes["f"] == part["node"], "left").select("f", F.coalesce("component", "f").alias("c"))
     labels = one.join(more, one["c"] == more["mn"], "left").select(F.col("f").alias("lf"), F.coalesce("mc", "c").alias("label"))
-    return known, table(labels, "labels")
+    labels = table(labels, "labels")
+    scratch.clear()
+    return known, labels
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, bucket_entries: int = BUCKET_ENTRIES, block_rows: int = BLOCK_ROWS, block_entries: int = BLOCK_ENTRIES, bin_entries: int = BIN_ENTRIES) -> DataFrame:

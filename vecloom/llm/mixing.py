@@ -83,7 +83,12 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """The rows of the mix: each row of `docs`, all columns as they are, as many times as `mix_report` takes it."""
+    """The rows of the mix: each row of `docs`, all columns as they are, as many times as `mix_report` takes it.
+
+    Rows meet their numbers of copies by a merge join whatever their number, so the plan and its one shuffle of texts are
+    the same for small and large tables. Nulls, repeated rows and empty tables as in `mix_report`; of rows alike in
+    every column one stands for all. Other columns may have any name.
+    """
     plan = table(_plan(docs, id_col, text_col, source_col, seed).select("source", "size", "id", "row_hash", "n", _crossed(F.col("start"), F.col("n")).alias("copies")), "plan")
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash"))
     twin = plan.filter("n > 1").select("row_hash", F.struct("source", "size", "id").alias("twin")).distinct()
@@ -91,7 +96,7 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     if not twin.isEmpty():  # rows alike in every column: one of them stands for all
         alike = tagged.join(twin.select("row_hash").distinct(), "row_hash", "left_semi").dropDuplicates()
         tagged = tagged.join(twin.select("row_hash").distinct(), "row_hash", "left_anti").unionByName(alike)
-    kept = tagged.join(wanted, (tagged["row_hash"] == wanted["row_hash"]) & tagged[f"row.{id_col}"].eqNullSafe(wanted["id"]))
+    kept = tagged.join(wanted.hint("merge"), (tagged["row_hash"] == wanted["row_hash"]) & tagged[f"row.{id_col}"].eqNullSafe(wanted["id"]))
     return kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 

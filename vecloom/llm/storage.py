@@ -1,5 +1,5 @@
 """Tables in the shared folder."""
 
-from vecloom.sources.shared import shared_folder, table
+from vecloom.sources.shared import Scratch, discard, shared_folder, table
 
-__all__ = ["shared_folder", "table"]
+__all__ = ["Scratch", "discard", "shared_folder", "table"]
