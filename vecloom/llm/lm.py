@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from vecloom.llm.storage import table
 ALONE, BANDS = 992, 32  # their sum is a multiple of the model's MEMBERS
 SHARD_BYTES = 16 << 20  # of text, on average
 START_STEPS, START_RATE, START_WINDOWS = 3000, 0.03, 64  # on the first shard, as often as that takes
-RATE, BATCH_WINDOWS = 0.01, 256  # once through each shard
+RATE, BATCH_WINDOWS = 0.01, 512  # once through each shard
 SCALE = 1 << 24  # weights are averaged as integers
 BLOCK_WINDOWS = 512  # scored at a time
 FREQUENT_WORDS = 1_000_000  # of 16 bytes each: all that is broadcast, whatever the input
@@ -115,7 +116,8 @@ def gather(rows: DataFrame, path: str, bits: int, shards: int) -> DataFrame:
                 n = len(bounds) - 1
                 train = ~held[row : row + n]
                 used = np.repeat(train, np.diff(bounds))
-                h, t, e = _sum_by(hashes, used.astype(np.int64), np.ones(len(hashes), np.int64))
+                code, h = pd.factorize(hashes)
+                t, e = np.bincount(code, used, len(h)).astype(np.int64), np.bincount(code, minlength=len(h))
                 words.append((np.append(h, END_HASH), np.append(t, train.sum()), np.append(e, n)))
                 subwords += np.bincount(ids[np.repeat(train, np.diff(sub))], minlength=size)
                 some = np.flatnonzero(train)
