@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vecloom.functions.distance import fold_l2, l2, prefix_l2
 from vecloom.operators import ivf, layout, pq, thresholds
 from vecloom.operators.topk import exact_knn, recall
-from vecloom.plans import search
+from vecloom.plans import metrics, search
 from vecloom.plans.params import PqParams, SearchParams, StagedParams
 
 DIM, NLIST = 8, 6
@@ -44,8 +44,9 @@ def test_exact_and_whole_probe(world):
 
 
 def test_max_queries(world):
-    found = search.ivf_flat(world["lists"], world["centroids"], world["queries"], SearchParams(2, max_queries=21))
-    assert {r[0] for r in rows(found)} == {1, 21}
+    for n in (1, 2, 21):  # the first n queries, whose ids are 1, 21, 41, ...
+        found = search.ivf_flat(world["lists"], world["centroids"], world["queries"], SearchParams(2, max_queries=n))
+        assert {r[0] for r in rows(found)} == set(range(1, 151, 20)[:n])
 
 
 def test_rerank_of_everything_is_flat(world):
@@ -90,7 +91,11 @@ def test_thresholds_fall_back(spark):
 def test_recall(spark):
     found = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 7), (3, 1, 1)], "qid long, rank long, vec_id long")
     truth = spark.createDataFrame([(1, [6, 9, 5]), (2, [8])], "qid long, gt array<int>")
-    assert sorted(map(tuple, recall(found, truth).collect())) == [(1, 0.5, 2), (2, 0.0, 1), (3, -1.0, 1)]
+    queries = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "qid long")
+    truth = truth.unionByName(spark.createDataFrame([(4, [7, 8]), (9, [1])], "qid long, gt array<int>").select(*truth.columns))
+    got = recall(found, truth, queries)
+    assert sorted(map(tuple, got.collect())) == [(1, 0.5, 2), (2, 0.0, 1), (3, -1.0, 1), (4, 0.0, 0), (5, -1.0, 0)]
+    assert metrics.run_summary(got).first()[:2] == (5, 0.1)  # a query that finds nothing counts
 
 
 def test_engines_agree(world):

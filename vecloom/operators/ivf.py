@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions.distance import fold_l2, l2
-from vecloom.operators.topk import top_k
+from vecloom.operators.topk import BLOCK_CELLS, top_k
 from vecloom.sources.shared import table
 
 BLOCK = 65_536
@@ -105,7 +105,8 @@ def check_members(members: DataFrame, vectors: DataFrame) -> None:
 
 def kmeans(vectors: DataFrame, nlist: int, iterations: int = 10, centroids: DataFrame | None = None, sample_rows: int | None = None, seed: int = 42) -> DataFrame:
     """(cluster_id, centroid) by Lloyd iterations from `centroids`, or from vectors of the data. With `sample_rows` it fits
-    on so many rows of lowest hash. Sums are made per task before the shuffle; an empty cluster keeps its centroid."""
+    on so many rows of lowest hash. Distances are made in blocks of BLOCK_CELLS, sums per task, and a row per cluster and
+    task is shuffled; an empty cluster keeps its centroid."""
     rows = vectors.filter("embedding is not null")
     if sample_rows:
         rows = table(rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows), "train")
@@ -116,20 +117,30 @@ def kmeans(vectors: DataFrame, nlist: int, iterations: int = 10, centroids: Data
         shared = spark.sparkContext.broadcast(matrix)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            c = shared.value
-            sums, n = np.zeros(c.shape), np.zeros(len(c))
+            c = shared.value.astype(np.float64)
+            half, sums, n = (c * c).sum(axis=1) / 2, np.zeros(c.shape), np.zeros(len(c), np.int64)
+            step = max(1, BLOCK_CELLS // len(c))
             for b in batches:
                 lists = b.column(0)
-                x = lists.values.to_numpy(zero_copy_only=False)[lists.offsets.to_numpy()[0] :][: len(b) * c.shape[1]].reshape(-1, c.shape[1])
-                label = np.argmin((c * c).sum(1)[None] - 2 * (x @ c.T), axis=1)
-                np.add.at(sums, label, x)
-                n += np.bincount(label, minlength=len(c))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(c)), c.shape[1])), pa.array(np.tile(np.arange(c.shape[1]), len(c))), pa.array(sums.ravel()), pa.array(np.repeat(n, c.shape[1]))], names=["c", "d", "s", "n"])
+                at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+                for s in range(0, len(b), step):
+                    x = flat[at[s : min(s + step, len(b))][:, None] + np.arange(c.shape[1])].astype(np.float64)
+                    label = np.argmin(half[None] - x @ c.T, axis=1)
+                    order = np.argsort(label, kind="stable")
+                    first = np.flatnonzero(np.diff(label[order], prepend=-1))
+                    sums[label[order[first]]] += np.add.reduceat(x[order], first)
+                    n += np.bincount(label, minlength=len(c))
+            some = np.flatnonzero(n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * c.shape[1], pa.int32()), pa.array(sums[some].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(some), lists, pa.array(n[some])], names=["c", "s", "n"])
+
+        def mean(key: tuple, group: pa.Table) -> pa.Table:
+            total = np.sum(group.column("s").combine_chunks().flatten().to_numpy().reshape(len(group), -1), axis=0)
+            return pa.table({"c": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([(total / sum(group.column("n").to_pylist())).astype(np.float32)], pa.list_(pa.float32()))})
 
         new = matrix.copy()
-        for r in rows.select("embedding").mapInArrow(run, "c long, d long, s double, n double").groupBy("c", "d").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
-            if r["n"]:
-                new[r["c"], r["d"]] = r["s"] / r["n"]
+        for r in rows.select("embedding").mapInArrow(run, "c long, s array<double>, n long").groupBy("c").applyInArrow(mean, "c long, v array<float>").collect():
+            new[r["c"]] = r["v"]
         if np.array_equal(new, matrix):
             break
         matrix = new
@@ -141,8 +152,11 @@ def balanced(candidates: DataFrame, sizes: int, nlist: int, seed: int | None = 4
 
     Vectors have a common order (by seeded hash; by id where `seed` is None); each takes the first of its candidates that
     is not full when its turn comes. As all clusters prefer earlier vectors, deferred acceptance gives the same
-    matching: in rounds, vectors propose to their next candidate, and clusters keep the first `sizes`. Vectors whose
-    candidates are all full then fill the emptiest clusters, lowest id first, in order.
+    matching: in rounds, vectors propose to their next candidate, and clusters keep the first `sizes`.
+
+    A vector whose candidates are all full when its turn comes goes to the emptiest cluster, lowest id first, and so takes
+    part in all later choices. From the first such vector on, vectors are placed one after the other by one task, which
+    holds the clusters' sizes only. With enough candidates a vector there are few of them, or none.
     """
     turn = F.col("vec_id") if seed is None else F.xxhash64("vec_id", F.lit(seed))
     lists = candidates.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("probe_rank", "cluster_id"))).alias("c")).select("vec_id", F.col("c.cluster_id").alias("c"), turn.alias("turn"), F.lit(0).alias("next"))
@@ -157,29 +171,44 @@ def balanced(candidates: DataFrame, sizes: int, nlist: int, seed: int | None = 4
         state = table(ranked.withColumn("next", F.col("next") + F.col("rejected").cast("int")), "balanced").select("vec_id", "c", "turn", "next", "rejected")
         if state.filter("rejected").isEmpty():
             break
-    placed = state.withColumn("cluster_id", F.get("c", F.col("next"))).select("vec_id", "turn", "cluster_id")
-    settled, left = placed.filter("cluster_id is not null"), placed.filter("cluster_id is null")
-    if not left.isEmpty():
-        spark = candidates.sparkSession
-        counts = spark.range(nlist).withColumnRenamed("id", "cluster_id").join(settled.groupBy("cluster_id").agg(F.count("*").alias("n")), "cluster_id", "left").select("cluster_id", F.coalesce("n", F.lit(0)).alias("n"))
-        slots = counts.filter(F.col("n") < sizes).withColumn("level", F.explode(F.sequence(F.col("n"), F.lit(sizes - 1).cast("long"))))
-        slots = slots.withColumn("r", F.row_number().over(W.orderBy("level", "cluster_id"))).select("r", F.col("cluster_id").alias("slot"))
-        left = left.withColumn("r", F.row_number().over(W.orderBy("turn", "vec_id"))).join(slots, "r").select("vec_id", "turn", F.col("slot").alias("cluster_id"))
-        settled = settled.unionByName(left)
-    return settled.select("vec_id", "cluster_id")
-
-
-def overlap_lists(labels: DataFrame, candidates: DataFrame, target: int, nlist: int, seed: int = 42) -> DataFrame:
+    placed = state.withColumn("cluster_id", F.get("c", F.col("next")))
+    first = placed.filter("cluster_id is null").agg(F.min(F.struct("turn", "vec_id")).alias("f")).first()["f"]
+    if first is None:
+        return placed.select("vec_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+    late = (F.col("turn") > first["turn"]) | ((F.col("turn") == first["turn"]) & (F.col("vec_id") >= first["vec_id"]))
+    settled = placed.filter(~late)
+    start = np.zeros(nlist, np.int64)
+    for r in settled.groupBy("cluster_id").agg(F.count("*").alias("n")).collect():
+        start[r["cluster_id"]] = r["n"]
+
+    def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = start.copy()
+        for b in batches:
+            chosen = []
+            for wishes in b.column(1).to_pylist():
+                c = next((c for c in wishes if counts[c] < sizes), None)
+                c = int(np.argmin(counts)) if c is None else c  # a full cluster is never the emptiest
+                counts[c] += 1
+                chosen.append(c)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chosen, pa.int64())], names=["vec_id", "cluster_id"])
+
+    kind = state.schema["vec_id"].dataType.simpleString()
+    rest = placed.filter(late).select("vec_id", "c", "turn").repartition(1).sortWithinPartitions("turn", "vec_id").select("vec_id", "c").mapInArrow(in_turn, f"vec_id {kind}, cluster_id long")
+    return settled.select("vec_id", F.col("cluster_id").cast("long").alias("cluster_id")).unionByName(rest)
+
+
+def overlap_lists(labels: DataFrame, candidates: DataFrame, target: int, nlist: int, seed: int | None = 42) -> DataFrame:
     """(cluster_id, vec_id, padded): the lists of `labels`, and donated vectors for lists shorter than `target`.
 
-    In seeded order each vector is donated at most once, to the first of its candidates that still needs one; a list may
+    In seeded order (by id where `seed` is None) each vector is donated at most once, to the first of its candidates that still needs one; a list may
     so hold a vector twice. It is the same matching as in `balanced`, with the lists' needs as sizes. Raises if a list
     stays short.
     """
     sizes = labels.sparkSession.range(nlist).withColumnRenamed("id", "cluster_id").join(labels.groupBy("cluster_id").agg(F.count("*").alias("n")), "cluster_id", "left")
+    turn = F.col("vec_id") if seed is None else F.xxhash64("vec_id", F.lit(seed))
     needs = table(sizes.select("cluster_id", F.greatest(F.lit(0), F.lit(target) - F.coalesce("n", F.lit(0))).alias("need")), "needs")
     lists = candidates.join(needs.filter("need > 0"), "cluster_id").groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("probe_rank", "cluster_id"))).alias("c"))
-    state = table(lists.select("vec_id", F.col("c.cluster_id").alias("c"), F.xxhash64("vec_id", F.lit(seed)).alias("turn"), F.lit(0).alias("next")), "overlap")
+    state = table(lists.select("vec_id", F.col("c.cluster_id").alias("c"), turn.alias("turn"), F.lit(0).alias("next")), "overlap")
     while True:
         asked = state.withColumn("cluster_id", F.get("c", F.col("next"))).join(needs, "cluster_id", "left")
         place = F.row_number().over(W.partitionBy("cluster_id").orderBy("turn", "vec_id"))

@@ -1,4 +1,4 @@
-"""Bounded top-k, argmin and recall."""
+"""Bounded top-k and recall."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +22,6 @@ def top_k(rows: DataFrame, k: int, by: list[str], order: list[str], rank: str =
     return rows.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")).filter(F.col(rank) <= k)
 
 
-def argmin(distance: Column, index: Column) -> Column:
-    """Aggregate: the index of the smallest distance, the lowest one on ties."""
-    return F.min(F.struct(distance.alias("dist"), index.alias("index")))
-
-
 def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(qid, rank, vec_id, dist): the k nearest vectors of `base` (vec_id, embedding) to each query (qid, q).
 
@@ -80,11 +75,12 @@ def query_batches(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield np.array(qid), np.stack(q)
 
 
-def recall(found: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, recall, n_found) of found (qid, rank, vec_id) against truth (qid, gt): the share of the first
-    least(k, found, gt) entries of each that agree; 0 if that is none, -1 for queries without a truth row."""
+def recall(found: DataFrame, truth: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, recall, n_found) for every query of `queries` (qid), of found (qid, rank, vec_id) against truth (qid, gt): the
+    share of the first least(k, found, gt) entries of each that agree; 0 if that is none, as for a query that finds
+    nothing; -1 for queries without a truth row."""
     got = found.filter(F.col("rank") <= k).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("p")).select("qid", F.col("p.vec_id").alias("pred"))
-    both = got.join(truth.select("qid", F.col("gt").cast("array<long>").alias("gt")), "qid", "left")
+    both = queries.select("qid").join(got, "qid", "left").join(truth.select("qid", F.col("gt").cast("array<long>").alias("gt")), "qid", "left").withColumn("pred", F.coalesce("pred", F.expr("cast(array() as array<long>)")))
     n = F.least(F.lit(k), F.size("pred"), F.size("gt"))
     share = F.size(F.array_intersect(F.slice("pred", F.lit(1), n), F.slice("gt", F.lit(1), n))) / n
     value = F.when(F.col("gt").isNull(), F.lit(-1.0)).when(n == 0, F.lit(0.0)).otherwise(share)

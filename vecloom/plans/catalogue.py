@@ -21,6 +21,7 @@ NLIST, NPROBE, DIM = 32, 8, 64
 SHARDS = (24, 16, 16, 8)
 M, KSUB, RERANK = 8, 16, 50
 COMPONENTS = 16
+CANDIDATES = 4  # of the balanced assignment; few, so that some vectors find all of theirs full
 
 
 class Fixture:
@@ -195,6 +196,18 @@ def kmeans_fit(f: Fixture) -> DataFrame:
     return ivf.cluster_sizes(ivf.assign(f.base, centroids), centroids)
 
 
+def kmeans_steps(f: Fixture) -> DataFrame:
+    """Centroids after two iterations, from those that SQL can name, too."""
+    found = ivf.kmeans(f.base, NLIST, 2, centroids=f.centroids)
+    return found.select("cluster_id", F.posexplode("centroid").alias("j", "v")).select("cluster_id", F.col("j").cast("long").alias("j"), F.round(F.col("v").cast("double"), 4).alias("value"))
+
+
+def pq_train_steps(f: Fixture) -> DataFrame:
+    """Codebooks after two iterations."""
+    rows = pq.train(f.base, M, DIM, KSUB, 2).select("part", "code", F.posexplode("centroid").alias("j", "v"))
+    return rows.select(F.col("part").cast("long").alias("part"), F.col("code").cast("long").alias("code"), F.col("j").cast("long").alias("j"), F.round(F.col("v").cast("double"), 4).alias("value"))
+
+
 def pq_train(f: Fixture) -> DataFrame:
     return pq.train(f.base, M, DIM, KSUB, 3).select("part", "code", "centroid")
 
@@ -266,7 +279,7 @@ def payload_bytes(f: Fixture) -> DataFrame:
 
 
 def recall_at_10(f: Fixture) -> DataFrame:
-    return K.recall(search.ivf_flat(f.lists, f.centroids, f.queries, _FLAT), f.truth).select("qid", _r("recall"), "n_found")
+    return K.recall(search.ivf_flat(f.lists, f.centroids, f.queries, _FLAT), f.truth, f.queries).select("qid", _r("recall"), "n_found")
 
 
 def run_summary(f: Fixture) -> DataFrame:
@@ -275,18 +288,18 @@ def run_summary(f: Fixture) -> DataFrame:
 
 def balanced_assign(f: Fixture) -> DataFrame:
     n = f.base.count()
-    return ivf.balanced(ivf.nearest(f.base, f.centroids, NLIST), -(-n * 5 // (4 * NLIST)), NLIST, None)
+    return ivf.balanced(ivf.nearest(f.base, f.centroids, CANDIDATES), -(-n * 5 // (4 * NLIST)), NLIST, None)
 
 
 def overlap_lists(f: Fixture) -> DataFrame:
     n = f.base.count()
     near = ivf.nearest(f.base, f.centroids, NPROBE)
-    return ivf.overlap_lists(f.labels, near, max(1, n // NLIST // 2), NLIST)
+    return ivf.overlap_lists(f.labels, near, max(1, n // NLIST // 2), NLIST, None).select(F.col("cluster_id").cast("long").alias("cluster_id"), "vec_id", "padded")
 
 
 _ALL = [
     exact_knn, exact_knn_join, coarse_probe, coarse_probe_join, ivf_assign, ivf_lists, cluster_extents, cluster_stats, label_checks, ivf_flat_topk, prune_sample, threshold_sampled,
-    threshold_centroid, staged_topk_sampled, staged_topk_centroid, stage_counters, stage_summary, segments, pca_transform, pca_transform_whiten, pca_fit, kmeans_fit, pq_train, pq_encode,
+    threshold_centroid, staged_topk_sampled, staged_topk_centroid, stage_counters, stage_summary, segments, pca_transform, pca_transform_whiten, pca_fit, kmeans_fit, kmeans_steps, pq_train, pq_train_steps, pq_encode,
     adc_table, adc_scan_topr, ivfpq_rerank_topk, greedy_placement, pq_raw_regions, rerank_read_groups, shard_packing, replica_lba, replica_assignment, batch_slices, stage0_read_runs,
     payload_bytes, recall_at_10, run_summary, balanced_assign, overlap_lists,
 ]
@@ -333,6 +346,35 @@ _CTE = {
 }
 
 
+def _lloyd(old: str) -> tuple[str, str]:
+    """SQL of one iteration of k-means from the table `old` (cluster_id, centroid): labels, centroids."""
+    label = f"SELECT vec_id, embedding, cluster_id FROM b, {old} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY {l2_sql('embedding', 'centroid')}, cluster_id) = 1"
+    sums = f"SELECT cluster_id, list(m::FLOAT ORDER BY j) AS mean FROM (SELECT cluster_id, j, avg(embedding[j]::DOUBLE) AS m FROM {{}}, range(1, {DIM + 1}) r(j) GROUP BY cluster_id, j) GROUP BY cluster_id"
+    return label, f"SELECT o.cluster_id, coalesce(n.mean, o.centroid) AS centroid FROM {old} o LEFT JOIN ({sums}) n USING (cluster_id)"
+
+
+for _old, _label, _new in (("c", "lab1", "c1"), ("c1", "lab2", "c2")):
+    _CTE[_label], _sql = _lloyd(_old)
+    _CTE[_new] = _sql.format(_label)
+_SUB = DIM // M
+for _old, _label, _new in (("codes", "plab1", "codes1"), ("codes1", "plab2", "codes2")):
+    _CTE[_label] = f"SELECT vec_id, part, sub, code FROM (SELECT vec_id, c.part, c.code, c.centroid, embedding[c.part * {_SUB} + 1 : (c.part + 1) * {_SUB}] AS sub FROM b, {_old} c) QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY {l2_sql('sub', 'centroid')}, code) = 1"
+    _CTE[_new] = f"SELECT o.code, o.part, coalesce(n.mean, o.centroid) AS centroid FROM {_old} o LEFT JOIN (SELECT part, code, list(m::FLOAT ORDER BY j) AS mean FROM (SELECT part, code, j, avg(sub[j]::DOUBLE) AS m FROM {_label}, range(1, {_SUB + 1}) r(j) GROUP BY part, code, j) GROUP BY part, code) n USING (part, code)"
+# Vectors one after the other: the state is the number of vectors (or of those still needed) of each cluster.
+_CTE["wish4"] = f"SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list(cluster_id ORDER BY dist, cluster_id)[1:{CANDIDATES}] AS wish FROM near GROUP BY vec_id"
+_CTE["bal"] = (
+    f"SELECT 0::BIGINT AS i, NULL::BIGINT AS vec_id, NULL::BIGINT AS cluster_id, list_transform(range(0, {NLIST}), lambda x: 0::BIGINT) AS n, (SELECT (count(*) * 5 + {4 * NLIST - 1}) // {4 * NLIST} FROM b)::BIGINT AS most UNION ALL"
+    " SELECT i, vec_id, pick, list_transform(n, lambda v, k: CASE WHEN k = pick + 1 THEN v + 1 ELSE v END), most FROM"
+    " (SELECT w.i, w.vec_id, s.n, s.most, coalesce(list_filter(w.wish, lambda x: s.n[x + 1] < s.most)[1], list_position(s.n, list_min(s.n)) - 1)::BIGINT AS pick FROM bal s JOIN wish4 w ON w.i = s.i + 1)"
+)
+_CTE["wish8"] = f"SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list(cluster_id ORDER BY dist, cluster_id)[1:{NPROBE}] AS wish FROM near GROUP BY vec_id"
+_CTE["given"] = (
+    f"SELECT 0::BIGINT AS i, NULL::BIGINT AS vec_id, NULL::BIGINT AS cluster_id, (SELECT list(greatest(0, greatest(1, (SELECT count(*) FROM b) // {NLIST} // 2) - num_vectors)::BIGINT ORDER BY cluster_id) FROM sizes) AS need UNION ALL"
+    " SELECT i, vec_id, pick, list_transform(need, lambda v, k: CASE WHEN k = pick + 1 THEN v - 1 ELSE v END) FROM"
+    " (SELECT w.i, w.vec_id, s.need, list_filter(w.wish, lambda x: s.need[x + 1] > 0)[1]::BIGINT AS pick FROM given s JOIN wish8 w ON w.i = s.i + 1)"
+)
+
+
 def _prefix(stage: int) -> str:
     return f"list_sum(sq[1:{sum(SHARDS[: stage + 1])}])"
 
@@ -403,6 +445,10 @@ _SQL = {
     "stage0_read_runs": f"SELECT qid, count(*) AS reads, sum(n)::BIGINT AS sectors FROM (SELECT qid, cluster_id, batch, g, count(*) AS n FROM (SELECT *, bundle - row_number() OVER (PARTITION BY qid, cluster_id, batch ORDER BY bundle) AS g FROM (SELECT DISTINCT qid, cluster_id, local_idx // 256 AS batch, local_idx // {_PER} AS bundle FROM st_s WHERE stages >= 1)) GROUP BY ALL) GROUP BY qid",
     "payload_bytes": f"SELECT qid, count(*) AS candidates, count(*) * {DIM} * 4 AS flat_bytes, count(*) * {M} + least(count(*), {RERANK}) * {DIM} * 4 AS pq_bytes FROM cand GROUP BY qid",
     "recall_at_10": "SELECT * FROM rec",
+    "balanced_assign": "SELECT vec_id, cluster_id FROM bal WHERE i > 0",
+    "overlap_lists": "SELECT cluster_id, vec_id, false AS padded FROM labels UNION ALL SELECT cluster_id, vec_id, true AS padded FROM given WHERE cluster_id IS NOT NULL",
+    "kmeans_steps": f"SELECT cluster_id, j - 1 AS j, round(centroid[j]::DOUBLE, 4) AS value FROM c2, range(1, {DIM + 1}) r(j)",
+    "pq_train_steps": f"SELECT part, code, j - 1 AS j, round(centroid[j]::DOUBLE, 4) AS value FROM codes2, range(1, {DIM // M + 1}) r(j)",
     "run_summary": "SELECT count(*) AS queries, round(sum(greatest(recall, 0)) / count(*), 6) AS recall, round(avg(n_found), 6) AS avg_found FROM rec",
 }
 

@@ -17,8 +17,8 @@ from vecloom.plans.params import PqParams, SearchParams, StagedParams
 
 
 def limited(queries: DataFrame, params: SearchParams) -> DataFrame:
-    """The first max_queries queries by qid, which counts from 1; all if it is 0."""
-    return queries.filter(F.col("qid") <= params.max_queries) if params.max_queries else queries
+    """The first max_queries queries in the order of qid, whatever their ids; all if it is 0."""
+    return queries.orderBy("qid").limit(params.max_queries) if params.max_queries else queries
 
 
 def candidates(lists: DataFrame, queries: DataFrame, probes: DataFrame) -> DataFrame:
