@@ -69,6 +69,11 @@ def _r(name: str = "dist", digits: int = 6):
     return F.round(F.col(name), digits).alias(name)
 
 
+def _positive(value):
+    """Without a sign on zero."""
+    return F.when(value == 0, F.lit(0.0)).otherwise(value)
+
+
 _FLAT = SearchParams(NPROBE)
 _STAGED = {mode: StagedParams(NPROBE, shard_dims=SHARDS, prune_threshold_mode=mode, prune_proportions=(0.8, 0.9, 1.0, 1.0) if mode == "sampled" else (1.0, 1.0, 1.0, 1.0)) for mode in ("sampled", "centroid")}
 
@@ -199,13 +204,13 @@ def kmeans_fit(f: Fixture) -> DataFrame:
 def kmeans_steps(f: Fixture) -> DataFrame:
     """Centroids after two iterations, from those that SQL can name, too."""
     found = ivf.kmeans(f.base, NLIST, 2, centroids=f.centroids)
-    return found.select("cluster_id", F.posexplode("centroid").alias("j", "v")).select("cluster_id", F.col("j").cast("long").alias("j"), F.round(F.col("v").cast("double"), 4).alias("value"))
+    return found.select("cluster_id", F.posexplode("centroid").alias("j", "v")).select("cluster_id", F.col("j").cast("long").alias("j"), _positive(F.round(F.col("v").cast("double"), 4)).alias("value"))
 
 
 def pq_train_steps(f: Fixture) -> DataFrame:
     """Codebooks after two iterations."""
     rows = pq.train(f.base, M, DIM, KSUB, 2).select("part", "code", F.posexplode("centroid").alias("j", "v"))
-    return rows.select(F.col("part").cast("long").alias("part"), F.col("code").cast("long").alias("code"), F.col("j").cast("long").alias("j"), F.round(F.col("v").cast("double"), 4).alias("value"))
+    return rows.select(F.col("part").cast("long").alias("part"), F.col("code").cast("long").alias("code"), F.col("j").cast("long").alias("j"), _positive(F.round(F.col("v").cast("double"), 4)).alias("value"))
 
 
 def pq_train(f: Fixture) -> DataFrame:
@@ -447,8 +452,8 @@ _SQL = {
     "recall_at_10": "SELECT * FROM rec",
     "balanced_assign": "SELECT vec_id, cluster_id FROM bal WHERE i > 0",
     "overlap_lists": "SELECT cluster_id, vec_id, false AS padded FROM labels UNION ALL SELECT cluster_id, vec_id, true AS padded FROM given WHERE cluster_id IS NOT NULL",
-    "kmeans_steps": f"SELECT cluster_id, j - 1 AS j, round(centroid[j]::DOUBLE, 4) AS value FROM c2, range(1, {DIM + 1}) r(j)",
-    "pq_train_steps": f"SELECT part, code, j - 1 AS j, round(centroid[j]::DOUBLE, 4) AS value FROM codes2, range(1, {DIM // M + 1}) r(j)",
+    "kmeans_steps": f"SELECT cluster_id, j - 1 AS j, CASE WHEN round(centroid[j]::DOUBLE, 4) = 0 THEN 0.0 ELSE round(centroid[j]::DOUBLE, 4) END::DOUBLE AS value FROM c2, range(1, {DIM + 1}) r(j)",
+    "pq_train_steps": f"SELECT part, code, j - 1 AS j, CASE WHEN round(centroid[j]::DOUBLE, 4) = 0 THEN 0.0 ELSE round(centroid[j]::DOUBLE, 4) END::DOUBLE AS value FROM codes2, range(1, {DIM // M + 1}) r(j)",
     "run_summary": "SELECT count(*) AS queries, round(sum(greatest(recall, 0)) / count(*), 6) AS recall, round(avg(n_found), 6) AS avg_found FROM rec",
 }
 
