@@ -79,7 +79,7 @@ def merkle_root(digests: list[bytes]) -> bytes:
 
 def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
     """One row per document (kind recipes), and one per chunk and task (kind chunks), with a hash that deals them out."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("mark"))
     schema = T.StructType([
         T.StructField("kind", T.StringType()), T.StructField("deal", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType()),
         rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("chunks", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType()),
@@ -117,7 +117,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFram
                 at = np.searchsorted(cuts, bounds[1:]) + 1
                 lists = [digests[s:e] for s, e in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)]
                 roots = [merkle_root(x) for x in lists]
-                deal = np.frombuffer(b"".join(r[8:16] for r in roots), np.int64)
+                deal = np.frombuffer(b"".join(r[8:16] for r in roots), np.int64) ^ b.column(2).to_numpy()[row : row + n]  # copies lie apart
                 yield pa.RecordBatch.from_arrays([pa.array(["recipes"] * n, pa.string()), pa.array(deal), *blank(n, "digest", "n", "ids"), b.column(0).slice(row, n), pa.array(np.diff(bounds)), pa.array(lists, pa.list_(pa.binary())), pa.array(roots, pa.binary())], names=schema.names)
                 row += n
 
