@@ -50,6 +50,7 @@ def cloud():
 
 @pytest.mark.parametrize("sizes", [{}, {"block_rows": 16}, {"block_rows": 16, "group_rows": 16}, {"fit_rows": 40}, {"fit_rows": 40, "block_rows": 50}])
 def test_forest(cloud, sizes, spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TOP_ROWS", 40)
     monkeypatch.setattr(vectors, "LEAF_ROWS", 40)
     df = spark.createDataFrame(cloud, "vec_id long, embedding array<float>").selectExpr("*", "1 as c", "2 as n", "'x' as v", "0 as leaf").repartition(3)
     got = vectors.near_vectors(df, **sizes).collect()
@@ -79,6 +80,7 @@ def test_recall_on_data(spark):
 
 def test_recall_at_depth(spark, monkeypatch):
     """Pairs just above the threshold in trees of several levels, fitted on a part of the rows, whose leaves are split on."""
+    monkeypatch.setattr(vectors, "TOP_ROWS", 300)
     monkeypatch.setattr(vectors, "LEAF_ROWS", 24)
     rng = np.random.default_rng(5)
     a = rng.standard_normal((3000, 64))

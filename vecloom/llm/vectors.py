@@ -16,12 +16,14 @@ from vecloom.llm import textkit as K
 from vecloom.llm.storage import table
 
 COSINE = 0.95
-TREES = 4
+TREES = 2  # over the table: their splits are fitted on a sample, and rows are sent to their leaves
+TOP_ROWS = 10_000  # in a leaf of these, about
+FIT_ROWS = 50_000  # bound of the sample that the splits are fitted on; all rows are indexed
+GROUP_ROWS = 20_000  # in such a leaf, up to which a task splits it further by trees of its own
+LEAF_TREES = 4
 LEAF_ROWS = 512
-FIT_ROWS = 20_000  # bound of the sample that the splits are fitted on; all rows are indexed
 BLOCK_ROWS = 2048  # compared at a time
-GROUP_ROWS = 20_000  # in a leaf of the fitted trees, up to which a task splits it further by trees of its own
-SPILL = 0.4
+SPILL = 0.5
 SEED = 7
 
 
@@ -29,11 +31,11 @@ class Tree:
     """Random splits at the median of a projection. Vectors within the margin of a split go both ways. A node's direction
     follows from its seed, so a tree is a few numbers a node."""
 
-    def __init__(self, sample: np.ndarray, share: float, margin: float, seed: list[int], least: int = 16):
+    def __init__(self, sample: np.ndarray, share: float, margin: float, seed: list[int], most: int, least: int = 16):
         self.seeds: list[int] = []
         self.cuts: list[float] = []
         self.children: list[tuple[int, int]] = []
-        self.leaves, self.margin, self.seed, self.least = 0, margin, seed, least
+        self.leaves, self.margin, self.seed, self.most, self.least = 0, margin, seed, most, least
         self.root = self._grow(sample, share)
 
     def _direction(self, seed: int, size: int) -> np.ndarray:
@@ -45,7 +47,7 @@ class Tree:
         return -self.leaves
 
     def _grow(self, x: np.ndarray, share: float) -> int:
-        if len(x) * share <= LEAF_ROWS or len(x) < self.least:
+        if len(x) * share <= self.most or len(x) < self.least:
             return self._leaf()
         node = len(self.cuts)
         for k in range(4):  # a direction along which copies lie apart
@@ -95,7 +97,7 @@ class Forest:
             x = unit(np.array([v for v in sample if len(v) == size], np.float64))
             self.trees[size] = []
             for t in range(trees):
-                tree = Tree(x, share, margin_of(cosine, size), [SEED, size, t])
+                tree = Tree(x, share, margin_of(cosine, size), [SEED, size, t], TOP_ROWS)
                 self.trees[size].append((self.leaves, tree))
                 self.leaves += tree.leaves
 
@@ -166,10 +168,10 @@ def _links_within(x: np.ndarray, ids: np.ndarray, n: np.ndarray, earlier: list[n
     return ids, fresh @ n.astype(np.int64), least[root]
 
 
-def _compare(group: pd.DataFrame, cosine: float, block_rows: int, trees: int) -> pd.DataFrame:
+def _compare(group: pd.DataFrame, cosine: float, block_rows: int) -> pd.DataFrame:
     """Links within a leaf, or between two blocks of it: per row the linked rows that no earlier leaf holds together with
     it, and the smallest class it reaches here. Pairs stay in this function. A leaf of more rows than are compared at a time
-    is split further, by as many trees again; where that does not split it, it is compared block by block."""
+    is split further, by LEAF_TREES trees of its own; where that does not split it, it is compared block by block."""
     leaf = int(group["leaf"].iloc[0])
     x = unit(np.stack(group["v"].to_numpy()))
     ids, n = group["c"].to_numpy(), group["n"].to_numpy()
@@ -182,8 +184,8 @@ def _compare(group: pd.DataFrame, cosine: float, block_rows: int, trees: int) ->
     else:
         mine: list[list[int]] = [[] for _ in range(len(x))]  # leaves of this task's trees, below all others
         number = -1
-        for t in range(trees):
-            tree = Tree(x, 1.0, margin_of(cosine, x.shape[1]), [SEED, leaf, 1000 + t], LEAF_ROWS)
+        for t in range(LEAF_TREES):
+            tree = Tree(x, 1.0, margin_of(cosine, x.shape[1]), [SEED, leaf, 1000 + t], LEAF_ROWS, LEAF_ROWS)
             row, sub = tree.leaves_of(x)
             order = np.argsort(sub, kind="stable")
             for at in np.split(row[order], np.flatnonzero(np.diff(sub[order])) + 1):
@@ -217,8 +219,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).alias("id"), F.when(usable(F.col(vector_col)), F.transform(vector_col, lambda v: v.cast(kind))).alias("v")).withColumn("c", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     classes = table(rows.filter("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"), F.min("id").alias("least")), "classes")
     total = classes.count()
-    sample = [np.array(r["v"]) for r in classes.orderBy(F.xxhash64(F.col("c") + SEED), "c").limit(fit_rows).select("v").collect()]
-    shared = vectors.sparkSession.sparkContext.broadcast(Forest(sample, total, trees, cosine))  # under 3 MB for the default sample
+    picked = classes.orderBy(F.xxhash64(F.col("c") + SEED), "c").limit(fit_rows).select("v").toArrow().column("v")
+    sample = [row for part in picked.chunks for row in np.split(part.flatten().to_numpy(zero_copy_only=False), np.cumsum(part.value_lengths().to_numpy())[:-1])] if total else []
+    shared = vectors.sparkSession.sparkContext.broadcast(Forest(sample, total, trees, cosine))  # a few numbers a split; at most about a split for 8 rows of the sample
 
     @K.lean
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +253,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(leaf[times]), pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(own), b.column(0).take(take), b.column(1).take(take), lists.take(pa.array(row[times])), b.column(2).take(take)], names=names)
 
     placed = classes.select("c", "n", "v").mapInArrow(place, f"leaf long, i long, j long, b long, c long, n long, leaves array<long>, v array<{kind}>")
-    found = table(placed.groupBy("leaf", "i", "j").applyInPandas(lambda g: _compare(g, cosine, block_rows, trees), "c long, links long, root long"), "found")
+    found = table(placed.groupBy("leaf", "i", "j").applyInPandas(lambda g: _compare(g, cosine, block_rows), "c long, links long, root long"), "found")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
     known = classes.select("c", "n", "least").join(links, "c", "left").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
