@@ -58,7 +58,9 @@ def _attend(w: Weights, c: np.ndarray):
     a = (q * WIDTH**-0.5) @ k.transpose(0, 2, 1)
     a += _ahead[:n, :n]
     o = _normalize(a) @ v
-    return x, q, k, v, a, o, x + o @ w["mix"]
+    h = o @ w["mix"]
+    h += x
+    return x, q, k, v, a, o, h
 
 
 def log_probs(w: Weights, c: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
@@ -104,7 +106,9 @@ def gradient(w: Weights, c: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple
     rows, weight = np.arange(c.size), (use.ravel() / n).astype(h.dtype)
     group, member = np.divmod(y.ravel(), MEMBERS)
     flat = h.reshape(-1, WIDTH)
-    p = _normalize(flat @ w["out"] + w["bias"])
+    p = flat @ w["out"]
+    p += w["bias"]
+    _normalize(p)
     loss = -float(np.log(p[rows, group] + 1e-30) @ weight)
     p[rows, group] -= 1
     p *= weight[:, None]
@@ -116,7 +120,9 @@ def gradient(w: Weights, c: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple
     back = np.empty_like(sorted_)
     for g, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if s < e:
-            p = _normalize(sorted_[s:e] @ w["out2"][g] + w["bias2"][g])
+            p = sorted_[s:e] @ w["out2"][g]
+            p += w["bias2"][g]
+            _normalize(p)
             mine = rows[: e - s]
             loss -= float(np.log(p[mine, own[s:e]] + 1e-30) @ share[s:e])
             p[mine, own[s:e]] -= 1
@@ -132,7 +138,10 @@ def gradient(w: Weights, c: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple
     ds -= a * (ds @ np.ones(ds.shape[-1], ds.dtype))[..., None]
     ds *= WIDTH**-0.5
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dh + dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T
+    dx = dq @ w["query"].T
+    dx += dk @ w["key"].T
+    dx += dv @ w["value"].T
+    dx += dh
     grad |= {"query": two(x).T @ two(dq), "key": two(x).T @ two(dk), "value": two(x).T @ two(dv)}
     grad["place"] = np.zeros_like(w["place"])
     grad["place"][: c.shape[1]] = dx.sum(axis=0)

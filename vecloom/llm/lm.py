@@ -226,7 +226,9 @@ def train(texts: DataFrame, subwords: Subwords) -> A.Weights:
         def learn(key: tuple, group: pa.Table) -> pa.Table:
             mark, raw = group.column("mark").to_numpy(), group.column("packed").to_pylist()
             raw = [raw[i] for i in np.lexsort(([len(r) for r in raw], mark))]
+            K.keep_freed()
             w, seen = _train_shard(np.frombuffer(b"".join(raw), kind).astype(np.int64), subwords, start, *how)
+            K.release()
             flat = np.rint(A.flatten(w) * SCALE).astype(np.int64) * seen
             return pa.table({"flat": pa.array([flat.tobytes()], pa.binary()), "seen": pa.array([seen], pa.int64())})
 

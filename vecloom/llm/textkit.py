@@ -34,6 +34,15 @@ def release() -> None:
         trim(0)
 
 
+def keep_freed() -> None:
+    """Lets the process use freed memory again, up to some 100 MB, instead of asking the system for each large array; until
+    `release`. For kernels that make the same temporary arrays over and over."""
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if option is not None:
+        option(-1, 128 << 20)  # M_TRIM_THRESHOLD
+        option(-3, 32 << 20)  # M_MMAP_THRESHOLD
+
+
 def lean(run: Callable) -> Callable:
     """`run`, a function over the batches of a task, that leaves no freed memory behind."""
 
