@@ -334,11 +334,13 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 part = b.slice(row, n)
                 owner = np.append(K.repeat_rows(bounds), np.arange(n))
                 h = np.append(hashes, np.full(n, END_HASH))
-                at = np.minimum(np.searchsorted(hot_hash, h), max(0, len(hot_hash) - 1))
-                hot = hot_hash[at] == h if len(hot_hash) else np.zeros(len(h), bool)
-                c = hot_count[at[hot]]
-                known = np.bincount(owner[hot], c > 0, n).astype(np.int64)
-                logs = np.bincount(owner[hot], np.log10(c + 1.0), n)
+                code, words_ = pd.factorize(h)  # each distinct word of a chunk is looked up once
+                at = np.minimum(np.searchsorted(hot_hash, words_), max(0, len(hot_hash) - 1))
+                there = hot_hash[at] == words_ if len(hot_hash) else np.zeros(len(words_), bool)
+                c = np.where(there, hot_count[at], 0) if len(hot_hash) else np.zeros(len(words_), np.int64)
+                hot = there[code]
+                known = np.bincount(owner, (c > 0)[code], n).astype(np.int64)
+                logs = np.bincount(owner, np.log10(c + 1.0)[code], n)
                 total = np.diff(bounds) + 1
                 score = model_scores(ids, sub, weights, subwords)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(total.astype(np.int64)), pa.array(known), pa.array(logs - total * base), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=schema.names)
