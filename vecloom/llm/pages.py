@@ -38,7 +38,7 @@ BLOCKS = set("p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd tab
 ENDS_P = BLOCKS - {"html", "body", "button", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 BOILERPLATE = set("nav footer aside form dialog menu button search".split())
 BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-# Words in class or id names that mark a block as something other than the article.
+# Own choice: words in class or id names that mark a block as something other than the article.
 BOILERPLATE_NAMES = set(
     "ad ads adv advert advertisement adverts adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
     "subscription signup paywall sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments disqus respond replies reply discussion related recommended "

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from vecloom.llm import textkit as K
 
-# Fixed values: (verdict, host, path). A rule fits its host and all subdomains, if the path starts with the rule's.
+# Given by the contract: (verdict, host, path). A rule fits its host and all subdomains, if the path starts with the rule's.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-# Globs over the canonical URL; * is any run of characters, ? is any one.
+# Own choice, defaults of a parameter: globs over the canonical URL; * is any run of characters, ? is any one.
 BLOCK_GLOBS = ["*://*spam*/*", "*://*free-bets*/*", "*://*casino*/*", "*://*poker*/*", "*://*porn*/*", "*://*xxx*/*", "*://adult?*/*", "*/login*", "*.exe", "*.zip", "*/cgi-bin/*", "*\\?*sessionid=*"]
 ALLOW_GLOBS = ["*://*/robots.txt", "*://*/about*"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
