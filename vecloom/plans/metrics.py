@@ -30,10 +30,6 @@ def pq_bytes(scanned: Column, reranked: Column, m: int, dim: int) -> Column:
     return scanned * m + reranked * dim * 4
 
 
-def bandwidth_mb(bytes_per_query: Column, qps: Column) -> Column:
-    return bytes_per_query * qps / 1e6
-
-
 def write_csv(report: DataFrame, path: str) -> None:
     """A benchmark report as CSV with a header."""
     report.write.mode("append").csv(path, header=True)

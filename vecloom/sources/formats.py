@@ -244,9 +244,3 @@ def members_frame(spark: SparkSession, data: bytes) -> DataFrame:
     n = np.diff(offsets)
     frame = pd.DataFrame({"cluster_id": np.repeat(np.arange(len(n)), n), "local_idx": np.arange(len(ids)) - np.repeat(offsets[:-1], n), "vec_id": ids})
     return spark.createDataFrame(frame, "cluster_id long, local_idx long, vec_id long")
-
-
-def with_base(clusters: DataFrame) -> DataFrame:
-    """sorted_id_base as the running sum of sizes."""
-    before = W.orderBy("cluster_id").rowsBetween(W.unboundedPreceding, -1)
-    return clusters.withColumn("sorted_id_base", F.coalesce(F.sum("num_vectors").over(before), F.lit(0)))
