@@ -238,6 +238,25 @@ def test_mixing(odd, none, spark, sf_dir, same):
     assert mixing.mix_report(none).count() == mixing.mix_rows(none).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(odd, none, spark, tmp_path):
+    """Each stage on what its predecessor kept, with nulls, repeated rows and columns of clashing names; and on no rows."""
+    import hashlib
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for first in (odd[1], none):
+        docs, before = first, None
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, docs, "")
+            if k < 3:
+                assert out.columns == first.columns
+            path = f"{tmp_path}/{first is none}-{k}"
+            out.write.parquet(path)
+            before, docs = docs, spark.read.parquet(path)
+        want = collections.Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in before.collect())
+        assert collections.Counter((r["doc_id"], r["decoded_sha256"]) for r in docs.collect()) == want
+        assert bool(want) == (first is not none)
+
+
 def test_mix_nears_targets(spark, sf_dir):
     sums = collections.Counter()
     goal = {}
