@@ -79,6 +79,24 @@ def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_report(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.boost import quality_scores
+
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.trie import prefix_trie
+
+    return prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.audit import audit_filters
+
+    return audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,10 +104,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_extendible_sharding, op2_repetition_coverage, op3_ngram_jaccard, op4_source_mixing, op5_byte_bpe, op6_attention_scores, op7_template_deduction, op8_projection_forest, op9_url_globs, op10_content_store, pipeline)}
+    return {f.__name__: f for f in (op1_extendible_sharding, op2_repetition_coverage, op3_ngram_jaccard, op4_source_mixing, op5_byte_bpe, op6_attention_scores, op7_template_deduction, op8_projection_forest, op9_url_globs, op10_content_store, op11_boosted_quality, op12_prefix_trie, op13_filter_audit, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from vecloom.llm import mixing, sharding, urls
+    from vecloom.llm import audit, mixing, sharding, trie, urls
 
-    return {"op1_extendible_sharding": sharding.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op9_url_globs": urls.ORACLE_SQL}
+    return {"op1_extendible_sharding": sharding.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op9_url_globs": urls.ORACLE_SQL, "op12_prefix_trie": trie.ORACLE_SQL, "op13_filter_audit": audit.oracle_sql()}
