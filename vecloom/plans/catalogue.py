@@ -6,6 +6,7 @@ vectors in the order of the MD5 of their ids, a bounded sample that both engines
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,15 @@ from vecloom.operators import ivf, layout, pca, pq, thresholds
 from vecloom.operators import topk as K
 from vecloom.plans import metrics, search
 from vecloom.plans.params import PqParams, SearchParams, StagedParams
+from vecloom.sources import catalog
+from vecloom.sources.shared import shared_folder
 
-NLIST, NPROBE, DIM = 32, 8, 64
+NLIST, NPROBE, DIM = 32, 24, 64  # clusters probed for a recall of 0.9 or more of vectors that hardly cluster
 SHARDS = (24, 16, 16, 8)
-M, KSUB, RERANK = 8, 16, 50
+M, KSUB, RERANK = 16, 256, 100
+TRAIN_M, TRAIN_KSUB = 8, 16  # of the training of codebooks
 COMPONENTS = 16
+OVERLAPS = 8  # candidates of the overlapping lists
 CANDIDATES = 4  # of the balanced assignment; few, so that some vectors find all of theirs full
 
 
@@ -60,9 +65,13 @@ class Fixture:
     def truth(self) -> DataFrame:
         return search.ground_truth(self.base, self.queries)
 
-    @property
-    def scan(self) -> DataFrame:
-        return search.adc_scan(self.lists, self.centroids, self.queries, pq.encode(self.base, self.codebooks), self.codebooks, DIM, PqParams(NPROBE, m=M, rerank_k=RERANK))
+    def index(self, shards: tuple[int, ...] = (), codes: bool = False) -> catalog.Index:
+        """The index, saved in the shared folder and loaded: lists by buckets, the vectors whole or cut into shards."""
+        books = self.codebooks if codes else None
+        made = catalog.Index(self.lists, self.centroids, self.extents, pq.encode(self.base, books) if codes else None, books)
+        path = f"{shared_folder(self.base.sparkSession)}/vecloom-index-{uuid.uuid4().hex}"
+        catalog.save(made, path, shards, NLIST)
+        return catalog.load(self.base.sparkSession, path)
 
 
 def _r(name: str = "dist", digits: int = 6):
@@ -75,7 +84,7 @@ def _positive(value):
 
 
 _FLAT = SearchParams(NPROBE)
-_STAGED = {mode: StagedParams(NPROBE, shard_dims=SHARDS, prune_threshold_mode=mode, prune_proportions=(0.8, 0.9, 1.0, 1.0) if mode == "sampled" else (1.0, 1.0, 1.0, 1.0)) for mode in ("sampled", "centroid")}
+_STAGED = {mode: StagedParams(NPROBE, shard_dims=SHARDS, prune_threshold_mode=mode, prune_proportions=(0.8, 1.0, 1.0, 1.0) if mode == "sampled" else (1.0, 1.0, 1.0, 1.0)) for mode in ("sampled", "centroid")}
 
 
 def exact_knn(f: Fixture) -> DataFrame:
@@ -119,7 +128,7 @@ def label_checks(f: Fixture) -> DataFrame:
 
 
 def ivf_flat_topk(f: Fixture) -> DataFrame:
-    return search.ivf_flat(f.lists, f.centroids, f.queries, _FLAT).select("qid", "rank", "vec_id", _r())
+    return search.ivf_flat(f.index(), f.queries, _FLAT).select("qid", "rank", "vec_id", _r())
 
 
 def prune_sample(f: Fixture) -> DataFrame:
@@ -134,20 +143,27 @@ def threshold_centroid(f: Fixture) -> DataFrame:
     return thresholds.centroid(f.probes, NPROBE).select("qid", _r("threshold"))
 
 
-def _staged(f: Fixture, mode: str) -> tuple[DataFrame, DataFrame]:
-    return search.staged(f.lists, f.centroids, f.queries, f.extents, _STAGED[mode])
+def _staged(f: Fixture, mode: str, keep_stages: bool = False) -> tuple[search.StagedRun, catalog.Index]:
+    index = f.index(SHARDS)
+    return search.staged(index, f.queries, _STAGED[mode], keep_stages), index
 
 
 def staged_topk_sampled(f: Fixture) -> DataFrame:
-    return _staged(f, "sampled")[0].select("qid", "rank", "vec_id", _r())
+    return _staged(f, "sampled")[0].top().select("qid", "rank", "vec_id", _r())
 
 
 def staged_topk_centroid(f: Fixture) -> DataFrame:
-    return _staged(f, "centroid")[0].select("qid", "rank", "vec_id", _r())
+    return _staged(f, "centroid")[0].top().select("qid", "rank", "vec_id", _r())
 
 
 def stage_counters(f: Fixture) -> DataFrame:
-    return search.stage_counters(_staged(f, "sampled")[1], _STAGED["sampled"])
+    return _staged(f, "sampled", True)[0].counters()
+
+
+def staged_reads(f: Fixture) -> DataFrame:
+    """What each stage has to read, against the same segment of all probed lists."""
+    run, index = _staged(f, "sampled", True)
+    return run.reads(index)
 
 
 def stage_summary(f: Fixture) -> DataFrame:
@@ -209,12 +225,12 @@ def kmeans_steps(f: Fixture) -> DataFrame:
 
 def pq_train_steps(f: Fixture) -> DataFrame:
     """Codebooks after two iterations."""
-    rows = pq.train(f.base, M, DIM, KSUB, 2).select("part", "code", F.posexplode("centroid").alias("j", "v"))
+    rows = pq.train(f.base, TRAIN_M, DIM, TRAIN_KSUB, 2).select("part", "code", F.posexplode("centroid").alias("j", "v"))
     return rows.select(F.col("part").cast("long").alias("part"), F.col("code").cast("long").alias("code"), F.col("j").cast("long").alias("j"), _positive(F.round(F.col("v").cast("double"), 4)).alias("value"))
 
 
 def pq_train(f: Fixture) -> DataFrame:
-    return pq.train(f.base, M, DIM, KSUB, 3).select("part", "code", "centroid")
+    return pq.train(f.base, TRAIN_M, DIM, TRAIN_KSUB, 3).select("part", "code", "centroid")
 
 
 def pq_encode(f: Fixture) -> DataFrame:
@@ -225,12 +241,22 @@ def adc_table(f: Fixture) -> DataFrame:
     return pq.adc_tables(f.queries, f.codebooks, M, DIM).select("qid", "part", "code", _r())
 
 
+def _pq(f: Fixture) -> tuple[DataFrame, catalog.Index]:
+    index = f.index(codes=True)
+    return search.adc_scan(index, f.queries, PqParams(NPROBE, m=M, rerank_k=RERANK)), index
+
+
 def adc_scan_topr(f: Fixture) -> DataFrame:
-    return f.scan.select("qid", "adc_rank", "vec_id", _r("adc"))
+    return _pq(f)[0].select("qid", "adc_rank", "vec_id", _r("adc"))
+
+
+def _reranked(f: Fixture) -> DataFrame:
+    scan, index = _pq(f)
+    return search.rerank(index, scan, f.queries, 10)
 
 
 def ivfpq_rerank_topk(f: Fixture) -> DataFrame:
-    return search.rerank(f.scan, f.base, f.queries, 10).select("qid", "rank", "vec_id", _r())
+    return _reranked(f).select("qid", "rank", "vec_id", _r())
 
 
 def _placement(f: Fixture) -> DataFrame:
@@ -248,7 +274,7 @@ def pq_raw_regions(f: Fixture) -> DataFrame:
 
 def rerank_read_groups(f: Fixture) -> DataFrame:
     regions = layout.pq_regions(f.sizes, _placement(f), M, DIM)
-    hits = f.scan.select("qid", "vec_id").join(f.lists.select("vec_id", "cluster_id", "local_idx"), "vec_id").join(regions, "cluster_id")
+    hits = _pq(f)[0].select("qid", catalog.cluster_of(F.col("slot")).alias("cluster_id"), catalog.place_of(F.col("slot")).alias("local_idx")).join(regions, "cluster_id")
     lba = F.col("raw_start") + F.floor(F.col("local_idx") / (layout.SECTOR // (4 * DIM)))
     return layout.read_groups(hits.select("qid", F.col("disk_id").cast("long").alias("disk_id"), lba.cast("long").alias("lba")))
 
@@ -272,19 +298,36 @@ def batch_slices(f: Fixture) -> DataFrame:
 
 def stage0_read_runs(f: Fixture) -> DataFrame:
     per = min(p["per_sector"] for p in layout.shard_plan(DIM, SHARDS))
-    rows = _staged(f, "sampled")[1].filter(F.col("stages") >= 1)
+    first = _staged(f, "sampled", True)[0].stages[0]
+    rows = first.select("qid", catalog.cluster_of(F.col("slot")).alias("cluster_id"), catalog.place_of(F.col("slot")).alias("local_idx"))
     wanted = rows.select("qid", "cluster_id", F.floor(F.col("local_idx") / 256).alias("batch"), F.floor(F.col("local_idx") / per).alias("bundle"))
     return layout.read_runs(wanted, 0).groupBy("qid").agg(F.count("*").alias("reads"), F.sum(F.col("last") - F.col("first") + 1).alias("sectors"))
 
 
 def payload_bytes(f: Fixture) -> DataFrame:
-    found = search.candidates(f.lists, f.queries, f.probes).groupBy("qid").agg(F.count("*").alias("n"))
+    found = search.candidate_counts(catalog.Index(f.lists, f.centroids, f.sizes), f.probes)
     pq_size = metrics.pq_bytes(F.col("n"), F.least(F.col("n"), F.lit(RERANK)), M, DIM)
     return found.select("qid", F.col("n").alias("candidates"), metrics.flat_bytes(F.col("n"), DIM).alias("flat_bytes"), pq_size.cast("long").alias("pq_bytes"))
 
 
+def _recall(f: Fixture, found: DataFrame) -> DataFrame:
+    return K.recall(found, f.truth, f.queries).select("qid", _r("recall"), "n_found")
+
+
 def recall_at_10(f: Fixture) -> DataFrame:
-    return K.recall(search.ivf_flat(f.lists, f.centroids, f.queries, _FLAT), f.truth, f.queries).select("qid", _r("recall"), "n_found")
+    return _recall(f, search.ivf_flat(f.index(), f.queries, _FLAT))
+
+
+def recall_staged_sampled(f: Fixture) -> DataFrame:
+    return _recall(f, _staged(f, "sampled")[0].top())
+
+
+def recall_staged_centroid(f: Fixture) -> DataFrame:
+    return _recall(f, _staged(f, "centroid")[0].top())
+
+
+def recall_ivfpq(f: Fixture) -> DataFrame:
+    return _recall(f, _reranked(f))
 
 
 def run_summary(f: Fixture) -> DataFrame:
@@ -298,15 +341,15 @@ def balanced_assign(f: Fixture) -> DataFrame:
 
 def overlap_lists(f: Fixture) -> DataFrame:
     n = f.base.count()
-    near = ivf.nearest(f.base, f.centroids, NPROBE)
+    near = ivf.nearest(f.base, f.centroids, OVERLAPS)
     return ivf.overlap_lists(f.labels, near, max(1, n // NLIST // 2), NLIST, None).select(F.col("cluster_id").cast("long").alias("cluster_id"), "vec_id", "padded")
 
 
 _ALL = [
     exact_knn, exact_knn_join, coarse_probe, coarse_probe_join, ivf_assign, ivf_lists, cluster_extents, cluster_stats, label_checks, ivf_flat_topk, prune_sample, threshold_sampled,
-    threshold_centroid, staged_topk_sampled, staged_topk_centroid, stage_counters, stage_summary, segments, pca_transform, pca_transform_whiten, pca_fit, kmeans_fit, kmeans_steps, pq_train, pq_train_steps, pq_encode,
+    threshold_centroid, staged_topk_sampled, staged_topk_centroid, stage_counters, stage_summary, staged_reads, segments, pca_transform, pca_transform_whiten, pca_fit, kmeans_fit, kmeans_steps, pq_train, pq_train_steps, pq_encode,
     adc_table, adc_scan_topr, ivfpq_rerank_topk, greedy_placement, pq_raw_regions, rerank_read_groups, shard_packing, replica_lba, replica_assignment, batch_slices, stage0_read_runs,
-    payload_bytes, recall_at_10, run_summary, balanced_assign, overlap_lists,
+    payload_bytes, recall_at_10, recall_staged_sampled, recall_staged_centroid, recall_ivfpq, run_summary, balanced_assign, overlap_lists,
 ]
 
 
@@ -361,8 +404,9 @@ def _lloyd(old: str) -> tuple[str, str]:
 for _old, _label, _new in (("c", "lab1", "c1"), ("c1", "lab2", "c2")):
     _CTE[_label], _sql = _lloyd(_old)
     _CTE[_new] = _sql.format(_label)
-_SUB = DIM // M
-for _old, _label, _new in (("codes", "plab1", "codes1"), ("codes1", "plab2", "codes2")):
+_SUB = DIM // TRAIN_M
+_CTE["codes0"] = f"SELECT o AS code, part, embedding[part * {_SUB} + 1 : (part + 1) * {_SUB}] AS centroid FROM first, range(0, {TRAIN_M}) r(part) WHERE o < {TRAIN_KSUB}"
+for _old, _label, _new in (("codes0", "plab1", "codes1"), ("codes1", "plab2", "codes2")):
     _CTE[_label] = f"SELECT vec_id, part, sub, code FROM (SELECT vec_id, c.part, c.code, c.centroid, embedding[c.part * {_SUB} + 1 : (c.part + 1) * {_SUB}] AS sub FROM b, {_old} c) QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY {l2_sql('sub', 'centroid')}, code) = 1"
     _CTE[_new] = f"SELECT o.code, o.part, coalesce(n.mean, o.centroid) AS centroid FROM {_old} o LEFT JOIN (SELECT part, code, list(m::FLOAT ORDER BY j) AS mean FROM (SELECT part, code, j, avg(sub[j]::DOUBLE) AS m FROM {_label}, range(1, {_SUB + 1}) r(j) GROUP BY part, code, j) GROUP BY part, code) n USING (part, code)"
 # Vectors one after the other: the state is the number of vectors (or of those still needed) of each cluster.
@@ -372,7 +416,7 @@ _CTE["bal"] = (
     " SELECT i, vec_id, pick, list_transform(n, lambda v, k: CASE WHEN k = pick + 1 THEN v + 1 ELSE v END), most FROM"
     " (SELECT w.i, w.vec_id, s.n, s.most, coalesce(list_filter(w.wish, lambda x: s.n[x + 1] < s.most)[1], list_position(s.n, list_min(s.n)) - 1)::BIGINT AS pick FROM bal s JOIN wish4 w ON w.i = s.i + 1)"
 )
-_CTE["wish8"] = f"SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list(cluster_id ORDER BY dist, cluster_id)[1:{NPROBE}] AS wish FROM near GROUP BY vec_id"
+_CTE["wish8"] = f"SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list(cluster_id ORDER BY dist, cluster_id)[1:{OVERLAPS}] AS wish FROM near GROUP BY vec_id"
 _CTE["given"] = (
     f"SELECT 0::BIGINT AS i, NULL::BIGINT AS vec_id, NULL::BIGINT AS cluster_id, (SELECT list(greatest(0, greatest(1, (SELECT count(*) FROM b) // {NLIST} // 2) - num_vectors)::BIGINT ORDER BY cluster_id) FROM sizes) AS need UNION ALL"
     " SELECT i, vec_id, pick, list_transform(need, lambda v, k: CASE WHEN k = pick + 1 THEN v - 1 ELSE v END) FROM"
@@ -393,7 +437,13 @@ def _stages(mode: str) -> str:
 
 _CTE["st_s"], _CTE["st_c"] = _stages("sampled"), _stages("centroid")
 _CTE["counters"] = f"SELECT *, n_in - n_out AS n_pruned, (n_in * [{', '.join(map(str, SHARDS))}][stage + 1] * 4)::BIGINT AS bytes FROM (SELECT qid, stage, count(*) AS n_in, count_if(stages > stage)::BIGINT AS n_out FROM st_s, range(0, 4) r(stage) WHERE stages >= stage GROUP BY qid, stage)"
-_CTE["rec"] = "SELECT qid, round(len(list_intersect(p, g)) / least(10, len(p), len(g))::DOUBLE, 6) AS recall, len(p)::BIGINT AS n_found FROM (SELECT qid, list(vec_id) AS p FROM flat GROUP BY qid) JOIN (SELECT qid, list(vec_id) AS g FROM knn GROUP BY qid) USING (qid)"
+_CTE["top_s"], _CTE["top_c"] = (f"SELECT qid, vec_id, dist FROM {t} WHERE stages = 4 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= 10" for t in ("st_s", "st_c"))
+_CTE["pqtop"] = f"SELECT qid, vec_id, {l2_sql('embedding', 'q')} AS dist FROM scan JOIN b USING (vec_id) JOIN q USING (qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= 10"
+for _name, _found in (("rec", "flat"), ("rec_s", "top_s"), ("rec_c", "top_c"), ("rec_pq", "pqtop")):  # the queries first: one that finds nothing counts
+    _CTE[_name] = (
+        "SELECT qid, CASE WHEN g IS NULL THEN -1.0 WHEN p IS NULL THEN 0.0 ELSE round(len(list_intersect(p[1:least(10, len(p), len(g))], g[1:least(10, len(p), len(g))])) / least(10, len(p), len(g))::DOUBLE, 6) END::DOUBLE AS recall, coalesce(len(p), 0)::BIGINT AS n_found"
+        f" FROM q LEFT JOIN (SELECT qid, list(vec_id ORDER BY dist, vec_id) AS p FROM {_found} GROUP BY qid) USING (qid) LEFT JOIN (SELECT qid, list(vec_id ORDER BY dist, vec_id) AS g FROM knn GROUP BY qid) USING (qid)"
+    )
 
 
 def _with(select: str) -> str:
@@ -413,6 +463,7 @@ def _with(select: str) -> str:
 _TOP = "SELECT qid, rank, vec_id, round(dist, 6) AS dist FROM "
 _STAGED_TOP = "SELECT qid, vec_id, round(dist, 6) AS dist, row_number() OVER (PARTITION BY qid ORDER BY x.dist, vec_id) AS rank FROM {} x WHERE stages = 4 QUALIFY rank <= 10"
 _PER = min(layout.SECTOR // (4 * d) for d in SHARDS)
+_WIDTH = f"[{', '.join(str(4 * d) for d in SHARDS)}][stage + 1]"
 _STARTS = [sum(SHARDS[:i]) for i in range(4)]
 _SQL = {
     "exact_knn": _TOP + "knn",
@@ -450,10 +501,14 @@ _SQL = {
     "stage0_read_runs": f"SELECT qid, count(*) AS reads, sum(n)::BIGINT AS sectors FROM (SELECT qid, cluster_id, batch, g, count(*) AS n FROM (SELECT *, bundle - row_number() OVER (PARTITION BY qid, cluster_id, batch ORDER BY bundle) AS g FROM (SELECT DISTINCT qid, cluster_id, local_idx // 256 AS batch, local_idx // {_PER} AS bundle FROM st_s WHERE stages >= 1)) GROUP BY ALL) GROUP BY qid",
     "payload_bytes": f"SELECT qid, count(*) AS candidates, count(*) * {DIM} * 4 AS flat_bytes, count(*) * {M} + least(count(*), {RERANK}) * {DIM} * 4 AS pq_bytes FROM cand GROUP BY qid",
     "recall_at_10": "SELECT * FROM rec",
+    "recall_staged_sampled": "SELECT * FROM rec_s",
+    "recall_staged_centroid": "SELECT * FROM rec_c",
+    "recall_ivfpq": "SELECT * FROM rec_pq",
+    "staged_reads": f"SELECT stage, count(DISTINCT (cluster_id, local_idx)) AS entries, (count(DISTINCT (cluster_id, local_idx)) * {_WIDTH})::BIGINT AS bytes, ((SELECT count(DISTINCT vec_id) FROM cand) * {_WIDTH})::BIGINT AS full_bytes FROM st_s, range(0, 4) r(stage) WHERE stages >= stage GROUP BY stage",
     "balanced_assign": "SELECT vec_id, cluster_id FROM bal WHERE i > 0",
     "overlap_lists": "SELECT cluster_id, vec_id, false AS padded FROM labels UNION ALL SELECT cluster_id, vec_id, true AS padded FROM given WHERE cluster_id IS NOT NULL",
     "kmeans_steps": f"SELECT cluster_id, j - 1 AS j, CASE WHEN round(centroid[j]::DOUBLE, 4) = 0 THEN 0.0 ELSE round(centroid[j]::DOUBLE, 4) END::DOUBLE AS value FROM c2, range(1, {DIM + 1}) r(j)",
-    "pq_train_steps": f"SELECT part, code, j - 1 AS j, CASE WHEN round(centroid[j]::DOUBLE, 4) = 0 THEN 0.0 ELSE round(centroid[j]::DOUBLE, 4) END::DOUBLE AS value FROM codes2, range(1, {DIM // M + 1}) r(j)",
+    "pq_train_steps": f"SELECT part, code, j - 1 AS j, CASE WHEN round(centroid[j]::DOUBLE, 4) = 0 THEN 0.0 ELSE round(centroid[j]::DOUBLE, 4) END::DOUBLE AS value FROM codes2, range(1, {_SUB + 1}) r(j)",
     "run_summary": "SELECT count(*) AS queries, round(sum(greatest(recall, 0)) / count(*), 6) AS recall, round(avg(n_found), 6) AS avg_found FROM rec",
 }
 

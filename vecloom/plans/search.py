@@ -1,19 +1,25 @@
 """The three searches over one index, and what they report.
 
-An index is a table of lists (cluster_id, local_idx, vec_id, embedding) and one of centroids. Queries are rows (qid, q).
-Candidates are the rows of a join of probes and lists on cluster_id, so Spark prunes, broadcasts the probes if their
-size allows, and splits skewed clusters; every search ends in one shuffle of k rows per query and task.
+An index is lists (cluster_id, local_idx, vec_id, embedding) and centroids (`vecloom.sources.catalog`), saved or not.
+Queries are rows (qid, q). Lists are scanned where they lie, only in buckets that are probed; every search ends in one
+shuffle of k rows per query and task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.functions.distance import l2, prefix_l2
+from vecloom.functions.distance import l2
 from vecloom.operators import ivf, pq, thresholds
 from vecloom.operators.topk import exact_knn, top_k
+from vecloom.plans import scanning as S
 from vecloom.plans.params import PqParams, SearchParams, StagedParams
+from vecloom.sources.catalog import Index
+from vecloom.sources.shared import Scratch, discard
 
 
 def limited(queries: DataFrame, params: SearchParams) -> DataFrame:
@@ -21,70 +27,123 @@ def limited(queries: DataFrame, params: SearchParams) -> DataFrame:
     return queries.orderBy("qid").limit(params.max_queries) if params.max_queries else queries
 
 
-def candidates(lists: DataFrame, queries: DataFrame, probes: DataFrame) -> DataFrame:
-    """Entries of the probed clusters, once for each query that probes them."""
-    return lists.join(probes.select("qid", "cluster_id").join(queries, "qid"), "cluster_id")
+def candidate_counts(index: Index, probes: DataFrame) -> DataFrame:
+    """(qid, n): entries of each query's probed clusters, from the clusters' sizes."""
+    return probes.join(index.clusters.select("cluster_id", "num_vectors"), "cluster_id").groupBy("qid").agg(F.sum("num_vectors").alias("n"))
 
 
-def ivf_flat(lists: DataFrame, centroids: DataFrame, queries: DataFrame, params: SearchParams) -> DataFrame:
-    """(qid, rank, vec_id, dist): the nearest vectors in the probed clusters. A vector in several lists may be found twice."""
-    queries = limited(queries, params)
-    found = candidates(lists, queries, ivf.probes(queries, centroids, params.nprobe))
-    rows = found.select("qid", "vec_id", l2(F.col("embedding"), F.col("q")).alias("dist"))
-    return top_k(rows, params.k, ["qid"], ["dist", "vec_id"])
+def _together(index: Index, parts: Iterator[DataFrame], schema: str) -> DataFrame:
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return index.lists.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def staged_candidates(lists: DataFrame, queries: DataFrame, probes: DataFrame, limits: DataFrame, params: StagedParams) -> DataFrame:
-    """Candidates with `prefix`, their distance at the end of each stage, and `stages`, how many stages they survive.
-
-    A stage drops a candidate whose distance so far is over threshold * proportion; an equal one stays, and so does NaN.
-    """
-    found = candidates(lists, queries, probes).join(limits, "qid")
-    rows = found.select("qid", "vec_id", "cluster_id", "local_idx", "threshold", prefix_l2(F.col("embedding"), F.col("q"), params.ends).alias("prefix"))
-    survives = F.lit(0)
-    for s in reversed(range(len(params.ends))):
-        p = F.get("prefix", F.lit(s))
-        survives = F.when((p > F.col("threshold") * float(params.proportions[s])) & ~F.isnan(p), F.lit(0)).otherwise(1 + survives)
-    return rows.withColumn("stages", survives)
-
-
-def staged(lists: DataFrame, centroids: DataFrame, queries: DataFrame, extents: DataFrame, params: StagedParams) -> tuple[DataFrame, DataFrame]:
-    """(top-k rows, candidates by stages)."""
+def ivf_flat(index: Index, queries: DataFrame, params: SearchParams) -> DataFrame:
+    """(qid, rank, vec_id, dist): the nearest vectors in the probed clusters. A vector in several lists may be found twice."""
     queries = limited(queries, params)
-    probes = ivf.probes(queries, centroids, params.nprobe)
+    batches = S.query_batches(queries, ivf.probes(queries, index.centroids, params.nprobe))
+    rows = _together(index, (S.nearest_entries(index, b, params.k) for b in batches), S.FOUND)
+    return top_k(rows.drop("slot"), params.k, ["qid"], ["dist", "vec_id"])
+
+
+@dataclass
+class StagedRun:
+    """What a staged search leaves: the survivors (qid, slot, vec_id, dist so far) of each stage, as written tables, and the
+    candidates it began with (qid, n)."""
+
+    stages: list[DataFrame]
+    candidates: DataFrame
+    probes: DataFrame
+    params: StagedParams
+    scratch: Scratch
+
+    def top(self) -> DataFrame:
+        """(qid, rank, vec_id, dist) of the last stage's survivors."""
+        return top_k(self.stages[-1].drop("slot"), self.params.k, ["qid"], ["dist", "vec_id"])
+
+    def counters(self) -> DataFrame:
+        """(qid, stage, n_in, n_out, n_pruned, bytes); a query has a row for each stage that anything reaches. Survivors are
+        counted where they lie, by query."""
+        before, out = self.candidates, None
+        for s, survivors in enumerate(self.stages):
+            after = survivors.groupBy("qid").agg(F.count("*").alias("n"))
+            row = before.withColumnRenamed("n", "n_in").filter("n_in > 0").join(after.withColumnRenamed("n", "n_out"), "qid", "left").withColumn("n_out", F.coalesce("n_out", F.lit(0)))
+            row = row.select("qid", F.lit(s).cast("long").alias("stage"), "n_in", "n_out", (F.col("n_in") - F.col("n_out")).alias("n_pruned"), (F.col("n_in") * self.params.shard_dims[s] * 4).cast("long").alias("bytes"))
+            out, before = row if out is None else out.unionByName(row), after
+        return out
+
+    def reads(self, index: Index) -> DataFrame:
+        """(stage, entries, bytes, full_bytes): distinct entries whose segment a stage needs, their bytes, and the bytes of that
+        segment over all entries of probed clusters, which a search without stages would read."""
+        probed = self.probes.select("cluster_id").distinct().join(index.clusters.select("cluster_id", "num_vectors"), "cluster_id").agg(F.coalesce(F.sum("num_vectors"), F.lit(0)).alias("all"))
+        out = None
+        for s, dim in enumerate(self.params.shard_dims):
+            wanted = probed.withColumnRenamed("all", "n") if s == 0 else self.stages[s - 1].agg(F.count_distinct("slot").alias("n"))
+            row = wanted.select(F.lit(s).cast("long").alias("stage"), F.col("n").cast("long").alias("entries"), (F.col("n") * dim * 4).cast("long").alias("bytes"), F.lit(dim * 4).alias("width"))
+            out = row if out is None else out.unionByName(row)
+        return out.crossJoin(F.broadcast(probed)).select("stage", "entries", "bytes", (F.col("all") * F.col("width")).cast("long").alias("full_bytes"))  # one row
+
+
+def staged(index: Index, queries: DataFrame, params: StagedParams, keep_stages: bool = False) -> StagedRun:
+    """Survivors stage by stage. The first stage scans the first segment of the probed lists; each later one fetches its segment
+    for the survivors of the one before, by their slots, and no other. A stage drops a candidate whose distance so far
+    is over threshold * proportion.
+
+    Survivors are written, so that a stage is not repeated, its tables tell what the next has to read, and counts need no
+    second search; earlier stages' tables are deleted unless `keep_stages`.
+    """
+    queries, spark = limited(queries, params), index.lists.sparkSession
+    probes = ivf.probes(queries, index.centroids, params.nprobe)
     if params.prune_threshold_mode == "sampled":
-        limits = thresholds.sampled(thresholds.prune_sample(lists, extents), queries)
+        entries = index.entries("cluster_id", "local_idx", "vec_id", "embedding")
+        limits = thresholds.sampled(thresholds.prune_sample(entries, index.clusters), queries)
     else:
         limits = thresholds.centroid(probes, params.nprobe)
-    rows = staged_candidates(lists, queries, probes, limits, params)
-    kept = rows.filter(F.col("stages") == len(params.ends)).select("qid", "vec_id", F.element_at("prefix", -1).alias("dist"))
-    return top_k(kept, params.k, ["qid"], ["dist", "vec_id"]), rows
-
-
-def stage_counters(rows: DataFrame, params: StagedParams) -> DataFrame:
-    """(qid, stage, n_in, n_out, n_pruned, bytes) of staged candidates; sums are made before the shuffle."""
-    each = rows.withColumn("stage", F.explode(F.sequence(F.lit(0), F.lit(len(params.ends) - 1)))).filter(F.col("stages") >= F.col("stage"))
-    dims = F.array(*[F.lit(d) for d in params.shard_dims])
-    out = each.groupBy("qid", "stage").agg(F.count("*").alias("n_in"), F.count_if(F.col("stages") > F.col("stage")).alias("n_out"))
-    return out.select("qid", F.col("stage").cast("long").alias("stage"), "n_in", "n_out", (F.col("n_in") - F.col("n_out")).alias("n_pruned"), (F.col("n_in") * F.get(dims, F.col("stage").cast("int")) * 4).cast("long").alias("bytes"))
-
-
-def adc_scan(lists: DataFrame, centroids: DataFrame, queries: DataFrame, codes: DataFrame, codebooks: DataFrame, dim: int, params: PqParams) -> DataFrame:
-    """(qid, adc_rank, vec_id, adc): the rerank_k candidates that are nearest by code. Only ids and codes are read."""
+    scratch = Scratch()
+    parts: list[list[DataFrame]] = [[] for _ in params.ends]
+    for batch in S.query_batches(queries, probes, limits):
+        rows = scratch.table(S.entries_under(index, batch, params.ends[0], float(params.proportions[0])), "stage")
+        parts[0].append(rows)
+        for s in range(1, len(params.ends)):
+            first, last = params.ends[s - 1], params.ends[s]
+            with S.runtime_filters(spark):
+                more = scratch.table(S.extended(S.fetch(index, rows, f"seg:{first}:{last}"), batch, first, last, float(params.proportions[s])), "stage")
+            if not keep_stages:
+                discard(rows)
+                scratch.made.remove(rows)
+            parts[s].append(more)
+            rows = more
+    stages = [_together(index, iter(p), S.FOUND) for p in (parts if keep_stages else parts[-1:])]
+    return StagedRun(stages, candidate_counts(index, probes), probes, params, scratch)
+
+
+def adc_scan(index: Index, queries: DataFrame, params: PqParams) -> DataFrame:
+    """(qid, adc_rank, slot, vec_id, adc): the rerank_k candidates that are nearest by code. Only ids and codes are read."""
     queries = limited(queries, params)
-    tables = pq.adc_arrays(pq.adc_tables(queries, codebooks, params.m, dim))
-    probes = ivf.probes(queries, centroids, params.nprobe).select("qid", "cluster_id").join(tables, "qid")
-    rows = lists.select("cluster_id", "vec_id").join(codes, "vec_id").join(probes, "cluster_id")
-    return top_k(rows.select("qid", "vec_id", pq.adc_distance(F.col("adc"), F.col("codes")).alias("adc")), params.rerank_k, ["qid"], ["adc", "vec_id"], "adc_rank")
-
-
-def rerank(scan: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, vec_id, dist): the k nearest of the scanned candidates by exact distance."""
-    rows = base.select("vec_id", "embedding").join(scan.select("qid", "vec_id").join(queries, "qid"), "vec_id")
-    return top_k(rows.select("qid", "vec_id", l2(F.col("embedding"), F.col("q")).alias("dist")), k, ["qid"], ["dist", "vec_id"])
+    book = pq.codebook_array(index.codebooks)
+    if len(book) != params.m:
+        raise ValueError(f"the codebooks have {len(book)} parts, not {params.m}")
+    batches = S.query_batches(queries, ivf.probes(queries, index.centroids, params.nprobe), bytes_a_query=8 * book.shape[0] * book.shape[1])
+    rows = _together(index, (S.nearest_codes(index, b, book, params.rerank_k) for b in batches), S.FOUND)
+    return top_k(rows.withColumnRenamed("dist", "adc"), params.rerank_k, ["qid"], ["adc", "vec_id"], "adc_rank")
+
+
+def rerank(index: Index, scan: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, vec_id, dist): the k nearest of the scanned candidates by exact distance. `scan` is written first; vectors
+    are fetched by its slots."""
+    scratch = Scratch()
+    wanted = scratch.table(scan.select("qid", "slot", "vec_id"), "rerank")
+    with S.runtime_filters(index.lists.sparkSession):
+        rows = S.fetch(index, wanted, "embedding").join(queries.select("qid", "q"), "qid")
+        found = scratch.table(top_k(rows.select("qid", "vec_id", l2(F.col("embedding"), F.col("q")).alias("dist")), k, ["qid"], ["dist", "vec_id"]), "reranked")
+    discard(wanted)
+    return found
 
 
 def ground_truth(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(qid, gt): ids of the k nearest vectors, in order."""
     rows = exact_knn(base, queries, k)
     return rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("g")).select("qid", F.col("g.vec_id").alias("gt"))
+
+

@@ -19,7 +19,7 @@ def search_stream(index: Index, queries: DataFrame, params: SearchParams, out: s
     """
 
     def answer(batch: DataFrame, number: int) -> None:
-        found = ivf_flat(index.lists, index.centroids, batch, params)
+        found = ivf_flat(index, batch, params)
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).start()
