@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions.distance import fold_l2, l2
+from vecloom.operators import kmeans as kmeans_
 from vecloom.operators.topk import BLOCK_CELLS, top_k
 from vecloom.sources.shared import table
 
@@ -103,48 +104,18 @@ def check_members(members: DataFrame, vectors: DataFrame) -> None:
         raise ValueError("a list has a member that is no vector")
 
 
-def kmeans(vectors: DataFrame, nlist: int, iterations: int = 10, centroids: DataFrame | None = None, sample_rows: int | None = None, seed: int = 42) -> DataFrame:
+def kmeans(vectors: DataFrame, nlist: int, iterations: int = 10, centroids: DataFrame | None = None, sample_rows: int | None = None, seed: int = 42, min_points: int = 0) -> DataFrame:
     """(cluster_id, centroid) by Lloyd iterations from `centroids`, or from vectors of the data. With `sample_rows` it fits
     on so many rows of lowest hash. Distances are made in blocks of BLOCK_CELLS, sums per task, and a row per cluster and
-    task is shuffled; an empty cluster keeps its centroid."""
+    task is shuffled; an empty cluster keeps its centroid, unless `min_points` is 1 or more (`vecloom.operators.kmeans`,
+    which also has parallel seeding, mini-batches and restarts)."""
     rows = vectors.filter("embedding is not null")
     if sample_rows:
         rows = table(rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows), "train")
     current = centroids if centroids is not None else sample_centroids(vectors, nlist)
     ids, matrix = centroid_matrix(current)
-    spark = vectors.sparkSession
-    for _ in range(iterations):
-        shared = spark.sparkContext.broadcast(matrix)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            c = shared.value.astype(np.float64)
-            half, sums, n = (c * c).sum(axis=1) / 2, np.zeros(c.shape), np.zeros(len(c), np.int64)
-            step = max(1, BLOCK_CELLS // len(c))
-            for b in batches:
-                lists = b.column(0)
-                at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
-                for s in range(0, len(b), step):
-                    x = flat[at[s : min(s + step, len(b))][:, None] + np.arange(c.shape[1])].astype(np.float64)
-                    label = np.argmin(half[None] - x @ c.T, axis=1)
-                    order = np.argsort(label, kind="stable")
-                    first = np.flatnonzero(np.diff(label[order], prepend=-1))
-                    sums[label[order[first]]] += np.add.reduceat(x[order], first)
-                    n += np.bincount(label, minlength=len(c))
-            some = np.flatnonzero(n)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * c.shape[1], pa.int32()), pa.array(sums[some].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(some), lists, pa.array(n[some])], names=["c", "s", "n"])
-
-        def mean(key: tuple, group: pa.Table) -> pa.Table:
-            total = np.sum(group.column("s").combine_chunks().flatten().to_numpy().reshape(len(group), -1), axis=0)
-            return pa.table({"c": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([(total / sum(group.column("n").to_pylist())).astype(np.float32)], pa.list_(pa.float32()))})
-
-        new = matrix.copy()
-        for r in rows.select("embedding").mapInArrow(run, "c long, s array<double>, n long").groupBy("c").applyInArrow(mean, "c long, v array<float>").collect():
-            new[r["c"]] = r["v"]
-        if np.array_equal(new, matrix):
-            break
-        matrix = new
-    return spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, matrix, strict=True)], "cluster_id long, centroid array<float>")
+    matrix, _ = kmeans_.lloyd(rows, matrix, iterations, min_points, BLOCK_CELLS)
+    return vectors.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, matrix, strict=True)], "cluster_id long, centroid array<float>")
 
 
 def balanced(candidates: DataFrame, sizes: int, nlist: int, seed: int | None = 42) -> DataFrame:

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.distance import l2, l2_sql
-from vecloom.operators import ivf, layout, pca, pq, thresholds
+from vecloom.operators import ivf, kmeans, layout, pca, pq, thresholds
 from vecloom.operators import topk as K
 from vecloom.plans import metrics, search
 from vecloom.plans.params import PqParams, SearchParams, StagedParams
-from vecloom.sources import catalog
+from vecloom.sources import binary, catalog, formats
 from vecloom.sources.shared import shared_folder
 
 NLIST, NPROBE, DIM = 32, 24, 64  # clusters probed for a recall of 0.9 or more of vectors that hardly cluster
@@ -223,6 +223,13 @@ def kmeans_steps(f: Fixture) -> DataFrame:
     return found.select("cluster_id", F.posexplode("centroid").alias("j", "v")).select("cluster_id", F.col("j").cast("long").alias("j"), _positive(F.round(F.col("v").cast("double"), 4)).alias("value"))
 
 
+def kmeans_train(f: Fixture) -> DataFrame:
+    """Sizes and cost of clusters after parallel seeding, mini-batches and Lloyd iterations, the better of two runs."""
+    centroids = kmeans.fit(f.base, NLIST, 5, n_init=2, batches=4, min_points=1)
+    found = ivf.assign(f.base, centroids).groupBy("cluster_id").agg(F.count("*").alias("num_vectors"), F.sum("dist").alias("cost"))
+    return found.select("cluster_id", "num_vectors", _r("cost"))
+
+
 def pq_train_steps(f: Fixture) -> DataFrame:
     """Codebooks after two iterations."""
     rows = pq.train(f.base, TRAIN_M, DIM, TRAIN_KSUB, 2).select("part", "code", F.posexplode("centroid").alias("j", "v"))
@@ -345,11 +352,46 @@ def overlap_lists(f: Fixture) -> DataFrame:
     return ivf.overlap_lists(f.labels, near, max(1, n // NLIST // 2), NLIST, None).select(F.col("cluster_id").cast("long").alias("cluster_id"), "vec_id", "padded")
 
 
+def _file(f: Fixture, name: str) -> str:
+    return f"{shared_folder(f.base.sparkSession)}/vecloom-{name}-{uuid.uuid4().hex}"
+
+
+def _per_value(rows: DataFrame, values: str, at: str) -> DataFrame:
+    return rows.select("vec_id", F.posexplode(values).alias(at, "value")).select("vec_id", F.col(at).cast("long").alias(at), F.col("value"))
+
+
+def fvecs_round_trip(f: Fixture) -> DataFrame:
+    """The vectors as a file of records, written by all tasks and read back in ranges; ids are places in the file."""
+    path = _file(f, "fvecs")
+    formats.write_fvecs(f.base.filter("embedding is not null"), path)
+    rows = binary.read(f.base.sparkSession, "fvecs", path, DIM, 1 << 16)
+    return _per_value(rows, "embedding", "j").select("vec_id", "j", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+def labels_round_trip(f: Fixture) -> DataFrame:
+    path = _file(f, "labels")
+    binary.write(f.labels, "u32list", path, ["vec_id"], "cluster_id")
+    return binary.read(f.base.sparkSession, "u32list", path, None, 1 << 10).select("vec_id", F.col("value").alias("cluster_id"))
+
+
+def codes_round_trip(f: Fixture) -> DataFrame:
+    path = _file(f, "codes")
+    binary.write(pq.encode(f.base, f.codebooks), "pqcodes", path, ["vec_id"], "codes")
+    return _per_value(binary.read(f.base.sparkSession, "pqcodes", path, M, 1 << 12), "codes", "part").select("vec_id", "part", F.col("value").cast("long").alias("code"))
+
+
+def members_round_trip(f: Fixture) -> DataFrame:
+    """Overlapping lists as a file: a list's own vectors first, then those it was given."""
+    path = _file(f, "members")
+    binary.write_members(overlap_lists(f).select("cluster_id", F.col("padded").cast("long").alias("local_idx"), "vec_id"), path, NLIST)
+    return binary.read(f.base.sparkSession, "vecmembers", path, NLIST, 1 << 10)
+
+
 _ALL = [
     exact_knn, exact_knn_join, coarse_probe, coarse_probe_join, ivf_assign, ivf_lists, cluster_extents, cluster_stats, label_checks, ivf_flat_topk, prune_sample, threshold_sampled,
-    threshold_centroid, staged_topk_sampled, staged_topk_centroid, stage_counters, stage_summary, staged_reads, segments, pca_transform, pca_transform_whiten, pca_fit, kmeans_fit, kmeans_steps, pq_train, pq_train_steps, pq_encode,
+    threshold_centroid, staged_topk_sampled, staged_topk_centroid, stage_counters, stage_summary, staged_reads, segments, pca_transform, pca_transform_whiten, pca_fit, kmeans_fit, kmeans_steps, kmeans_train, pq_train, pq_train_steps, pq_encode,
     adc_table, adc_scan_topr, ivfpq_rerank_topk, greedy_placement, pq_raw_regions, rerank_read_groups, shard_packing, replica_lba, replica_assignment, batch_slices, stage0_read_runs,
-    payload_bytes, recall_at_10, recall_staged_sampled, recall_staged_centroid, recall_ivfpq, run_summary, balanced_assign, overlap_lists,
+    payload_bytes, recall_at_10, recall_staged_sampled, recall_staged_centroid, recall_ivfpq, run_summary, balanced_assign, overlap_lists, fvecs_round_trip, labels_round_trip, codes_round_trip, members_round_trip,
 ]
 
 
@@ -507,6 +549,10 @@ _SQL = {
     "staged_reads": f"SELECT stage, count(DISTINCT (cluster_id, local_idx)) AS entries, (count(DISTINCT (cluster_id, local_idx)) * {_WIDTH})::BIGINT AS bytes, ((SELECT count(DISTINCT vec_id) FROM cand) * {_WIDTH})::BIGINT AS full_bytes FROM st_s, range(0, 4) r(stage) WHERE stages >= stage GROUP BY stage",
     "balanced_assign": "SELECT vec_id, cluster_id FROM bal WHERE i > 0",
     "overlap_lists": "SELECT cluster_id, vec_id, false AS padded FROM labels UNION ALL SELECT cluster_id, vec_id, true AS padded FROM given WHERE cluster_id IS NOT NULL",
+    "fvecs_round_trip": f"SELECT vec_id, j - 1 AS j, round(embedding[j]::DOUBLE, 6) AS value FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, embedding FROM b WHERE embedding IS NOT NULL), range(1, {DIM + 1}) r(j)",
+    "labels_round_trip": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, cluster_id FROM labels",
+    "codes_round_trip": "SELECT dense_rank() OVER (ORDER BY vec_id) - 1 AS vec_id, part, code FROM enc",
+    "members_round_trip": "SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY padded, vec_id) - 1 AS local_idx, vec_id FROM (SELECT cluster_id, vec_id, false AS padded FROM labels UNION ALL SELECT cluster_id, vec_id, true FROM given WHERE cluster_id IS NOT NULL)",
     "kmeans_steps": f"SELECT cluster_id, j - 1 AS j, CASE WHEN round(centroid[j]::DOUBLE, 4) = 0 THEN 0.0 ELSE round(centroid[j]::DOUBLE, 4) END::DOUBLE AS value FROM c2, range(1, {DIM + 1}) r(j)",
     "pq_train_steps": f"SELECT part, code, j - 1 AS j, CASE WHEN round(centroid[j]::DOUBLE, 4) = 0 THEN 0.0 ELSE round(centroid[j]::DOUBLE, 4) END::DOUBLE AS value FROM codes2, range(1, {_SUB + 1}) r(j)",
     "run_summary": "SELECT count(*) AS queries, round(sum(greatest(recall, 0)) / count(*), 6) AS recall, round(avg(n_found), 6) AS avg_found FROM rec",

@@ -1,7 +1,8 @@
-"""Binary vector files and index files: readers and writers.
+"""Binary vector files and model files: readers and writers.
 
-Record files (fvecs, ivecs) are read by Spark as fixed-length binary records, so a large file is split. Index files are
-read as binary files and decoded on executors. All integers and floats are little-endian.
+Files that grow with the vectors (records, labels, codes, members) are data sources (`vecloom.sources.binary`); records in
+stores that only Spark can open are read as its fixed-length binary records. Model files, whose size is bounded by the
+number of clusters, are parsed whole. All integers and floats are little-endian.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vecloom.sources import binary
+
 MAGIC_CODEBOOKS = 0x47515049  # fixed value of the format
 
 
@@ -72,49 +75,39 @@ def _records(spark: SparkSession, path: str, expected_dim: int | None, kind: str
     return frame.mapInPandas(decode, f"id long, {value} array<{kind}>")
 
 
+def _by_arrow(path: str) -> bool:
+    """Whether executors can open the path themselves; else Spark reads it (other stores, slower)."""
+    try:
+        return bool(binary.filesystem(path))
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
 def read_fvecs(spark: SparkSession, path: str, expected_dim: int | None = None) -> DataFrame:
     """(vec_id, embedding): ids count rows from 0, file by file in order of their names. Raises for an empty file, a size
     that is no multiple of a record's, and rows of another length."""
+    if _by_arrow(path):
+        return binary.read(spark, "fvecs", path, expected_dim)
     return _records(spark, path, expected_dim, "float", "embedding").withColumnRenamed("id", "vec_id")
 
 
 def read_ivecs(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
     """(qid, gt): qid counts rows from 1; the first k ids of each, or all."""
-    rows = _records(spark, path, None, "int", "gt").select((F.col("id") + 1).alias("qid"), "gt")
+    if _by_arrow(path):
+        rows = binary.read(spark, "ivecs", path)
+    else:
+        rows = _records(spark, path, None, "int", "gt").select((F.col("id") + 1).alias("qid"), "gt")
     return rows.withColumn("gt", F.slice("gt", 1, k)) if k else rows
 
 
-def _write_records(rows: DataFrame, order: str, value: str, kind: str, path: str) -> None:
-    """A file of records in ascending order of their ids."""
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    text = rows.select(order, value).repartitionByRange(parts, order).sortWithinPartitions(order)
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [struct.pack("<i", len(v)) + np.asarray(v, kind).tobytes() for v in b[value]]
-            yield pd.DataFrame({"raw": out})
-
-    _save_bytes(text.mapInPandas(lines, "raw binary"), path)
-
-
-def _save_bytes(packed: DataFrame, path: str) -> None:
-    """One file, as the format has it: rows are streamed through the driver partition by partition, never held whole."""
-    sc = packed.sparkSession.sparkContext
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, False)
-    for row in packed.toLocalIterator():
-        stream.write(bytearray(row["raw"]))
-    stream.close()
-
-
 def write_fvecs(vectors: DataFrame, path: str) -> None:
-    """Writes (vec_id, embedding) in ascending order of vec_id to one file, streamed through the driver."""
-    _write_records(vectors, "vec_id", "embedding", "<f4", path)
+    """Writes (vec_id, embedding) in ascending order of vec_id to one file, all tasks at once."""
+    binary.write(vectors, "fvecs", path, ["vec_id"], "embedding")
 
 
 def write_ivecs(truth: DataFrame, path: str) -> None:
     """Writes (qid, gt) in ascending order of qid."""
-    _write_records(truth, "qid", "gt", "<i4", path)
+    binary.write(truth, "ivecs", path, ["qid"], "gt")
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:
@@ -236,11 +229,3 @@ def load_pca_npz(path: str):
 
 def save_pca_npz(path: str, model) -> None:
     np.savez(path, mean=model.mean, components=model.components, explained_variance=model.explained_variance, n_components=len(model.components), original_dim=len(model.mean), whiten=model.whiten)
-
-
-def members_frame(spark: SparkSession, data: bytes) -> DataFrame:
-    """(cluster_id, local_idx, vec_id) of a members file."""
-    offsets, ids = parse_members(data)
-    n = np.diff(offsets)
-    frame = pd.DataFrame({"cluster_id": np.repeat(np.arange(len(n)), n), "local_idx": np.arange(len(ids)) - np.repeat(offsets[:-1], n), "vec_id": ids})
-    return spark.createDataFrame(frame, "cluster_id long, local_idx long, vec_id long")

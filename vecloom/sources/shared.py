@@ -49,6 +49,19 @@ class Scratch:
         self.made.append(table(df, name))
         return self.made[-1]
 
+    def parts(self, df: DataFrame, by: str, name: str = "table") -> DataFrame:
+        """A table in folders by the values of a column."""
+        path = f"{shared_folder(df.sparkSession)}/vecloom-{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").partitionBy(by).parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        out.written_to = path
+        self.made.append(out)
+        return out
+
+    def drop_first(self) -> None:
+        """Deletes the oldest table."""
+        discard(self.made.pop(0))
+
     def clear(self) -> None:
         discard(*self.made)
         self.made.clear()
