@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions.distance import fold_l2, l2, prefix_l2
-from vecloom.operators import ivf, layout, pq, thresholds
+from vecloom.operators import graph, ivf, layout, pq, thresholds
 from vecloom.operators.topk import exact_knn, recall
 from vecloom.plans import metrics, scanning, search
 from vecloom.plans.params import PqParams, SearchParams, StagedParams
@@ -59,6 +59,19 @@ def saved(world, spark, path, shards=None, buckets=3):
     return catalog.load(spark, path)
 
 
+def test_searches_through_the_graph(world, spark, tmp_path):
+    books = pq.sample_codebooks(world["base"], 4, DIM, 16)
+    made = Index(world["lists"], world["centroids"], world["extents"], pq.encode(world["base"], books), books, graph.build(world["centroids"]))
+    catalog.save(made, str(tmp_path / "a"), (4, 4), 3)
+    index = catalog.load(spark, str(tmp_path / "a"))
+    for backend in ("graph", "faiss"):  # so few centroids that the beam holds them all
+        assert rows(search.ivf_flat(index, world["queries"], SearchParams(3, coarse_backend=backend))) == rows(search.ivf_flat(index, world["queries"], SearchParams(3)))
+    staged = StagedParams(3, shard_dims=(4, 4), coarse_backend="graph")
+    assert rows(search.staged(index, world["queries"], staged).top()) == rows(search.staged(index, world["queries"], StagedParams(3, shard_dims=(4, 4))).top())
+    with pytest.raises(ValueError):
+        search.ivf_flat(world["index"], world["queries"], SearchParams(3, coarse_backend="graph"))
+
+
 def test_rerank_of_everything_is_flat(world, spark, tmp_path):
     books = pq.sample_codebooks(world["base"], 4, DIM, 16)
     index = Index(world["lists"], world["centroids"], world["extents"], pq.encode(world["base"], books), books)

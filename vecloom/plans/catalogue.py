@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.distance import l2, l2_sql
-from vecloom.operators import ivf, kmeans, layout, pca, pq, thresholds
+from vecloom.operators import coarse, graph, ivf, kmeans, layout, pca, pq, thresholds
 from vecloom.operators import topk as K
 from vecloom.plans import metrics, search
 from vecloom.plans.params import PqParams, SearchParams, StagedParams
@@ -104,6 +104,29 @@ def coarse_probe_join(f: Fixture) -> DataFrame:
     return ivf.probes_by_join(f.queries, f.centroids, NPROBE).select("qid", "probe_rank", F.col("cluster_id").cast("long").alias("cluster_id"), _r())
 
 
+def _all_as_centroids(f: Fixture) -> DataFrame:
+    return f.base.filter("embedding is not null").select(F.col("vec_id").alias("cluster_id"), F.col("embedding").alias("centroid"))
+
+
+def graph_probe(f: Fixture) -> DataFrame:
+    """The ten nearest by the layered graph, with every vector as a node."""
+    nodes = _all_as_centroids(f)
+    return coarse.probes(f.queries, coarse.graph(nodes, graph.build(nodes)), 10).select("qid", "probe_rank", "cluster_id", _r())
+
+
+def graph_recall(f: Fixture) -> DataFrame:
+    """How many of the ten nearest the graph finds, by query."""
+    return _recall(f, graph_probe(f).select("qid", F.col("probe_rank").alias("rank"), F.col("cluster_id").alias("vec_id")))
+
+
+def coarse_table_function(f: Fixture) -> DataFrame:
+    """The exact backend as a table function, from SQL."""
+    spark, name = f.base.sparkSession, f"queries_{uuid.uuid4().hex}"
+    coarse.register(spark, "coarse_exact", coarse.exact(f.centroids))
+    f.queries.createOrReplaceTempView(name)
+    return spark.sql(f"SELECT qid, probe_rank, cluster_id, round(dist, 6) AS dist FROM coarse_exact(TABLE(SELECT qid, q FROM {name}), {NPROBE})")
+
+
 def ivf_assign(f: Fixture) -> DataFrame:
     return f.labels.select("vec_id", "cluster_id", _r())
 
@@ -388,7 +411,7 @@ def members_round_trip(f: Fixture) -> DataFrame:
 
 
 _ALL = [
-    exact_knn, exact_knn_join, coarse_probe, coarse_probe_join, ivf_assign, ivf_lists, cluster_extents, cluster_stats, label_checks, ivf_flat_topk, prune_sample, threshold_sampled,
+    exact_knn, exact_knn_join, coarse_probe, coarse_probe_join, coarse_table_function, graph_probe, graph_recall, ivf_assign, ivf_lists, cluster_extents, cluster_stats, label_checks, ivf_flat_topk, prune_sample, threshold_sampled,
     threshold_centroid, staged_topk_sampled, staged_topk_centroid, stage_counters, stage_summary, staged_reads, segments, pca_transform, pca_transform_whiten, pca_fit, kmeans_fit, kmeans_steps, kmeans_train, pq_train, pq_train_steps, pq_encode,
     adc_table, adc_scan_topr, ivfpq_rerank_topk, greedy_placement, pq_raw_regions, rerank_read_groups, shard_packing, replica_lba, replica_assignment, batch_slices, stage0_read_runs,
     payload_bytes, recall_at_10, recall_staged_sampled, recall_staged_centroid, recall_ivfpq, run_summary, balanced_assign, overlap_lists, fvecs_round_trip, labels_round_trip, codes_round_trip, members_round_trip,
@@ -512,6 +535,7 @@ _SQL = {
     "exact_knn_join": _TOP + "knn",
     "coarse_probe": "SELECT qid, probe_rank, cluster_id, round(dist, 6) AS dist FROM probes",
     "coarse_probe_join": "SELECT qid, probe_rank, cluster_id, round(dist, 6) AS dist FROM probes",
+    "coarse_table_function": "SELECT qid, probe_rank, cluster_id, round(dist, 6) AS dist FROM probes",
     "ivf_assign": "SELECT vec_id, cluster_id, round(dist, 6) AS dist FROM labels",
     "ivf_lists": "SELECT cluster_id, local_idx, vec_id FROM lists",
     "cluster_extents": "SELECT cluster_id, num_vectors, num_lbas, start_lba, sorted_id_base FROM ext",

@@ -9,21 +9,23 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class SearchParams:
-    """nprobe clusters per query, k results; max_queries 0 takes all. `coarse_backend` names are accepted as aliases: the
-    search for the nearest clusters is always exact. Read depth, gaps and similar knobs belong to Spark's readers."""
+    """nprobe clusters per query, k results; max_queries 0 takes all. `coarse_backend`: `brute` compares all centroids, `graph` (or
+    `faiss`) goes through the index's layered graph with a beam of `coarse_width`. Read depth, gaps and similar knobs
+    belong to Spark's readers."""
 
     nprobe: int = 32
     k: int = 10
     max_queries: int = 0
     coarse_backend: str = "brute"
+    coarse_width: int = 128
     read_depth: int = 8
     gap_merge: int = 0
 
     def __post_init__(self) -> None:
         if self.nprobe < 1 or self.k < 1 or self.max_queries < 0:
             raise ValueError("nprobe and k are positive, max_queries is not negative")
-        if self.coarse_backend not in ("brute", "faiss"):
-            raise ValueError("coarse_backend is brute or faiss")
+        if self.coarse_backend not in ("brute", "graph", "faiss") or self.coarse_width < 1:
+            raise ValueError("coarse_backend is brute, graph or faiss, and coarse_width is positive")
         if not 1 <= self.read_depth <= 256 or not 0 <= self.gap_merge <= 256:
             raise ValueError("read_depth lies between 1 and 256, gap_merge between 0 and 256")
 

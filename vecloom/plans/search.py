@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.distance import l2
-from vecloom.operators import ivf, pq, thresholds
+from vecloom.operators import coarse, ivf, pq, thresholds
 from vecloom.operators.topk import exact_knn, top_k
 from vecloom.plans import scanning as S
 from vecloom.plans.params import PqParams, SearchParams, StagedParams
@@ -27,6 +27,15 @@ def limited(queries: DataFrame, params: SearchParams) -> DataFrame:
     return queries.orderBy("qid").limit(params.max_queries) if params.max_queries else queries
 
 
+def coarse_probes(index: Index, queries: DataFrame, params: SearchParams) -> DataFrame:
+    """(qid, probe_rank, cluster_id, dist): the clusters that each query probes, by the backend that the parameters name."""
+    if params.coarse_backend == "brute":
+        return ivf.probes(queries, index.centroids, params.nprobe)
+    if index.graph is None:
+        raise ValueError("the index has no graph")
+    return coarse.probes(queries, coarse.graph(index.centroids, index.graph, params.coarse_width), params.nprobe)
+
+
 def candidate_counts(index: Index, probes: DataFrame) -> DataFrame:
     """(qid, n): entries of each query's probed clusters, from the clusters' sizes."""
     return probes.join(index.clusters.select("cluster_id", "num_vectors"), "cluster_id").groupBy("qid").agg(F.sum("num_vectors").alias("n"))
@@ -42,7 +51,7 @@ def _together(index: Index, parts: Iterator[DataFrame], schema: str) -> DataFram
 def ivf_flat(index: Index, queries: DataFrame, params: SearchParams) -> DataFrame:
     """(qid, rank, vec_id, dist): the nearest vectors in the probed clusters. A vector in several lists may be found twice."""
     queries = limited(queries, params)
-    batches = S.query_batches(queries, ivf.probes(queries, index.centroids, params.nprobe))
+    batches = S.query_batches(queries, coarse_probes(index, queries, params))
     rows = _together(index, (S.nearest_entries(index, b, params.k) for b in batches), S.FOUND)
     return top_k(rows.drop("slot"), params.k, ["qid"], ["dist", "vec_id"])
 
@@ -94,7 +103,7 @@ def staged(index: Index, queries: DataFrame, params: StagedParams, keep_stages:
     second search; earlier stages' tables are deleted unless `keep_stages`.
     """
     queries, spark = limited(queries, params), index.lists.sparkSession
-    probes = ivf.probes(queries, index.centroids, params.nprobe)
+    probes = coarse_probes(index, queries, params)
     if params.prune_threshold_mode == "sampled":
         entries = index.entries("cluster_id", "local_idx", "vec_id", "embedding")
         limits = thresholds.sampled(thresholds.prune_sample(entries, index.clusters), queries)
@@ -124,7 +133,7 @@ def adc_scan(index: Index, queries: DataFrame, params: PqParams) -> DataFrame:
     book = pq.codebook_array(index.codebooks)
     if len(book) != params.m:
         raise ValueError(f"the codebooks have {len(book)} parts, not {params.m}")
-    batches = S.query_batches(queries, ivf.probes(queries, index.centroids, params.nprobe), bytes_a_query=8 * book.shape[0] * book.shape[1])
+    batches = S.query_batches(queries, coarse_probes(index, queries, params), bytes_a_query=8 * book.shape[0] * book.shape[1])
     rows = _together(index, (S.nearest_codes(index, b, book, params.rerank_k) for b in batches), S.FOUND)
     return top_k(rows.withColumnRenamed("dist", "adc"), params.rerank_k, ["qid"], ["adc", "vec_id"], "adc_rank")
 

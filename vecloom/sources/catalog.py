@@ -29,7 +29,7 @@ def place_of(slot_: Column) -> Column:
 @dataclass
 class Index:
     """lists (cluster_id, local_idx, vec_id, embedding), centroids, clusters (sizes and extents), and optional codes (vec_id,
-    codes) and codebooks. A saved index has lists that are partitioned by `buckets` of clusters, with the embedding as it
+    codes), codebooks and graph of the centroids (`vecloom.operators.graph`). A saved index has lists that are partitioned by `buckets` of clusters, with the embedding as it
     is or cut into columns of `shard_dims`, with `slot`, and with codes in the lists."""
 
     lists: DataFrame
@@ -37,6 +37,7 @@ class Index:
     clusters: DataFrame
     codes: DataFrame | None = None
     codebooks: DataFrame | None = None
+    graph: DataFrame | None = None
     buckets: int = 0
     shard_dims: tuple[int, ...] = ()
 
@@ -73,7 +74,7 @@ class Index:
         return rows.select(*[self._column(c) for c in columns])
 
     def tables(self) -> dict[str, DataFrame]:
-        return {k: v for k in ("centroids", "clusters", "codebooks") if (v := getattr(self, k)) is not None}
+        return {k: v for k in ("centroids", "clusters", "codebooks", "graph") if (v := getattr(self, k)) is not None}
 
 
 def save(index: Index, path: str, shard_dims: Sequence[int] | None = None, buckets: int = 64) -> None:
@@ -103,6 +104,9 @@ def load(spark: SparkSession, path: str, check: bool = True) -> Index:
         want = clusters.agg(F.sum("num_vectors").alias("n")).first()["n"] or 0
         if lists.count() != want:
             raise ValueError(f"the lists should have {want} entries")
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/codebooks")
-    books = read("codebooks") if jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath) else None
-    return Index(lists, read("centroids"), clusters, None, books, layout["buckets"], tuple(layout["shard_dims"]))
+    optional = {}
+    for name in ("codebooks", "graph"):
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        if jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+            optional[name] = read(name)
+    return Index(lists, read("centroids"), clusters, buckets=layout["buckets"], shard_dims=tuple(layout["shard_dims"]), **optional)
