@@ -108,6 +108,25 @@ def test_pca(vectors, spark, tmp_path):
         pca.PcaModel(np.zeros(3), np.zeros((2, 4)), np.zeros(2))
 
 
+def test_randomized_pca(vectors, spark):
+    x, base = vectors
+    for n in (1, 3, 6):
+        model, exact = pca.fit_randomized(base, n, whiten=True), pca.fit(base, n)
+        assert np.allclose(model.mean, exact.mean) and model.whiten
+        assert np.allclose(model.explained_variance, exact.explained_variance, rtol=1e-6)
+        assert np.allclose(model.components, exact.components, atol=1e-4)
+    wide = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").repartition(70)
+    model, exact = pca.fit_randomized(wide, 8), pca.fit(wide, 8)
+    assert np.allclose(model.explained_variance, exact.explained_variance, rtol=1e-3)
+    assert np.allclose(model.components @ model.components.T, np.eye(8), atol=1e-9)
+    few = pca.fit_randomized(base.limit(2), 4)  # two vectors have one direction
+    assert few.explained_variance[0] > 0 and np.allclose(few.explained_variance[1:], 0, atol=1e-9)
+    with pytest.raises(ValueError):
+        pca.fit_randomized(base.limit(0), 2)
+    with pytest.raises(ValueError):
+        pca.fit_randomized(base, 7)
+
+
 def test_vector_files(vectors, spark, tmp_path):
     x, base = vectors
     path = str(tmp_path / "x.fvecs")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vecloom.functions.distance import l2, l2_sql
 from vecloom.operators import coarse, graph, ivf, kmeans, layout, pca, pq, thresholds
 from vecloom.operators import topk as K
-from vecloom.plans import metrics, search
+from vecloom.plans import metrics, runs, search
 from vecloom.plans.params import PqParams, SearchParams, StagedParams
 from vecloom.sources import binary, catalog, formats
 from vecloom.sources.shared import shared_folder
@@ -235,6 +235,13 @@ def pca_fit(f: Fixture) -> DataFrame:
     return f.base.sparkSession.createDataFrame(rows, "component long, variance double, norm double")
 
 
+def pca_fit_randomized(f: Fixture) -> DataFrame:
+    """Variances by the randomized range, beside those by the whole covariance."""
+    model, exact = pca.fit_randomized(f.base, COMPONENTS), pca.fit(f.base, COMPONENTS)
+    rows = [(i, float(v), float(e)) for i, (v, e) in enumerate(zip(model.explained_variance, exact.explained_variance, strict=True))]
+    return f.base.sparkSession.createDataFrame(rows, "component long, variance double, exact double")
+
+
 def kmeans_fit(f: Fixture) -> DataFrame:
     centroids = ivf.kmeans(f.base, NLIST, 5, centroids=f.centroids)
     return ivf.cluster_sizes(ivf.assign(f.base, centroids), centroids)
@@ -364,6 +371,11 @@ def run_summary(f: Fixture) -> DataFrame:
     return metrics.run_summary(recall_at_10(f)).select("queries", _r("recall"), _r("avg_found"))
 
 
+def run_report(f: Fixture) -> DataFrame:
+    """A measured run of the staged search: recall, latency quantiles, queries per second, bytes."""
+    return runs.measured(f.index(SHARDS), f.queries, _STAGED["sampled"], f.truth, batches=4)[1]
+
+
 def balanced_assign(f: Fixture) -> DataFrame:
     n = f.base.count()
     return ivf.balanced(ivf.nearest(f.base, f.centroids, CANDIDATES), -(-n * 5 // (4 * NLIST)), NLIST, None)
@@ -412,9 +424,9 @@ def members_round_trip(f: Fixture) -> DataFrame:
 
 _ALL = [
     exact_knn, exact_knn_join, coarse_probe, coarse_probe_join, coarse_table_function, graph_probe, graph_recall, ivf_assign, ivf_lists, cluster_extents, cluster_stats, label_checks, ivf_flat_topk, prune_sample, threshold_sampled,
-    threshold_centroid, staged_topk_sampled, staged_topk_centroid, stage_counters, stage_summary, staged_reads, segments, pca_transform, pca_transform_whiten, pca_fit, kmeans_fit, kmeans_steps, kmeans_train, pq_train, pq_train_steps, pq_encode,
+    threshold_centroid, staged_topk_sampled, staged_topk_centroid, stage_counters, stage_summary, staged_reads, segments, pca_transform, pca_transform_whiten, pca_fit, pca_fit_randomized, kmeans_fit, kmeans_steps, kmeans_train, pq_train, pq_train_steps, pq_encode,
     adc_table, adc_scan_topr, ivfpq_rerank_topk, greedy_placement, pq_raw_regions, rerank_read_groups, shard_packing, replica_lba, replica_assignment, batch_slices, stage0_read_runs,
-    payload_bytes, recall_at_10, recall_staged_sampled, recall_staged_centroid, recall_ivfpq, run_summary, balanced_assign, overlap_lists, fvecs_round_trip, labels_round_trip, codes_round_trip, members_round_trip,
+    payload_bytes, recall_at_10, recall_staged_sampled, recall_staged_centroid, recall_ivfpq, run_summary, run_report, balanced_assign, overlap_lists, fvecs_round_trip, labels_round_trip, codes_round_trip, members_round_trip,
 ]
 
 
