@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from vecloom.llm import pages, urls
 
@@ -27,6 +28,60 @@ def test_one_page(html, text):
     assert pages.main_text(html or "", None) == text
 
 
+LONG = "a story of some length that makes up the page"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<div class='content has-sidebar'><p>{LONG}</p></div>", LONG), (f"<article class='post discussion'><p>{LONG}</p></article>", LONG), (f"<div class='layout no-sidebar'><article>{LONG}</article></div>", LONG),
+        (f"<div class='page social-post'><p>{LONG}</p></div>", LONG), (f"<div class='social'><div class='sharing'><article>{LONG}</article></div></div>", LONG),
+        (f"<article>{LONG}</article><div class=comments><article>{LONG} no</article></div>", LONG), (f"<article>{LONG}</article><article class=discussion>{LONG} no</article>", LONG),
+        (f"<article>{LONG}<div class='comment'>{LONG} no {LONG}</div></article>", LONG), (f"<p>{LONG}</p><div class='cookieNotice'>no</div>", LONG), (f"<p>{LONG}</p><div id='left-sidebar'>no</div>", LONG),
+        (f"<aside><article>no</article></aside><div class=widget><main>{LONG}</main></div>", LONG), (f"<div class=share><p>{LONG}</p></div><div class=share>no</div>", LONG),
+    ],
+)
+def test_names_spare_the_article(html, text):
+    """Names of classes never rule out the only article, what it is in, or what holds most of the text."""
+    assert pages.main_text(html, None) == text
+
+
+def deduced(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select(F.xxhash64("page_id", "url").alias("page"), urls.host_of(F.col("url")).alias("host"), "html")
+    return {r["host"]: pages.Template([t.asDict() for t in r["template"]], [t.asDict() for t in r["regions"]] if r["regions"] else None) for r in pages.templates(df).collect()}
+
+
+def test_template_alone(spark):
+    """Without any rule of tags or names, the slots' figures give the article, on hosts of few and of many pages."""
+    d = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = [tuple(r) for r in d.select("page_id", "url", "html").collect()]
+    found = deduced(spark, rows)
+    host = {r["page_id"]: r["h"] for r in d.select("page_id", urls.host_of(F.col("url")).alias("h")).collect()}
+    alone = 0
+    for i, _, html in rows:
+        want = pages.main_text(html, None)
+        got = pages.main_text(html, found[host[i]], rules=False)
+        alone += got == want
+        assert pages.main_text(html, found[host[i]]) == want  # nothing of the article is dropped
+        assert pages.main_text(html, None, rules=False) != want
+    assert alone > 0.95 * len(rows)
+
+
+@pytest.mark.parametrize("size", [2, 3, 5, 9, 40])
+def test_roles_of_slots(spark, size):
+    """The element with most of the text and all headings is the article: teasers of other stories, link lists and notices that
+    differ from page to page stay outside, without a telling tag or name; what is inside stays, however short."""
+    rows = []
+    for n in range(size):
+        teasers = "".join(f"<div class=t><a href=/{k}>Other story {k * n} that one can read next</a></div>" for k in range(3))
+        body = "".join(f"<p>{f'sentence {n} {k} ' * 12}</p>" for k in range(3))
+        rows.append((n, f"http://i.example/{n}", f"<html><body><div class=a><div class=b>Weather {n}</div>{teasers}</div><div class=c><h1>Title {n}</h1><div class=e>{body}<ul><li>point {n}</ul></div><div class=g>By writer {n}</div></div><div class=f>Printed at {n} o'clock</div></body></html>"))
+    template = deduced(spark, rows)["i.example"]
+    for n, _, html in rows:
+        body = "\n".join(" ".join([f"sentence {n} {k}"] * 12) for k in range(3))
+        assert pages.main_text(html, template, rules=False) == f"Title {n}\n{body}\npoint {n}\nBy writer {n}"
+
+
 def test_templates(spark):
     rows, want = [], {}
     for n in range(60):
