@@ -78,6 +78,52 @@ def test_recall_on_data(spark):
     assert sum(got.values()) >= 0.99 * links.sum()
 
 
+@pytest.mark.parametrize(("total", "most_copies", "recall"), [(10**8, 16, 0.92), (10**9, 24, 0.9)])
+def test_leaves_keep_their_size(total, most_copies, recall):
+    """A bounded sample makes trees for any number of rows: leaves of some 10,000 rows, few copies of a row, and pairs just above
+    the threshold together in a leaf."""
+    rng = np.random.default_rng(1)
+    forest = vectors.Forest(list(rng.standard_normal((vectors.FIT_ROWS, 64)).astype(np.float32)), total, vectors.TREES, 0.95)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(axis=1)[:, None] * x
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    row, leaf = forest.leaves_of(x)
+    pairs = set(zip(row.tolist(), leaf.tolist(), strict=True))
+    near = forest.leaves_of(0.951 * x + np.sqrt(1 - 0.951**2) * noise)
+    together = {r for r, q in zip(*(v.tolist() for v in near), strict=True) if (r, q) in pairs}
+    assert len(together) >= recall * len(x)
+    assert len(row) / len(x) < most_copies
+    assert len(row) / len(x) * total / forest.leaves < 12_000  # mean rows of a leaf
+    counts = np.bincount(leaf, minlength=forest.leaves) * (total / len(x))
+    sizes = np.sort(counts.reshape(-1)[: forest.leaves // 100 * 100].reshape(-1, 100).mean(axis=1)) if total == 10**8 else counts[:0]
+    assert not len(sizes) or np.median(sizes) < 12_000
+
+
+def test_trees_route_by_their_nodes():
+    """The batch goes the way that each vector goes by itself."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 8))
+    tree = vectors.Tree(x, 3000, 0.1, [1], 100)
+    assert tree.leaves > 30
+    d = x @ tree._directions(tree.levels)
+    want = set()
+    for i in range(200):
+        todo = [0]
+        while todo:
+            node = todo.pop()
+            if node < 0:
+                want.add((i, -node - 1))
+                continue
+            v = d[i, tree.column[node]] - tree.cut[node]
+            todo += [tree.left[node]] * (v <= 0.1) + [tree.right[node]] * (v >= -0.1)
+    got = [(int(r), int(q)) for r, q in zip(*tree.leaves_of(x), strict=True) if r < 200]
+    assert set(got) == want and len(got) == len(want)
+    alike = vectors.Tree(np.ones((500, 8)), 500, 0.1, [1], 100)
+    assert alike.leaves == 1 and alike.leaves_of(np.ones((3, 8)))[1].tolist() == [0, 0, 0]
+
+
 def test_recall_at_depth(spark, monkeypatch):
     """Pairs just above the threshold in trees of several levels, fitted on a part of the rows, whose leaves are split on."""
     monkeypatch.setattr(vectors, "TOP_ROWS", 300)

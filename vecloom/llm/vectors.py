@@ -17,7 +17,10 @@ from vecloom.llm.storage import table
 
 COSINE = 0.95
 TREES = 2  # over the table: their splits are fitted on a sample, and rows are sent to their leaves
-TOP_ROWS = 10_000  # in a leaf of these, about
+TOP_ROWS = 12_000  # in a leaf of these at most, about
+FEW = 64  # of the sample, that a median is taken of
+TRIES = 4  # directions of a level
+MOST_LEVELS = 48
 FIT_ROWS = 50_000  # bound of the sample that the splits are fitted on; all rows are indexed
 GROUP_ROWS = 20_000  # in such a leaf, up to which a task splits it further by trees of its own
 LEAF_TREES = 4
@@ -28,57 +31,85 @@ SEED = 7
 
 
 class Tree:
-    """Random splits at the median of a projection. Vectors within the margin of a split go both ways. A node's direction
-    follows from its seed, so a tree is a few numbers a node."""
+    """Random splits at the median of a projection. Vectors within the margin of a split go both ways.
 
-    def __init__(self, sample: np.ndarray, share: float, margin: float, seed: list[int], most: int, least: int = 16):
-        self.seeds: list[int] = []
-        self.cuts: list[float] = []
-        self.children: list[tuple[int, int]] = []
-        self.leaves, self.margin, self.seed, self.most, self.least = 0, margin, seed, most, least
-        self.root = self._grow(sample, share)
+    Each level of the tree has TRIES random directions, of which a node takes the first that splits its vectors; so all
+    projections of a batch are one product, and it goes down level by level. A node knows its rows by the share of its sample
+    that went each way. Where fewer than FEW of the sample are left, the sample of the nearest node above with more stands
+    for it: along a further random direction the halves of a node lie much like the node itself. So leaves keep their size
+    however many rows a bounded sample stands for.
+    """
+
+    def __init__(self, sample: np.ndarray, rows: float, margin: float, seed: list[int], most: int, least: int = 1):
+        self.margin, self.seed, self.size = margin, seed, sample.shape[1]
+        self.column: list[int] = []
+        self.cut: list[float] = []
+        self.left: list[int] = []
+        self.right: list[int] = []
+        self.leaves, levels = 0, 0
+        if rows > most and len(sample) >= least:
+            p = sample @ self._directions(MOST_LEVELS)
+            known: dict[tuple[int, int], tuple | None] = {}  # splits by (stand-in, level)
+            todo = [(0, None, np.arange(len(sample)), (0, np.arange(len(sample))), float(rows))]  # level, link to set, sample, its stand-in, rows
+            while todo:
+                level, link, own, stand, n = todo.pop()
+                node, found = len(self.cut), None
+                if n > most and len(own) >= least and level < MOST_LEVELS:
+                    stand = (node, own) if len(own) >= FEW else stand
+                    if (stand[0], level) not in known:
+                        known[stand[0], level] = self._split(p[stand[1]], level)
+                    found = known[stand[0], level]
+                if link is not None:
+                    link[0][link[1]] = node if found else -self._leaf()
+                if not found:
+                    self.leaves += link is None
+                    continue
+                column, cut, *shares = found
+                self.column.append(column)
+                self.cut.append(cut)
+                self.left.append(0)
+                self.right.append(0)
+                at = p[own, column]
+                todo.append((level + 1, (self.right, node), own[at >= cut - self.margin], stand, n * shares[1]))
+                todo.append((level + 1, (self.left, node), own[at <= cut + self.margin], stand, n * shares[0]))
+        else:
+            self._leaf()
+        self.levels = max((c // TRIES for c in self.column), default=-1) + 1
+        self.column, self.left, self.right = (np.array(v, np.int64) for v in (self.column, self.left, self.right))
+        self.cut = np.array(self.cut)
 
-    def _direction(self, seed: int, size: int) -> np.ndarray:
-        d = np.random.default_rng([*self.seed, seed]).standard_normal(size)
-        return d / np.linalg.norm(d)
+    def _directions(self, levels: int) -> np.ndarray:
+        d = np.stack([np.random.default_rng([*self.seed, k]).standard_normal(self.size) for k in range(levels * TRIES)], 1) if levels else np.zeros((self.size, 0))
+        return d / np.maximum(np.linalg.norm(d, axis=0), 1e-300)
 
     def _leaf(self) -> int:
         self.leaves += 1
-        return -self.leaves
-
-    def _grow(self, x: np.ndarray, share: float) -> int:
-        if len(x) * share <= self.most or len(x) < self.least:
-            return self._leaf()
-        node = len(self.cuts)
-        for k in range(4):  # a direction along which copies lie apart
-            p = x @ self._direction(4 * node + k, x.shape[1])
-            cut = float(np.median(p))
-            left, right = p <= cut + self.margin, p >= cut - self.margin
-            if max(left.sum(), right.sum()) <= 0.8 * len(x):
-                break
-        else:
-            return self._leaf()
-        self.seeds.append(4 * node + k)
-        self.cuts.append(cut)
-        self.children.append((0, 0))
-        self.children[node] = self._grow(x[left], share), self._grow(x[right], share)
-        return node
+        return self.leaves
+
+    def _split(self, p: np.ndarray, level: int) -> tuple[int, float, float, float] | None:
+        """(column, cut, share that goes left, share that goes right) of the first direction along which copies lie apart."""
+        for column in range(level * TRIES, (level + 1) * TRIES):
+            cut = float(np.median(p[:, column]))
+            shares = float((p[:, column] <= cut + self.margin).mean()), float((p[:, column] >= cut - self.margin).mean())
+            if max(shares) <= 0.8:
+                return column, cut, *shares
+        return None
 
     def leaves_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf that a row reaches; leaves are numbered from 0."""
-        rows, leaves, todo = [], [], [(self.root, np.arange(len(x)))]
-        while todo:
-            node, at = todo.pop()
-            if not len(at):
-                continue
-            if node < 0:
-                rows.append(at)
-                leaves.append(np.full(len(at), -node - 1))
-                continue
-            p = x[at] @ self._direction(self.seeds[node], x.shape[1])
-            for child, side in zip(self.children[node], (p <= self.cuts[node] + self.margin, p >= self.cuts[node] - self.margin), strict=True):
-                todo.append((child, at[side]))
-        return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        row = np.arange(len(x))
+        if not len(self.cut):
+            return row, np.zeros(len(x), np.int64)
+        p, node, rows, leaves = x @ self._directions(self.levels), np.zeros(len(x), np.int64), [], []
+        while len(row):
+            at, cut = p[row, self.column[node]], self.cut[node]
+            left, right = at <= cut + self.margin, at >= cut - self.margin
+            row, node = np.concatenate([row[left], row[right]]), np.concatenate([self.left[node[left]], self.right[node[right]]])
+            done = node < 0
+            rows.append(row[done])
+            leaves.append(-node[done] - 1)
+            row, node = row[~done], node[~done]
+        return np.concatenate(rows), np.concatenate(leaves)
 
 
 def margin_of(cosine: float, size: int) -> float:
@@ -92,12 +123,11 @@ class Forest:
     def __init__(self, sample: list[np.ndarray], total: int, trees: int, cosine: float):
         self.trees: dict[int, list[tuple[int, Tree]]] = {}
         self.leaves = 0
-        share = total / max(1, len(sample))
         for size in sorted({len(v) for v in sample}):
             x = unit(np.array([v for v in sample if len(v) == size], np.float64))
             self.trees[size] = []
             for t in range(trees):
-                tree = Tree(x, share, margin_of(cosine, size), [SEED, size, t], TOP_ROWS)
+                tree = Tree(x, total * len(x) / len(sample), margin_of(cosine, size), [SEED, size, t], TOP_ROWS)
                 self.trees[size].append((self.leaves, tree))
                 self.leaves += tree.leaves
 
@@ -185,7 +215,7 @@ def _compare(group: pd.DataFrame, cosine: float, block_rows: int) -> pd.DataFram
         mine: list[list[int]] = [[] for _ in range(len(x))]  # leaves of this task's trees, below all others
         number = -1
         for t in range(LEAF_TREES):
-            tree = Tree(x, 1.0, margin_of(cosine, x.shape[1]), [SEED, leaf, 1000 + t], LEAF_ROWS, LEAF_ROWS)
+            tree = Tree(x, len(x), margin_of(cosine, x.shape[1]), [SEED, leaf, 1000 + t], LEAF_ROWS, LEAF_ROWS)
             row, sub = tree.leaves_of(x)
             order = np.argsort(sub, kind="stable")
             for at in np.split(row[order], np.flatnonzero(np.diff(sub[order])) + 1):
