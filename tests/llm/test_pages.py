@@ -156,10 +156,10 @@ def test_globs():
     import numpy as np
 
     rng = random.Random(6)
-    patterns = ["".join(rng.choice("ab*?") for _ in range(rng.randint(0, 7))) for _ in range(60)] + ["*", "", "a" * 100 + "*b"]
-    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(200)] + ["", "a" * 130 + "b"]
+    patterns = ["".join(rng.choice("abé字*?") for _ in range(rng.randint(0, 7))) for _ in range(90)] + ["*", "", "a" * 100 + "*b", "a?b", "?", "??", "*?é"]
+    texts = ["".join(rng.choice("abé字😀") for _ in range(rng.randint(0, 9))) for _ in range(300)] + ["", "a" * 130 + "b", "aéb", "a😀b"]
     raw = "".join(texts).encode()
-    got = urls.Globs(patterns).match(np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)]))
+    got = urls.Globs(patterns).match(np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
     for i, t in enumerate(texts):
         assert got[i].tolist() == [fnmatch.fnmatchcase(t, p) for p in patterns]
 

@@ -117,7 +117,7 @@ def test_trees_route_by_their_nodes():
                 want.add((i, -node - 1))
                 continue
             v = d[i, tree.column[node]] - tree.cut[node]
-            todo += [tree.left[node]] * (v <= 0.1) + [tree.right[node]] * (v >= -0.1)
+            todo += [tree.left[node]] * int(v <= 0.1) + [tree.right[node]] * int(v >= -0.1)
     got = [(int(r), int(q)) for r, q in zip(*tree.leaves_of(x), strict=True) if r < 200]
     assert set(got) == want and len(got) == len(want)
     alike = vectors.Tree(np.ones((500, 8)), 500, 0.1, [1], 100)

@@ -17,18 +17,19 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 # Own choice, defaults of a parameter: globs over the canonical URL; * is any run of characters, ? is any one.
 BLOCK_GLOBS = ["*://*spam*/*", "*://*free-bets*/*", "*://*casino*/*", "*://*poker*/*", "*://*porn*/*", "*://*xxx*/*", "*://adult?*/*", "*/login*", "*.exe", "*.zip", "*/cgi-bin/*", "*\\?*sessionid=*"]
 ALLOW_GLOBS = ["*://*/robots.txt", "*://*/about*"]
+FURTHER = set(range(0x80, 0xC0))  # bytes of a character behind its first
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Globs:
     """All patterns in one Shift-And automaton over several 64-bit words, for many texts at once.
 
-    Each pattern has a start bit and one bit per character. Bits behind which a * follows stay set whatever comes. A
-    backslash takes the next character as it is.
+    Each pattern has a start bit and one bit per byte of a character, one for a ?. Bits behind which a * follows stay set
+    whatever comes, those of a ? through the further bytes of its character. A backslash takes the next character as it is.
     """
 
     def __init__(self, patterns: list[str]):
-        masks, loops, starts, finals = [], [], [], []
+        masks, loops, any_one, starts, finals = [], [], [], [], []
         for p in patterns:
             start = len(masks)
             masks.append(set())
@@ -41,7 +42,9 @@ class Globs:
                 else:
                     literal = c == 0x5C and i + 1 < len(raw)
                     i += literal
-                    masks.append(set(range(256)) if c == 0x3F else {raw[i]})
+                    if c == 0x3F:
+                        any_one.append(len(masks))
+                    masks.append(set(range(256)) - FURTHER if c == 0x3F else {raw[i]})
                     loops.append(False)
                 i += 1
             starts.append(start)
@@ -52,6 +55,7 @@ class Globs:
             for c in chars:
                 self.on[c, bit >> 6] |= np.uint64(1 << (bit & 63))
         self.loop = self._bits([b for b, x in enumerate(loops) if x])
+        self.one = self._bits(any_one)
         self.start = self._bits(starts)
         self.finals = finals
 
@@ -74,8 +78,10 @@ class Globs:
             s = state[:live]
             moved = s << np.uint64(1)
             moved[:, 1:] |= s[:, :-1] >> np.uint64(63)
-            moved &= self.on[data[begin[:live] + t]]
-            state[:live] = moved | (s & self.loop)
+            byte = data[begin[:live] + t]
+            moved &= self.on[byte]
+            further = np.where((byte & 0xC0) == 0x80, s.T & self.one[:, None], np.uint64(0)).T
+            state[:live] = moved | (s & self.loop) | further
         out = np.zeros((n, len(self.finals)), bool)
         for k, f in enumerate(self.finals):
             out[order, k] = (state[:, f >> 6] >> np.uint64(f & 63)) & np.uint64(1) > 0
