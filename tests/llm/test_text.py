@@ -433,6 +433,21 @@ def test_lm_learns(spark, public, monkeypatch):
     assert all(again[r["doc_id"]] == pytest.approx(r["score"], rel=1e-4, abs=1e-3) for r in first)
 
 
+def test_model_stays_finite():
+    """Logits that training has driven far off give small probabilities, not none."""
+    import numpy as np
+
+    from vecloom.llm import attention as A
+
+    w = A.initial(np.log(np.full(64, 1 / 64)))
+    w["bias"][:] = [-3000, -2000]
+    w["bias2"][:] = -1000
+    c = np.arange(20).reshape(2, 10)
+    loss, grad = A.gradient(w, c, c, np.ones((2, 10), np.float32))
+    assert np.isfinite(loss) and all(np.isfinite(g).all() for g in grad.values())
+    assert np.isfinite(A.log_probs(w, c, c, 0)).all()
+
+
 def test_model():
     """The gradient by differences; probabilities that sum to one; windows that score each token once."""
     import numpy as np

@@ -43,8 +43,8 @@ _ahead = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 
 
 def _normalize(x: np.ndarray) -> np.ndarray:
-    """Softmax along the last axis, in place. Logits are cut off at 80, far above any that training gives."""
-    np.minimum(x, 80, out=x)
+    """Softmax along the last axis, in place. Logits are cut off at 80 either way, so that no sum is zero or infinite."""
+    np.clip(x, -80, 80, out=x)
     np.exp(x, out=x)
     x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
     return x
@@ -93,7 +93,7 @@ def _by_group(group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
 def _softmax_log(logits: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of the softmax of logits + bias at the targets; the logits are overwritten."""
     logits += bias
-    np.minimum(logits, 80, out=logits)
+    np.clip(logits, -80, 80, out=logits)
     chosen = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + target]
     np.exp(logits, out=logits)
     return chosen - np.log(logits @ np.ones(logits.shape[1], logits.dtype))

@@ -29,7 +29,7 @@ from vecloom.llm.storage import table
 
 ALONE, BANDS = 992, 32  # their sum is a multiple of the model's MEMBERS
 SHARD_BYTES = 16 << 20  # of text, on average
-START_STEPS, START_RATE, START_WINDOWS = 3000, 0.03, 64  # on the first shard, as often as that takes
+START_STEPS, START_RATE, START_WINDOWS = 3000, 0.02, 64  # on the first shard, as often as that takes
 RATE, BATCH_WINDOWS = 0.01, 512  # once through each shard
 SCALE = 1 << 24  # weights are averaged as integers
 BLOCK_WINDOWS = 512  # scored at a time
