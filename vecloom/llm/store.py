@@ -128,13 +128,13 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFram
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops chunks that this partition, to which all of its digest come, has had."""
-    seen: set[bytes] = set()
+    """Keeps one of the chunks of each digest, from rows sorted by it. Recipes have none and pass."""
+    last = None
     for b in batches:
         keep = []
         for d in b.column(2).to_pylist():
-            keep.append(d is None or d not in seen)
-            seen.add(d)
+            keep.append(d is None or d != last)
+            last = d
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
@@ -148,7 +148,7 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     encoded = _encoded(docs, path, id_col, text_col)
-    dealt = encoded.repartition("deal").mapInArrow(_once, encoded.schema)
+    dealt = encoded.repartition("deal").sortWithinPartitions("digest").mapInArrow(_once, encoded.schema)
     dealt.drop("deal").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/data")
     made = spark.read.schema(dealt.drop("deal").schema).parquet(f"{folder}/data").filter("kind = 'recipes'").select("doc_id", "n_tokens", "chunks", "root")
     schema = T.StructType([T.StructField("part", T.IntegerType()), made.schema["doc_id"], T.StructField("at", T.LongType()), *(made.schema[c] for c in ("n_tokens", "chunks", "root"))])
@@ -164,14 +164,14 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
     order = (F.col("doc_id").asc_nulls_first(), F.col("root"))
     sorted_ = made.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     sorted_.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "chunks", "root").mapInArrow(place, schema).write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    parts = table(_part_roots(spark, folder), "parts")
+    parts = table(_part_roots(spark, folder, verify=False), "parts")
     start = F.coalesce(F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
     parts.withColumn("start", start).select("part", "first_doc", "n_docs", "start", "n_tokens", "root").write.parquet(f"{folder}/manifest")
 
 
-def _part_roots(spark: SparkSession, folder: str) -> DataFrame:
-    """(part, first_doc, n_docs, n_tokens, root) from the recipes. A document's root that its digests don't give is one of
-    zeros here, and so fails its part."""
+def _part_roots(spark: SparkSession, folder: str, verify: bool = True) -> DataFrame:
+    """(part, first_doc, n_docs, n_tokens, root) from the recipes. With `verify`, a document's root that its digests don't give is
+    one of zeros here, and so fails its part; without, digests are not read."""
     rows = spark.read.parquet(f"{folder}/recipes")
 
     @K.lean
@@ -181,7 +181,7 @@ def _part_roots(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(good, pa.binary())], names=["part", "doc_id", "at", "n_tokens", "root"])
 
     schema = T.StructType([rows.schema[c] for c in ("part", "doc_id", "at", "n_tokens", "root")])
-    per = rows.select("part", "doc_id", "at", "n_tokens", "chunks", "root").mapInArrow(roots, schema)
+    per = rows.select("part", "doc_id", "at", "n_tokens", "chunks", "root").mapInArrow(roots, schema) if verify else rows.select(*schema.names)
     out = T.StructType([rows.schema["part"], T.StructField("first_doc", rows.schema["doc_id"].dataType), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType())])
 
     def fold(key: tuple, group: pa.Table) -> pa.Table:
