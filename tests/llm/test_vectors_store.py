@@ -255,5 +255,5 @@ def test_queries_have_names():
     from vecloom.llm import queries
 
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert set(queries.oracle_sql()) <= names
