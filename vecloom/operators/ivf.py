@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.distance import fold_l2, l2
 from vecloom.operators import kmeans as kmeans_
+from vecloom.operators import matching
 from vecloom.operators.topk import BLOCK_CELLS, top_k
 from vecloom.sources.shared import table
 
@@ -118,34 +119,32 @@ def kmeans(vectors: DataFrame, nlist: int, iterations: int = 10, centroids: Data
     return vectors.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, matrix, strict=True)], "cluster_id long, centroid array<float>")
 
 
+def _wishes(candidates: DataFrame, seed: int | None) -> DataFrame:
+    """(vec_id, turn, c): candidates (vec_id, probe_rank, cluster_id) of each vector in order, and its turn, as a written table."""
+    turn = F.col("vec_id") if seed is None else F.xxhash64("vec_id", F.lit(seed))
+    lists = candidates.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("probe_rank", "cluster_id"))).alias("c"))
+    return table(lists.select(F.col("vec_id").cast("long").alias("vec_id"), turn.cast("long").alias("turn"), F.col("c.cluster_id").cast("array<long>").alias("c")), "wishes")
+
+
 def balanced(candidates: DataFrame, sizes: int, nlist: int, seed: int | None = 42) -> DataFrame:
     """(vec_id, cluster_id) with at most `sizes` vectors to a cluster, from candidates (vec_id, probe_rank, cluster_id).
 
     Vectors have a common order (by seeded hash; by id where `seed` is None); each takes the first of its candidates that
-    is not full when its turn comes. As all clusters prefer earlier vectors, deferred acceptance gives the same
-    matching: in rounds, vectors propose to their next candidate, and clusters keep the first `sizes`.
+    is not full when its turn comes. As all clusters prefer earlier vectors, the stable matching is the same; it is found by
+    cutoffs (`vecloom.operators.matching`).
 
     A vector whose candidates are all full when its turn comes goes to the emptiest cluster, lowest id first, and so takes
     part in all later choices. From the first such vector on, vectors are placed one after the other by one task, which
     holds the clusters' sizes only. With enough candidates a vector there are few of them, or none.
     """
-    turn = F.col("vec_id") if seed is None else F.xxhash64("vec_id", F.lit(seed))
-    lists = candidates.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("probe_rank", "cluster_id"))).alias("c")).select("vec_id", F.col("c.cluster_id").alias("c"), turn.alias("turn"), F.lit(0).alias("next"))
-    state = table(lists, "balanced")
-    total = state.count()
+    wishes = _wishes(candidates, seed)
+    total = wishes.count()
     if total > nlist * sizes:
         raise ValueError(f"{total} vectors don't fit {nlist} lists of {sizes}")
-    while True:
-        asked = state.withColumn("cluster_id", F.get("c", F.col("next")))
-        place = F.row_number().over(W.partitionBy("cluster_id").orderBy("turn", "vec_id"))
-        ranked = asked.withColumn("rejected", F.col("cluster_id").isNotNull() & (place > sizes))
-        state = table(ranked.withColumn("next", F.col("next") + F.col("rejected").cast("int")), "balanced").select("vec_id", "c", "turn", "next", "rejected")
-        if state.filter("rejected").isEmpty():
-            break
-    placed = state.withColumn("cluster_id", F.get("c", F.col("next")))
+    placed = matching.chosen(wishes, matching.match(wishes, np.full(nlist, sizes)))
     first = placed.filter("cluster_id is null").agg(F.min(F.struct("turn", "vec_id")).alias("f")).first()["f"]
     if first is None:
-        return placed.select("vec_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+        return placed.select("vec_id", "cluster_id")
     late = (F.col("turn") > first["turn"]) | ((F.col("turn") == first["turn"]) & (F.col("vec_id") >= first["vec_id"]))
     settled = placed.filter(~late)
     start = np.zeros(nlist, np.int64)
@@ -163,9 +162,8 @@ def balanced(candidates: DataFrame, sizes: int, nlist: int, seed: int | None = 4
                 chosen.append(c)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chosen, pa.int64())], names=["vec_id", "cluster_id"])
 
-    kind = state.schema["vec_id"].dataType.simpleString()
-    rest = placed.filter(late).select("vec_id", "c", "turn").repartition(1).sortWithinPartitions("turn", "vec_id").select("vec_id", "c").mapInArrow(in_turn, f"vec_id {kind}, cluster_id long")
-    return settled.select("vec_id", F.col("cluster_id").cast("long").alias("cluster_id")).unionByName(rest)
+    rest = placed.filter(late).select("vec_id", "c", "turn").repartition(1).sortWithinPartitions("turn", "vec_id").select("vec_id", "c").mapInArrow(in_turn, "vec_id long, cluster_id long")
+    return settled.select("vec_id", "cluster_id").unionByName(rest)
 
 
 def overlap_lists(labels: DataFrame, candidates: DataFrame, target: int, nlist: int, seed: int | None = 42) -> DataFrame:
@@ -176,18 +174,12 @@ def overlap_lists(labels: DataFrame, candidates: DataFrame, target: int, nlist:
     stays short.
     """
     sizes = labels.sparkSession.range(nlist).withColumnRenamed("id", "cluster_id").join(labels.groupBy("cluster_id").agg(F.count("*").alias("n")), "cluster_id", "left")
-    turn = F.col("vec_id") if seed is None else F.xxhash64("vec_id", F.lit(seed))
     needs = table(sizes.select("cluster_id", F.greatest(F.lit(0), F.lit(target) - F.coalesce("n", F.lit(0))).alias("need")), "needs")
-    lists = candidates.join(needs.filter("need > 0"), "cluster_id").groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("probe_rank", "cluster_id"))).alias("c"))
-    state = table(lists.select("vec_id", F.col("c.cluster_id").alias("c"), turn.alias("turn"), F.lit(0).alias("next")), "overlap")
-    while True:
-        asked = state.withColumn("cluster_id", F.get("c", F.col("next"))).join(needs, "cluster_id", "left")
-        place = F.row_number().over(W.partitionBy("cluster_id").orderBy("turn", "vec_id"))
-        ranked = asked.withColumn("rejected", F.col("cluster_id").isNotNull() & (place > F.col("need")))
-        state = table(ranked.withColumn("next", F.col("next") + F.col("rejected").cast("int")).select("vec_id", "c", "turn", "next", "rejected"), "overlap")
-        if state.filter("rejected").isEmpty():
-            break
-    given = state.select("vec_id", F.get("c", F.col("next")).alias("cluster_id")).filter("cluster_id is not null")
+    wishes = _wishes(candidates.join(needs.filter("need > 0"), "cluster_id"), seed)
+    room = np.zeros(nlist, np.int64)
+    for r in needs.filter("need > 0").collect():  # a row for each short list
+        room[r["cluster_id"]] = r["need"]
+    given = matching.chosen(wishes, matching.match(wishes, room)).filter("cluster_id is not null")
     short = needs.join(given.groupBy("cluster_id").agg(F.count("*").alias("got")), "cluster_id", "left").filter(F.coalesce("got", F.lit(0)) < F.col("need"))
     if not short.isEmpty():
         raise ValueError("too few candidates to fill all lists")
