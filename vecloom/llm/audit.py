@@ -20,10 +20,11 @@ MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 50, 65, 5
 def failures(text: Column, repeated: Column) -> dict[str, Column]:
     """The five filters of the query: whether a row fails each. `repeated`: its text is that of a smaller id."""
     words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+    long = lambda n: n.cast("long")
     return {
         "A": F.size(words) < MIN_WORDS,
-        "B": 100 * F.size(F.array_distinct(words)) < DISTINCT_PERCENT * F.size(words),
-        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > UPPER_PERCENT * F.length(text),
+        "B": 100 * long(F.size(F.array_distinct(words))) < DISTINCT_PERCENT * long(F.size(words)),
+        "C": 100 * long(F.regexp_count(text, F.lit("[A-Z]"))) > UPPER_PERCENT * long(F.length(text)),
         "D": text.rlike(r"[#$%&*|]"),
         "E": repeated,
     }
