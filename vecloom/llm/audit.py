@@ -68,7 +68,7 @@ def walk(spark: SparkSession, rows: DataFrame, filters: str) -> DataFrame:
         survivors = survivors.persist(StorageLevel.MEMORY_AND_DISK)
         removed = {f: F.col(f"fails_{f}") if f not in state else F.lit(False) for f in filters}
         edges = [F.count_if(c & also).alias(f"{name}_{f}") for f, c in removed.items() for name, also in (("removed", F.lit(True)), ("good", F.col("good")), ("toxic", F.col("toxic")))]
-        survivors.groupBy("part").agg(F.count("*").alias("kept"), *edges).select(F.lit(_state_name(state)).alias("state"), "*").coalesce(1).write.mode("append").parquet(path)
+        survivors.groupBy("part").agg(F.count("*").alias("kept"), *edges).select(F.lit(_state_name(state)).alias("state"), "*").write.mode("append").parquet(path)
         for f in filters:
             if f not in state and state | {f} not in seen:
                 visit(state | {f}, survivors.filter(~F.col(f"fails_{f}")))
