@@ -42,9 +42,14 @@ def restore(flat: np.ndarray, like: Weights) -> Weights:
 _ahead = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 
 
+def _bounded(x: np.ndarray) -> np.ndarray:
+    """Logits cut off at 60 either way, in place: far beyond any that training gives, and no sum of their exponentials is zero or
+    infinite. What is masked is so afterwards, and has a weight of zero."""
+    return np.clip(x, -60, 60, out=x)
+
+
 def _normalize(x: np.ndarray) -> np.ndarray:
-    """Softmax along the last axis, in place. Logits are cut off at 80 either way, so that no sum is zero or infinite."""
-    np.clip(x, -80, 80, out=x)
+    """Softmax along the last axis, in place."""
     np.exp(x, out=x)
     x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
     return x
@@ -55,7 +60,7 @@ def _attend(w: Weights, c: np.ndarray):
     x += w["place"][: c.shape[1]]
     q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
     n = c.shape[1]
-    a = (q * WIDTH**-0.5) @ k.transpose(0, 2, 1)
+    a = _bounded((q * WIDTH**-0.5) @ k.transpose(0, 2, 1))
     a += _ahead[:n, :n]
     o = _normalize(a) @ v
     h = o @ w["mix"]
@@ -70,7 +75,7 @@ def log_probs(w: Weights, c: np.ndarray, y: np.ndarray, first: int) -> np.ndarra
     x = w["embed"][c]
     x += w["place"][:size]
     late = np.ascontiguousarray(x[:, first:])
-    a = (late @ (w["query"] * WIDTH**-0.5)) @ (x @ w["key"]).transpose(0, 2, 1)
+    a = _bounded((late @ (w["query"] * WIDTH**-0.5)) @ (x @ w["key"]).transpose(0, 2, 1))
     a += _ahead[first:size, :size]
     late += (_normalize(a) @ (x @ w["value"])) @ w["mix"]
     h = late.reshape(-1, WIDTH)
@@ -93,7 +98,7 @@ def _by_group(group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
 def _softmax_log(logits: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of the softmax of logits + bias at the targets; the logits are overwritten."""
     logits += bias
-    np.clip(logits, -80, 80, out=logits)
+    _bounded(logits)
     chosen = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + target]
     np.exp(logits, out=logits)
     return chosen - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
@@ -108,7 +113,7 @@ def gradient(w: Weights, c: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple
     flat = h.reshape(-1, WIDTH)
     p = flat @ w["out"]
     p += w["bias"]
-    _normalize(p)
+    _normalize(_bounded(p))
     loss = -float(np.log(p[rows, group] + 1e-30) @ weight)
     p[rows, group] -= 1
     p *= weight[:, None]
@@ -122,7 +127,7 @@ def gradient(w: Weights, c: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple
         if s < e:
             p = sorted_[s:e] @ w["out2"][g]
             p += w["bias2"][g]
-            _normalize(p)
+            _normalize(_bounded(p))
             mine = rows[: e - s]
             loss -= float(np.log(p[mine, own[s:e]] + 1e-30) @ share[s:e])
             p[mine, own[s:e]] -= 1
