@@ -58,6 +58,14 @@ def test_cost_on_data(spark):
     assert kmeans.cost(base, kmeans.fit(base, 32, 2, n_init=2)) == pytest.approx(min(costs), rel=1e-9)
 
 
+def test_sample(blobs):
+    x, base = blobs
+    some = kmeans.sampled(base, 500, 1)
+    assert 400 < some.count() < 600 and some.rdd.getNumPartitions() == base.rdd.getNumPartitions()
+    assert kmeans.sampled(base, 1500, 1).count() == 1500
+    assert kmeans.cost(base, kmeans.fit(base, 20, 5, sample_rows=500)) < 1500 * 6 * 0.3**2 * 1.3
+
+
 def test_minibatch(blobs):
     x, base = blobs
     start = kmeans.seeds(base, 20, seed=3)

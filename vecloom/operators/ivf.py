@@ -107,12 +107,12 @@ def check_members(members: DataFrame, vectors: DataFrame) -> None:
 
 def kmeans(vectors: DataFrame, nlist: int, iterations: int = 10, centroids: DataFrame | None = None, sample_rows: int | None = None, seed: int = 42, min_points: int = 0) -> DataFrame:
     """(cluster_id, centroid) by Lloyd iterations from `centroids`, or from vectors of the data. With `sample_rows` it fits
-    on so many rows of lowest hash. Distances are made in blocks of BLOCK_CELLS, sums per task, and a row per cluster and
+    on about so many rows, taken by hash. Distances are made in blocks of BLOCK_CELLS, sums per task, and a row per cluster and
     task is shuffled; an empty cluster keeps its centroid, unless `min_points` is 1 or more (`vecloom.operators.kmeans`,
     which also has parallel seeding, mini-batches and restarts)."""
     rows = vectors.filter("embedding is not null")
     if sample_rows:
-        rows = table(rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows), "train")
+        rows = table(kmeans_.sampled(rows, sample_rows, seed), "train")
     current = centroids if centroids is not None else sample_centroids(vectors, nlist)
     ids, matrix = centroid_matrix(current)
     matrix, _ = kmeans_.lloyd(rows, matrix, iterations, min_points, BLOCK_CELLS)

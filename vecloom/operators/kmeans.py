@@ -209,14 +209,20 @@ def minibatch(rows: DataFrame, matrix: np.ndarray, batches: int, passes: int = 1
     return current.astype(np.float32)
 
 
+def sampled(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """About `most` of the rows, by a hash of vec_id; all of them where there are not more. They stay where they are."""
+    total = rows.count()
+    return rows if total <= most else rows.filter(_uniform(seed, -1) < most / total)
+
+
 def fit(vectors: DataFrame, nlist: int, iterations: int = 10, n_init: int = 1, batches: int = 0, min_points: int = 0, sample_rows: int | None = None, rounds: int = 4, seed: int = 42) -> DataFrame:
     """(cluster_id, centroid): the best, by cost, of `n_init` trainings from different seeds. Each starts from parallel seeding; with
     `batches` it first goes through the vectors once in so many mini-batches, and then does Lloyd iterations. Null vectors
-    are left out; with `sample_rows` it fits on so many vectors of lowest hash."""
+    are left out; with `sample_rows` it fits on about so many, taken by hash."""
     scratch = Scratch()
     rows = vectors.filter("embedding is not null").select("vec_id", "embedding")
     if sample_rows:
-        rows = scratch.table(rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows), "train")
+        rows = scratch.table(sampled(rows, sample_rows, seed), "train")
     best = None
     for run in range(n_init):
         matrix = seeds(rows, nlist, rounds, seed=seed + run)
