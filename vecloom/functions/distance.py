@@ -56,6 +56,33 @@ def fold_l2(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
+# The bound of `product_l2`: both sums of n terms err by n + 3 roundings of |x|^2 + |q|^2 at most, a fraction of this.
+SLACK = 16 * np.finfo(np.float64).eps
+
+
+def product_l2(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, m) squared distances of the rows of x and q (doubles) by one matrix product, NaN where a row is not finite, and for each
+    row of q how far they may lie from those of `fold_l2`. They tell which pairs need the exact sum."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        xx, qq = np.einsum("nd,nd->n", x, x), np.einsum("nd,nd->n", q, q)
+        odd_x, odd_q = ~np.isfinite(xx), ~np.isfinite(qq)
+        d = x @ q.T
+        d *= -2
+        d += xx[:, None]
+        d += qq
+    d[odd_x], d[:, odd_q] = np.nan, np.nan
+    return d, SLACK * (x.shape[1] + 16) * (np.where(odd_q, 0, qq) + np.where(odd_x, 0, xx).max(initial=0))
+
+
+def pair_l2(x: np.ndarray, q: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (x[row], q[at]), summed like `fold_l2`."""
+    out = np.zeros(len(row))
+    for d in range(x.shape[1]):
+        diff = x[row, d].astype(np.float64) - q[at, d].astype(np.float64)
+        out += diff * diff
+    return out
+
+
 def l2_sql(a: str, b: str) -> str:
     """The same distance in DuckDB."""
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"

@@ -11,10 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.functions.distance import fold_l2
+from vecloom.functions.distance import pair_l2, product_l2
 
 BLOCK_CELLS = 4 << 20  # distances held at a time by the Arrow kernel
 MOST_QUERY_BYTES = 64 << 20
+TILE = 1024  # rows and queries that are compared by one matrix product
+NONE = np.iinfo(np.int64).max
 
 
 def top_k(rows: DataFrame, k: int, by: list[str], order: list[str], rank: str = "rank") -> DataFrame:
@@ -22,6 +24,56 @@ def top_k(rows: DataFrame, k: int, by: list[str], order: list[str], rank: str =
     return rows.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")).filter(F.col(rank) <= k)
 
 
+def tiles(n: int, m: int) -> Iterator[tuple[slice, slice]]:
+    """n rows and m queries in blocks of at most TILE * TILE cells."""
+    rows = min(n, TILE)
+    step = max(1, TILE * TILE // max(1, rows))
+    for r in range(0, n, max(1, rows)):
+        for s in range(0, m, step):
+            yield slice(r, min(r + rows, n)), slice(s, min(s + step, m))
+
+
+class Nearest:
+    """The k least (distance, id) of each query so far, with the slot of each."""
+
+    def __init__(self, n: int, k: int):
+        self.d, self.i, self.s = np.full((n, k), np.nan), np.full((n, k), NONE), np.zeros((n, k), np.int64)
+
+    def likely(self, d: np.ndarray, asks: np.ndarray, slack: np.ndarray | float = 0.0) -> np.ndarray:
+        """Which of the distances d (rows, asks), known up to `slack`, may be among the k least. NaN may."""
+        k, slack = self.d.shape[1], np.broadcast_to(slack, len(asks))
+        out = ~(d > self.d[asks, k - 1] + slack)
+        many = np.flatnonzero(out.sum(axis=0) > 4 * k) if len(d) > k else []
+        if len(many):
+            some = d[:, many]
+            out[:, many] &= ~(some > np.partition(some, k - 1, axis=0)[k - 1] + 2 * slack[many])
+        return out
+
+    def add(self, at: np.ndarray, d: np.ndarray, ids: np.ndarray, slots: np.ndarray) -> None:
+        """Exact distances d of entries (ids, slots) to the queries `at`."""
+        if not len(at):
+            return
+        who, k = np.unique(at), self.d.shape[1]
+        q, d = np.concatenate([np.repeat(who, k), at]), np.concatenate([self.d[who].ravel(), d])
+        i, s = np.concatenate([self.i[who].ravel(), ids]), np.concatenate([self.s[who].ravel(), slots])
+        order = np.lexsort((i, d, q))
+        first = np.searchsorted(q[order], who)
+        order = order[first[:, None] + np.arange(k)]
+        self.d[who], self.i[who], self.s[who] = d[order], i[order], s[order]
+
+    def compare(self, x: np.ndarray, ids: np.ndarray, slots: np.ndarray, q: np.ndarray, asks: np.ndarray) -> None:
+        """The rows of x against q[asks], by tiles; sums over the dimensions are made of those that may be among the k least."""
+        for r, s in tiles(len(x), len(asks)):
+            mine, here = asks[s], x[r].astype(np.float64)
+            d, slack = product_l2(here, q[mine])
+            row, at = np.nonzero(self.likely(d, mine, slack))
+            self.add(mine[at], pair_l2(here, q, row, mine[at]), ids[r][row], slots[r][row])
+
+    def rows(self, qid: np.ndarray) -> pa.RecordBatch:
+        at, place = np.nonzero(self.i != NONE)
+        return pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(self.s[at, place]), pa.array(self.i[at, place]), pa.array(self.d[at, place])], names=["qid", "slot", "vec_id", "dist"])
+
+
 def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(qid, rank, vec_id, dist): the k nearest vectors of `base` (vec_id, embedding) to each query (qid, q).
 
@@ -36,22 +88,11 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
-            best_d = np.full((len(qid), 0), np.inf)
-            best_i = np.zeros((len(qid), 0), np.int64)
+            best, wide, asks = Nearest(len(qid), k), q.astype(np.float64), np.arange(len(qid))
             for b in batches:
-                lists = b.column(1)
-                at = lists.offsets.to_numpy().astype(np.int64)
-                flat, ids = lists.values.to_numpy(zero_copy_only=False), b.column(0).to_numpy()
-                keep = np.flatnonzero(np.diff(at) == q.shape[1])
-                step = max(1, BLOCK_CELLS // max(1, len(qid)))
-                for s in range(0, len(keep), step):
-                    rows = keep[s : s + step]
-                    d = fold_l2(flat[at[rows][:, None] + np.arange(q.shape[1])], q).T
-                    d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(ids[rows], d.shape)])
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            n = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["qid", "vec_id", "dist"])
+                ids, x = _rows(b.column(0), b.column(1), q.shape[1])
+                best.compare(x, ids, np.zeros(len(ids), np.int64), wide, asks)
+            yield best.rows(qid).select(["qid", "vec_id", "dist"])
 
         found = base.select("vec_id", "embedding").filter("embedding is not null").mapInArrow(run, "qid long, vec_id long, dist double")
         parts = found if parts is None else parts.unionByName(found)
@@ -60,6 +101,13 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top_k(parts, k, ["qid"], ["dist", "vec_id"])
 
 
+def _rows(ids: pa.Array, lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of the vectors that have `width` dimensions."""
+    at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+    keep = np.flatnonzero(np.diff(at) == width)
+    return ids.to_numpy()[keep], flat[at[keep][:, None] + np.arange(width)]
+
+
 def query_batches(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(qids, matrix) in batches of at most MOST_QUERY_BYTES, streamed to the driver partition by partition."""
     qid, q, size = [], [], 0

@@ -9,7 +9,7 @@ dimensions in double precision, as everywhere else.
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.functions.distance import fold_l2
-from vecloom.operators.topk import BLOCK_CELLS, MOST_QUERY_BYTES
-from vecloom.sources.catalog import Index, cluster_of
+from vecloom.functions.distance import fold_l2, pair_l2, product_l2
+from vecloom.operators.topk import BLOCK_CELLS, MOST_QUERY_BYTES, Nearest, tiles
+from vecloom.sources.catalog import SLOT_BITS, Index, cluster_of
 
-NONE = np.iinfo(np.int64).max
+READ = 256  # places of a list that are read together
+MOST_CUT = 256  # groups of READ places that a task waits to see whole
 # Runtime filters are worth their while up to so many bytes of wanted rows; a larger set would fill the filter.
 FILTER_CONFS = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
@@ -93,34 +94,20 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
 
 
-def _runs(cluster: np.ndarray, batch: QueryBatch) -> Iterator[tuple[slice, np.ndarray]]:
-    """(rows of one cluster, the batch's queries that probe it), in blocks of bounded cells."""
+def _lists(cluster: np.ndarray, batch: QueryBatch) -> Iterator[tuple[slice, np.ndarray]]:
+    """(rows of one cluster, the batch's queries that probe it)."""
     edges = [0, *(np.flatnonzero(cluster[1:] != cluster[:-1]) + 1).tolist(), len(cluster)]
     for lo, hi in zip(edges, edges[1:], strict=False):
-        if lo == hi:
-            continue
-        asks = batch.asking(int(cluster[lo]))
-        if len(asks):
-            step = max(1, BLOCK_CELLS // len(asks))
-            for s in range(lo, hi, step):
-                yield slice(s, min(s + step, hi)), asks
-
-
-class _Best:
-    """The k least (distance, id) of each query so far, with the slot of each."""
-
-    def __init__(self, n: int, k: int):
-        self.d, self.i, self.s = np.full((n, k), np.nan), np.full((n, k), NONE), np.zeros((n, k), np.int64)
+        if lo < hi and len(asks := batch.asking(int(cluster[lo]))):
+            yield slice(lo, hi), asks
 
-    def add(self, asks: np.ndarray, d: np.ndarray, ids: np.ndarray, slots: np.ndarray) -> None:
-        k = self.d.shape[1]
-        d, i, s = np.hstack([self.d[asks], d]), np.hstack([self.i[asks], np.broadcast_to(ids, d.shape)]), np.hstack([self.s[asks], np.broadcast_to(slots, d.shape)])
-        order = np.lexsort((i, d), axis=1)[:, :k]
-        self.d[asks], self.i[asks], self.s[asks] = (np.take_along_axis(x, order, 1) for x in (d, i, s))
 
-    def rows(self, qid: np.ndarray) -> pa.RecordBatch:
-        at, place = np.nonzero(self.i != NONE)
-        return pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(self.s[at, place]), pa.array(self.i[at, place]), pa.array(self.d[at, place])], names=["qid", "slot", "vec_id", "dist"])
+def _runs(cluster: np.ndarray, batch: QueryBatch) -> Iterator[tuple[slice, np.ndarray]]:
+    """`_lists` in blocks of bounded cells."""
+    for rows, asks in _lists(cluster, batch):
+        step = max(1, BLOCK_CELLS // len(asks))
+        for s in range(rows.start, rows.stop, step):
+            yield slice(s, min(s + step, rows.stop)), asks
 
 
 FOUND = "qid long, slot long, vec_id long, dist double"
@@ -132,12 +119,12 @@ def nearest_entries(index: Index, batch: QueryBatch, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = shared.value
-        best = _Best(len(batch.qid), k)
+        best, q = Nearest(len(batch.qid), k), batch.q.astype(np.float64)
         for b in batches:
             cluster, slots, ids = (b.column(i).to_numpy() for i in range(3))
-            x = _matrix(b.column(3), batch.q.shape[1])
-            for rows, asks in _runs(cluster, batch):
-                best.add(asks, fold_l2(x[rows], batch.q[asks]).T, ids[rows], slots[rows])
+            x = _matrix(b.column(3), q.shape[1])
+            for rows, asks in _lists(cluster, batch):
+                best.compare(x[rows], ids[rows], slots[rows], q, asks)
         yield best.rows(batch.qid)
 
     return index.entries("cluster_id", "slot", "vec_id", "embedding", buckets=batch.buckets(index)).mapInArrow(run, FOUND)
@@ -151,16 +138,19 @@ def nearest_codes(index: Index, batch: QueryBatch, book: np.ndarray, k: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, book = shared.value, books.value
         m, _, n = book.shape
-        tables = np.stack([fold_l2(batch.q[:, p * n : (p + 1) * n], book[p]) for p in range(m)])  # part, query, code
-        best = _Best(len(batch.qid), k)
+        tables = [fold_l2(book[p], batch.q[:, p * n : (p + 1) * n]) for p in range(m)]  # of each part: code, query
+        best = Nearest(len(batch.qid), k)
         for b in batches:
             cluster, slots, ids = (b.column(i).to_numpy() for i in range(3))
             codes = _matrix(b.column(3), m)
-            for rows, asks in _runs(cluster, batch):
-                d = np.zeros((len(asks), rows.stop - rows.start))
-                for p in range(m):
-                    d += tables[p][asks[:, None], codes[rows, p][None]]
-                best.add(asks, d, ids[rows], slots[rows])
+            for rows, asks in _lists(cluster, batch):
+                for r, s in tiles(rows.stop - rows.start, len(asks)):
+                    r, mine = slice(rows.start + r.start, rows.start + r.stop), asks[s]
+                    d = np.zeros((r.stop - r.start, len(mine)))
+                    for p in range(m):
+                        d += np.take(tables[p], mine, axis=1)[codes[r, p]]
+                    row, at = np.nonzero(best.likely(d, mine))
+                    best.add(mine[at], d[row, at], ids[r][row], slots[r][row])
         yield best.rows(batch.qid)
 
     return index.entries("cluster_id", "slot", "vec_id", "codes", buckets=batch.buckets(index)).mapInArrow(run, FOUND)
@@ -184,6 +174,169 @@ def entries_under(index: Index, batch: QueryBatch, last: int, factor: float) ->
     return index.entries("cluster_id", "slot", "vec_id", f"seg:0:{last}", buckets=batch.buckets(index)).mapInArrow(run, FOUND)
 
 
+def _pruned(x: np.ndarray, q: np.ndarray, limits: np.ndarray, asks: np.ndarray, ends: Sequence[int]) -> Iterator[tuple[slice, slice, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows x against q[asks], by tiles and stages, while any pair is left: (rows, asks, stage, alive, d, slack). `alive` tells which
+    pairs have passed the stage, by `limits` (query, stage); d is their distance so far, up to `slack`. A pair whose distance
+    is that near its limit is summed exactly. An equal one stays, and so does NaN."""
+    for r, s in tiles(len(x), len(asks)):
+        here, theirs, limit = x[r].astype(np.float64), q[asks[s]], limits[asks[s]]
+        alive, first, d, slack = None, 0, 0.0, 0.0
+        for stage, last in enumerate(ends):
+            more, err = product_l2(here[:, first:last], theirs[:, first:last])
+            d, slack, first = d + more, slack + err, last
+            out = d > limit[:, stage] + slack
+            alive = ~out if alive is None else alive & ~out
+            row, at = np.nonzero(alive & ~(d < limit[:, stage] - slack))
+            alive[row, at] = ~(pair_l2(here[:, :last], theirs, row, at) > limit[at, stage])
+            if not alive.any():
+                break
+            yield r, s, stage, alive, d, slack
+
+
+def _each_list(index: Index, batch: QueryBatch, make: Callable[[QueryBatch], tuple[Callable, Callable]], schema: str) -> DataFrame:
+    """Rows of the batch's probed lists by `make`: it gives what takes (x, slots, ids, queries) of one list and what is called in the
+    end; both give record batches."""
+    shared = index.lists.sparkSession.sparkContext.broadcast(batch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = shared.value
+        take, end = make(batch)
+        for b in batches:
+            cluster, slots, ids = (b.column(i).to_numpy() for i in range(3))
+            x = _matrix(b.column(3), batch.q.shape[1])
+            for rows, asks in _lists(cluster, batch):
+                yield from take(x[rows], slots[rows], ids[rows], asks)
+        yield from end()
+
+    return index.entries("cluster_id", "slot", "vec_id", "embedding", buckets=batch.buckets(index)).mapInArrow(run, schema)
+
+
+def _limits(batch: QueryBatch, factors: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    return batch.q.astype(np.float64), batch.limit[:, None] * np.array(factors, float)
+
+
+def staged_entries(index: Index, batch: QueryBatch, ends: Sequence[int], factors: Sequence[float], k: int) -> DataFrame:
+    """`nearest_entries` of those that pass all stages. A stage compares only what the stage before has left, where it lies."""
+
+    def make(batch: QueryBatch):
+        best, (q, limits) = Nearest(len(batch.qid), k), _limits(batch, factors)
+
+        def take(x, slots, ids, asks):
+            for r, s, stage, alive, d, slack in _pruned(x, q, limits, asks, ends):
+                if stage == len(ends) - 1:
+                    mine = asks[s]
+                    d[~alive] = np.inf
+                    row, at = np.nonzero(alive & best.likely(d, mine, slack))
+                    best.add(mine[at], pair_l2(x[r], q, row, mine[at]), ids[r][row], slots[r][row])
+            return ()
+
+        return take, lambda: [best.rows(batch.qid)]
+
+    return _each_list(index, batch, make, FOUND)
+
+
+COUNTED = "qid long, stage long, n long"
+
+
+def staged_counts(index: Index, batch: QueryBatch, ends: Sequence[int], factors: Sequence[float]) -> DataFrame:
+    """(qid, stage, n): how many candidates pass each stage, a row for each task in which any do."""
+
+    def make(batch: QueryBatch):
+        counts, (q, limits) = np.zeros((len(batch.qid), len(ends)), np.int64), _limits(batch, factors)
+
+        def take(x, slots, ids, asks):
+            for _, s, stage, alive, _, _ in _pruned(x, q, limits, asks, ends):
+                counts[asks[s], stage] += alive.sum(axis=0)
+            return ()
+
+        def end():
+            at, stage = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.qid[at]), pa.array(stage), pa.array(counts[at, stage])], names=["qid", "stage", "n"])
+
+        return take, end
+
+    return _each_list(index, batch, make, COUNTED)
+
+
+REACHED = "slot long, stages long"
+
+
+def staged_reach(index: Index, batch: QueryBatch, ends: Sequence[int], factors: Sequence[float]) -> DataFrame:
+    """(slot, stages): how many stages an entry passes for any query of the batch, where it passes one."""
+
+    def make(batch: QueryBatch):
+        q, limits = _limits(batch, factors)
+
+        def take(x, slots, ids, asks):
+            stages = np.zeros(len(x), np.int64)
+            for r, _, stage, alive, _, _ in _pruned(x, q, limits, asks, ends):
+                stages[r] = np.maximum(stages[r], (stage + 1) * alive.any(axis=1))
+            some = stages > 0
+            yield pa.RecordBatch.from_arrays([pa.array(slots[some]), pa.array(stages[some])], names=["slot", "stages"])
+
+        return take, lambda: ()
+
+    return _each_list(index, batch, make, REACHED)
+
+
+BUNDLES = "qid long, cluster_id long, batch long, bundles long, reads long, sectors long"
+
+
+def first_bundles(index: Index, batch: QueryBatch, last: int, factor: float, per: int) -> DataFrame:
+    """(qid, cluster_id, batch, bundles, reads, sectors): what the first stage's survivors want read, with `per` entries to a bundle.
+
+    A group of READ places whose entries all came to one task is counted there: its runs of bundles are reads, its bundles
+    sectors (cluster_id and batch are -1). Of one that is cut the bundles are given as bits, for the groups to be put together.
+    """
+    if READ // per + 2 > 62:
+        raise ValueError(f"bundles of {per} entries are too many for the bits of a number")
+    size = {r["cluster_id"]: r["num_vectors"] for r in index.clusters.select("cluster_id", "num_vectors").collect()}  # a row for each cluster
+
+    def make(batch: QueryBatch):
+        q, limits = _limits(batch, [factor])
+        reads, sectors, cut = np.zeros(len(batch.qid), np.int64), np.zeros(len(batch.qid), np.int64), {}
+
+        def rows(qid, cluster, group, bundles, reads, sectors):
+            full = lambda v: pa.array(np.broadcast_to(np.asarray(v, np.int64), len(qid)))
+            return pa.RecordBatch.from_arrays([pa.array(qid), full(cluster), full(group), full(bundles), full(reads), full(sectors)], names=[c.split()[0] for c in BUNDLES.split(", ")])
+
+        def take(x, slots, ids, asks):
+            order = np.argsort(slots)
+            x, cluster, place = x[order], int(slots[0] >> SLOT_BITS), slots[order] & ((1 << SLOT_BITS) - 1)
+            group = place // READ
+            bundle = place // per - group * READ // per
+            for g, n in zip(*np.unique(group, return_counts=True), strict=True):
+                cut.setdefault((cluster, int(g)), [0, np.zeros(len(asks), np.int64)])[0] += n
+            for r, s, _, alive, _, _ in _pruned(x, q, limits, asks, [last]):
+                g, b = group[r], bundle[r]
+                starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (b[1:] != b[:-1])])
+                for i, wanted in zip(starts, np.logical_or.reduceat(alive, starts, axis=0), strict=True):
+                    cut[cluster, int(g[i])][1][s] |= wanted.astype(np.int64) << b[i]
+            for g in np.unique(group).tolist():
+                seen, bits = cut[cluster, g]
+                if seen == min(READ, size[cluster] - g * READ):
+                    del cut[cluster, g]
+                    reads[asks] += np.bitwise_count(bits & ~(bits << 1))
+                    sectors[asks] += np.bitwise_count(bits)
+            if len(cut) > MOST_CUT:
+                yield from parts()
+
+        def parts():
+            for (cluster, g), (_, bits) in cut.items():
+                some = np.flatnonzero(bits)
+                yield rows(batch.qid[batch.asking(cluster)[some]], cluster, g, bits[some], 0, 0)
+            cut.clear()
+
+        def end():
+            yield from parts()
+            some = np.flatnonzero(reads)
+            yield rows(batch.qid[some], -1, -1, 0, reads[some], sectors[some])
+
+        return take, end
+
+    return _each_list(index, batch, make, BUNDLES)
+
+
 def fetch(index: Index, wanted: DataFrame, *columns: str) -> DataFrame:
     """The rows of `wanted` (slot, ...), a table that has been written, with columns of their entries.
 
