@@ -89,3 +89,15 @@ def test_only_the_nearest_are_summed(world, monkeypatch):
     assert [r["vec_id"] for r in got if r["qid"] == 1] == order[0].tolist()  # not finite ones are last
     flat = search.ivf_flat(index, q, SearchParams(NLIST, k=900)).orderBy("qid", "rank").collect()
     assert [r["vec_id"] for r in flat if r["qid"] == 41] == order[1].tolist()
+
+
+def test_join_is_of_parts(world, monkeypatch):
+    """No pair of vectors is a row: groups give k rows a query, whatever parts they are dealt into."""
+    _, base, queries, _ = world
+    want = tuples(topk.exact_knn(base, queries))
+    odd = base.unionByName(base.sparkSession.createDataFrame([(5000, None), (5001, [0.0])], base.schema))
+    assert tuples(topk.exact_knn_join(odd, queries)) == want
+    monkeypatch.setattr(topk, "PART_ROWS", 13)
+    assert tuples(topk.exact_knn_join(odd, queries)) == want
+    plan = topk.exact_knn_join(base, queries)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan

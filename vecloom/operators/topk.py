@@ -17,6 +17,7 @@ BLOCK_CELLS = 4 << 20  # distances held at a time by the Arrow kernel
 MOST_QUERY_BYTES = 64 << 20
 TILE = 1024  # rows and queries that are compared by one matrix product
 NONE = np.iinfo(np.int64).max
+PART_ROWS = 1 << 16  # vectors of each side that a group of `exact_knn_join` holds, about
 
 
 def top_k(rows: DataFrame, k: int, by: list[str], order: list[str], rank: str = "rank") -> DataFrame:
@@ -101,6 +102,33 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top_k(parts, k, ["qid"], ["dist", "vec_id"])
 
 
+def exact_knn_join(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """`exact_knn` as a join, with nothing on the driver: both sides are dealt into parts by hash of their ids, and each pair of parts
+    meets in one group, which gives k rows a query."""
+    base, queries, spark = base.filter("embedding is not null"), queries.filter("q is not null"), base.sparkSession
+    n, m = base.count(), queries.count()
+    across, down = max(1, -(-n // PART_ROWS), min(2 * spark.sparkContext.defaultParallelism, n // 4096)), max(1, -(-m // PART_ROWS))
+    part = lambda name, parts: F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            vectors, asked = (t.combine_chunks() for t in (left, right))
+            ids, lists, qid, q = (c.chunk(0) for c in (vectors["vec_id"], vectors["embedding"], asked["qid"], asked["q"]))
+            for width in np.unique(np.diff(q.offsets.to_numpy())).tolist():
+                mine, wide = _rows(qid, q, width)
+                theirs, x = _rows(ids, lists, width)
+                best = Nearest(len(mine), k)
+                best.compare(x, theirs, np.zeros(len(theirs), np.int64), wide.astype(np.float64), np.arange(len(mine)))
+                out.append(best.rows(mine).select(["qid", "vec_id", "dist"]))
+        return pa.Table.from_batches(out, pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64())]))
+
+    left = base.select("vec_id", "embedding", part("vec_id", across).alias("i"), every(down).alias("j")).groupBy("i", "j")
+    right = queries.select("qid", "q", every(across).alias("i"), part("qid", down).alias("j")).groupBy("i", "j")
+    return top_k(left.cogroup(right).applyInArrow(run, "qid long, vec_id long, dist double"), k, ["qid"], ["dist", "vec_id"])
+
+
 def _rows(ids: pa.Array, lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, matrix) of the vectors that have `width` dimensions."""
     at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
