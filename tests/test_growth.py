@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions.distance import fold_l2, pair_l2, product_l2
-from vecloom.operators import ivf, layout, topk
+from vecloom.operators import coarse, graph, ivf, layout, topk
 from vecloom.plans import search
 from vecloom.plans.params import SearchParams, StagedParams
 from vecloom.sources import catalog
@@ -101,3 +101,21 @@ def test_join_is_of_parts(world, monkeypatch):
     assert tuples(topk.exact_knn_join(odd, queries)) == want
     plan = topk.exact_knn_join(base, queries)._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_graph_in_parts(spark):
+    """A task holds the graph of a part only, and the parts together find what one graph does."""
+    x = np.random.default_rng(4).standard_normal((1500, 6)).astype(np.float32)
+    nodes = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(x)] + [(7, None)], "cluster_id long, centroid array<float>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:60])] + [(70, None)], "qid long, q array<float>")
+    d = fold_l2(x[:60], x)
+    want = np.argsort(d, axis=1, kind="stable")[:, :10] * 3
+    for part_nodes in (10_000, 200):
+        rows = coarse.graph_in_parts(nodes, queries, 10, part_nodes).collect()
+        got = {q: {r["cluster_id"] for r in rows if r["qid"] == q} for q in range(60)}
+        assert len(rows) == 600 and np.mean([len(got[q] & set(want[q].tolist())) for q in range(60)]) > 9.5
+        assert all(r["dist"] == d[r["qid"], r["cluster_id"] // 3] for r in rows)
+    for n in (1, 2, 40):
+        layers = graph.in_memory(np.arange(n), x[:n])
+        assert (np.sort(layers.nearest(x[:1], n)) == np.arange(n)).all()
+    assert coarse.graph_in_parts(nodes, queries.filter("qid < 0"), 10).collect() == []

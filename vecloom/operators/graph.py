@@ -23,6 +23,7 @@ from vecloom.operators.topk import BLOCK_CELLS
 from vecloom.sources.shared import table
 
 DEGREE, BUILD_WIDTH, SEARCH_WIDTH, ENTRY_WIDTH = 32, 80, 128, 16
+MERGED = 512  # nodes whose candidates are held at a time
 AT_ONCE = 4  # nodes of a beam that are opened in one step
 LINKS = "layer int, node long, links array<long>"
 
@@ -57,6 +58,47 @@ def _kept(x: np.ndarray, node: np.ndarray, near: np.ndarray, dist: np.ndarray, d
     return np.where(np.take_along_axis(rank, best, 1) < 2 * width, links, -1)
 
 
+def _own(x: np.ndarray, members: np.ndarray, nodes: np.ndarray, degree: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(nodes, links) by blocks: each node's links of its `width` nearest in the layer of `members`."""
+    y = x[members]
+    half = (y * y).sum(axis=1) / 2
+    k, step = min(width + 1, len(members)), max(1, BLOCK_CELLS // len(members))
+    for s in range(0, len(nodes), step):
+        here = nodes[s : s + step]
+        score = half[None] - x[here] @ y.T
+        at = np.argpartition(score, k - 1, axis=1)[:, :k]
+        dist = 2 * np.take_along_axis(score, at, 1) + (x[here] ** 2).sum(axis=1)[:, None]
+        yield here, _kept(x, here, members[at], dist, degree)
+
+
+def in_memory(ids: np.ndarray, matrix: np.ndarray, degree: int = DEGREE, width: int = BUILD_WIDTH, seed: int = 42) -> Layers:
+    """The graph over so few rows that one task holds it; `build` by arrays."""
+    x = matrix.astype(np.float64)
+    key = np.array([hash_of(int(i), seed) for i in ids], np.uint64)
+    rank, out = np.argsort(np.argsort(key, kind="stable")), []
+    for size in _sizes(len(ids), degree):
+        members = np.flatnonzero(rank < size)
+        own = np.concatenate([links for _, links in _own(x, members, members, degree, width)])
+        row, col = np.nonzero(own >= 0)
+        node, other = members[row], own[row, col]
+        back = np.lexsort((key[node], other))  # links to a node, hashed; the first `width` count
+        turn = np.arange(len(back)) - np.searchsorted(other[back], other[back])
+        back = back[turn < width]
+        pairs = np.unique(np.stack([np.concatenate([node, other[back]]), np.concatenate([other, node[back]])]), axis=1)
+        links = np.full((size, degree), -1)
+        for s in range(0, size, MERGED):
+            here = members[s : s + MERGED]
+            lo, hi = np.searchsorted(pairs[0], here), np.searchsorted(pairs[0], here, side="right")
+            near = np.full((len(here), max(1, (hi - lo).max())), -1)
+            n = hi - lo
+            near[np.repeat(np.arange(len(here)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = pairs[1, lo[0] : hi[-1]]
+            dist = np.where(near >= 0, ((x[np.maximum(near, 0)] - x[here][:, None]) ** 2).sum(axis=2), np.inf)
+            kept = _kept(x, here, near, dist, degree)
+            links[s : s + MERGED, : kept.shape[1]] = kept
+        out.insert(0, (members, links))
+    return Layers(ids, matrix, (x**2).sum(axis=1).astype(np.float32), out)
+
+
 def build(centroids: DataFrame, degree: int = DEGREE, width: int = BUILD_WIDTH, seed: int = 42) -> DataFrame:
     """(layer, node, links) over (cluster_id, centroid), as a written table. The centroids are broadcast (`centroid_matrix` bounds
     their bytes); links of a node that many others are linked to are cut to the `width` nearest before they meet."""
@@ -72,18 +114,8 @@ def build(centroids: DataFrame, degree: int = DEGREE, width: int = BUILD_WIDTH,
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             x, members = shared.value
             x = x.astype(np.float64)
-            y = x[members]
-            half = (y * y).sum(axis=1) / 2
-            k = min(width + 1, len(members))
             for b in batches:
-                node = b.column(0).to_numpy()
-                step = max(1, BLOCK_CELLS // len(members))
-                for s in range(0, len(node), step):
-                    here = node[s : s + step]
-                    score = half[None] - x[here] @ y.T
-                    at = np.argpartition(score, k - 1, axis=1)[:, :k]
-                    dist = 2 * np.take_along_axis(score, at, 1) + (x[here] ** 2).sum(axis=1)[:, None]
-                    links = _kept(x, here, members[at], dist, degree)
+                for here, links in _own(x, members, b.column(0).to_numpy(), degree, width):
                     yield _links(here, links)
 
         def merged(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
