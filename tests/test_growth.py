@@ -119,3 +119,19 @@ def test_graph_in_parts(spark):
         layers = graph.in_memory(np.arange(n), x[:n])
         assert (np.sort(layers.nearest(x[:1], n)) == np.arange(n)).all()
     assert coarse.graph_in_parts(nodes, queries.filter("qid < 0"), 10).collect() == []
+
+
+def test_codes_are_scanned_by_tiles():
+    """A scan of codes holds blocks of bounded cells and sorts those only that may be among the nearest."""
+    seen = np.zeros((2500, 3000), int)
+    for r, s in topk.tiles(2500, 3000):
+        assert (r.stop - r.start) * (s.stop - s.start) <= topk.TILE**2
+        seen[r, s] += 1
+    assert (seen == 1).all()
+    d = np.random.default_rng(5).integers(0, 50, (3000, 20)) / 7.0  # many ties, as codes have
+    best, ids, asks = topk.Nearest(20, 10), np.arange(3000)[::-1].copy(), np.arange(20)
+    for s in range(0, 3000, 700):
+        row, at = np.nonzero(best.likely(d[s : s + 700], asks))
+        best.add(at, d[s + row, at], ids[s + row], ids[s + row])
+    order = np.lexsort((np.broadcast_to(ids[:, None], d.shape), d), axis=0)[:10].T
+    assert (best.i == ids[order]).all()
