@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.distance import fold_l2, pair_l2, product_l2
 from vecloom.operators import coarse, graph, ivf, layout, topk
-from vecloom.plans import search
+from vecloom.plans import scanning, search
 from vecloom.plans.params import SearchParams, StagedParams
 from vecloom.sources import catalog
 from vecloom.sources.catalog import Index
@@ -135,3 +135,25 @@ def test_codes_are_scanned_by_tiles():
         best.add(at, d[s + row, at], ids[s + row], ids[s + row])
     order = np.lexsort((np.broadcast_to(ids[:, None], d.shape), d), axis=0)[:10].T
     assert (best.i == ids[order]).all()
+
+
+def test_few_pairs_that_are_left_are_not_multiplied_again(monkeypatch):
+    """After a stage that leaves few pairs the others are summed pair by pair, with the same verdicts and sums."""
+    x = np.random.default_rng(4).standard_normal((700, 24)).astype(np.float32)
+    x[3, 2], x[4, 1], x[10] = math.nan, math.inf, x[11]
+    q, ends = x[::3].astype(np.float64), [9, 15, 24]
+    asks, limits, calls = np.arange(len(q)), np.tile([4.0, 9.0, 12.0], (len(q), 1)), []
+    monkeypatch.setattr(scanning, "product_l2", lambda *a: calls.append(1) or product_l2(*a))
+    want = [fold_l2(x[:, :e], q[:, :e]) for e in ends]
+    seen = np.zeros((3, len(x), len(q)), bool)
+    for r, s, stage, alive, d, slack in scanning._pruned(x, q, limits, asks, ends):
+        seen[stage, r, s] = alive
+        exact = want[stage][r, s]
+        near = np.abs(d - exact) <= slack
+        assert near[alive & np.isfinite(exact)].all()
+    passed = np.ones_like(seen[0])
+    for stage in range(3):
+        passed &= ~(want[stage] > limits[0, stage])
+        assert (seen[stage] == passed).all()
+    assert 0 < passed.sum() < passed.size / 8
+    assert len(calls) == len(list(topk.tiles(len(x), len(q))))

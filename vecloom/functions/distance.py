@@ -74,13 +74,28 @@ def product_l2(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d, SLACK * (x.shape[1] + 16) * (np.where(odd_q, 0, qq) + np.where(odd_x, 0, xx).max(initial=0))
 
 
+PAIRS = 2048  # taken together by `prefixes_l2`, so that their differences stay in the cache
+
+
+def prefixes_l2(x: np.ndarray, q: np.ndarray, row: np.ndarray, at: np.ndarray, ends: Sequence[int]) -> np.ndarray:
+    """(pairs, ends) squared distances of the pairs (x[row], q[at]) over the first `end` dimensions, summed like `fold_l2`."""
+    out, last = np.empty((len(row), len(ends))), np.array(ends) - 1
+    for s in range(0, len(row), PAIRS):
+        diff = x[row[s : s + PAIRS], : ends[-1]].astype(np.float64, copy=False)
+        diff -= q[at[s : s + PAIRS], : ends[-1]]
+        diff *= diff
+        out[s : s + PAIRS] = np.add.accumulate(diff, axis=1, out=diff)[:, last]
+    return out
+
+
 def pair_l2(x: np.ndarray, q: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Squared distances of the pairs (x[row], q[at]), summed like `fold_l2`."""
-    out = np.zeros(len(row))
-    for d in range(x.shape[1]):
-        diff = x[row, d].astype(np.float64) - q[at, d].astype(np.float64)
-        out += diff * diff
-    return out
+    return prefixes_l2(x, q, row, at, [x.shape[1]])[:, 0]
+
+
+def where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`np.nonzero` of a matrix; much faster where little is set."""
+    return np.divmod(np.flatnonzero(mask), max(1, mask.shape[1]))
 
 
 def l2_sql(a: str, b: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.functions.distance import pair_l2, product_l2
+from vecloom.functions.distance import pair_l2, product_l2, where
 
 BLOCK_CELLS = 4 << 20  # distances held at a time by the Arrow kernel
 MOST_QUERY_BYTES = 64 << 20
@@ -67,7 +67,7 @@ class Nearest:
         for r, s in tiles(len(x), len(asks)):
             mine, here = asks[s], x[r].astype(np.float64)
             d, slack = product_l2(here, q[mine])
-            row, at = np.nonzero(self.likely(d, mine, slack))
+            row, at = where(self.likely(d, mine, slack))
             self.add(mine[at], pair_l2(here, q, row, mine[at]), ids[r][row], slots[r][row])
 
     def rows(self, qid: np.ndarray) -> pa.RecordBatch:

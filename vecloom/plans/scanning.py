@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.functions.distance import fold_l2, pair_l2, product_l2
+from vecloom.functions.distance import fold_l2, pair_l2, prefixes_l2, product_l2, where
 from vecloom.operators.topk import BLOCK_CELLS, MOST_QUERY_BYTES, Nearest, tiles
 from vecloom.sources.catalog import SLOT_BITS, Index, cluster_of
 
 READ = 256  # places of a list that are read together
+FEW = 8  # a tile with fewer than one pair in so many left is summed pair by pair
 MOST_CUT = 256  # groups of READ places that a task waits to see whole
 # Runtime filters are worth their while up to so many bytes of wanted rows; a larger set would fill the filter.
 FILTER_CONFS = {
@@ -149,7 +150,7 @@ def nearest_codes(index: Index, batch: QueryBatch, book: np.ndarray, k: int) ->
                     d = np.zeros((r.stop - r.start, len(mine)))
                     for p in range(m):
                         d += np.take(tables[p], mine, axis=1)[codes[r, p]]
-                    row, at = np.nonzero(best.likely(d, mine))
+                    row, at = where(best.likely(d, mine))
                     best.add(mine[at], d[row, at], ids[r][row], slots[r][row])
         yield best.rows(batch.qid)
 
@@ -180,17 +181,41 @@ def _pruned(x: np.ndarray, q: np.ndarray, limits: np.ndarray, asks: np.ndarray,
     is that near its limit is summed exactly. An equal one stays, and so does NaN."""
     for r, s in tiles(len(x), len(asks)):
         here, theirs, limit = x[r].astype(np.float64), q[asks[s]], limits[asks[s]]
-        alive, first, d, slack = None, 0, 0.0, 0.0
+        alive, first, d, slack = None, 0, None, 0.0
         for stage, last in enumerate(ends):
             more, err = product_l2(here[:, first:last], theirs[:, first:last])
-            d, slack, first = d + more, slack + err, last
+            d, slack, first = more if d is None else np.add(d, more, out=more), slack + err, last
             out = d > limit[:, stage] + slack
-            alive = ~out if alive is None else alive & ~out
-            row, at = np.nonzero(alive & ~(d < limit[:, stage] - slack))
-            alive[row, at] = ~(pair_l2(here[:, :last], theirs, row, at) > limit[at, stage])
-            if not alive.any():
+            near = ~(out | (d < limit[:, stage] - slack))
+            if alive is None:
+                alive = ~out
+            else:
+                near &= alive
+                alive = alive & ~out
+            row, at = where(near)
+            alive[row, at] = ~(pair_l2(here[:, :last], theirs[:, :last], row, at) > limit[at, stage])
+            left = np.count_nonzero(alive)
+            if not left:
                 break
             yield r, s, stage, alive, d, slack
+            if left * FEW < alive.size and last < ends[-1]:
+                yield from ((r, s, *found) for found in _few_left(here, theirs, limit, alive, stage, ends))
+                break
+
+
+def _few_left(x: np.ndarray, q: np.ndarray, limit: np.ndarray, alive: np.ndarray, stage: int, ends: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """What `_pruned` gives of the stages after `stage`, by exact sums of the pairs that are left."""
+    row, at = where(alive)
+    sums = prefixes_l2(x, q, row, at, ends[stage + 1 :])
+    for later in range(stage + 1, len(ends)):
+        own = sums[:, later - stage - 1]
+        keep = ~(own > limit[at, later])
+        row, at, sums, own = row[keep], at[keep], sums[keep], own[keep]
+        if not len(row):
+            break
+        alive, d = np.zeros(alive.shape, bool), np.full(alive.shape, np.inf)
+        alive[row, at], d[row, at] = True, own
+        yield later, alive, d, np.zeros(len(q))
 
 
 def _each_list(index: Index, batch: QueryBatch, make: Callable[[QueryBatch], tuple[Callable, Callable]], schema: str) -> DataFrame:
@@ -226,7 +251,7 @@ def staged_entries(index: Index, batch: QueryBatch, ends: Sequence[int], factors
                 if stage == len(ends) - 1:
                     mine = asks[s]
                     d[~alive] = np.inf
-                    row, at = np.nonzero(alive & best.likely(d, mine, slack))
+                    row, at = where(alive & best.likely(d, mine, slack))
                     best.add(mine[at], pair_l2(x[r], q, row, mine[at]), ids[r][row], slots[r][row])
             return ()
 
