@@ -11,6 +11,7 @@ CONTEXT = 32  # tokens in a window
 STRIDE = 16  # tokens by which windows move on; each window behind a text's first scores so many new tokens
 WIDTH = 16
 MEMBERS = 32
+BLOCK = 64  # windows whose attention is held in a core's cache
 Weights = dict[str, np.ndarray]
 
 
@@ -55,105 +56,143 @@ def _normalize(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _attend(w: Weights, c: np.ndarray):
-    x = w["embed"][c]
+def _flat(x: np.ndarray) -> np.ndarray:
+    return x.reshape(-1, x.shape[-1])
+
+
+def _inputs(w: Weights, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of the classes at their places, and the products of weights by which they meet and what they carry: queries, keys
+    and values are not made one by one, as only their products are used."""
+    x = np.take(w["embed"], c, axis=0)
     x += w["place"][: c.shape[1]]
-    q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
-    n = c.shape[1]
-    a = _bounded((q * WIDTH**-0.5) @ k.transpose(0, 2, 1))
-    a += _ahead[:n, :n]
-    o = _normalize(a) @ v
-    h = o @ w["mix"]
-    h += x
-    return x, q, k, v, a, o, h
+    return x, (w["query"] @ w["key"].T) * np.float32(WIDTH**-0.5), w["value"] @ w["mix"]
+
+
+def _heads(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """Output weights with their biases as a last row, for vectors with a last 1."""
+    return np.vstack([w["out"], w["bias"]]), np.concatenate([w["out2"], w["bias2"][:, None]], axis=1)
+
+
+def _with_one(h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    out = np.empty((len(h), WIDTH + 1), h.dtype)
+    out[:, :WIDTH], out[:, WIDTH] = np.take(h, order, axis=0), 1
+    return out
 
 
 def log_probs(w: Weights, c: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
     """Natural log probabilities (n, T - first) of the target classes y (n, T - first), given windows of classes c (n, T):
     the first places serve as context only."""
     n, size = c.shape
-    x = w["embed"][c]
-    x += w["place"][:size]
+    x, meet, carry = _inputs(w, c)
     late = np.ascontiguousarray(x[:, first:])
-    a = _bounded((late @ (w["query"] * WIDTH**-0.5)) @ (x @ w["key"]).transpose(0, 2, 1))
-    a += _ahead[first:size, :size]
-    late += (_normalize(a) @ (x @ w["value"])) @ w["mix"]
-    h = late.reshape(-1, WIDTH)
+    u, o = (_flat(late) @ meet).reshape(late.shape), np.empty_like(late)
+    for s in range(0, n, BLOCK):
+        b = slice(s, s + BLOCK)
+        a = _bounded(u[b] @ x[b].transpose(0, 2, 1))
+        a += _ahead[first:size, :size]
+        np.exp(a, out=a)
+        np.matmul(a, x[b], out=o[b])
+        o[b] /= (a @ np.ones(size, a.dtype))[..., None]
+    h = _flat(late)
+    h += _flat(o) @ carry
     group, member = np.divmod(y.ravel(), MEMBERS)
-    out = _softmax_log(h @ w["out"], w["bias"], group)
     order, cuts = _by_group(group, len(w["bias"]))
-    sorted_, own, more = h[order], member[order], np.empty(len(order), h.dtype)
+    (head, heads), rows, own = _heads(w), _with_one(h, order), member[order]
+    more, sorted_ = np.empty(len(rows), h.dtype), group[order]
+    for s in range(0, len(rows), BLOCK * CONTEXT):
+        b = slice(s, s + BLOCK * CONTEXT)
+        more[b] = _softmax_log(rows[b] @ head, sorted_[b])
     for g, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if s < e:
-            more[s:e] = _softmax_log(sorted_[s:e] @ w["out2"][g], w["bias2"][g], own[s:e])
-    out[order] += more
+            more[s:e] += _softmax_log(rows[s:e] @ heads[g], own[s:e])
+    out = np.empty_like(more)
+    out[order] = more
     return out.reshape(n, size - first)
 
 
 def _by_group(group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(group.astype(np.int16), kind="stable")
-    return order, np.searchsorted(group[order], np.arange(groups + 1))
+    group = group.astype(np.int16)
+    order = np.argsort(group, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
 
 
-def _softmax_log(logits: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of the softmax of logits + bias at the targets; the logits are overwritten."""
-    logits += bias
+def _softmax_log(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the softmax of the logits at the targets; the logits are overwritten."""
     _bounded(logits)
     chosen = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + target]
     np.exp(logits, out=logits)
     return chosen - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
+def _error(logits: np.ndarray, target: np.ndarray, weight: np.ndarray) -> float:
+    """The loss at the targets by the softmax of the logits, which its gradient by them overwrites."""
+    np.exp(_bounded(logits), out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    at = np.arange(0, logits.size, logits.shape[1]) + target
+    loss = -float(np.log(logits.ravel()[at] / total + 1e-30) @ weight)
+    logits *= (weight / total)[:, None]
+    logits.ravel()[at] -= weight
+    return loss
+
+
 def gradient(w: Weights, c: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, Weights]:
     """Mean loss over the used places, and its gradient."""
-    x, q, k, v, a, o, h = _attend(w, c)
-    n = max(1, int(use.sum()))
-    rows, weight = np.arange(c.size), (use.ravel() / n).astype(h.dtype)
+    x, meet, carry = _inputs(w, c)
+    u, size, o = (_flat(x) @ meet).reshape(x.shape), c.shape[1], np.empty_like(x)
+    blocks = [slice(s, s + BLOCK) for s in range(0, len(c), BLOCK)]
+    weights = []
+    for b in blocks:
+        a = _bounded(u[b] @ x[b].transpose(0, 2, 1))
+        a += _ahead[:size, :size]
+        weights.append(_normalize(a))
+        np.matmul(a, x[b], out=o[b])
+    h = _flat(o) @ carry
+    h += _flat(x)
+
     group, member = np.divmod(y.ravel(), MEMBERS)
-    flat = h.reshape(-1, WIDTH)
-    p = flat @ w["out"]
-    p += w["bias"]
-    _normalize(_bounded(p))
-    loss = -float(np.log(p[rows, group] + 1e-30) @ weight)
-    p[rows, group] -= 1
-    p *= weight[:, None]
-    two = lambda t: t.reshape(-1, t.shape[-1])
-    grad = {"out": flat.T @ p, "bias": np.ones(len(p), p.dtype) @ p, "out2": np.zeros_like(w["out2"]), "bias2": np.zeros_like(w["bias2"])}
-    dflat = p @ w["out"].T
     order, cuts = _by_group(group, len(w["bias"]))
-    sorted_, own, share = flat[order], member[order], weight[order]
-    back = np.empty_like(sorted_)
+    (head, heads), rows, own = _heads(w), _with_one(h, order), member[order]
+    weight = (use.ravel() / max(1, int(use.sum()))).astype(h.dtype)[order]
+    loss, ghead, gheads, d, sorted_ = 0.0, np.zeros_like(head), np.zeros_like(heads), np.empty_like(h), group[order]
+    for s in range(0, len(rows), BLOCK * CONTEXT):
+        e = min(s + BLOCK * CONTEXT, len(rows))
+        p = rows[s:e] @ head
+        loss += _error(p, sorted_[s:e], weight[s:e])
+        ghead += rows[s:e].T @ p
+        np.matmul(p, w["out"].T, out=d[s:e])
     for g, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if s < e:
-            p = sorted_[s:e] @ w["out2"][g]
-            p += w["bias2"][g]
-            _normalize(_bounded(p))
-            mine = rows[: e - s]
-            loss -= float(np.log(p[mine, own[s:e]] + 1e-30) @ share[s:e])
-            p[mine, own[s:e]] -= 1
-            p *= share[s:e, None]
-            grad["out2"][g], grad["bias2"][g] = sorted_[s:e].T @ p, np.ones(e - s, p.dtype) @ p
-            np.matmul(p, w["out2"][g].T, out=back[s:e])
-    dflat[order] += back
-    dh = dflat.reshape(h.shape)
-    grad["mix"] = two(o).T @ two(dh)
-    do = dh @ w["mix"].T
-    ds, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-    ds *= a
-    ds -= a * (ds @ np.ones(ds.shape[-1], ds.dtype))[..., None]
-    ds *= WIDTH**-0.5
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dq @ w["query"].T
-    dx += dk @ w["key"].T
-    dx += dv @ w["value"].T
+            p = rows[s:e] @ heads[g]
+            loss += _error(p, own[s:e], weight[s:e])
+            np.matmul(rows[s:e].T, p, out=gheads[g])
+            d[s:e] += p @ w["out2"][g].T
+    grad = {"out": ghead[:WIDTH], "bias": ghead[WIDTH], "out2": gheads[:, :WIDTH], "bias2": gheads[:, WIDTH]}
+    dh = np.empty_like(d)
+    dh[order] = d
+
+    do = (dh @ carry.T).reshape(x.shape)
+    shift = np.einsum("ntd,ntd->nt", o, do)[..., None]
+    t, dx = np.empty_like(x), np.empty_like(x)
+    for b, a in zip(blocks, weights, strict=True):
+        ds = do[b] @ x[b].transpose(0, 2, 1)
+        ds -= shift[b]
+        ds *= a
+        np.matmul(ds, x[b], out=t[b])
+        np.matmul(a.transpose(0, 2, 1), do[b], out=dx[b])
+        dx[b] += ds.transpose(0, 2, 1) @ u[b]
+    dx = _flat(dx)
+    dx += _flat(t) @ meet.T
     dx += dh
-    grad |= {"query": two(x).T @ two(dq), "key": two(x).T @ two(dk), "value": two(x).T @ two(dv)}
+    dmeet, dcarry = (_flat(x).T @ _flat(t)) * np.float32(WIDTH**-0.5), _flat(o).T @ dh
+    grad |= {"query": dmeet @ w["key"], "key": dmeet.T @ w["query"], "value": dcarry @ w["mix"].T, "mix": w["value"].T @ dcarry}
     grad["place"] = np.zeros_like(w["place"])
-    grad["place"][: c.shape[1]] = dx.sum(axis=0)
-    order = np.argsort(c.ravel().astype(np.int16), kind="stable")
-    first = np.flatnonzero(np.diff(c.ravel()[order], prepend=-1))
+    grad["place"][:size] = dx.reshape(x.shape).sum(axis=0)
+    c = c.ravel().astype(np.int16)
+    order = np.argsort(c, kind="stable")
+    c = c[order]
+    first = np.flatnonzero(np.diff(c, prepend=-1))
     grad["embed"] = np.zeros_like(w["embed"])
-    grad["embed"][c.ravel()[order[first]]] = np.add.reduceat(two(dx)[order], first)
+    grad["embed"][c[first]] = np.add.reduceat(np.take(dx, order, axis=0), first)
     return loss, grad
 
 
