@@ -1,9 +1,8 @@
-"""The prefix trie of conversations, built and summed up level by level."""
+"""The prefix trie of conversations: prefixes are named by chained digests, and nodes are sums over their members."""
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.llm.storage import shared_folder, table
+from vecloom.llm.storage import table
 
 GROUP, HEADS = 5, 9  # conversations c - c % GROUP to c share their first crc32(c) % HEADS turns
 PIECE = 256  # ids to a piece of a digest's input
+BLOCK = 4096  # turns of a conversation that one task goes through in order
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -46,8 +46,7 @@ def _heads(conv: Column) -> Column:
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations (conv_id, length), and their rebuilt turns (conv_id, depth from 1, key, n_bytes, length).
 
-    Of a group's first conversation only the first HEADS - 1 turns are handed to the others. Files are sorted by depth, so
-    a level reads its own pages of them only.
+    Of a group's first conversation only the first HEADS - 1 turns are handed to the others.
     """
     own = numbered(turns)
     sizes = own.groupBy("conv_id").agg(F.max("place").alias("n"))
@@ -58,7 +57,64 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     lent = own.filter(f"place < {HEADS} AND conv_id % {GROUP} = 0").select(F.col("conv_id").alias("first"), "place", "key", "n_bytes")
     lent = lent.join(convs, "first").filter("place <= h").select("conv_id", F.col("place").alias("depth"), "key", "n_bytes", "length")
     rest = own.filter(F.col("place") > _heads(F.col("conv_id"))).join(convs, "conv_id").select("conv_id", (F.col("m") + F.col("place") - F.col("h")).alias("depth"), "key", "n_bytes", "length")
-    return convs.select("conv_id", "length"), table(lent.unionByName(rest).sortWithinPartitions("depth"), "rebuilt")
+    return convs.select("conv_id", "length"), lent.unionByName(rest)
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of (conv_id, block, digest, ...) chained in order of rows within each (conv_id, block)."""
+    at, state = None, b""
+    for b in batches:
+        out = []
+        for conv, block, digest in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if at != (conv, block):
+                at, state = (conv, block), b""
+            state = hashlib.sha256(state + digest).digest()
+            out.append(state)
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.binary()), *b.columns[3:]], names=b.schema.names)
+
+
+def prefixes(steps: DataFrame, long: bool, block: int = BLOCK) -> DataFrame:
+    """(conv_id, block, prefix, depth, n_bytes, length): `prefix` is a digest of all turns up to this one.
+
+    Digests are chained within blocks of a conversation's turns, in as many tasks as there are; where some conversation is
+    `long`, of more than one block, the digests of whole blocks are chained then, and lead those of the blocks behind them.
+    """
+    at = F.floor((F.col("depth") - 1) / block).alias("block")
+    rows = steps.select("conv_id", at, F.col("key").alias("prefix"), "depth", "n_bytes", "length")
+    rows = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "depth").mapInArrow(_chain, "conv_id long, block long, prefix binary, depth long, n_bytes long, length long")
+    rows = table(rows, "prefixes")
+    if not long:
+        return rows
+    whole = rows.filter(F.col("depth") % block == 0).select("conv_id", F.lit(0).cast("long").alias("all"), "prefix", (F.col("block") + 1).alias("block"))
+    whole = whole.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(_chain, "conv_id long, all long, before binary, block long")
+    joined = rows.join(F.broadcast(table(whole, "blocks").drop("all")), ["conv_id", "block"], "left")  # a row a block
+    led = F.unhex(F.sha2(F.concat("before", "prefix"), 256))
+    return table(joined.withColumn("prefix", F.coalesce(led, "prefix")).select(*rows.columns), "prefixes")
+
+
+def members(prefixed: DataFrame, long: bool) -> DataFrame:
+    """(conv_id, depth, length, node, n_convs, parent, child, leaves, saved) of each conversation at each of its nodes.
+
+    `node` and `parent` (null: the root) are named by their smallest conv_id. What a node sums up lies in its members: `child` is 1 if
+    the conversation names the node that follows, `leaves` is 1 if it names the childless node where it ends, and `saved` are
+    the bytes from here on of its turns in nodes that others name.
+    """
+    groups = prefixed.groupBy("depth", "prefix").agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs"), F.max("length").alias("longest"))
+    rows = prefixed.join(groups, ["depth", "prefix"])
+    names = F.col("conv_id") == F.col("node")
+    rows = rows.select("conv_id", "block", "depth", "length", "node", "n_convs", names.cast("long").alias("names"), F.when(names, 0).otherwise(F.col("n_bytes")).alias("own"), (names & (F.col("longest") == F.col("depth"))).cast("long").alias("leaf"))
+    back = W.partitionBy("conv_id", "block").orderBy(F.desc("depth"))
+    onward = back.rowsBetween(W.unboundedPreceding, W.currentRow)
+    walked = rows.select("conv_id", "block", "depth", "length", "node", "n_convs", "names", F.lead("node").over(back).alias("parent"), F.lag("names").over(back).alias("child"), F.sum("leaf").over(onward).alias("leaves"), F.sum("own").over(onward).alias("saved"))
+    walked = table(walked, "members")
+    if long:
+        ends = walked.filter("length > depth OR block > 0").groupBy("conv_id", "block").agg(F.max_by("node", "depth").alias("last"), F.min_by("names", "depth").alias("opens"), F.max("leaves").alias("leaves"), F.max("saved").alias("saved"))
+        order = W.partitionBy("conv_id").orderBy("block")
+        behind = order.rowsBetween(1, W.unboundedFollowing)
+        ends = ends.withColumn("blocks", F.count("*").over(W.partitionBy("conv_id"))).select("conv_id", "block", "blocks", F.lag("last").over(order).alias("parent_"), F.lead("opens").over(order).alias("child_"), F.sum("leaves").over(behind).alias("leaves_"), F.sum("saved").over(behind).alias("saved_"))
+        walked = walked.join(F.broadcast(table(ends.filter("blocks > 1"), "blocks")), ["conv_id", "block"], "left")  # a row a block
+        walked = walked.withColumns({"parent": F.coalesce("parent", "parent_"), "child": F.coalesce("child", "child_"), **{c: F.col(c) + F.coalesce(f"{c}_", F.lit(0)) for c in ("leaves", "saved")}})
+    return walked.select("conv_id", "depth", "length", "node", "n_convs", "parent", F.coalesce("child", F.lit(0)).cast("long").alias("child"), "leaves", "saved")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,72 +165,36 @@ def digests(ends: DataFrame) -> DataFrame:
     return pieces.repartition("node", "depth").sortWithinPartitions("node", "depth", "first").mapInArrow(_digests, "node long, depth long, ends_sha256 string")
 
 
-def prefix_trie(turns: DataFrame) -> DataFrame:
+def prefix_trie(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per node of the trie of rebuilt conversations.
 
-    Level by level, conversations that share a node with others are grouped by (node, next turn), and each group becomes a
-    node named by its smallest conv_id. A conversation alone in its node needs no further grouping: the rest of it is a
-    chain, made in one step at the end, so the number of levels is the longest prefix that two conversations share. Then,
-    from the deepest level up, leaves and savings are summed by parent.
+    All prefixes are named at once, by digests, and grouped; each node is named by its smallest conv_id. A subtree is the rest
+    of its top's members, so children, leaves and savings are sums along each conversation, then over members: the number of
+    steps does not depend on how many turns conversations share. A node with one member takes its own row.
 
     Null roles and texts are empty; null turns come first; equal turns are ordered by role, then by the SHA-256 of the text,
     and repeated rows are turns of their own. Rows with a null conv_id belong to no conversation and make no node. Without
     conversations there are no nodes. Other columns are not read.
     """
-    spark = turns.sparkSession
     convs, steps = rebuilt(turns)
-    top = convs.agg(F.min("conv_id").alias("node"), F.count("*").alias("n")).first()
-    path = f"{shared_folder(spark)}/vecloom-trie-{uuid.uuid4().hex}"
-    columns = "conv_id long, parent long, node long, n_convs long, n_bytes long, length long"
-    node_columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
-
-    depth, level, levels = 0, None, []
-    live = convs.select("conv_id", F.lit(top["node"]).cast("long").alias("parent"))
-    while True:
-        depth += 1
-        at = steps.filter(F.col("depth") == depth)
-        joined = at.withColumn("parent", F.lit(top["node"]).cast("long")) if depth == 1 else at.join(live, "conv_id")
-        groups = joined.groupBy("parent", "key").agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs"))
-        joined.join(groups, ["parent", "key"]).select(*[c.split()[0] for c in columns.split(", ")]).write.parquet(f"{path}/depth={depth}")
-        level = spark.read.schema(columns).parquet(f"{path}/depth={depth}")
-        levels.append(level)
-        live = level.filter(f"n_convs > 1 AND length > {depth}").select("conv_id", F.col("node").alias("parent"))
-        if live.isEmpty():
-            break
-
-    below, shared = None, []
-    for depth in range(len(levels), -1, -1):
-        if depth:
-            heads = levels[depth - 1].filter("conv_id = node")
-            here = heads.filter("n_convs > 1").select("node", "parent", "n_convs", "n_bytes")
-        else:
-            here = convs.filter(F.col("conv_id") == top["node"]).select(F.col("conv_id").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(top["n"]).cast("long").alias("n_convs"), F.lit(0).cast("long").alias("n_bytes"))
-        own = (F.col("n_convs") - 1) * F.col("n_bytes")
-        if below is None:
-            summed = here.select("node", "parent", "n_convs", F.lit(0).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), own.alias("saved"))
-        else:
-            rolled = below.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("leaves"), F.sum("saved").alias("saved_below"))
-            summed = here.join(rolled, "node", "left").select("node", "parent", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("leaves", F.lit(1)).alias("n_leaves"), (own + F.coalesce("saved_below", F.lit(0))).alias("saved"))
-        summed = table(summed, "sums")
-        shared.append(summed.withColumn("depth", F.lit(depth).cast("long")))
-        if depth:
-            alone = heads.filter("n_convs = 1").select("parent", F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved"))
-            below = alone.unionByName(summed.select("parent", "n_leaves", "saved"))
-
-    every = spark.read.schema(f"{columns}, depth long").parquet(path)
-    ends = every.filter("n_convs > 1 AND length = depth").select("node", "depth", "conv_id")
-    ends = ends.unionByName(convs.filter("length = 0").select(F.lit(top["node"]).cast("long").alias("node"), F.lit(0).cast("long").alias("depth"), "conv_id"))
-    both = shared[0]
-    for more in shared[1:]:
-        both = both.unionByName(more)
-    both = both.join(table(digests(ends), "digests"), ["node", "depth"], "left")
+    top = convs.agg(F.min("conv_id").alias("node"), F.count("*").alias("n"), F.max("length").alias("length")).first()
+    long = (top["length"] or 0) > block
+    each = members(prefixes(steps, long, block), long)
+    one, none, root = F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(top["node"]).cast("long")
+    parent = F.when(F.col("depth") == 1, root).otherwise(F.col("parent"))
+
+    shared = each.filter("n_convs > 1").groupBy("depth", "node").agg(F.min(parent).alias("parent"), F.max("n_convs").alias("n_convs"), F.sum("child").alias("n_children"), F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved"))
+    firsts = each.filter("depth = 1").agg(F.sum((F.col("conv_id") == F.col("node")).cast("long")).alias("n_children"), F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved"))
+    whole = firsts.filter(F.lit(bool(top["n"]))).select(none.alias("depth"), root.alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(top["n"]).cast("long").alias("n_convs"), F.coalesce("n_children", none).alias("n_children"), F.coalesce("n_leaves", one).alias("n_leaves"), F.coalesce("saved", none).alias("saved"))
+    ends = each.filter("n_convs > 1 AND length = depth").select("node", "depth", "conv_id")
+    ends = ends.unionByName(convs.filter("length = 0").select(root.alias("node"), none.alias("depth"), "conv_id"))
+    both = shared.unionByName(whole).join(table(digests(ends), "digests"), ["node", "depth"], "left")
     both = both.select(F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(NOTHING)).alias("ends_sha256"))
 
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    chain = lambda parent: ["conv_id", "depth", parent.alias("parent_conv_id"), one.alias("n_convs"), (F.col("depth") < F.col("length")).cast("long").alias("n_children"), one.alias("n_leaves"), none.alias("saved_tokens"), F.when(F.col("depth") == F.col("length"), F.sha2(F.col("conv_id").cast("string"), 256)).otherwise(NOTHING).alias("ends_sha256")]
-    alone = every.filter("n_convs = 1")
-    tails = steps.join(alone.filter("length > depth").select("conv_id", F.col("depth").alias("since")), "conv_id").filter("depth > since")
-    return both.unionByName(alone.select(*chain(F.col("parent")))).unionByName(tails.select(*chain(F.col("conv_id")))).select(*node_columns)
+    last = F.col("depth") == F.col("length")
+    digest = F.when(last, F.sha2(F.col("conv_id").cast("string"), 256)).otherwise(NOTHING)
+    alone = each.filter("n_convs = 1").select("conv_id", "depth", parent.alias("parent_conv_id"), one.alias("n_convs"), (~last).cast("long").alias("n_children"), one.alias("n_leaves"), none.alias("saved_tokens"), digest.alias("ends_sha256"))
+    return both.unionByName(alone)
 
 
 ORACLE_SQL = f"""
