@@ -477,3 +477,24 @@ def test_model():
     one = lm.model_scores(ids, np.array([0, 90]), weights, subwords)[0]
     parts = lm.model_scores(np.concatenate([ids, ids[:1], ids]), np.array([0, 90, 91, 181]), weights, subwords)
     assert parts[0] == pytest.approx(one) and parts[2] == pytest.approx(one)
+
+
+def test_bounded_logits_are_skipped_only_where_none_is(monkeypatch):
+    import numpy as np
+
+    from vecloom.llm import attention as A
+
+    rng = np.random.default_rng(3)
+    c, y = rng.integers(0, 64, (2, 5, 12))
+    for scale, small in ((1, True), (300, False)):
+        w = A.initial(np.log(np.full(64, 1 / 64)))
+        w["out"] *= scale
+        h = rng.standard_normal((50, A.WIDTH)).astype(np.float32)
+        head, heads = A._heads(w)
+        assert A._small(h, head, heads) == small
+        if small:
+            got = A.log_probs(w, c, y, 0), A.gradient(w, c, y, np.ones(c.shape, np.float32))[1]
+            monkeypatch.setattr(A, "_small", lambda *a: False)
+            want = A.log_probs(w, c, y, 0), A.gradient(w, c, y, np.ones(c.shape, np.float32))[1]
+            monkeypatch.undo()
+            assert (got[0] == want[0]).all() and all((got[1][k] == want[1][k]).all() for k in want[1])

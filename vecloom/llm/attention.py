@@ -49,11 +49,8 @@ def _bounded(x: np.ndarray) -> np.ndarray:
     return np.clip(x, -60, 60, out=x)
 
 
-def _normalize(x: np.ndarray) -> np.ndarray:
-    """Softmax along the last axis, in place."""
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
-    return x
+def _sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[-1], x.dtype)
 
 
 def _flat(x: np.ndarray) -> np.ndarray:
@@ -73,6 +70,20 @@ def _heads(w: Weights) -> tuple[np.ndarray, np.ndarray]:
     return np.vstack([w["out"], w["bias"]]), np.concatenate([w["out2"], w["bias2"][:, None]], axis=1)
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Each window's vectors as columns, with a last row of 1: products by windows go faster with them so."""
+    out = np.empty((len(x), WIDTH + 1, x.shape[1]), x.dtype)
+    out[:, :WIDTH], out[:, WIDTH] = x.transpose(0, 2, 1), 1
+    return out
+
+
+def _small(h: np.ndarray, head: np.ndarray, heads: np.ndarray) -> bool:
+    """Whether no logit of these vectors can be beyond the bound, by the lengths of vectors and weights."""
+    most = np.sqrt(np.einsum("ij,ij->i", h, h).max(initial=0))
+    top = lambda w: (np.sqrt((w[..., :WIDTH, :] ** 2).sum(axis=-2)) * most + np.abs(w[..., WIDTH, :])).max()
+    return bool(max(top(head), top(heads)) < 60)
+
+
 def _with_one(h: np.ndarray, order: np.ndarray) -> np.ndarray:
     out = np.empty((len(h), WIDTH + 1), h.dtype)
     out[:, :WIDTH], out[:, WIDTH] = np.take(h, order, axis=0), 1
@@ -88,23 +99,23 @@ def log_probs(w: Weights, c: np.ndarray, y: np.ndarray, first: int) -> np.ndarra
     u, o = (_flat(late) @ meet).reshape(late.shape), np.empty_like(late)
     for s in range(0, n, BLOCK):
         b = slice(s, s + BLOCK)
-        a = _bounded(u[b] @ x[b].transpose(0, 2, 1))
+        a = _bounded(u[b] @ _turned(x[b])[:, :WIDTH])
         a += _ahead[first:size, :size]
         np.exp(a, out=a)
         np.matmul(a, x[b], out=o[b])
-        o[b] /= (a @ np.ones(size, a.dtype))[..., None]
+        o[b] /= _sums(a)[..., None]
     h = _flat(late)
     h += _flat(o) @ carry
     group, member = np.divmod(y.ravel(), MEMBERS)
     order, cuts = _by_group(group, len(w["bias"]))
     (head, heads), rows, own = _heads(w), _with_one(h, order), member[order]
-    more, sorted_ = np.empty(len(rows), h.dtype), group[order]
+    more, sorted_, small = np.empty(len(rows), h.dtype), group[order], _small(h, head, heads)
     for s in range(0, len(rows), BLOCK * CONTEXT):
         b = slice(s, s + BLOCK * CONTEXT)
-        more[b] = _softmax_log(rows[b] @ head, sorted_[b])
+        more[b] = _softmax_log(rows[b] @ head, sorted_[b], small)
     for g, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if s < e:
-            more[s:e] += _softmax_log(rows[s:e] @ heads[g], own[s:e])
+            more[s:e] += _softmax_log(rows[s:e] @ heads[g], own[s:e], small)
     out = np.empty_like(more)
     out[order] = more
     return out.reshape(n, size - first)
@@ -116,18 +127,19 @@ def _by_group(group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
 
 
-def _softmax_log(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of the softmax of the logits at the targets; the logits are overwritten."""
-    _bounded(logits)
+def _softmax_log(logits: np.ndarray, target: np.ndarray, small: bool) -> np.ndarray:
+    """Log of the softmax of the logits at the targets; the logits, `small` if within the bound, are overwritten."""
+    if not small:
+        _bounded(logits)
     chosen = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + target]
     np.exp(logits, out=logits)
-    return chosen - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+    return chosen - np.log(_sums(logits))
 
 
-def _error(logits: np.ndarray, target: np.ndarray, weight: np.ndarray) -> float:
-    """The loss at the targets by the softmax of the logits, which its gradient by them overwrites."""
-    np.exp(_bounded(logits), out=logits)
-    total = logits @ np.ones(logits.shape[1], logits.dtype)
+def _error(logits: np.ndarray, target: np.ndarray, weight: np.ndarray, small: bool) -> float:
+    """The loss at the targets by the softmax of the logits, `small` if within the bound, which its gradient by them overwrites."""
+    np.exp(logits if small else _bounded(logits), out=logits)
+    total = _sums(logits)
     at = np.arange(0, logits.size, logits.shape[1]) + target
     loss = -float(np.log(logits.ravel()[at] / total + 1e-30) @ weight)
     logits *= (weight / total)[:, None]
@@ -138,14 +150,17 @@ def _error(logits: np.ndarray, target: np.ndarray, weight: np.ndarray) -> float:
 def gradient(w: Weights, c: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, Weights]:
     """Mean loss over the used places, and its gradient."""
     x, meet, carry = _inputs(w, c)
-    u, size, o = (_flat(x) @ meet).reshape(x.shape), c.shape[1], np.empty_like(x)
+    u, size, o, xt = (_flat(x) @ meet).reshape(x.shape), c.shape[1], np.empty_like(x), _turned(x)
     blocks = [slice(s, s + BLOCK) for s in range(0, len(c), BLOCK)]
-    weights = []
+    weights, sums = [], np.empty(c.shape, x.dtype)  # weights before they are divided by their sums: vectors are instead
     for b in blocks:
-        a = _bounded(u[b] @ x[b].transpose(0, 2, 1))
+        a = _bounded(u[b] @ xt[b, :WIDTH])
         a += _ahead[:size, :size]
-        weights.append(_normalize(a))
+        np.exp(a, out=a)
+        weights.append(a)
         np.matmul(a, x[b], out=o[b])
+        sums[b] = _sums(a)
+    o /= sums[..., None]
     h = _flat(o) @ carry
     h += _flat(x)
 
@@ -153,29 +168,30 @@ def gradient(w: Weights, c: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple
     order, cuts = _by_group(group, len(w["bias"]))
     (head, heads), rows, own = _heads(w), _with_one(h, order), member[order]
     weight = (use.ravel() / max(1, int(use.sum()))).astype(h.dtype)[order]
-    loss, ghead, gheads, d, sorted_ = 0.0, np.zeros_like(head), np.zeros_like(heads), np.empty_like(h), group[order]
+    loss, ghead, gheads, d, sorted_, small = 0.0, np.zeros_like(head), np.zeros_like(heads), np.empty_like(h), group[order], _small(h, head, heads)
     for s in range(0, len(rows), BLOCK * CONTEXT):
         e = min(s + BLOCK * CONTEXT, len(rows))
         p = rows[s:e] @ head
-        loss += _error(p, sorted_[s:e], weight[s:e])
+        loss += _error(p, sorted_[s:e], weight[s:e], small)
         ghead += rows[s:e].T @ p
         np.matmul(p, w["out"].T, out=d[s:e])
     for g, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if s < e:
             p = rows[s:e] @ heads[g]
-            loss += _error(p, own[s:e], weight[s:e])
+            loss += _error(p, own[s:e], weight[s:e], small)
             np.matmul(rows[s:e].T, p, out=gheads[g])
             d[s:e] += p @ w["out2"][g].T
     grad = {"out": ghead[:WIDTH], "bias": ghead[WIDTH], "out2": gheads[:, :WIDTH], "bias2": gheads[:, WIDTH]}
     dh = np.empty_like(d)
     dh[order] = d
 
-    do = (dh @ carry.T).reshape(x.shape)
-    shift = np.einsum("ntd,ntd->nt", o, do)[..., None]
+    both = np.empty((*c.shape, WIDTH + 1), x.dtype)  # with what is subtracted, by the row of 1
+    do = both[..., :WIDTH]
+    np.divide((dh @ carry.T).reshape(x.shape), sums[..., None], out=do)
+    np.negative(np.einsum("ntd,ntd->nt", o, do), out=both[..., WIDTH])
     t, dx = np.empty_like(x), np.empty_like(x)
     for b, a in zip(blocks, weights, strict=True):
-        ds = do[b] @ x[b].transpose(0, 2, 1)
-        ds -= shift[b]
+        ds = both[b] @ xt[b]
         ds *= a
         np.matmul(ds, x[b], out=t[b])
         np.matmul(a.transpose(0, 2, 1), do[b], out=dx[b])
