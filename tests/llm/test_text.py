@@ -498,3 +498,24 @@ def test_bounded_logits_are_skipped_only_where_none_is(monkeypatch):
             want = A.log_probs(w, c, y, 0), A.gradient(w, c, y, np.ones(c.shape, np.float32))[1]
             monkeypatch.undo()
             assert (got[0] == want[0]).all() and all((got[1][k] == want[1][k]).all() for k in want[1])
+
+
+def test_packed_texts_give_their_words(public):
+    """Subwords that are kept tell the words apart, and their hashes are those of the words that were cut: texts need no second cut."""
+    import numpy as np
+
+    path = public.path("byte_bpe_50k.json")
+    texts = ["Some words, and&&& others***", "", None, " \t\n", "\xa0 \xa0 \xa0 x\xa0 \xa0y", "a<|endoftext|>b <|endoftext|>", "é　   \x1c \x1cz", "x" * 3000 + " don't 12,5", "Some"]
+    cache, size = lm._coder(path)
+    ((_, code, hashes, bounds, ids, sub),) = lm._texts(pa.array(texts), cache, size - 1)
+    words = [w.encode() for t in texts for w in WORDS.findall((t or "").translate(LOWER))]
+    assert len(code) == len(words) and len(hashes) == len(set(words)) == len(set(hashes.tolist()))
+    assert len(set(zip(words, hashes[code].tolist(), strict=True))) == len(hashes)
+    raw = ids.astype(lm._kind(size)).tobytes()
+    width = len(raw) // len(ids)
+    packed = pa.array([raw[width * s : width * e] for s, e in zip(sub[:-1].tolist(), sub[1:].tolist(), strict=True)], pa.binary())
+    ((_, again, at, whole, places),) = lm._packed_texts(packed.slice(0), lm._kind(size), lm._openers(path))
+    assert (again == hashes[code]).all() and (at == bounds).all() and (whole == ids).all() and (places == sub).all()
+    parts = list(lm._packed_texts(packed.slice(4, 3), lm._kind(size), lm._openers(path)))
+    assert np.array_equal(np.concatenate([p[1] for p in parts]), hashes[code][bounds[4] : bounds[7]])
+    assert list(lm._packed_texts(packed.slice(1, 1), lm._kind(size), lm._openers(path)))[0][2].tolist() == [0, 0]

@@ -106,25 +106,27 @@ def log_probs(w: Weights, c: np.ndarray, y: np.ndarray, first: int) -> np.ndarra
         o[b] /= _sums(a)[..., None]
     h = _flat(late)
     h += _flat(o) @ carry
-    group, member = np.divmod(y.ravel(), MEMBERS)
-    order, cuts = _by_group(group, len(w["bias"]))
-    (head, heads), rows, own = _heads(w), _with_one(h, order), member[order]
-    more, sorted_, small = np.empty(len(rows), h.dtype), group[order], _small(h, head, heads)
+    order, cuts, group, member = _by_group(y, len(w["bias"]))
+    (head, heads), rows = _heads(w), _with_one(h, order)
+    more, small = np.empty(len(rows), h.dtype), _small(h, head, heads)
     for s in range(0, len(rows), BLOCK * CONTEXT):
         b = slice(s, s + BLOCK * CONTEXT)
-        more[b] = _softmax_log(rows[b] @ head, sorted_[b], small)
+        more[b] = _softmax_log(rows[b] @ head, group[b], small)
     for g, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if s < e:
-            more[s:e] += _softmax_log(rows[s:e] @ heads[g], own[s:e], small)
+            more[s:e] += _softmax_log(rows[s:e] @ heads[g], member[s:e], small)
     out = np.empty_like(more)
     out[order] = more
     return out.reshape(n, size - first)
 
 
-def _by_group(group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    group = group.astype(np.int16)
-    order = np.argsort(group, kind="stable")
-    return order, np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
+def _by_group(y: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places in the order of the groups of their classes, the groups' bounds, groups and members in that order)."""
+    y = y.ravel().astype(np.int16)
+    order = np.argsort(y // MEMBERS, kind="stable")
+    y = y[order]
+    group = y // MEMBERS
+    return order, np.searchsorted(group, np.arange(groups + 1)), group, y - group * MEMBERS
 
 
 def _softmax_log(logits: np.ndarray, target: np.ndarray, small: bool) -> np.ndarray:
@@ -136,79 +138,84 @@ def _softmax_log(logits: np.ndarray, target: np.ndarray, small: bool) -> np.ndar
     return chosen - np.log(_sums(logits))
 
 
-def _error(logits: np.ndarray, target: np.ndarray, weight: np.ndarray, small: bool) -> float:
-    """The loss at the targets by the softmax of the logits, `small` if within the bound, which its gradient by them overwrites."""
+def _error(logits: np.ndarray, target: np.ndarray, weight: np.ndarray, small: bool, want: bool) -> float:
+    """The loss at the targets by the softmax of the logits, `small` if within the bound, which its gradient by them overwrites;
+    zero if it is not wanted."""
     np.exp(logits if small else _bounded(logits), out=logits)
     total = _sums(logits)
-    at = np.arange(0, logits.size, logits.shape[1]) + target
-    loss = -float(np.log(logits.ravel()[at] / total + 1e-30) @ weight)
+    flat, at = logits.ravel(), np.arange(0, logits.size, logits.shape[1]) + target
+    loss = -float(np.log(flat[at] / total + 1e-30) @ weight) if want else 0.0
     logits *= (weight / total)[:, None]
-    logits.ravel()[at] -= weight
+    flat[at] -= weight
     return loss
 
 
-def gradient(w: Weights, c: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, Weights]:
-    """Mean loss over the used places, and its gradient."""
+def gradient(w: Weights, c: np.ndarray, y: np.ndarray, use: np.ndarray, want: bool = True) -> tuple[float, Weights]:
+    """Mean loss over the used places, if it is wanted, and its gradient."""
     x, meet, carry = _inputs(w, c)
-    u, size, o, xt = (_flat(x) @ meet).reshape(x.shape), c.shape[1], np.empty_like(x), _turned(x)
+    u, size, o, xt = np.empty_like(x), c.shape[1], np.empty_like(x), np.empty((len(c), WIDTH + 1, c.shape[1]), x.dtype)
     blocks = [slice(s, s + BLOCK) for s in range(0, len(c), BLOCK)]
-    weights, sums = [], np.empty(c.shape, x.dtype)  # weights before they are divided by their sums: vectors are instead
+    weights, sums, h = [], np.empty(c.shape, x.dtype), np.empty_like(x)  # weights before they are divided by their sums: vectors are instead
     for b in blocks:
+        np.matmul(_flat(x[b]), meet, out=_flat(u[b]))
+        xt[b] = _turned(x[b])
         a = _bounded(u[b] @ xt[b, :WIDTH])
         a += _ahead[:size, :size]
         np.exp(a, out=a)
         weights.append(a)
         np.matmul(a, x[b], out=o[b])
         sums[b] = _sums(a)
-    o /= sums[..., None]
-    h = _flat(o) @ carry
-    h += _flat(x)
+        o[b] /= sums[b, :, None]
+        np.matmul(_flat(o[b]), carry, out=_flat(h[b]))
+        h[b] += x[b]
+    h = _flat(h)
 
-    group, member = np.divmod(y.ravel(), MEMBERS)
-    order, cuts = _by_group(group, len(w["bias"]))
-    (head, heads), rows, own = _heads(w), _with_one(h, order), member[order]
+    order, cuts, group, member = _by_group(y, len(w["bias"]))
+    (head, heads), rows = _heads(w), _with_one(h, order)
     weight = (use.ravel() / max(1, int(use.sum()))).astype(h.dtype)[order]
-    loss, ghead, gheads, d, sorted_, small = 0.0, np.zeros_like(head), np.zeros_like(heads), np.empty_like(h), group[order], _small(h, head, heads)
+    loss, ghead, gheads, d, small = 0.0, np.zeros_like(head), np.zeros_like(heads), np.empty_like(h), _small(h, head, heads)
     for s in range(0, len(rows), BLOCK * CONTEXT):
         e = min(s + BLOCK * CONTEXT, len(rows))
         p = rows[s:e] @ head
-        loss += _error(p, sorted_[s:e], weight[s:e], small)
+        loss += _error(p, group[s:e], weight[s:e], small, want)
         ghead += rows[s:e].T @ p
         np.matmul(p, w["out"].T, out=d[s:e])
     for g, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if s < e:
             p = rows[s:e] @ heads[g]
-            loss += _error(p, own[s:e], weight[s:e], small)
+            loss += _error(p, member[s:e], weight[s:e], small, want)
             np.matmul(rows[s:e].T, p, out=gheads[g])
             d[s:e] += p @ w["out2"][g].T
     grad = {"out": ghead[:WIDTH], "bias": ghead[WIDTH], "out2": gheads[:, :WIDTH], "bias2": gheads[:, WIDTH]}
     dh = np.empty_like(d)
     dh[order] = d
 
-    both = np.empty((*c.shape, WIDTH + 1), x.dtype)  # with what is subtracted, by the row of 1
-    do = both[..., :WIDTH]
-    np.divide((dh @ carry.T).reshape(x.shape), sums[..., None], out=do)
-    np.negative(np.einsum("ntd,ntd->nt", o, do), out=both[..., WIDTH])
-    t, dx = np.empty_like(x), np.empty_like(x)
+    dx, dh = np.empty_like(x), dh.reshape(x.shape)
+    dmeet, dcarry = np.zeros_like(meet), np.zeros_like(carry)
     for b, a in zip(blocks, weights, strict=True):
-        ds = both[b] @ xt[b]
+        both = np.empty((*dh[b].shape[:2], WIDTH + 1), x.dtype)  # with what is subtracted, by the row of 1
+        do = both[..., :WIDTH]
+        np.divide((_flat(dh[b]) @ carry.T).reshape(do.shape), sums[b, :, None], out=do)
+        np.negative(np.einsum("ntd,ntd->nt", o[b], do), out=both[..., WIDTH])
+        ds = both @ xt[b]
         ds *= a
-        np.matmul(ds, x[b], out=t[b])
-        np.matmul(a.transpose(0, 2, 1), do[b], out=dx[b])
+        t = ds @ x[b]
+        np.matmul(a.transpose(0, 2, 1), do, out=dx[b])
         dx[b] += ds.transpose(0, 2, 1) @ u[b]
+        dx[b] += (_flat(t) @ meet.T).reshape(t.shape)
+        dx[b] += dh[b]
+        dmeet += _flat(x[b]).T @ _flat(t)
+        dcarry += _flat(o[b]).T @ _flat(dh[b])
+    dmeet *= np.float32(WIDTH**-0.5)
     dx = _flat(dx)
-    dx += _flat(t) @ meet.T
-    dx += dh
-    dmeet, dcarry = (_flat(x).T @ _flat(t)) * np.float32(WIDTH**-0.5), _flat(o).T @ dh
     grad |= {"query": dmeet @ w["key"], "key": dmeet.T @ w["query"], "value": dcarry @ w["mix"].T, "mix": w["value"].T @ dcarry}
     grad["place"] = np.zeros_like(w["place"])
     grad["place"][:size] = dx.reshape(x.shape).sum(axis=0)
     c = c.ravel().astype(np.int16)
-    order = np.argsort(c, kind="stable")
-    c = c[order]
-    first = np.flatnonzero(np.diff(c, prepend=-1))
+    times = np.bincount(c, minlength=len(w["embed"]))
+    some = np.flatnonzero(times)
     grad["embed"] = np.zeros_like(w["embed"])
-    grad["embed"][c[first]] = np.add.reduceat(np.take(dx, order, axis=0), first)
+    grad["embed"][some] = np.add.reduceat(np.take(dx, np.argsort(c, kind="stable"), axis=0), (np.cumsum(times) - times)[some])
     return loss, grad
 
 

@@ -23,6 +23,7 @@ ODD_SPACES = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", " ", *map(chr, r
 _ODD_CODES = np.array([int.from_bytes(c.encode(), "little") for c in ODD_SPACES])
 _ODD_FIRST = np.zeros(256, bool)
 _ODD_FIRST[[c.encode()[0] for c in ODD_SPACES]] = True
+_ODD_ENDS = tuple(c.encode() for c in ODD_SPACES)
 _KIND = np.zeros(256, np.uint8)
 _KIND[33:127] = 2
 _KIND[65:91] = _KIND[97:123] = 1
@@ -207,14 +208,15 @@ def rank_encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[list[bytes]
 
 def library_encoder(path: str) -> tuple[Callable[[list[bytes]], Ragged], list[bytes]]:
     """(encoder, the special tokens' strings). Encodes pieces by the tokenizers library. Pieces that begin with white space and end with something else are
-    encoded in one call, and told apart by the bytes that each token stands for."""
+    encoded in one call, and told apart by the bytes that each token stands for; not so behind white space outside ASCII, with which the
+    next piece's could be one token."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     widths = np.array([len(b) for b in token_bytes(t)], np.int64)
 
     def encode(pieces: list[bytes]) -> Ragged:
-        joined = [p[0] in b" \t\n\v\f\r" and p[-1] not in b" \t\n\v\f\r" for p in pieces]
+        joined = [p[0] in b" \t\n\v\f\r" and p[-1] not in b" \t\n\v\f\r" and not p.endswith(_ODD_ENDS) for p in pieces]
         got, n = [], np.zeros(len(pieces), np.int64)
         at = np.flatnonzero(joined)
         for k in range(0, len(at), 4096):
@@ -257,22 +259,23 @@ class PieceCache:
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def gather(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> Ragged:
-        """The ids of the pieces data[starts:ends] whose hashes are given."""
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each piece data[starts:ends], of the given hash, among the distinct ones; where in `ids` those of each
+        distinct one begin, and how many they are). These places hold until the next call."""
         if len(self.keys) > self.most:
             self.clear()
         inverse, unique = pd.factorize(hashes)
-        first = np.empty(len(unique), np.int64)
-        first[inverse[::-1]] = np.arange(len(hashes) - 1, -1, -1)
         order = np.argsort(unique)
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        unique, first, inverse = unique[order], first[order], rank[inverse]
+        unique, inverse = unique[order], rank[inverse]
         place = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == unique[inside]
         if not known.all():
+            first = np.empty(len(unique), np.int64)
+            first[inverse[::-1]] = np.arange(len(hashes) - 1, -1, -1)
             new = np.flatnonzero(~known)
             raw = data.tobytes()
             ids, bounds = self.encode([raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
@@ -280,8 +283,13 @@ class PieceCache:
             self.at = np.insert(self.at, place[new], bounds[:-1] + len(self.ids))
             self.n = np.insert(self.n, place[new], np.diff(bounds))
             self.ids = np.concatenate([self.ids, ids])
-            place = np.searchsorted(self.keys, unique)
-        return ragged_take(self.ids, self.at[place][inverse], self.n[place][inverse])
+            place += np.cumsum(~known) - ~known
+        return inverse, self.at[place], self.n[place]
+
+    def gather(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> Ragged:
+        """The ids of the pieces data[starts:ends] whose hashes are given."""
+        inverse, at, n = self.find(data, starts, ends, hashes)
+        return ragged_take(self.ids, at[inverse], n[inverse])
 
 
 def ragged_take(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> Ragged:

@@ -5,6 +5,7 @@ frequent subwords alone, the others in bands of frequency; frequent ones share g
 class from the CONTEXT subwords before. So a text's probability is that of its subwords and its end.
 
 It learns from the whole of every training text: counts, and gradients in which each subword and each end is a target.
+Texts are cut into subwords once; these are kept, and words are told apart by them when texts are scored.
 Training texts are dealt by hash into shards of bounded size, whatever partitions they came in. A fixed number of
 steps on the first shard gives the start; then every shard is gone through once from there, and the weights are averaged
 by windows, in integers, so that reruns and other partitions give the same model.
@@ -12,6 +13,7 @@ by windows, in integers, so that reruns and other partitions give the same model
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,7 @@ BLOCK_WINDOWS = 512  # scored at a time
 FREQUENT_WORDS = 1_000_000  # of 16 bytes each: all that is broadcast, whatever the input
 BUCKET_ENTRIES = 500_000
 FLUSH_ENTRIES = 1_000_000
+CHUNK_IDS = 1 << 19  # of texts scored together
 HELD_OUT = 2  # of crc32(id) modulo 7
 _LOG10 = np.log(10)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -55,20 +58,60 @@ def _coder(path: str) -> tuple[E.PieceCache, int]:
     return _coders[path]
 
 
+def _forget() -> None:
+    """Empties the caches of this worker, where no text is cut any more."""
+    for cache, _ in _coders.values():
+        cache.clear()
+
+
+@functools.cache
+def _openers(path: str) -> np.ndarray:
+    """Which subwords begin with the space that stands before each word, and no other subword of a word has."""
+    from tokenizers import Tokenizer
+
+    return np.array([b[:1] == b" " for b in E.token_bytes(Tokenizer.from_file(path))], bool)
+
+
+@functools.cache
+def _marks(size: int) -> np.ndarray:
+    return K.mix(np.arange(1, size + 1, dtype=np.uint64) * _STEP)
+
+
+def _word_hash(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of words by their subwords, which determine their bytes."""
+    return K.Spans(ids, _marks(size)).hash(starts, ends)
+
+
 def _texts(text: pa.Array, cache: E.PieceCache, end: int):
-    """For runs of rows: (first row, word hashes, word bounds, subword ids with ends, their bounds)."""
+    """For runs of rows: (first row, number of each word among the distinct ones, their hashes, word bounds, subword ids with
+    ends, their bounds)."""
     for row, _, data, offsets in K.chunks(text):
         data = K.LOWER[data]
         starts, ends, bounds = K.words(data, offsets)
-        hashes = K.Spans(data).hash(starts, ends)
-        ids, at = cache.gather(data, starts, ends, hashes)
-        inner = at[bounds]
-        sub = inner + np.arange(len(bounds))
+        code, begin, n = cache.find(data, starts, ends, K.Spans(data).hash(starts, ends))
+        own, at = E.ragged_take(cache.ids, begin, n)
+        hashes = _word_hash(own, at[:-1], at[1:], end + 1)
+        ids, at = E.ragged_take(cache.ids, begin[code], n[code])
+        sub = at[bounds] + np.arange(len(bounds))
         whole = np.full(sub[-1], end, np.int64)
         keep = np.ones(len(whole), bool)
         keep[sub[1:] - 1] = False
         whole[keep] = ids
-        yield row, hashes, bounds, whole, sub
+        yield row, code, hashes, bounds, whole, sub
+
+
+def _packed_texts(packed: pa.Array, kind: str, opens: np.ndarray):
+    """Of texts packed by `gather`, for runs of rows: (first row, word hashes, word bounds, subword ids with ends, their bounds)."""
+    width = np.dtype(kind).itemsize
+    for row, _, data, offsets in K.chunks(packed, width * CHUNK_IDS):
+        ids, sub = data.view(kind), offsets // width
+        starts = np.flatnonzero(opens[ids])
+        bounds = np.searchsorted(starts, sub)
+        ends = np.empty_like(starts)
+        ends[:-1] = starts[1:]
+        some = bounds[1:] > bounds[:-1]
+        ends[bounds[1:][some] - 1] = sub[1:][some] - 1
+        yield row, _word_hash(ids, starts, ends, len(opens)), bounds, ids.astype(np.int64), sub
 
 
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -93,48 +136,57 @@ def training_windows(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def gather(rows: DataFrame, path: str, bits: int, shards: int) -> DataFrame:
-    """(kind, bucket, mark, packed) of (text, held_out, mark), mark a hash. Kind 0: word hash, count in training texts, count
-    in all. Kind 1: subword, count in training texts. Kind 2: the shard, mark and subwords of each training text."""
-    names = ["kind", "bucket", "mark", "packed"]
+    """(kind, bucket, mark, packed, ...) of (text, held_out, mark, ...), mark a hash. Kind 0: word hash, count in training texts, count
+    in all. Kind 1: subword, count in training texts. Kind 2: the shard, mark, subwords and other columns of each training text.
+    Kind 3: those of each other text."""
+    more = [f for f in rows.schema.fields if f.name not in ("text", "held_out", "mark")]
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("packed", T.BinaryType()), *more])
 
     @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, size = _coder(path)
         subwords = np.zeros(size, np.int64)
         words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        kinds: list[pa.DataType] = []
+
+        def batch(*columns, rest=None) -> pa.RecordBatch:
+            rest = [pa.nulls(len(columns[0]), t) for t in kinds] if rest is None else rest
+            return pa.RecordBatch.from_arrays([*columns, *rest], names=schema.names)
 
         def flush() -> Iterator[pa.RecordBatch]:
             if words:
                 h, train, every = _sum_by(*(np.concatenate(x) for x in zip(*words, strict=True)))
                 words.clear()
                 packed = _by_bucket(_bucket(h, bits), np.hstack([_pack(h, 8), _pack(train, 4), _pack(every, 4)]), ["bucket", "packed"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(packed), np.int32)), packed.column(0), pa.nulls(len(packed), pa.int64()), packed.column(1)], names=names)
+                yield batch(pa.array(np.zeros(len(packed), np.int32)), packed.column(0), pa.nulls(len(packed), pa.int64()), packed.column(1))
 
         for b in batches:
+            kinds = [c.type for c in b.columns[3:]]
             held, marks = b.column(1).to_numpy(zero_copy_only=False).astype(bool), b.column(2).to_numpy()
-            for row, hashes, bounds, ids, sub in _texts(b.column(0), cache, size - 1):
+            for row, code, h, bounds, ids, sub in _texts(b.column(0), cache, size - 1):
                 n = len(bounds) - 1
                 train = ~held[row : row + n]
                 used = np.repeat(train, np.diff(bounds))
-                code, h = pd.factorize(hashes)
                 t, e = np.bincount(code, used, len(h)).astype(np.int64), np.bincount(code, minlength=len(h))
                 words.append((np.append(h, END_HASH), np.append(t, train.sum()), np.append(e, n)))
                 subwords += np.bincount(ids[np.repeat(train, np.diff(sub))], minlength=size)
-                some = np.flatnonzero(train)
-                if len(some):
-                    raw, mark = ids.astype("<u4" if size > 1 << 16 else "<u2"), marks[row + some]
-                    width, raw = raw.itemsize, raw.tobytes()
-                    texts = [raw[width * s : width * e] for s, e in zip(sub[some].tolist(), sub[some + 1].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), 2, np.int32)), pa.array((mark.view(np.uint64) % np.uint64(shards)).astype(np.int64)), pa.array(mark), pa.array(texts, pa.binary())], names=names)
+                raw, mark = ids.astype(_kind(size)), marks[row : row + n]
+                texts = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(sub * raw.itemsize), pa.py_buffer(raw)])
+                yield batch(pa.array(np.where(train, 2, 3).astype(np.int32)), pa.array((mark.view(np.uint64) % np.uint64(shards)).astype(np.int64)), pa.array(mark), texts.cast(pa.binary()), rest=[c.slice(row, n) for c in b.columns[3:]])
                 if sum(len(w[0]) for w in words) > FLUSH_ENTRIES:
                     yield from flush()
         yield from flush()
         some = np.flatnonzero(subwords)
         if len(some):
             raw = np.hstack([_pack(some, 8), _pack(subwords[some], 8)]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.nulls(1, pa.int64()), pa.array([raw], pa.binary())], names=names)
+            yield batch(pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.nulls(1, pa.int64()), pa.array([raw], pa.binary()))
 
-    return rows.select("text", "held_out", "mark").mapInArrow(run, "kind int, bucket long, mark long, packed binary")
+    return rows.select("text", "held_out", "mark", *(f.name for f in more)).mapInArrow(run, schema)
+
+
+def _kind(size: int) -> str:
+    """How ids of a vocabulary of that size are packed."""
+    return "<u4" if size > 1 << 16 else "<u2"
 
 
 def vocabulary(gathered: DataFrame) -> DataFrame:
@@ -212,7 +264,7 @@ def _train_shard(ids: np.ndarray, subwords: Subwords, start: A.Weights, rate: fl
     for step in range(steps):
         adam.rate = rate * max(0.01, 1 - step / steps)
         at = slice(step % each * batch, (step % each + 1) * batch)
-        _, grad = A.gradient(w, of[before[at]], of[target[at]], (target[at] >= 0).astype(np.float32))
+        _, grad = A.gradient(w, of[before[at]], of[target[at]], (target[at] >= 0).astype(np.float32), want=False)
         adam.step(grad)
     return w, len(before)
 
@@ -220,10 +272,11 @@ def _train_shard(ids: np.ndarray, subwords: Subwords, start: A.Weights, rate: fl
 def train(texts: DataFrame, subwords: Subwords) -> A.Weights:
     """The model, from (bucket, mark, packed): the training texts by shard. Only sums of weights reach the driver."""
     weights = A.initial(subwords.prior)
-    kind = "<u4" if len(subwords.of) > 1 << 16 else "<u2"
+    kind = _kind(len(subwords.of))
 
     def passes(rows: DataFrame, start: A.Weights, *how) -> A.Weights:
         def learn(key: tuple, group: pa.Table) -> pa.Table:
+            _forget()
             mark, raw = group.column("mark").to_numpy(), group.column("packed").to_pylist()
             raw = [raw[i] for i in np.lexsort(([len(r) for r in raw], mark))]
             K.keep_freed()
@@ -297,7 +350,7 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held_out"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, total / 20 / BUCKET_ENTRIES)))))
-    marked = rows.select("text", "held_out", F.xxhash64("id", "text").alias("mark"))
+    marked = rows.select("text", "held_out", F.xxhash64("id", "text").alias("mark"), "id")
     gathered = table(gather(marked, path, bits, max(1, -(-int(total) // SHARD_BYTES))), "gathered")
     words = table(vocabulary(gathered), "words")
     sums = words.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).first()
@@ -321,15 +374,16 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     fields = [T.StructField("key", T.LongType()), rows.schema["id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base", "score")), T.StructField("bucket", T.LongType()), T.StructField("packed", T.BinaryType())]
     schema = T.StructType(fields)
-    keyed = rows.select(F.monotonically_increasing_id().alias("key"), "id", "held_out", "text")
+    keyed = gathered.filter("kind >= 2").select(F.monotonically_increasing_id().alias("key"), "id", (F.col("kind") == 3).alias("held_out"), "packed")
 
     @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, size = _coder(path)
+        _forget()
         hot_hash, hot_count, subwords, weights = shared.value
+        opens = _openers(path)
         for b in batches:
             keys = b.column(0).to_numpy()
-            for row, hashes, bounds, ids, sub in _texts(b.column(3), cache, size - 1):
+            for row, hashes, bounds, ids, sub in _packed_texts(b.column(3), _kind(len(opens)), opens):
                 n = len(bounds) - 1
                 part = b.slice(row, n)
                 owner = np.append(K.repeat_rows(bounds), np.arange(n))

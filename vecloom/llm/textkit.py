@@ -86,10 +86,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row past the last, bytes, offsets) of runs of rows with at most `limit` bytes, or of one longer row."""
+    """(first row, row past the last, bytes, offsets) of runs of rows with at most `limit` bytes, or of one longer row; of texts or
+    of binary values."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
-    text = pc.fill_null(text.cast(pa.large_string()), "")
+    binary = pa.types.is_binary(text.type) or pa.types.is_large_binary(text.type)
+    text = pc.fill_null(text.cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
     n = len(text)
     if not n:
         return
@@ -104,12 +106,12 @@ def chunks(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
 
 
 class Spans:
-    """Prefix hashes of a byte array; gives the hash of any span in O(1)."""
+    """Prefix hashes of an array of bytes, or of other numbers whose marks are given; gives the hash of any span in O(1)."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, marks: np.ndarray = _BYTE):
         self.up, self.down = _power_tables(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * self.up[: len(data)], out=self.sums[1:])
+        np.cumsum(marks[data] * self.up[: len(data)], out=self.sums[1:])
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         span = (self.sums[ends] - self.sums[starts]) * self.down[starts]
